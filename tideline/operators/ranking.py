@@ -187,21 +187,25 @@ def _score_from_counts(long: DataFrame, keys: list[str], lo: Column, hi: Column)
 # ── composite and lists ──────────────────────────────────────────────────────
 
 
-def composite(codes: DataFrame, scored: DataFrame) -> DataFrame:
+def composite(scored: DataFrame, factors: list[str] | None = None, bound: int | None = None) -> DataFrame:
     """Mean score over the day's active factors, a missing factor counting as neutral.
 
-    Active factors are those with any score that day. Missing ones need no rows of their own:
-    sum(score) + neutral × (active − present), divided by active, is the same mean.
+    Active factors are those with any score that day, kept as one bit per declared factor. Missing
+    ones need no rows of their own: (sum(score) + neutral × (active − present)) ÷ active.
     """
-    active = scored.groupBy("d").agg(F.count_distinct("factor").alias("active"))
-    own = scored.groupBy("d", "code").agg(F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("real_factors"))
-    return (
-        codes.select("d", "code").join(own, ["d", "code"]).join(active, "d")
-        .withColumn(
-            "composite",
-            (F.col("_sum") + NEUTRAL_SCORE * (F.col("active") - F.col("real_factors"))) / F.col("active"),
-        )
-        .select("d", "code", "composite", "real_factors", "active")
+    names = list(factors or FACTOR_DIRECTIONS)
+    marks = reduce(lambda acc, n: acc.when(F.col("factor") == n[1], F.lit(1 << n[0]).cast("bigint")), enumerate(names), F.when(F.lit(False), F.lit(0).cast("bigint")))
+    own = scored.groupBy("d", "code").agg(
+        F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("real_factors"), F.bit_or(marks).alias("_bits")
+    )
+    if is_bounded(own, ["d"], bound):
+        joined = own.withColumn("active", F.bit_count(F.bit_or("_bits").over(W.partitionBy("d"))))
+    else:
+        joined = own.join(own.groupBy("d").agg(F.bit_count(F.bit_or("_bits")).alias("active")), "d")
+    neutral = NEUTRAL_SCORE * (F.col("active") - F.col("real_factors"))
+    return joined.select(
+        "d", "code", ((F.col("_sum") + neutral) / F.col("active")).alias("composite"), "real_factors",
+        F.col("active").cast("bigint").alias("active"),
     )
 
 
@@ -300,13 +304,13 @@ def explain_factors(detail: DataFrame) -> DataFrame:
     )
 
 
-def rank_on_definitions(long: DataFrame, definitions: DataFrame, codes: DataFrame, bound: int | None = None) -> DataFrame:
+def rank_on_definitions(long: DataFrame, definitions: DataFrame, factors: list[str], bound: int | None = None) -> DataFrame:
     """Score and rank with percentiles and directions read from the definition table."""
     defined = long.join(definitions.select("factor", "lower_pct", "upper_pct", "direction"), "factor")
     scored = score_cross_section(
         defined, F.col("direction") == LOWER, lower_pct=F.col("lower_pct"), upper_pct=F.col("upper_pct"), bound=bound
     )
-    return composite_rank(composite(codes, scored), bound=bound)
+    return composite_rank(composite(scored, factors, bound), bound=bound)
 
 
 def definition_mismatch(definitions: DataFrame, implemented: DataFrame) -> DataFrame:

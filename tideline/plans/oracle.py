@@ -6,6 +6,48 @@ import re
 
 K = "CAST(json_extract_string(props,'$.k') AS INT)"
 
+WS = r"[\s\x{00A0}\x{3000}\x{FEFF}]"
+DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def sql_trim(c: str) -> str:
+    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def sql_number(c: str) -> str:
+    """NULL for blank and unparsable cells."""
+    bare = f"regexp_replace(replace({sql_trim(c)}, ',', ''), '^\\+', '')"
+    return f"CASE WHEN regexp_matches({bare}, '{DECIMAL}') THEN TRY_CAST({bare} AS DOUBLE) END"
+
+
+def sql_status(c: str) -> str:
+    return (
+        f"CASE WHEN {c} IS NULL OR regexp_matches({sql_trim(c)}, '^(-*|N/A|n/a)$') THEN 'blank' "
+        f"WHEN ({sql_number(c)}) IS NULL THEN 'unparsable' ELSE 'parsed' END"
+    )
+
+
+def sql_roc(c: str) -> str:
+    """Minguo compact text to a date."""
+    y = f"CAST(TRY_CAST(regexp_extract({c}, '^([0-9]{{2,3}})[0-9]{{4}}$', 1) AS INT) + 1911 AS STRING)"
+    md = f"regexp_extract({c}, '^[0-9]{{2,3}}([0-9]{{4}})$', 1)"
+    return f"CASE WHEN regexp_matches({c}, '^[0-9]{{6,7}}$') THEN CAST(TRY_STRPTIME(concat({y}, {md}), '%Y%m%d') AS DATE) END"
+
+
+def sql_ad(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '^[0-9]{{8}}$') THEN CAST(TRY_STRPTIME({c}, '%Y%m%d') AS DATE) END"
+
+
+def sql_bound(c: str, side: int) -> str:
+    p = f"trim(regexp_split_to_array({c}, '[～~]')[{side + 1}])"
+    parts = f"string_split({p}, '/')"
+    iso = f"concat(CAST(TRY_CAST({parts}[1] AS INT) + 1911 AS STRING), '-', lpad({parts}[2], 2, '0'), '-', lpad({parts}[3], 2, '0'))"
+    return (
+        f"CASE WHEN len(regexp_split_to_array({c}, '[～~]')) = 2 THEN CASE WHEN contains({p}, '/') "
+        f"THEN CAST(TRY_STRPTIME({iso}, '%Y-%m-%d') AS DATE) ELSE {sql_roc(p)} END END"
+    )
+
+
 VIEWS: dict[str, str] = {
     "ticks": f"""SELECT event_id, ts, user_id AS code, CAST(ts AS DATE) AS d, event_type, value, {K} AS k FROM events""",
     "bars": """SELECT code, d, min_by(value, ts) AS open, max(value) AS high, min(value) AS low,
@@ -60,6 +102,37 @@ VIEWS: dict[str, str] = {
         CASE WHEN n_chars < 300 AND doc_id % 31 <> 0 AND doc_id % 11 <> 0 THEN 'veto' ELSE 'no_veto' END AS verdict,
         doc_id % 31 <> 0 AS parse_ok, doc_id % 11 <> 0 AS evidence_verified
         FROM documents WHERE doc_id % 7 <> 0""",
+    "payloads": """SELECT event_id AS id, event_type AS source_id, d,
+        CASE WHEN event_id % 23 = 0 THEN '  <html>blocked</html>' WHEN event_id % 29 = 0 THEN concat('{"k":', k, '}')
+          WHEN event_id % 31 = 0 THEN '[]'
+          ELSE concat('[{"Date":"', CASE WHEN k % 4 = 0 THEN '' ELSE roc END, '","Code":"', code, '","Close":"',
+            CAST(value AS STRING), '"}', CASE WHEN k % 3 = 0 THEN concat(',{"Date":"', CASE WHEN k % 2 = 0 THEN '1130131' ELSE roc END,
+            '","Code":"","Volume":"1,234"}') ELSE '' END, CASE WHEN k % 5 = 0 THEN ',7' ELSE '' END, ']') END AS body,
+        CASE WHEN k % 2 = 0 THEN 'unique' ELSE 'max' END AS selection
+        FROM (SELECT *, concat(year(d) - 1911, strftime(d, '%m%d')) AS roc FROM ticks) x""",
+    "payload_states": """SELECT *, CASE WHEN NOT json_valid(body) THEN 'invalid_json'
+        WHEN json_type(body) <> 'ARRAY' THEN 'payload_not_an_array' WHEN json_array_length(body) = 0 THEN 'payload_empty' END AS state
+        FROM payloads""",
+    "payload_rows": """SELECT id, source_id, selection, unnest(range(len(a))) AS pos, unnest(a) AS elem FROM (
+        SELECT id, source_id, selection, CAST(body AS JSON[]) AS a FROM payload_states WHERE state IS NULL) x""",
+    "field_tables": """SELECT l_orderkey, l_linenumber, l_suppkey AS id, CASE WHEN l_suppkey % 10 = 0 THEN '{"fields":["part","supp no."]}'
+        ELSE concat('{"fields":["part","supp no."," line"],"data":[', c, ',', c, ']}') END AS body FROM (SELECT *,
+        concat('["', l_partkey, '","', l_suppkey, '"', CASE WHEN l_linenumber % 5 = 0 THEN '' ELSE concat(',"', l_linenumber, '"') END, ']') AS c
+        FROM lineitem) x""",
+    "cells": """SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'TWSE' ELSE 'TPEx' END AS market,
+        CASE WHEN l_suppkey % 37 = 0 THEN '  ' ELSE concat(' ', l_partkey) END AS code_cell,
+        CASE WHEN l_suppkey % 11 = 0 THEN ' ---' WHEN l_suppkey % 13 = 0 THEN 'N/A'
+             WHEN l_suppkey % 17 = 0 THEN '除息 ' WHEN l_suppkey % 19 = 0 THEN '1D'
+             WHEN l_suppkey % 7 = 0 THEN '' WHEN l_suppkey % 2 = 0
+             THEN concat('+', CAST(CAST(l_quantity AS INT) AS STRING), ',000 ')
+             ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS number_cell,
+        concat(l_returnflag, '　') AS text_cell, CASE WHEN l_linenumber = 7 THEN '1130230' ELSE roc END AS roc_cell,
+        CASE WHEN l_linenumber = 6 THEN '' ELSE ad END AS ad_cell, CASE WHEN l_linenumber % 2 = 0 THEN roc ELSE ad END AS mixed_cell,
+        CASE l_linenumber % 3 WHEN 0 THEN 'Ｙ' WHEN 1 THEN ' Y ' ELSE '' END AS flag_cell,
+        CASE l_linenumber % 4 WHEN 0 THEN slashed WHEN 1 THEN concat(slashed, '～', slashed) ELSE concat(roc, '~', '1150827') END AS period_cell,
+        CASE l_linenumber % 3 WHEN 0 THEN 'roc_compact' WHEN 1 THEN 'ad_compact' ELSE 'iso' END AS declared
+        FROM (SELECT *, concat(year(l_shipdate) - 1911, strftime(l_shipdate, '%m%d')) AS roc, strftime(l_shipdate, '%Y%m%d') AS ad,
+          concat(year(l_shipdate) - 1911, '/', month(l_shipdate), '/', day(l_shipdate)) AS slashed FROM lineitem) x""",
     # ── derived chains ──
     "quoted": "SELECT b.* FROM bars b WHERE b.code IN (SELECT code FROM roster) AND close > 0 AND coalesce(vol, 0) > 0",
     "usable": "SELECT b.code, b.d, c.i, b.close FROM bars b JOIN cal c USING (d) WHERE close > 0 AND note IS NULL",

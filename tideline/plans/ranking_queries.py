@@ -56,8 +56,10 @@ def scored(t: Tables) -> DataFrame:
 
 
 def ranked(t: Tables) -> DataFrame:
-    comp = ranking.composite(quoted(t), scored(t)).withColumn("composite", F.round("composite", DECIMALS))
-    return ranking.composite_rank(comp, bound=group_bound(t))
+    bound = group_bound(t)
+    scores = ranking.score_cross_section(factor_long(t), lower_is_better(), bound=bound)
+    comp = ranking.composite(scores, bound=bound).withColumn("composite", F.round("composite", DECIMALS))
+    return ranking.composite_rank(comp, bound=bound)
 
 
 # ── minimum slice ────────────────────────────────────────────────────────────
@@ -228,7 +230,7 @@ def definitions(t: Tables) -> DataFrame:
    FROM quoted q JOIN a5 a ON a.d = q.d LEFT JOIN s5 s ON s.d = q.d AND s.code = q.code AND s.factor = a.factor
    GROUP BY q.d, q.code HAVING count(s.score) > 0""")
 def ranking_from_definitions(t: Tables) -> DataFrame:
-    r = ranking.rank_on_definitions(factor_long(t), definitions(t), quoted(t).select("d", "code"), bound=group_bound(t))
+    r = ranking.rank_on_definitions(factor_long(t), definitions(t), FACTORS, bound=group_bound(t))
     return r.select("d", "code", F.round("composite", 6).alias("composite"), "real_factors")
 
 

@@ -102,14 +102,7 @@ class Tables:
     # ── text and ledger ──────────────────────────────────────────────────────
 
     def raw_text(self) -> DataFrame:
-        qty = F.col("l_quantity").cast("int").cast("string")
-        s = F.col("l_suppkey")
-        return self.lineitem.select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-            F.when(s % 11 == 0, " ---").when(s % 13 == 0, "N/A").when(s % 17 == 0, "除息 ")
-            .when(s % 19 == 0, "1D").when(s % 7 == 0, "")
-            .when(s % 2 == 0, F.concat(F.lit("+"), qty, F.lit(",000 "))).otherwise(qty).alias("raw"),
-        )
+        return self.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", _raw_cell().alias("raw"))
 
     def ledger(self) -> DataFrame:
         i = F.col("doc_id")
@@ -167,6 +160,63 @@ class Tables:
             (i % 11 != 0).alias("evidence_verified"),
         )
 
+    def payloads(self) -> DataFrame:
+        """One raw payload per tick: arrays of objects, plus blocked pages, objects and empty arrays."""
+        i, k, code = F.col("event_id"), F.col("k"), F.col("code").cast("string")
+        day = F.concat((F.year("d") - 1911).cast("string"), F.date_format("d", "MMdd"))
+        first = F.concat(
+            F.lit('{"Date":"'), F.when(k % 4 == 0, "").otherwise(day), F.lit('","Code":"'), code,
+            F.lit('","Close":"'), F.col("value").cast("string"), F.lit('"}'),
+        )
+        second = F.concat(F.lit(',{"Date":"'), F.when(k % 2 == 0, "1130131").otherwise(day), F.lit('","Code":"","Volume":"1,234"}'))
+        body = (
+            F.when(i % 23 == 0, "  <html>blocked</html>").when(i % 29 == 0, F.concat(F.lit('{"k":'), k.cast("string"), F.lit("}")))
+            .when(i % 31 == 0, "[]")
+            .otherwise(F.concat(F.lit("["), first, F.when(k % 3 == 0, second).otherwise(""), F.when(k % 5 == 0, ",7").otherwise(""), F.lit("]")))
+        )
+        return self.ticks().select(
+            i.alias("id"), F.col("event_type").alias("source_id"), F.col("d"), body.alias("body"),
+            F.when(k % 2 == 0, "unique").otherwise("max").alias("selection"),
+        )
+
+    def field_tables(self) -> DataFrame:
+        """``{fields, data}`` payloads, some with short rows, some without their data."""
+        s = [F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_linenumber")]
+        cells = F.concat(F.lit('["'), s[0], F.lit('","'), s[1], F.lit('"'), F.when(F.col("l_linenumber") % 5 == 0, "").otherwise(F.concat(F.lit(',"'), s[2], F.lit('"'))), F.lit("]"))
+        body = F.when(F.col("l_suppkey") % 10 == 0, F.lit('{"fields":["part","supp no."]}')).otherwise(
+            F.concat(F.lit('{"fields":["part","supp no."," line"],"data":['), cells, F.lit(","), cells, F.lit("]}"))
+        )
+        return self.lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("id"), body.alias("body"))
+
+    def cells(self) -> DataFrame:
+        """Source cells of every kind, rendered from line items the messy way sources do."""
+        year = F.year("l_shipdate") - 1911
+        roc = F.concat(year.cast("string"), F.date_format("l_shipdate", "MMdd"))
+        slashed = F.concat(year.cast("string"), F.date_format("l_shipdate", "'/'M'/'d"))
+        n = F.col("l_linenumber")
+        return self.lineitem.select(
+            F.when(F.col("l_suppkey") % 2 == 0, "TWSE").otherwise("TPEx").alias("market"),
+            F.when(F.col("l_suppkey") % 37 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("l_partkey").cast("string"))).alias("code_cell"),
+            _raw_cell().alias("number_cell"),
+            F.concat(F.col("l_returnflag"), F.lit("　")).alias("text_cell"),
+            F.when(n == 7, "1130230").otherwise(roc).alias("roc_cell"),
+            F.when(n == 6, "").otherwise(F.date_format("l_shipdate", "yyyyMMdd")).alias("ad_cell"),
+            F.when(n % 2 == 0, roc).otherwise(F.date_format("l_shipdate", "yyyyMMdd")).alias("mixed_cell"),
+            F.when(n % 3 == 0, "Ｙ").when(n % 3 == 1, " Y ").otherwise("").alias("flag_cell"),
+            F.when(n % 4 == 0, slashed).when(n % 4 == 1, F.concat(slashed, F.lit("～"), slashed))
+            .otherwise(F.concat(roc, F.lit("~"), F.lit("1150827"))).alias("period_cell"),
+            F.when(n % 3 == 0, "roc_compact").when(n % 3 == 1, "ad_compact").otherwise("iso").alias("declared"),
+        )
+
+
+def _raw_cell() -> Column:
+    qty = F.col("l_quantity").cast("int").cast("string")
+    s = F.col("l_suppkey")
+    return (
+        F.when(s % 11 == 0, " ---").when(s % 13 == 0, "N/A").when(s % 17 == 0, "除息 ").when(s % 19 == 0, "1D")
+        .when(s % 7 == 0, "").when(s % 2 == 0, F.concat(F.lit("+"), qty, F.lit(",000 "))).otherwise(qty)
+    )
+
 
 def event_k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
