@@ -137,20 +137,33 @@ def misaligned_sources(sources: DataFrame, expected: Column) -> DataFrame:
     return sources.filter(~F.col("data_as_of").eqNullSafe(expected))
 
 
-def same_run(left: DataFrame, right: DataFrame, time: str, hours: int = SAME_RUN_HOURS, keys: Sequence[str] = ()) -> DataFrame:
-    """Band join: pairs at most ``hours`` apart.
+def same_run(left: DataFrame, right: DataFrame, time: str = "fetched_at", keys: Sequence[str] = (), hours: int = SAME_RUN_HOURS) -> DataFrame:
+    """Left rows with ``same_run``: is any right row of the key at most ``hours`` away?
 
-    Time buckets of the band's width turn the band into an equality on at most three neighbouring
-    buckets, so the join hashes on (keys, bucket) and only checks the exact distance inside it.
+    Time is cut into buckets as wide as the band. A right row in the same bucket always matches;
+    of the bucket before only its last time counts and of the one after only its first. The right
+    side is reduced to those three facts per bucket, so no pair of rows is ever formed.
     """
     width = hours * 3600 * 1_000_000
-    lt, rt = F.unix_micros(F.col(f"l.{time}").cast("timestamp")), F.unix_micros(F.col(f"r.{time}").cast("timestamp"))
-    l = left.alias("l").withColumn("_b", F.explode(F.array(*[F.floor(lt / width) + s for s in (-1, 0, 1)])))
-    r = right.alias("r").withColumn("_b", F.floor(rt / width))
-    cond = F.col("l._b") == F.col("r._b")
-    for k in keys:
-        cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    return l.alias("l").join(r.alias("r"), cond & (F.abs(lt - rt) <= width))
+    keys = list(keys)
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    buckets = right.select(*keys, micros.alias("_t")).groupBy(*keys, F.floor(F.col("_t") / width).alias("_b")).agg(
+        F.min("_t").alias("_lo"), F.max("_t").alias("_hi")
+    )
+    none = F.lit(None).cast("bigint")
+    shifted = F.array(
+        F.struct(F.col("_b").alias("_b"), F.col("_lo").alias("same"), none.alias("prev_hi"), none.alias("next_lo")),
+        F.struct((F.col("_b") + 1).alias("_b"), none.alias("same"), F.col("_hi").alias("prev_hi"), none.alias("next_lo")),
+        F.struct((F.col("_b") - 1).alias("_b"), none.alias("same"), none.alias("prev_hi"), F.col("_lo").alias("next_lo")),
+    )
+    facts = buckets.select(*keys, F.explode(shifted).alias("_f")).select(*keys, "_f.*").groupBy(*keys, "_b").agg(
+        *[F.max(c).alias(c) for c in ("same", "prev_hi", "next_lo")]
+    )
+    asked = left.withColumn("_t", micros).withColumn("_b", F.floor(F.col("_t") / width))
+    near = F.col("same").isNotNull() | (F.col("_t") - F.col("prev_hi") <= width) | (F.col("next_lo") - F.col("_t") <= width)
+    return asked.join(facts, [*keys, "_b"], "left").select(
+        *[F.col(c) for c in left.columns], F.coalesce(near, F.lit(False)).alias("same_run")
+    )
 
 
 def source_usable(expected: DataFrame, ledger: DataFrame, tolerance_hours: int = SAME_RUN_HOURS) -> DataFrame:

@@ -266,7 +266,6 @@ def clean_numeric(t: Tables) -> DataFrame:
 @query("parse_statistics", f"""SELECT c AS "column", count(*) FILTER (s = 'parsed') AS parsed, count(*) FILTER (s = 'blank') AS blank,
    count(*) FILTER (s = 'noted') AS noted, count(*) FILTER (s = 'unparsable') AS unparsable FROM (
    SELECT 'raw' AS c, CASE WHEN trim(raw) = '除息' THEN 'noted' ELSE {sql_status('raw')} END AS s FROM raw_text
-   UNION ALL SELECT 'price', CASE WHEN l_tax * 100 = floor(l_tax * 100) THEN 'parsed' ELSE 'unparsable' END FROM lineitem WHERE false
    UNION ALL SELECT 'qty', {sql_status('raw')} FROM raw_text) x GROUP BY c""")
 def parse_statistics(t: Tables) -> DataFrame:
     raw = t.raw_text().select("raw", F.col("raw").alias("qty"))
