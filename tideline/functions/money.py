@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 FLOOR, CEIL, HALF_UP = "floor", "ceil", "half_up"
 WIDE = "decimal(38,0)"
 
 
-def div_round(numerator: Column, denominator: Column, mode: str = FLOOR) -> Column:
-    """Integer division with the named rounding; a zero denominator is an error."""
-    n = numerator * F.signum(denominator).cast("int")
-    d = F.abs(denominator)
-    q = _div(n, d)
-    r = n - q * d
-    if mode == FLOOR:
-        step = F.when((r != 0) & (n < 0), -1)
-    elif mode == CEIL:
-        step = F.when((r != 0) & (n > 0), 1)
-    elif mode == HALF_UP:
-        step = F.when(F.abs(r) * 2 >= d, F.when(n < 0, -1).otherwise(1))
+def div_round(numerator: Column, denominator: Column, mode: str = FLOOR, positive: bool = False) -> Column:
+    """Integer division with the named rounding; a zero denominator is an error.
+
+    ``positive`` states that the denominator is above zero, which keeps the expression short.
+    """
+    if positive:
+        n, d = numerator, denominator
     else:
-        raise ValueError(f"unknown rounding mode {mode!r}")
-    return q + F.coalesce(step, F.lit(0))
+        n, d = F.when(denominator < 0, -numerator).otherwise(numerator), F.abs(denominator)
+    if mode == FLOOR:
+        return _div(n - F.pmod(n, d), d)
+    if mode == CEIL:
+        return _div(n + F.pmod(-n, d), d)
+    if mode == HALF_UP:
+        return F.when(n >= 0, _div(n * 2 + d, d * 2)).otherwise(-_div(d - n * 2, d * 2))
+    raise ValueError(f"unknown rounding mode {mode!r}")
 
 
 def _div(n: Column, d: Column) -> Column:
@@ -30,9 +33,13 @@ def _div(n: Column, d: Column) -> Column:
 
 
 def mul_div(value: Column, mul: int, div: int, mode: str) -> Column:
-    """value × mul ÷ div rounded once. The product is held in a wide decimal."""
-    product = value.cast(WIDE) * F.lit(mul).cast("decimal(20,0)")
-    return div_round(product.cast(WIDE), F.lit(div).cast(WIDE), mode).cast("bigint")
+    """value × mul ÷ div, rounded once, on BIGINT.
+
+    The fraction is reduced first, which leaves room for any real amount; a product that did not
+    fit would raise under ANSI arithmetic instead of wrapping.
+    """
+    g = math.gcd(mul, div)
+    return div_round(value.cast("bigint") * F.lit(mul // g).cast("bigint"), F.lit(div // g).cast("bigint"), mode, positive=True)
 
 
 def ratio6(a: Column, b: Column) -> Column:

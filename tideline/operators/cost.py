@@ -14,7 +14,7 @@ TAX_PPM, DAY_TRADE_TAX_PPM = 3000, 1500
 HALVING_START, HALVING_END = "2017-04-28", "2027-12-31"
 PPM, BPS, CENTS = 1_000_000, 10_000, 100
 MAX_SCAN_CENTS = 1_000_000
-BREAKEVEN_STEPS = 24
+BREAKEVEN_STEPS = 10
 
 
 @dataclass(frozen=True)
@@ -100,40 +100,43 @@ def round_trip(trades: DataFrame, broker: Broker = Broker(), entry="entry_cents"
 
 
 def mul_div_by(value: Column, mul: int, div: Column) -> Column:
-    wide = (value.cast("decimal(38,0)") * F.lit(mul)).cast("decimal(38,0)")
-    return div_round(wide, div.cast("decimal(38,0)"), HALF_UP).cast("bigint")
+    return div_round(value * F.lit(mul).cast("bigint"), div, HALF_UP)
 
 
-def breakeven_cents(entry: Column, shares: Column, ppm: Column | int, broker: Broker, day_trade: Column | None = None) -> Column:
-    """Lowest exit price in cents, from the entry up, that loses nothing.
+def with_breakeven(trades: DataFrame, broker: Broker = Broker(), entry="entry_cents", shares="shares", ppm: Column | int = TAX_PPM, strict: bool = False) -> DataFrame:
+    """Add the lowest exit price in cents, from the entry up, that loses nothing.
 
     Net profit is not monotone in the price, so bisection would be wrong. The least solution of
     exit = entry + ceil(100 × fees(exit) ÷ shares) is found from below instead: fees never fall as
     the price rises, so every price that breaks even lies at or above each step, and the first
-    fixed point is the answer. Each step's growth shrinks by the fee rate, a few steps suffice.
-    A price beyond the scan limit, or a row whose steps have not settled, gives NULL.
+    fixed point is the answer. Each step grows by the fee rate times the one before, plus at most
+    two single-unit fee steps, so the number of steps is small for any amount.
+
+    A price beyond the scan limit, or a row whose steps have not settled, gives NULL, or an error
+    with ``strict``. Every step is its own projection, so all of them run as compiled code.
     """
+    e, s = F.col(entry), F.col(shares)
 
     def step(price: Column) -> Column:
-        needed = CENTS * fees_at(entry, price, shares, ppm, broker, day_trade)
-        return entry + F.call_function("div", needed + shares - 1, shares)
-
-    settled = F.aggregate(F.sequence(F.lit(1), F.lit(BREAKEVEN_STEPS)), entry, lambda acc, _: step(acc))
-    return F.when((settled - entry <= MAX_SCAN_CENTS) & (step(settled) == settled), settled)
+        needed = CENTS * fees_at(e, price, s, ppm, broker)
+        return e + F.call_function("div", needed + s - 1, s)
+
+    out = trades.withColumn("_exit", e)
+    for _ in range(BREAKEVEN_STEPS):
+        out = out.withColumn("_exit", step(F.col("_exit")))
+    price = F.col("_exit")
+    found = F.when((price - e <= MAX_SCAN_CENTS) & (step(price) == price), price)
+    if strict:
+        found = F.coalesce(found, F.raise_error(F.lit("no break-even price within the scan limit")).cast("bigint"))
+    return out.withColumn("breakeven_cents", found).drop("_exit")
 
 
 def price_trades(trades: DataFrame, broker: Broker = Broker(), strict: bool = False, **columns) -> DataFrame:
-    """:func:`round_trip` for every trade plus its break-even price and move in basis points.
-
-    ``strict`` makes a trade without a break-even price an error instead of a NULL.
-    """
+    """:func:`round_trip` for every trade plus its break-even price and move in basis points."""
+    entry = columns.get("entry", "entry_cents")
     priced = round_trip(trades, broker, **columns)
-    entry, shares = F.col(columns.get("entry", "entry_cents")), F.col(columns.get("shares", "shares"))
-    out = priced.withColumn("breakeven_cents", breakeven_cents(entry, shares, F.col("tax_ppm"), broker))
-    if strict:
-        absent = F.raise_error(F.lit("no break-even price within the scan limit")).cast("bigint")
-        out = out.withColumn("breakeven_cents", F.coalesce("breakeven_cents", absent))
-    return out.withColumn("breakeven_bps", mul_div_by(F.col("breakeven_cents") - entry, 10_000, entry))
+    out = with_breakeven(priced, broker, entry, columns.get("shares", "shares"), F.col("tax_ppm"), strict)
+    return out.withColumn("breakeven_bps", mul_div_by(F.col("breakeven_cents") - F.col(entry), 10_000, F.col(entry)))
 
 
 def cost_totals(priced: DataFrame, keys: list[str]) -> DataFrame:

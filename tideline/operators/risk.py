@@ -169,44 +169,46 @@ def _stop_loss(shares: Column, config: RiskConfig) -> Column:
     return -net_cents(F.col("entry_cents"), F.col("stop_cents"), shares, TAX_PPM, config.broker) / 100.0
 
 
-def solve_shares(config: RiskConfig, mode: str = "rule") -> Column:
-    """Shares whose loss at the stop, fees included, stays within the risk budget.
+def with_shares(barriers: DataFrame, config: RiskConfig, mode: str = "rule") -> DataFrame:
+    """Add ``shares``: a size whose loss at the stop, fees included, stays within the risk budget.
 
-    ``rule`` corrects the fee-free size by the fees of the size at hand, at most twelve times;
-    ``max`` finds the largest such size (the loss never falls as shares rise, so bisection holds).
+    ``rule`` corrects the fee-free size by the fees of the size at hand, at most twelve times, each
+    correction being one compiled projection; ``max`` finds the largest such size (the loss never
+    falls as shares rise, so bisection holds).
     """
     budget, lot, risk = F.lit(config.risk_budget), config.lot_size, F.col("risk_per_share")
     upper = _floor_lot(budget / risk, lot)
     if mode == "max":
-        start = F.struct(F.lit(0).cast("bigint").alias("lo"), (upper / lot).cast("bigint").alias("hi"))
+        start = F.struct(F.lit(0).cast("bigint").alias("lo"), F.call_function("div", upper, F.lit(lot)).alias("hi"))
 
         def halve(acc: Column, _: Column) -> Column:
             mid = F.call_function("div", acc["lo"] + acc["hi"] + 1, F.lit(2))
             fits = _stop_loss(mid * lot, config) <= budget
             return F.struct(F.when(fits, mid).otherwise(acc["lo"]).alias("lo"), F.when(fits, acc["hi"]).otherwise(F.greatest(mid - 1, acc["lo"])).alias("hi"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(BISECTION_STEPS)), start, halve, lambda acc: acc["lo"] * lot)
+        best = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTION_STEPS)), start, halve, lambda acc: acc["lo"] * lot)
+        return barriers.withColumn("shares", F.when(F.col("feasible"), best))
 
-    def correct(n: Column, _: Column) -> Column:
-        loss = _stop_loss(n, config)
-        fees = loss - risk * n
-        smaller = _floor_lot((budget - fees) / risk, lot)
+    out, n = barriers.withColumn("shares", F.when(F.col("feasible"), upper)), F.col("shares")
+    for _ in range(SIZING_STEPS):
+        out = out.withColumn("_loss", _stop_loss(n, config))
+        smaller = _floor_lot((budget - (F.col("_loss") - risk * n)) / risk, lot)
         shrunk = F.when(smaller >= n, n - lot).otherwise(smaller)
-        return F.when((n < lot) | (loss <= budget), n).otherwise(shrunk)
-
-    settled = F.aggregate(F.sequence(F.lit(1), F.lit(SIZING_STEPS)), upper, correct)
-    return F.greatest(settled, F.lit(0).cast("bigint"))
+        out = out.withColumn("shares", F.when((n < lot) | (F.col("_loss") <= budget), n).otherwise(shrunk))
+    return out.withColumn("shares", F.when(n.isNotNull(), F.greatest(n, F.lit(0).cast("bigint")))).drop("_loss")
 
 
 def size_candidates(candidates: DataFrame, config: RiskConfig, mode: str = "rule") -> DataFrame:
     """Shares, value, exposure and the first reason that rejects a candidate on its own."""
     lot = config.lot_size
     n, value = F.col("shares"), F.col("position_value")
-    sized = (
+    cents = (
         with_barriers(candidates, config)
         .withColumn("entry_cents", to_cents(F.col("entry"))).withColumn("stop_cents", to_cents(F.col("stop_price")))
         .withColumn("target_cents", to_cents(F.col("target_price")))
-        .withColumn("shares", F.when(F.col("feasible"), solve_shares(config, mode)))
+    )
+    sized = (
+        with_shares(cents, config, mode)
         .withColumn("position_value", n * F.col("entry"))
         .withColumn("position_pct", value / config.equity * 100)
         .withColumn("win_cents", net_cents(F.col("entry_cents"), F.col("target_cents"), n, TAX_PPM, config.broker))

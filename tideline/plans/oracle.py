@@ -133,6 +133,19 @@ VIEWS: dict[str, str] = {
         CASE l_linenumber % 3 WHEN 0 THEN 'roc_compact' WHEN 1 THEN 'ad_compact' ELSE 'iso' END AS declared
         FROM (SELECT *, concat(year(l_shipdate) - 1911, strftime(l_shipdate, '%m%d')) AS roc, strftime(l_shipdate, '%Y%m%d') AS ad,
           concat(year(l_shipdate) - 1911, '/', month(l_shipdate), '/', day(l_shipdate)) AS slashed FROM lineitem) x""",
+    "candidates": """SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, code) AS rank FROM (
+        SELECT CAST(l_shipdate AS DATE) AS d, l_partkey AS code, floor(max(l_extendedprice / l_quantity) * 2.5::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS entry,
+          CASE WHEN l_partkey % 23 <> 0 THEN 0.004::DOUBLE + (l_partkey % 41) / 250.0::DOUBLE END AS sigma, (l_partkey * 7919) % 1000 AS score
+        FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2) x""",
+    "risk_state": """SELECT d, day(d) % 8 AS entries, day(d) % 4 AS open_positions, (day(d) % 5) * 10.0::DOUBLE AS exposure_pct,
+        day(d) % 17 AS drawdown_pct FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem) x""",
+    "barriers": """SELECT *, coalesce(entry > 0 AND sigma > 0 AND dist < 1, false) AS feasible,
+        CASE WHEN entry > 0 AND sigma > 0 AND dist < 1 THEN entry * dist END AS risk FROM (
+        SELECT *, 2.0::DOUBLE * sigma * sqrt(10) AS dist FROM candidates) x""",
+    "priced": """SELECT *, CAST(round(entry * 100) AS BIGINT) AS e, CAST(round((entry - risk) * 100) AS BIGINT) AS s,
+        CAST(round((entry + 2.0::DOUBLE * risk) * 100) AS BIGINT) AS g, CAST(floor(200.0::DOUBLE / risk) AS BIGINT) AS upper_n FROM barriers""",
+    "returns": """SELECT a.code, a.d, ca.i, ln(a.close / b.close) AS r FROM bars a JOIN cal ca ON ca.d = a.d JOIN cal cb ON cb.i = ca.i - 1
+        JOIN bars b ON b.code = a.code AND b.d = cb.d WHERE a.close > 0 AND b.close > 0""",
     # ── derived chains ──
     "quoted": "SELECT b.* FROM bars b WHERE b.code IN (SELECT code FROM roster) AND close > 0 AND coalesce(vol, 0) > 0",
     "usable": "SELECT b.code, b.d, c.i, b.close FROM bars b JOIN cal c USING (d) WHERE close > 0 AND note IS NULL",

@@ -133,6 +133,26 @@ class Tables:
             F.col("l_shipdate").cast("date").alias("d"),
         )
 
+    def candidates(self) -> DataFrame:
+        """Ranked candidates per ship day with an entry price and a volatility; one row per (d, code)."""
+        from tideline.operators.scale import number_rows
+
+        code = F.col("code")
+        grouped = self.lineitem.filter("l_quantity > 0").groupBy(
+            F.col("l_shipdate").cast("date").alias("d"), F.col("l_partkey").alias("code")
+        ).agg((F.floor(F.max(F.col("l_extendedprice") / F.col("l_quantity")) * 2.5 + 0.5) / 100.0).alias("entry"))
+        sigma = F.when(code % 23 != 0, 0.004 + (code % 41) / 250.0)
+        scored = grouped.withColumn("sigma", sigma).withColumn("score", (code * 7919) % 1000)
+        # a day holds at most one row per part
+        return number_rows(scored, ["d"], [F.col("score").desc(), F.col("code")], bound=self.part.count())
+
+    def risk_state(self) -> DataFrame:
+        day = F.dayofmonth("d")
+        return self.lineitem.select(F.col("l_shipdate").cast("date").alias("d")).distinct().select(
+            "d", (day % 8).cast("int").alias("entries"), (day % 4).cast("int").alias("open_positions"),
+            ((day % 5) * 10.0).alias("exposure_pct"), (day % 17).cast("double").alias("drawdown_pct"),
+        )
+
     def announce(self) -> DataFrame:
         return self.documents.select(
             "doc_id", F.col("source").alias("code"), F.col("lang").alias("market"),
