@@ -181,6 +181,45 @@ VIEWS: dict[str, str] = {
         count(*) AS active FROM quoted q JOIN active a ON a.d = q.d
         LEFT JOIN scored s ON s.d = q.d AND s.code = q.code AND s.factor = a.factor
         GROUP BY q.d, q.code HAVING count(s.score) > 0""",
+    "slice_scores": """SELECT d, code, round(CASE WHEN n = 1 THEN 0.5 ELSE 1 - (midrank - 1) / (n - 1) END, 9) AS score FROM (
+        SELECT *, rank() OVER (PARTITION BY d ORDER BY w) + (count(*) OVER (PARTITION BY d, w) - 1) / 2.0 AS midrank FROM (
+          SELECT v.d, v.code, n, greatest(least(reversal, hi), lo) AS w FROM (SELECT r.* FROM rev5 r JOIN quoted q USING (code, d)) v
+          JOIN (SELECT d, count(*) AS n, quantile_cont(reversal, 0.01) AS lo, quantile_cont(reversal, 0.99) AS hi
+                FROM (SELECT r.* FROM rev5 r JOIN quoted q USING (code, d)) z GROUP BY d) b USING (d)) y) x""",
+    "picks": """SELECT c.i * 10 + s.rank AS pick_id, s.code, s.d, c.i, s.rank, s.score, b.close AS entry,
+        CASE WHEN s.rank % 2 = 0 THEN 0.9::DOUBLE * b.close END AS stop, CASE WHEN s.rank % 2 = 0 THEN 1.2::DOUBLE * b.close END AS target,
+        CASE WHEN s.rank % 2 = 0 THEN 'trade_signal' ELSE 'watchlist' END AS list_kind
+        FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, code) AS rank FROM slice_scores) s
+        JOIN cal c ON c.d = s.d JOIN bars b ON b.code = s.code AND b.d = s.d WHERE s.rank <= 5""",
+    "pick_events": """SELECT pick_id, ex_date, cash, ratio, rights, f, f / (1 + ratio) AS prior, sum(cash * f / (1 + ratio)) OVER (PARTITION BY pick_id ORDER BY ex_date) AS c,
+        count(*) OVER (PARTITION BY pick_id ORDER BY ex_date) AS n, bool_or(rights) OVER (PARTITION BY pick_id ORDER BY ex_date) AS any_rights FROM (
+        SELECT p.pick_id, e.*, product(1 + e.ratio) OVER (PARTITION BY p.pick_id ORDER BY e.ex_date) AS f FROM picks p JOIN merged e ON e.code = p.code AND e.ex_date > p.d) x""",
+    "pick_days": """SELECT p.*, cd.i - p.i AS k, cd.d AS day, b.high, b.low, b.close, coalesce(e.f, 1.0) AS f, coalesce(e.c, 0.0) AS c, coalesce(e.n, 0) AS n, coalesce(e.any_rights, false) AS r
+        FROM picks p JOIN cal cd ON cd.i > p.i AND cd.i <= p.i + 20 LEFT JOIN bars b ON b.code = p.code AND b.d = cd.d
+        ASOF LEFT JOIN pick_events e ON e.pick_id = p.pick_id AND e.ex_date <= cd.d""",
+    "touches": """SELECT pick_id, k, day, CASE WHEN low <= (stop - c) / f THEN 'stop' ELSE 'target' END AS kind FROM pick_days
+        WHERE low <= (stop - c) / f OR high >= (target - c) / f""",
+    "outcomes": """SELECT *, CASE WHEN status = 'computed' THEN 100 * (xclose / entry - 1) END AS raw_pct,
+        CASE WHEN status = 'computed' THEN 100 * ((xclose * f + c) / entry - 1) END AS adj_pct FROM (
+        SELECT p.pick_id, p.code, p.d, p.entry, p.list_kind, h.horizon, p.stop, x.day AS exit_date, x.close AS xclose,
+          CASE WHEN x.pick_id IS NULL THEN 'not_mature' WHEN x.close > 0 THEN 'computed' ELSE 'no_price_at_exit' END AS status,
+          coalesce(x.f, 1.0) AS f, coalesce(x.c, 0.0) AS c, coalesce(x.n, 0) AS n, coalesce(x.r, false) AS r,
+          (SELECT min(k) FROM touches t WHERE t.pick_id = p.pick_id AND t.k <= h.horizon) AS touch_k
+        FROM picks p CROSS JOIN (VALUES (5), (10), (20)) h(horizon) LEFT JOIN pick_days x ON x.pick_id = p.pick_id AND x.k = h.horizon) z""",
+    "observed": """SELECT o.pick_id, o.horizon, o.list_kind, o.code, o.d, o.adj_pct AS asset_pct,
+        CASE WHEN a.close > 0 AND b.close > 0 THEN 100 * ((b.close * coalesce(e.f, 1) + coalesce(e.c, 0)) / a.close - 1) END AS benchmark_pct
+        FROM outcomes o LEFT JOIN bars a ON a.code = 3 AND a.d = o.d LEFT JOIN bars b ON b.code = 3 AND b.d = o.exit_date
+        LEFT JOIN bench_adj e ON e.from_d = o.d AND e.to_d = o.exit_date WHERE o.status = 'computed'""",
+    "bench_adj": """SELECT from_d, to_d, last(f ORDER BY ex_date) AS f, sum(cash * f / (1 + ratio)) AS c FROM (
+        SELECT iv.*, e.ex_date, e.cash, e.ratio, product(1 + e.ratio) OVER (PARTITION BY iv.from_d, iv.to_d ORDER BY e.ex_date) AS f
+        FROM (SELECT DISTINCT d AS from_d, exit_date AS to_d FROM outcomes WHERE exit_date IS NOT NULL) iv
+        JOIN merged e ON e.code = 3 AND e.ex_date > iv.from_d AND e.ex_date <= iv.to_d) x GROUP BY from_d, to_d""",
+    "tri": """SELECT code, d, i, close, 100 * product(CASE WHEN prev > 0 THEN (close * coalesce(f, 1) + coalesce(c, 0)) / prev ELSE 1 END) OVER (PARTITION BY code ORDER BY i) AS total_return_index
+        FROM (SELECT b.code, b.d, b.i, b.close, b.prev, (SELECT last(e.f ORDER BY e.ex_date) FROM bar_events e WHERE e.code = b.code AND e.d = b.d) AS f,
+          (SELECT sum(e.cash * e.f / (1 + e.ratio)) FROM bar_events e WHERE e.code = b.code AND e.d = b.d) AS c FROM steps b) x""",
+    "steps": """SELECT b.code, b.d, c.i, b.close, lag(b.close) OVER w AS prev, lag(b.d) OVER w AS prev_d FROM bars b JOIN cal c USING (d) WINDOW w AS (PARTITION BY b.code ORDER BY b.d)""",
+    "bar_events": """SELECT s.code, s.d, e.ex_date, e.cash, e.ratio, product(1 + e.ratio) OVER (PARTITION BY s.code, s.d ORDER BY e.ex_date) AS f
+        FROM steps s JOIN merged e ON e.code = s.code AND e.ex_date > s.prev_d AND e.ex_date <= s.d""",
     # equal means may differ in their last bits between engines, so order on rounded values
     "ranked": """SELECT d, code, round(composite, 9) AS composite, real_factors, active,
         row_number() OVER (PARTITION BY d ORDER BY round(composite, 9) DESC, code) AS rank FROM composites""",
