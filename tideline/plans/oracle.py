@@ -146,6 +146,21 @@ VIEWS: dict[str, str] = {
         CAST(round((entry + 2.0::DOUBLE * risk) * 100) AS BIGINT) AS g, CAST(floor(200.0::DOUBLE / risk) AS BIGINT) AS upper_n FROM barriers""",
     "returns": """SELECT a.code, a.d, ca.i, ln(a.close / b.close) AS r FROM bars a JOIN cal ca ON ca.d = a.d JOIN cal cb ON cb.i = ca.i - 1
         JOIN bars b ON b.code = a.code AND b.d = cb.d WHERE a.close > 0 AND b.close > 0""",
+    "responses": """SELECT doc_id AS task_key, doc_id % 6 AS shape, regexp_replace(substring(text, 5, 24), '[^A-Za-z ]', '', 'g') AS q,
+        regexp_replace(concat(substring(text, 1, 60), chr(10), text), '[\\s\\x{00A0}\\x{3000}\\x{FEFF}]+', '', 'g') AS hay FROM documents""",
+    "judged": """SELECT task_key, shape, shape IN (2, 3, 4) AS parse_ok, CASE WHEN shape = 0 THEN 'no_json' WHEN shape = 5 THEN 'no_json' WHEN shape = 1 THEN 'bad_verdict' END AS failure,
+        CASE WHEN shape = 3 AND length(regexp_replace(q, '\\s', '', 'g')) >= 8 AND contains(hay, regexp_replace(q, '\\s', '', 'g')) THEN 'veto' ELSE 'no_veto' END AS verdict,
+        CASE shape WHEN 3 THEN q WHEN 4 THEN 'short' ELSE '' END AS quoted_evidence,
+        shape = 2 OR (shape = 3 AND length(regexp_replace(q, '\\s', '', 'g')) >= 8 AND contains(hay, regexp_replace(q, '\\s', '', 'g'))) AS evidence_verified FROM responses""",
+    "msg": """SELECT event_id AS message_id, ts AS sent_at, code % 10 AS sender, event_type, k, value, lpad(CAST(code AS STRING), 4, '0') AS c4,
+        CASE WHEN event_id % 41 = 0 THEN 'ignored' WHEN event_id % 43 = 0 THEN 'help' WHEN event_id % 47 = 0 OR event_id % 53 = 0 OR event_id % 59 = 0 THEN 'error'
+          WHEN event_type IN ('purchase', 'error') THEN CASE WHEN k % 9 = 0 OR k % 10 = 0 THEN 'error' ELSE 'rec' END
+          WHEN event_type = 'click' AND k % 8 = 0 THEN 'error' WHEN event_type = 'signup' AND k % 6 = 0 THEN 'error' ELSE 'rec' END AS kind,
+        CASE event_type WHEN 'purchase' THEN 'buy' WHEN 'error' THEN 'sell' WHEN 'view' THEN 'watch' WHEN 'click' THEN 'skip' ELSE 'note' END AS action FROM ticks""",
+    "records": """SELECT message_id, sent_at, CAST(sent_at AS DATE) AS d, sender, action, CASE WHEN action <> 'note' THEN c4 END AS code,
+        CASE WHEN action IN ('buy', 'sell') THEN CAST(k + 1 AS BIGINT) END AS shares, CASE WHEN action IN ('buy', 'sell') THEN value END AS price,
+        CASE action WHEN 'buy' THEN CASE WHEN k % 4 = 0 THEN 'first note' END WHEN 'watch' THEN CASE WHEN k % 2 = 0 THEN 'wait a bit' END WHEN 'note' THEN 'market mood' END AS note
+        FROM msg WHERE kind = 'rec'""",
     # ── derived chains ──
     "quoted": "SELECT b.* FROM bars b WHERE b.code IN (SELECT code FROM roster) AND close > 0 AND coalesce(vol, 0) > 0",
     "usable": "SELECT b.code, b.d, c.i, b.close FROM bars b JOIN cal c USING (d) WHERE close > 0 AND note IS NULL",

@@ -13,6 +13,11 @@ BENCHMARK_CODE = 3
 
 
 def picks(t: Tables) -> DataFrame:
+    """The pick log: a stored table, written once per run and read by every evaluation step."""
+    return t.once("picks", pick_rows)
+
+
+def pick_rows(t: Tables) -> DataFrame:
     """Top-5 reversal names per day; even ranks are signals with barriers."""
     s = reversal_scored(t).withColumn("score", F.round("score", DECIMALS))
     top = ranking.top_k(s, ["d"], [F.col("score").desc(), F.col("code")], ranking.WATCHLIST_SIZE).select("d", "code", "rank", "score")
@@ -25,6 +30,11 @@ def picks(t: Tables) -> DataFrame:
 
 
 def scored_picks(t: Tables) -> DataFrame:
+    """The outcome log, likewise stored once."""
+    return t.once("outcomes", outcome_rows)
+
+
+def outcome_rows(t: Tables) -> DataFrame:
     p = picks(t)
     done = outcomes.compute_outcomes(p.select("pick_id", "code", "d", "entry", "stop", "target"), t.bars(), t.cal(), t.actions())
     return done
@@ -45,11 +55,11 @@ ADJ = """WITH iv AS (SELECT code, d AS from_d, CAST(d + INTERVAL 9 DAY AS DATE)
    ia AS (SELECT code, from_d, last(f ORDER BY ex_date) AS f, sum(cash * f / (1 + ratio)) AS c, count(*) AS n, bool_or(rights) AS r FROM ie GROUP BY code, from_d)"""
 
 
-@query("holding_adjustments", ADJ + """ SELECT iv.code, iv.from_d, round(coalesce(f, 1.0), 9) AS factor, round(coalesce(c, 0.0), 9) AS cash, coalesce(n, 0) AS events, coalesce(r, false) AS rights
+@query("holding_adjustments", ADJ + """ SELECT iv.code, iv.from_d, round(coalesce(f, 1.0), 9) AS factor, round(coalesce(c, 0.0), 6) AS cash, coalesce(n, 0) AS events, coalesce(r, false) AS rights
    FROM iv LEFT JOIN ia ON ia.code = iv.code AND ia.from_d = iv.from_d""")
 def holding_adjustments(t: Tables) -> DataFrame:
     out = outcomes.adjustment_for(intervals(t), t.actions())
-    return out.select("code", "from_d", F.round("factor", 9).alias("factor"), F.round("cash", 9).alias("cash"), "events", "rights")
+    return out.select("code", "from_d", F.round("factor", 9).alias("factor"), F.round("cash", 6).alias("cash"), "events", "rights")
 
 
 @query("adjusted_barriers", ADJ + """ SELECT iv.code, iv.from_d, round((0.9::DOUBLE * close - coalesce(c, 0.0)) / coalesce(f, 1.0), 6) AS adjusted FROM iv LEFT JOIN ia ON ia.code = iv.code AND ia.from_d = iv.from_d""")
@@ -67,13 +77,13 @@ def reference_prices(t: Tables) -> DataFrame:
 
 
 @query("pick_outcomes", """SELECT pick_id, horizon, status, exit_date, CASE WHEN status = 'computed' THEN xclose END AS exit_price, round(raw_pct, 6) AS raw_return_pct,
-   round(adj_pct, 6) AS adjusted_return_pct, round(f, 9) AS share_factor, round(c, 9) AS cash_per_share, r AS has_rights, n AS ex_right_count,
+   round(adj_pct, 6) AS adjusted_return_pct, round(f, 9) AS share_factor, round(c, 6) AS cash_per_share, r AS has_rights, n AS ex_right_count,
    CASE WHEN status = 'not_mature' OR stop IS NULL THEN NULL WHEN touch_k IS NULL THEN 'time' ELSE (SELECT kind FROM touches t WHERE t.pick_id = o.pick_id AND t.k = touch_k) END AS barrier_touched,
    CASE WHEN status <> 'not_mature' THEN (SELECT day FROM touches t WHERE t.pick_id = o.pick_id AND t.k = touch_k) END AS touch_date,
    CASE WHEN status = 'not_mature' THEN 0 ELSE horizon END AS trading_days_used FROM outcomes o""")
 def pick_outcomes(t: Tables) -> DataFrame:
     o = scored_picks(t)
-    rounded = {"raw_return_pct": 6, "adjusted_return_pct": 6, "share_factor": 9, "cash_per_share": 9}
+    rounded = {"raw_return_pct": 6, "adjusted_return_pct": 6, "share_factor": 9, "cash_per_share": 6}
     return o.drop("code", "d").withColumns({c: F.round(c, n) for c, n in rounded.items()})
 
 
@@ -180,7 +190,7 @@ def official_index(t: Tables) -> DataFrame:
     return out.withColumn("total_return_index", F.round("total_return_index", 6))
 
 
-R_MULTIPLES = "rm AS (SELECT o.*, adj_pct / 10.0 AS r FROM outcomes o WHERE status = 'computed' AND list_kind = 'trade_signal')"
+R_MULTIPLES = "rm AS (SELECT o.*, adj_pct / 10.0 AS rmul FROM outcomes o WHERE status = 'computed' AND list_kind = 'trade_signal')"
 
 
 def r_multiples(t: Tables) -> DataFrame:
@@ -190,22 +200,22 @@ def r_multiples(t: Tables) -> DataFrame:
     return done.join(kinds, "pick_id", "left_semi").withColumn("r_multiple", F.col("adjusted_return_pct") / 10.0)
 
 
-@query("signal_performance", f"""WITH {R_MULTIPLES} SELECT horizon, count(*) AS n, round(avg(r), 6) AS expectancy_r,
-   round(coalesce(sum(r) FILTER (r > 0), 0) / nullif(coalesce(-sum(r) FILTER (r < 0), 0), 0), 6) AS profit_factor, count(*) FILTER (r > 0) AS wins FROM rm GROUP BY horizon""")
+@query("signal_performance", f"""WITH {R_MULTIPLES} SELECT horizon, count(*) AS n, round(avg(rmul), 6) AS expectancy_r,
+   round(coalesce(sum(rmul) FILTER (rmul > 0), 0) / nullif(coalesce(-sum(rmul) FILTER (rmul < 0), 0), 0), 6) AS profit_factor, count(*) FILTER (rmul > 0) AS wins FROM rm GROUP BY horizon""")
 def signal_performance(t: Tables) -> DataFrame:
     return rounded(benchmark.signal_performance(r_multiples(t)), ("expectancy_r", "profit_factor"))
 
 
 @query("factor_decay", """WITH ob AS (SELECT s.factor, s.d, s.score, o.asset_pct - o.benchmark_pct AS e FROM observed o JOIN scored s ON s.d = o.d AND s.code = o.code WHERE o.horizon = 5 AND o.benchmark_pct IS NOT NULL),
    days AS (SELECT factor, d, row_number() OVER (PARTITION BY factor ORDER BY d) AS n FROM (SELECT DISTINCT factor, d FROM ob) x)
-   SELECT a.factor, a.d, round(avg(e) FILTER (b.n > a.n - 10), 5) AS recent_excess, round(avg(e), 5) AS mean_excess FROM days a JOIN days b ON b.factor = a.factor AND b.n <= a.n
+   SELECT a.factor, a.d, round(avg(e) FILTER (b.n > a.n - 10), 3) AS recent_excess, round(avg(e), 3) AS mean_excess FROM days a JOIN days b ON b.factor = a.factor AND b.n <= a.n
    JOIN ob ON ob.factor = b.factor AND ob.d = b.d GROUP BY a.factor, a.d""")
 def factor_decay(t: Tables) -> DataFrame:
     seen = benchmark.excess(observations(t)).filter("horizon = 5").join(picks(t).select("pick_id", "d", "code"), "pick_id")
     scores = detail(t).filter("raw is not null").select("d", "code", "factor", "score")
     out = benchmark.factor_decay(seen.join(scores, ["d", "code"]), last=10)
-    return rounded(out, ("recent_excess", "mean_excess")).select(
-        "factor", "d", F.round("recent_excess", 5).alias("recent_excess"), F.round("mean_excess", 5).alias("mean_excess"))
+    return out.select(
+        "factor", "d", F.round("recent_excess", 3).alias("recent_excess"), F.round("mean_excess", 3).alias("mean_excess"))
 
 
 @query("watchlist_turnover", """SELECT p.d, count(*) AS names, count(*) FILTER (q.code IS NULL) AS entered, round(count(*) FILTER (q.code IS NULL) / count(*), 6) AS turnover
@@ -215,7 +225,7 @@ def watchlist_turnover(t: Tables) -> DataFrame:
     return out.withColumn("turnover", F.round("turnover", 6))
 
 
-@query("performance_gates", f"""WITH {R_MULTIPLES}, perf AS (SELECT avg(r) AS e, coalesce(sum(r) FILTER (r > 0), 0) / nullif(coalesce(-sum(r) FILTER (r < 0), 0), 0) AS pf FROM rm WHERE horizon = 5),
+@query("performance_gates", f"""WITH {R_MULTIPLES}, perf AS (SELECT avg(rmul) AS e, coalesce(sum(rmul) FILTER (rmul > 0), 0) / nullif(coalesce(-sum(rmul) FILTER (rmul < 0), 0), 0) AS pf FROM rm WHERE horizon = 5),
    g1 AS (SELECT count(DISTINCT (d, code)) AS n FROM picks WHERE list_kind = 'trade_signal'),
    g3 AS (SELECT count(benchmark_pct) AS n, avg(asset_pct - benchmark_pct) AS m FROM observed WHERE horizon = 5),
    g4 AS (SELECT count(*) FILTER ((event_type = 'purchase') = ((t.d, t.code) IN (SELECT d, code FROM picks))) / count(*) AS share FROM ticks t WHERE event_type IN ('purchase', 'view'))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tideline.operators.align import calendar
+from tideline.session import materialise
 
 
 class Tables:
@@ -16,12 +17,19 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.written: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def once(self, name: str, build) -> DataFrame:
+        """A table several steps of one query read: written to the shared folder on first use."""
+        if name not in self.written:
+            self.written[name] = materialise(build(self))
+        return self.written[name]
+
     # ── time series ──────────────────────────────────────────────────────────
 
     def ticks(self) -> DataFrame:
@@ -161,6 +169,39 @@ class Tables:
             F.concat(F.lit("clause"), (F.col("doc_id") % 9).cast("string")).alias("clause"),
         )
 
+    def responses(self) -> DataFrame:
+        """Judge answers of every shape: no JSON, another verdict, nested and quoted text, cut off."""
+        i = F.col("doc_id")
+        quote = F.regexp_replace(F.substring("text", 5, 24), "[^A-Za-z ]", "")
+        shape = i % 6
+        raw = (
+            F.when(shape == 0, "no json here")
+            .when(shape == 1, '{"verdict":"buy","quote":"","reason":"r"}')
+            .when(shape == 2, 'Answer: {"verdict":"no_veto","quote":"","reason":"ok {a} \\"b\\" }","extra":{"x":1}} tail }')
+            .when(shape == 3, F.concat(F.lit('{"verdict": " veto ", "quote":"'), quote, F.lit('","reason":"bad"} {"verdict":"no_veto"}')))
+            .when(shape == 4, '{"verdict":"veto","quote":"short","reason":"s"}')
+            .otherwise('{"verdict":"veto", "quote": "cut')
+        )
+        return self.documents.select(
+            i.alias("task_key"), raw.alias("raw_response"), F.substring("text", 1, 60).alias("subject"), F.col("text").alias("detail"))
+
+    def messages(self) -> DataFrame:
+        """Chat messages: records, commands, mistakes and plain talk; every fiftieth is sent twice."""
+        code, value = F.lpad(F.col("code").cast("string"), 4, "0"), F.col("value").cast("string")
+        kind, k, i = F.col("event_type"), F.col("k"), F.col("event_id")
+        qty = F.when(k % 9 == 0, "0").when(k % 10 == 0, "x").otherwise((k + 1).cast("string"))
+        join = lambda *parts: F.concat_ws(" ", *parts)
+        text = (
+            F.when(i % 41 == 0, "hello").when(i % 43 == 0, "/help").when(i % 47 == 0, "/what now").when(i % 53 == 0, "/rec").when(i % 59 == 0, "/rec 偷看 2330")
+            .when(kind == "purchase", join(F.lit("/rec 買"), code, qty, value, F.when(k % 4 == 0, "first  note")))
+            .when(kind == "error", join(F.lit("/rec 賣出"), code, qty, value))
+            .when(kind == "view", join(F.lit(" /REC 觀望"), code, F.when(k % 2 == 0, "wait a bit")))
+            .when(kind == "click", join(F.lit("/rec 略過"), F.when(k % 8 == 0, "no-code").otherwise(code)))
+            .otherwise(join(F.lit("/rec 備註"), F.when(k % 6 != 0, "market mood")))
+        )
+        rows = self.ticks().select(i.alias("message_id"), F.col("ts").alias("sent_at"), (F.col("code") % 10).alias("sender"), text.alias("text"))
+        return rows.unionByName(rows.filter("message_id % 50 = 0"))
+
     def gold(self) -> DataFrame:
         def revision(n: int, is_veto: Column) -> list[Column]:
             return [
