@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ranking_queries", "source_queries", "align_queries", "veto_queries", "risk_queries", "outcome_queries", "text_queries")
+MODULES = ("ranking_queries", "source_queries", "align_queries", "veto_queries", "risk_queries", "outcome_queries", "text_queries", "stream_queries")
 
 
 def load_queries():

@@ -30,9 +30,11 @@ def announcement_keys(t: Tables) -> DataFrame:
     return keyed.select("doc_id", hashing.announcement_key(c["market"], c["code"], c["speak_date"], full).alias("item_key"), "content_key")
 
 
-@query("repeat_groups", f"WITH {KEYED} SELECT content_key, count(*) AS copies, min(doc_id) AS first_item FROM keyed GROUP BY content_key HAVING count(*) > 1")
+@query("repeat_groups", f"""WITH anon AS (SELECT doc_id, market, 'x' AS code, speak_date, '' AS clause, subject, detail FROM announce), k AS (SELECT doc_id, {CONTENT_KEY} AS content_key FROM anon)
+   SELECT content_key, count(*) AS copies, min(doc_id) AS first_item FROM k GROUP BY content_key HAVING count(*) > 1""")
 def repeat_groups(t: Tables) -> DataFrame:
-    return tq.repeat_groups(tq.content_keyed(t.announce()))
+    same_issuer = t.announce().withColumns({"code": F.lit("x"), "clause": F.lit("")})
+    return tq.repeat_groups(tq.content_keyed(same_issuer))
 
 
 @query("repeated_bodies", "SELECT sha256(text) AS content_key, count(*) AS copies, min(doc_id) AS first_item FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -398,7 +400,7 @@ def pick_log(t: Tables) -> DataFrame:
 LOG = "log AS (SELECT *, 1 AS revision FROM picks UNION ALL SELECT *, 2 FROM picks WHERE day(d) % 3 = 0)"
 
 
-@query("latest_list", f"WITH {LOG} SELECT d, revision, rank, code FROM log WHERE (d, revision) = (SELECT d, max(revision) FROM log WHERE d = (SELECT max(d) FROM log) GROUP BY d)")
+@query("latest_list", f"WITH {LOG} SELECT d, revision, rank, code FROM log WHERE d = (SELECT max(d) FROM log) AND revision = (SELECT max(revision) FROM log WHERE d = (SELECT max(d) FROM log))")
 def latest_list(t: Tables) -> DataFrame:
     return reports.latest_list(pick_log(t)).select("d", F.col("revision").cast("bigint").alias("revision"), "rank", "code")
 

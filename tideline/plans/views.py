@@ -186,6 +186,10 @@ class Tables:
             i.alias("task_key"), raw.alias("raw_response"), F.substring("text", 1, 60).alias("subject"), F.col("text").alias("detail"))
 
     def messages(self) -> DataFrame:
+        return self.message_rows(self.ticks())
+
+    @staticmethod
+    def message_rows(ticks: DataFrame) -> DataFrame:
         """Chat messages: records, commands, mistakes and plain talk; every fiftieth is sent twice."""
         code, value = F.lpad(F.col("code").cast("string"), 4, "0"), F.col("value").cast("string")
         kind, k, i = F.col("event_type"), F.col("k"), F.col("event_id")
@@ -199,8 +203,10 @@ class Tables:
             .when(kind == "click", join(F.lit("/rec 略過"), F.when(k % 8 == 0, "no-code").otherwise(code)))
             .otherwise(join(F.lit("/rec 備註"), F.when(k % 6 != 0, "market mood")))
         )
-        rows = self.ticks().select(i.alias("message_id"), F.col("ts").alias("sent_at"), (F.col("code") % 10).alias("sender"), text.alias("text"))
-        return rows.unionByName(rows.filter("message_id % 50 = 0"))
+        copies = F.explode(F.when(i % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")
+        return ticks.select(
+            i.alias("message_id"), F.col("ts").alias("sent_at"), (F.col("code") % 10).alias("sender"), text.alias("text"), copies
+        ).drop("copy")
 
     def gold(self) -> DataFrame:
         def revision(n: int, is_veto: Column) -> list[Column]:
