@@ -32,14 +32,21 @@ def _div(n: Column, d: Column) -> Column:
     return F.call_function("div", n, d)
 
 
-def mul_div(value: Column, mul: int, div: int, mode: str) -> Column:
+def mul_div(value: Column, mul: int, div: int, mode: str, negative: bool = True) -> Column:
     """value × mul ÷ div, rounded once, on BIGINT.
 
     The fraction is reduced first, which leaves room for any real amount; a product that did not
-    fit would raise under ANSI arithmetic instead of wrapping.
+    fit would raise under ANSI arithmetic instead of wrapping. ``negative=False`` states that the
+    value is never below zero: then a plain integer division rounds down.
     """
     g = math.gcd(mul, div)
-    return div_round(value.cast("bigint") * F.lit(mul // g).cast("bigint"), F.lit(div // g).cast("bigint"), mode, positive=True)
+    n, d = value.cast("bigint") * F.lit(mul // g).cast("bigint"), F.lit(div // g).cast("bigint")
+    if negative:
+        return div_round(n, d, mode, positive=True)
+    above = {FLOOR: 0, CEIL: div // g - 1, HALF_UP: div // g}[mode]
+    if mode == HALF_UP:
+        return _div(n * 2 + F.lit(above).cast("bigint"), d * 2)
+    return _div(n + F.lit(above).cast("bigint") if above else n, d)
 
 
 def ratio6(a: Column, b: Column) -> Column:

@@ -11,8 +11,11 @@ from pyspark.sql import Column, functions as F
 WHITESPACE_CLASS = (
     r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
+WHITESPACE_CHARS = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 # How sources spell "no value", "ex-right day" and a set flag.
-BLANK_PATTERN = r"^(-*|N/A|n/a)$"
+BLANK_WORDS = ("", "N/A", "n/a")
 CHANGE_NOTES = ("除權", "除息", "除權息")
 FLAG_VALUES = ("Ｙ", "Y")
 # Plain decimal syntax; keeps out what a lenient cast would accept (1D, NaN, Infinity).
@@ -24,7 +27,7 @@ PARSED, BLANK, NOTED, UNPARSABLE = "parsed", "blank", "noted", "unparsable"
 
 def trim_all(c: Column) -> Column:
     """Trim both ends, full-width blanks included; NULL stays NULL."""
-    return F.regexp_replace(c, f"^[{WHITESPACE_CLASS}]+|[{WHITESPACE_CLASS}]+$", "")
+    return F.btrim(c, F.lit(WHITESPACE_CHARS))
 
 
 def parse_text(c: Column) -> Column:
@@ -37,13 +40,14 @@ def strip_ws(c: Column) -> Column:
 
 
 def _number(trimmed: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(trimmed, ",", ""), r"^\+", "")
+    plain = F.replace(trimmed, F.lit(","), F.lit(""))
+    bare = F.when(F.startswith(plain, F.lit("+")), F.substring(plain, 2, 1 << 30)).otherwise(plain)
     value = F.when(bare.rlike(DECIMAL_PATTERN), bare.try_cast("double"))
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def _is_blank(c: Column, trimmed: Column) -> Column:
-    return c.isNull() | trimmed.rlike(BLANK_PATTERN)
+    return c.isNull() | trimmed.isin(*BLANK_WORDS) | (F.replace(trimmed, F.lit("-"), F.lit("")) == "")
 
 
 def numeric_value(c: Column) -> Column:

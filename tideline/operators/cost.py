@@ -14,7 +14,7 @@ TAX_PPM, DAY_TRADE_TAX_PPM = 3000, 1500
 HALVING_START, HALVING_END = "2017-04-28", "2027-12-31"
 PPM, BPS, CENTS = 1_000_000, 10_000, 100
 MAX_SCAN_CENTS = 1_000_000
-BREAKEVEN_STEPS = 10
+BREAKEVEN_STEPS = 8
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def hits_floor(amount_cents: Column, broker: Broker, day_trade: Column | None =
 
 def _computed_fee(amount_cents: Column, broker: Broker, day_trade: Column | None) -> Column:
     def fee(bps: int) -> Column:
-        return mul_div(amount_cents, broker.commission_ppm * bps, PPM * BPS * CENTS, broker.commission_rounding)
+        return mul_div(amount_cents, broker.commission_ppm * bps, PPM * BPS * CENTS, broker.commission_rounding, negative=False)
 
     if day_trade is None or broker.day_trade_discount_bps is None:
         return fee(broker.discount_bps)
@@ -61,10 +61,10 @@ def tax_warning(trade_date: Column, day_trade: Column) -> Column:
 
 
 def sell_tax(amount_cents: Column, ppm: Column | int, broker: Broker) -> Column:
-    if isinstance(ppm, int):
-        return mul_div(amount_cents, ppm, PPM * CENTS, broker.tax_rounding)
-    full = mul_div(amount_cents, TAX_PPM, PPM * CENTS, broker.tax_rounding)
-    half = mul_div(amount_cents, DAY_TRADE_TAX_PPM, PPM * CENTS, broker.tax_rounding)
+    if isinstance(ppm, int):  # one constant rate
+        return mul_div(amount_cents, ppm, PPM * CENTS, broker.tax_rounding, negative=False)
+    full = mul_div(amount_cents, TAX_PPM, PPM * CENTS, broker.tax_rounding, negative=False)
+    half = mul_div(amount_cents, DAY_TRADE_TAX_PPM, PPM * CENTS, broker.tax_rounding, negative=False)
     return F.when(ppm == DAY_TRADE_TAX_PPM, half).otherwise(full)
 
 
@@ -118,17 +118,17 @@ def with_breakeven(trades: DataFrame, broker: Broker = Broker(), entry="entry_ce
     e, s = F.col(entry), F.col(shares)
 
     def step(price: Column) -> Column:
-        needed = CENTS * fees_at(e, price, s, ppm, broker)
-        return e + F.call_function("div", needed + s - 1, s)
+        fees = F.col("_buy_fee") + commission(price * s, broker) + sell_tax(price * s, ppm, broker)
+        return e + F.call_function("div", CENTS * fees + s - 1, s)
 
-    out = trades.withColumn("_exit", e)
+    out = trades.withColumn("_buy_fee", commission(e * s, broker)).withColumn("_exit", e)
     for _ in range(BREAKEVEN_STEPS):
         out = out.withColumn("_exit", step(F.col("_exit")))
     price = F.col("_exit")
     found = F.when((price - e <= MAX_SCAN_CENTS) & (step(price) == price), price)
     if strict:
         found = F.coalesce(found, F.raise_error(F.lit("no break-even price within the scan limit")).cast("bigint"))
-    return out.withColumn("breakeven_cents", found).drop("_exit")
+    return out.withColumn("breakeven_cents", found).drop("_exit", "_buy_fee")
 
 
 def price_trades(trades: DataFrame, broker: Broker = Broker(), strict: bool = False, **columns) -> DataFrame:

@@ -63,9 +63,13 @@ def reversal(bars: DataFrame, cal: DataFrame, days: int = REVERSAL_DAYS) -> Data
 
 
 def yearly_growth(revenue: DataFrame) -> DataFrame:
-    """Percent change of each covered period against the same period a year before."""
-    prior = revenue.select("code", F.add_months("period", 12).alias("period"), F.col("amount").alias("_prior"))
-    return revenue.join(prior, ["code", "period"], "left").select(
+    """Percent change of each covered month against the same month a year before.
+
+    A code has one row per month; the month a year earlier is a range frame of exactly −12 months.
+    """
+    month = F.year("period") * 12 + F.month("period")
+    prior = F.sum("amount").over(W.partitionBy("code").orderBy("_m").rangeBetween(-12, -12))
+    return revenue.withColumn("_m", month).withColumn("_prior", prior).select(
         "code", "period", "report_date",
         (100 * (F.col("amount") - F.col("_prior")) / F.nullif(F.col("_prior"), F.lit(0.0))).alias("yoy"),
     )

@@ -237,7 +237,8 @@ def capped_greedy(sized: DataFrame, state: DataFrame, config: RiskConfig) -> Dat
     combined aggregation, so a day of any size is never gathered in one task. The sized
     candidates are written once and read by every round.
     """
-    base = materialise(sized)
+    kept = ["d", "code", "rank", "own_reason", "shares", "position_pct", "position_value"]
+    base = materialise(sized.select(*kept))
     slots = F.least(config.monthly_entry_cap - F.col("entries"), config.max_concurrent - F.col("open_positions"))
     halted = (F.col("drawdown_pct") >= config.circuit_breaker_pct) | (F.col("entries") >= config.monthly_entry_cap)
     days = state.select(

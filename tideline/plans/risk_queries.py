@@ -107,7 +107,16 @@ SCAN = f"list_filter(range(0, CAST(ceil((100 * {fees('entry_cents', 'entry_cents
 @query("breakeven_prices", f"""SELECT l_orderkey, l_linenumber, entry_cents + s AS breakeven_cents, {half_up('s * 10000', 'entry_cents')} AS breakeven_bps FROM (
    SELECT *, {SCAN} AS s FROM trades) x""")
 def breakeven_prices(t: Tables) -> DataFrame:
-    return cost.price_trades(t.trades(), exit_="entry_cents").select("l_orderkey", "l_linenumber", "breakeven_cents", "breakeven_bps")
+    priced = cost.with_breakeven(t.trades())
+    move = cost.mul_div_by(F.col("breakeven_cents") - F.col("entry_cents"), 10_000, F.col("entry_cents"))
+    return priced.withColumn("breakeven_bps", move).select("l_orderkey", "l_linenumber", "breakeven_cents", "breakeven_bps")
+
+
+@query("priced_trades", f"""SELECT l_orderkey, l_linenumber, 100 * {fees('entry_cents', 'entry_cents', 'shares')} AS cost_cents, entry_cents + s AS breakeven_cents FROM (
+   SELECT *, {SCAN} AS s FROM trades) x""")
+def priced_trades(t: Tables) -> DataFrame:
+    out = cost.price_trades(t.trades(), exit_="entry_cents")
+    return out.select("l_orderkey", "l_linenumber", "cost_cents", "breakeven_cents")
 
 
 @query("cost_totals", f"""WITH {EXITS}, c AS (SELECT *, {fees('entry_cents', 'exit_cents', 'shares')} AS f, entry_cents * shares * 1425 // 100000000 < 20 AS at_floor FROM exits)

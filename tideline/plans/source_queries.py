@@ -63,9 +63,8 @@ RAWDATE = f"""WITH rd AS (SELECT id, selection, pos, json_extract_string(elem, '
 
 
 def dated_rows(t: Tables) -> DataFrame:
-    rows = pay.json_rows(t.payloads())
-    kinds = t.payloads().select("id", "selection")
-    return rows.join(kinds, "id").select("id", "pos", F.col("row")["Date"].alias("raw"), "selection")
+    rows = pay.json_rows(t.payloads(), carry=("selection",))
+    return rows.select("id", "pos", F.col("row")["Date"].alias("raw"), "selection")
 
 
 @query("payload_dates", RAWDATE + """ SELECT id, CASE WHEN NOT many THEN mx END AS data_as_of,

@@ -22,7 +22,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)  # opened once: reading the footer is a job of its own
+        return table
 
     def once(self, name: str, build) -> DataFrame:
         """A table several steps of one query read: written to the shared folder on first use."""

@@ -34,15 +34,17 @@ def payload_state(body: Column) -> Column:
     )
 
 
-def json_rows(payloads: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
-    """(key, pos, row) for each element of a usable array.
+def json_rows(payloads: DataFrame, key: str = "id", body: str = "body", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, pos, row) for each element of a usable array.
 
     A row is a map, so odd field names survive verbatim; an element that is no object has a NULL row.
     """
+    # decided inside the projection: as a filter, the test would be pushed down and parse the body again
+    elements = F.when(payload_state(F.col(body)).isNull(), F.from_json(body, "array<string>"))
     return (
-        payloads.filter(payload_state(F.col(body)).isNull())
-        .select(key, F.posexplode(F.from_json(body, "array<string>")).alias("pos", "_element"))
-        .select(key, "pos", F.when(F.startswith(F.ltrim("_element"), F.lit("{")), F.from_json("_element", ROW_TYPE)).alias("row"))
+        payloads.select(key, *carry, F.posexplode_outer(elements).alias("pos", "_element"))
+        .filter("pos is not null")
+        .select(key, *carry, "pos", F.when(F.startswith(F.ltrim("_element"), F.lit("{")), F.from_json("_element", ROW_TYPE)).alias("row"))
     )
 
 
