@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -9,10 +10,6 @@ from tideline.functions.money import CEIL, FLOOR, HALF_UP, div_round
 from tideline.operators import cost, risk
 
 
-def one(spark, **values):
-    return spark.createDataFrame([tuple(values.values())], list(values))
-
-
 def test_rounding_modes_with_signs(spark):
     df = spark.createDataFrame([(7, 2), (-7, 2), (6, 4), (-6, 4), (5, 10), (-5, 10), (9, 3), (7, -2)], "n long, d long")
     expect = {
@@ -56,7 +53,8 @@ def test_breakeven_equals_a_full_scan(spark):
 
 
 def test_barriers_on_the_wrong_side_are_an_error(spark):
-    df = spark.sql("SELECT 1000L AS entry_cents, 1000L AS stop_cents, 1100L AS target_cents, 100L AS shares, DATE'2026-08-14' AS d")
+    row = (1000, 1000, 1100, 100, datetime.date(2026, 8, 14))
+    df = spark.createDataFrame([row], "entry_cents long, stop_cents long, target_cents long, shares long, d date")
     with pytest.raises(Exception, match="barriers do not enclose"):
         cost.trade_outcome(df).collect()
 
@@ -80,7 +78,7 @@ def test_ewm_worked_number_and_pandas(spark):
 
 def test_sizing_worked_numbers(spark):
     cfg = risk.RiskConfig()
-    df = spark.sql("SELECT 50.0D AS entry, 0.02D AS sigma")
+    df = spark.createDataFrame([(50.0, 0.02)], "entry double, sigma double")
     r = risk.size_candidates(df, cfg).first()
     assert (r["shares"], r["position_value"], round(r["position_pct"], 6), r["own_reason"]) == (24, 1200.0, 12.0, None)
 

@@ -35,7 +35,7 @@ def test_missing_factor_counts_as_neutral_and_no_data_is_dropped(spark):
 
 
 def bars_of(spark, closes, notes=None):
-    rows = [(1, d, c, (notes or {}).get(i)) for i, (d, c) in enumerate(zip(days(len(closes)), closes)) if c is not None]
+    rows = [(1, d, float(c), (notes or {}).get(i)) for i, (d, c) in enumerate(zip(days(len(closes)), closes)) if c is not None]
     return spark.createDataFrame(rows, "code long, d date, close double, note string")
 
 
