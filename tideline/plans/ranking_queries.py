@@ -37,8 +37,9 @@ def shifted_growth(t: Tables) -> DataFrame:
 def factor_long(t: Tables) -> DataFrame:
     """All five factors from one aggregation of the ticks and one window pass per code."""
     prev = F.lag("bal").over(W.partitionBy("code").orderBy("i"))
-    daily = ranking.with_reversal(t.daily().join(t.cal(), "d").withColumn("prev", prev))
-    q = align.in_universe(daily.filter(align.is_tradable()), t.roster())
+    # codes outside the roster leave before the windows: every window is per code
+    daily = align.in_universe(t.daily(), t.roster()).join(t.cal(), "d").withColumn("prev", prev)
+    q = ranking.with_reversal(daily).filter(align.is_tradable())
     facts = align.in_universe(shifted_growth(t), t.roster())
     wide = align.asof_join(q, facts, "d", ["yoy"], unique=True).select(
         "d", "code",
@@ -66,8 +67,8 @@ def ranked(t: Tables) -> DataFrame:
 
 
 def reversal_scored(t: Tables) -> DataFrame:
-    rev = ranking.reversal(t.closes(), t.cal())
-    long = align.in_universe(rev, t.roster()).select(
+    rev = ranking.reversal(align.in_universe(t.closes(), t.roster()), t.cal())
+    long = rev.select(
         "d", "code", F.lit("short_term_reversal_5d_v1").alias("factor"), F.col("reversal").alias("value")
     )
     return ranking.score_cross_section(long, F.lit(True), bound=group_bound(t))
