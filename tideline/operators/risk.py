@@ -10,7 +10,7 @@ from tideline.functions.money import to_cents
 from tideline.operators.cost import TAX_PPM, Broker, net_cents
 from tideline.session import materialise
 
-SIZING_STEPS, BISECTION_STEPS = 12, 40
+SIZING_STEPS, COMPILED_STEPS, BISECTION_STEPS = 12, 2, 40
 
 
 @dataclass(frozen=True)
@@ -172,8 +172,8 @@ def _stop_loss(shares: Column, config: RiskConfig) -> Column:
 def with_shares(barriers: DataFrame, config: RiskConfig, mode: str = "rule") -> DataFrame:
     """Add ``shares``: a size whose loss at the stop, fees included, stays within the risk budget.
 
-    ``rule`` corrects the fee-free size by the fees of the size at hand, at most twelve times, each
-    correction being one compiled projection; ``max`` finds the largest such size (the loss never
+    ``rule`` corrects the fee-free size by the fees of the size at hand, at most twelve times: the
+    first corrections are compiled projections, the rest a fold for rows that need them; ``max`` finds the largest such size (the loss never
     falls as shares rise, so bisection holds).
     """
     budget, lot, risk = F.lit(config.risk_budget), config.lot_size, F.col("risk_per_share")
@@ -189,13 +189,23 @@ def with_shares(barriers: DataFrame, config: RiskConfig, mode: str = "rule") ->
         best = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTION_STEPS)), start, halve, lambda acc: acc["lo"] * lot)
         return barriers.withColumn("shares", F.when(F.col("feasible"), best))
 
+    def correct(shares: Column, loss: Column) -> Column:
+        smaller = _floor_lot((budget - (loss - risk * shares)) / risk, lot)
+        return F.when(smaller >= shares, shares - lot).otherwise(smaller)
+
+    def again(shares: Column, _: Column) -> Column:
+        loss = _stop_loss(shares, config)
+        return F.when((shares < lot) | (loss <= budget), shares).otherwise(correct(shares, loss))
+
     out, n = barriers.withColumn("shares", F.when(F.col("feasible"), upper)), F.col("shares")
-    for _ in range(SIZING_STEPS):
-        out = out.withColumn("_loss", _stop_loss(n, config))
-        smaller = _floor_lot((budget - (F.col("_loss") - risk * n)) / risk, lot)
-        shrunk = F.when(smaller >= n, n - lot).otherwise(smaller)
-        out = out.withColumn("shares", F.when((n < lot) | (F.col("_loss") <= budget), n).otherwise(shrunk))
-    return out.withColumn("shares", F.when(n.isNotNull(), F.greatest(n, F.lit(0).cast("bigint")))).drop("_loss")
+    over = F.coalesce(F.col("_loss") > budget, F.lit(False))
+    for _ in range(COMPILED_STEPS):
+        out = out.withColumn("_loss", F.when(n >= lot, _stop_loss(n, config)))
+        out = out.withColumn("shares", F.when(over, correct(n, F.col("_loss"))).otherwise(n))
+    # almost no row is still over its budget here; only such rows walk the remaining steps
+    rest = F.aggregate(F.sequence(F.lit(COMPILED_STEPS + 1), F.lit(SIZING_STEPS)), n, again)
+    settled = F.when(over, rest).otherwise(n)
+    return out.withColumn("shares", F.when(n.isNotNull(), F.greatest(settled, F.lit(0).cast("bigint")))).drop("_loss")
 
 
 def size_candidates(candidates: DataFrame, config: RiskConfig, mode: str = "rule") -> DataFrame:
