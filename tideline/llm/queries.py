@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import linefreq
+from tideline.llm import chats, decontaminate, fmquality, linefreq, mixing, secretscan, simhash, warc
 from tideline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,3 +20,38 @@ def query(build):
 @query
 def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return linefreq.document_rules(read_table(spark, folder, "documents"))
+
+
+@query
+def op1_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived_pages(read_table(spark, folder, "pages"))
+
+
+@query
+def op6_source_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_documents(read_table(spark, folder, "documents"))
+
+
+@query
+def op8_snapshot_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    return chats.rendered(read_table(spark, folder, "conversations"))
+
+
+@query
+def op2_factorisation_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return fmquality.quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query
+def op7_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.item_matches(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@query
+def op10_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.document_components(read_table(spark, folder, "documents"))
+
+
+@query
+def op9_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return secretscan.secret_findings(read_table(spark, folder, "documents"), path_column="source")
