@@ -12,7 +12,7 @@ from tideline.llm.common import SPACES, words_of
 
 #: Word buckets; labelled rows that a model is fitted on at most; rank of the pairwise interactions.
 BUCKETS = 1 << 12
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 8_000
 RANK = 4
 _STATISTICS = ("size", "variety", "stutter", "word_length", "long_words", "upper", "digits", "marks", "pipes", "symbols", "lines", "line_variety", "breaks", "declared")
 
@@ -82,7 +82,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, at_most: int = TRAIN_ROWS)
     return features(rows, size_column="n_chars" if "n_chars" in docs.columns else None).select("label", "features")
 
 
-def fit(training: DataFrame, *, rank: int = RANK, iterations: int = 120, seed: int = 7) -> FMClassificationModel:
+def fit(training: DataFrame, *, rank: int = RANK, iterations: int = 60, seed: int = 7) -> FMClassificationModel:
     """A logistic factorisation machine: bias, linear weights and ``rank`` factors for each input.
 
     The score of a vector x is b + <w, x> + 0.5 * sum_f ((sum_i v_if x_i)^2 - sum_i (v_if x_i)^2): all
