@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import chats, decontaminate, fmquality, linefreq, mixing, secretscan, simhash, warc
+from tideline.llm import automata, chats, decontaminate, fmquality, linefreq, mixing, secretscan, simhash, suffixes, warc
 from tideline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,14 @@ def op10_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
     return secretscan.secret_findings(read_table(spark, folder, "documents"), path_column="source")
+
+
+@query
+def op3_phrase_automata(spark: SparkSession, folder: str) -> DataFrame:
+    return automata.without_passages(read_table(spark, folder, "documents"))
+
+
+@query
+def op5_prefix_doubling(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.without_repeats(read_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -3,8 +3,9 @@
 A window is ``length`` consecutive letters (bytes, or hashed words). The anchor of a window is the
 ``gram`` letters in it with the smallest hash, the leftmost of equals, so equal windows have equal
 anchors at equal places. Consecutive windows with one anchor form a segment. Two segments with equal
-``(anchor, body)`` hashes hold the same letters, hence the same windows; a window can only recur in a
-segment whose anchor recurs. Long repeats thus shrink to one row for some dozens of letters.
+``(core, body)`` hashes hold the same letters, hence the same windows; a window can only recur in a
+segment whose core, the letters that all its windows share, recurs. Long repeats thus shrink to one
+row for some dozens of letters.
 """
 
 from __future__ import annotations
@@ -64,21 +65,35 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-def segments(letters: np.ndarray, length: int, gram: int):
-    """(first window, windows, anchor hash, body hash) of every segment; empty below one window."""
+def _anchors(runs: RunHashes, length: int, gram: int) -> np.ndarray:
+    """Place of the anchor of every window."""
+    grams = runs.at(slice(None), gram)
+    # hash in the high half, place in the low half: the minimum is the leftmost of the smallest
+    packed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    return (_sliding_min(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def segments(letters: np.ndarray, length: int, gram: int, step: int | None = None):
+    """(first window, windows, core hash, body hash) of every segment; empty below one window.
+
+    The core is what all windows of a segment hold: the anchor, or, where segments are cut further into
+    runs of ``step`` windows counted from the anchor, the letters that all windows of such a run share.
+    The body is all letters of the segment. With step 1 a segment is a window, its core and its body.
+    """
     n = len(letters) - length + 1
     if n < 1:
         none = np.zeros(0, np.uint64)
         return none.astype(np.int64), none.astype(np.int64), none, none
     runs = RunHashes(letters, length)
-    grams = runs.at(slice(None), gram)
-    # hash in the high half, place in the low half: the minimum is the leftmost of the smallest
-    place = np.arange(len(grams), dtype=np.uint64)
-    packed = (grams & np.uint64(0xFFFFFFFF00000000)) | place
-    anchor = (_sliding_min(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    anchor = _anchors(runs, length, gram)
+    change = anchor[1:] != anchor[:-1]
+    if step:
+        turn = (anchor - np.arange(n)) // step
+        change |= turn[1:] != turn[:-1]
+    first = np.flatnonzero(np.concatenate(([True], change)))
     count = np.diff(np.append(first, n))
     at = anchor[first]
+    core = runs.at(at - step * turn[first], length - step + 1) if step else runs.at(at, gram)
     body = runs.at(first, length) * _A + runs.at(first + count - 1, length)
     body = mixed(body + (count.astype(np.uint64) << np.uint64(20)) + (at - first).astype(np.uint64))
-    return first, count, mixed(grams[at] + _B), body
+    return first, count, mixed(core + _B), body
