@@ -42,10 +42,21 @@ def document_rules(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
                 (~F.col("base_failed") & ~F.col("depleted")).alias("kept"), "depleted",
                 # repeated rows count their lines together, so the share is taken first
                 F.coalesce((F.col("n_words") * F.col("frequent") / F.col("line_words")).cast("long"), F.lit(0).cast("long"))
-                .alias("n_frequent_words"))
+                .alias("n_frequent_words"), "row_key")
     )
 
 
+def kept_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", **limits) -> DataFrame:
+    """The documents that the rules keep, all their columns unchanged.
+
+    Verdicts are joined on a digest of id, host and text, so repeated ids keep their own verdict.
+    """
+    rows = document_rules(docs, id_column=id_column, text_column=text_column, host_column=host_column, **limits)
+    dropped = rows.where(~F.col("kept")).select(F.col("row_key").alias("_dropped")).distinct()
+    key = digest(docs[id_column], docs[host_column].cast("string"), F.coalesce(docs[text_column].cast("string"), F.lit("")))
+    return docs.join(dropped, key == F.col("_dropped"), "left_anti")
+
+
 def _statistics(rows: DataFrame) -> DataFrame:
     """Counts of each text, made inside its row: windows are sorted there, nothing is exploded."""
     return (

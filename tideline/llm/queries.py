@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import automata, chats, decontaminate, fmquality, linefreq, mixing, secretscan, simhash, suffixes, warc
@@ -19,7 +20,7 @@ def query(build):
 
 @query
 def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return linefreq.document_rules(read_table(spark, folder, "documents"))
+    return linefreq.document_rules(read_table(spark, folder, "documents")).drop("row_key")
 
 
 @query
@@ -66,3 +67,6 @@ def op3_phrase_automata(spark: SparkSession, folder: str) -> DataFrame:
 def op5_prefix_doubling(spark: SparkSession, folder: str) -> DataFrame:
     found = suffixes.without_repeats(read_table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
