@@ -1,0 +1,386 @@
+"""Corpus operators against plain brute-force versions on small tables."""
+
+import base64
+import hashlib
+import itertools
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from tideline.llm import automata, chats, decontaminate, fmquality, linefreq, mixing, nearcopies, secretscan, simhash, suffixes, warc
+from tideline.llm.windows import byte_letters, segments
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def odd_documents(seed=1, n=60):
+    """Documents with copies, shared passages, nulls, empties, one long text, and repeats of one word."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdeé", k=rng.randint(1, 6))) for _ in range(40)]
+    passage = " ".join(rng.choices(vocabulary, k=45))
+    rows = []
+    for i in range(n):
+        text = " ".join(rng.choices(vocabulary, k=rng.randint(0, 90)))
+        if i % 4 == 1:
+            cut = len(text) // 2
+            text = text[:cut] + " " + passage[rng.randint(0, 30):] + " " + text[cut:]
+        if i % 7 == 3:
+            text = rows[rng.randrange(len(rows))][1]
+        if i % 11 == 5:
+            text = ("xy " * 60) + (text or "")
+        rows.append([i, text])
+    rows[8][1], rows[9][1], rows[10][1] = None, "", " \n\t "
+    rows.append([n, " ".join(rng.choices(vocabulary, k=5000)) + "\n" + passage])
+    rng.shuffle(rows)
+    return [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or "")) for i, t in rows]
+
+
+def earlier_windows(rows, length, cut):
+    docs = sorted((i, cut(t)) for i, t, *_ in rows)
+    first, out = {}, {}
+    for i, x in docs:
+        for p in range(len(x) - length + 1):
+            first.setdefault(tuple(x[p:p + length]), (i, p))
+    for i, x in docs:
+        gone = [False] * len(x)
+        for p in range(len(x) - length + 1):
+            if first[tuple(x[p:p + length])] < (i, p):
+                gone[p:p + length] = [True] * length
+        out[i] = (x, gone)
+    return out
+
+
+@pytest.mark.parametrize("length,rank", [(100, 32), (24, 7)])
+def test_prefix_doubling_removes_bytes(spark, length, rank):
+    rows = odd_documents()
+    got = {r.doc_id: r for r in suffixes.without_repeats(spark.createDataFrame(rows, DOCS), length=length, first_rank=rank, texts=True).collect()}
+    expected = earlier_windows(rows, length, lambda t: (t or "").encode())
+    assert len(got) == len(rows)
+    for i, (x, gone) in expected.items():
+        kept = bytes(b for b, g in zip(x, gone) if not g)
+        spans = sum(g and (j == 0 or not gone[j - 1]) for j, g in enumerate(gone))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(x), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        assert bytes(got[i].kept) == kept
+
+
+@pytest.mark.parametrize("shards", [{}, {"shard_passages": 3, "shard_stretches": 4}])
+@pytest.mark.parametrize("length,phrase", [(20, 8), (6, 3)])
+def test_automata_remove_words(spark, length, phrase, shards):
+    rows = odd_documents(2)
+    got = {r.doc_id: r for r in automata.without_passages(spark.createDataFrame(rows, DOCS), length=length, phrase=phrase, texts=True, **shards).collect()}
+    for i, (x, gone) in earlier_windows(rows, length, words).items():
+        kept = b" ".join(w for w, g in zip(x, gone) if not g)
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256, got[i].kept) == (len(x), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode())
+
+
+def test_equal_windows_have_equal_segments_cores():
+    rng = np.random.default_rng(3)
+    text = bytes(rng.integers(97, 100, 700, dtype=np.uint8))
+    copy = b"zz" + text[100:400] + b"q"
+    for step in (None, 8, 1):
+        cores = []
+        for x in (text, copy):
+            first, count, core, _ = segments(byte_letters(x), 60, 16, step)
+            assert count.sum() == len(x) - 59 and (np.diff(first) == count[:-1]).all()
+            cores.append({x[p:p + 60]: c for f, n, c in zip(first, count, core) for p in range(f, f + n)})
+        for window in set(cores[0]) & set(cores[1]):
+            assert cores[0][window] == cores[1][window]
+
+
+def test_simhash_components(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = set(base)
+    for b in base[:20]:
+        for _ in range(6):
+            b ^= sum(1 << k for k in rng.sample(range(64), rng.randint(1, 4)))
+            prints.add(b)
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fingerprint long")
+    parent = {p: p for p in signed}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(signed, 2):
+        if ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
+            parent[find(a)] = find(b)
+    for blocks, tree_nodes in ((5, 4096), (6, 4096), (6, 3)):
+        links = [(r.a, r.b) for r in simhash.near_links(df, blocks=blocks, tree_nodes=tree_nodes).collect()]
+        assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in links)
+        mine = {p: p for p in signed}
+
+        def root(x):
+            while mine[x] != x:
+                x = mine[x]
+            return x
+
+        for a, b in links:
+            mine[root(a)] = root(b)
+        for a, b in itertools.combinations(signed, 2):
+            assert (find(a) == find(b)) == (root(a) == root(b))
+
+
+def test_fingerprints_follow_the_contract(spark):
+    rows = odd_documents(5, 30)
+    got = {r.doc_id: r for r in simhash.document_components(spark.createDataFrame(rows, DOCS)).collect()}
+    prints = {}
+    for i, text, *_ in rows:
+        w = [x.decode() for x in words((text or "").translate({c: c + 32 for c in range(65, 91)}))]
+        runs = [" ".join(w[k:k + 4]) for k in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+        hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert got[i].fingerprint == f"{prints[i]:016x}"
+    groups = {i: i for i in prints}
+    for _ in prints:
+        for a, b in itertools.product(prints, prints):
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                groups[b] = min(groups[a], groups[b])
+    assert {i: r.component_id for i, r in got.items()} == groups
+
+
+def test_bk_tree_follows_every_hit():
+    rng = np.random.default_rng(6)
+    values = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    queries = values ^ np.uint64(0b10110)
+    hits = {(n, int(q)) for n, qs in simhash.BKTree(values).within(queries, 5) for q in qs}
+    assert hits == {(i, j) for i in range(len(values)) for j in range(len(queries)) if (int(values[i]) ^ int(queries[j])).bit_count() <= 5}
+    tree = simhash.BKTree(values)
+    assert all((int(values[n]) ^ int(values[c])).bit_count() == d for n, kids in enumerate(tree.children) for d, c in kids.items())
+
+
+def test_warc_round_trip(spark):
+    big = "".join(random.Random(7).choices("abc<>é\r\n", k=50_000))
+    pages = [(1, "http://a/\r\nX: y", "same"), (5, None, "same"), (3, "http://c", "same"), (4, "u", None), (9, "u", ""), (6, "u", big), (7, "u", "\r\n\r\nWARC/1.1\r\n"), (None, "n", "same"), (None, "n", "lonely"), (5, "http://again", "same")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = Counter(tuple(r) for r in warc.archived_pages(df, chunk_bytes=700).collect())
+    expected = Counter()
+    for page_id, _, html in pages:
+        data = (html or "").encode()
+        ids = [p for p, _, h in pages if (h or "") == (html or "") and p is not None]
+        revisit = bool(ids) and (page_id is None or page_id < max(ids))
+        expected[(page_id, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", max(ids) if revisit else None)] += 1
+    assert got == expected
+
+
+def test_warc_chunks_rebuild_payloads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "é" * 3000), (2, "u", "x")], "page_id long, url string, html string")
+    chunks = warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/w"), f"file://{tmp_path}/w", chunk_bytes=512).collect()
+    parts = defaultdict(list)
+    for r in sorted(chunks, key=lambda r: (r.page_id, r.chunk_no)):
+        assert len(r.data) <= 512
+        parts[r.page_id].append(bytes(r.data))
+        assert r.digest == base64.b32encode(hashlib.sha1(b"".join(parts[r.page_id])).digest()).decode()
+    assert b"".join(parts[1]) == ("é" * 3000).encode() and parts[2] == [b"x"]
+
+
+def test_line_frequency(spark):
+    rows = odd_documents(8, 40)
+    line = "this line is in every single one of the documents of its host and says nothing at all to anyone who reads it now"
+    rows = [(i, f"{t or ''}\n{line.upper() if i % 2 else line}\nown words {i} " + "w" * i, lang, s, n) for i, t, lang, s, n in rows] + [(900, None, "en", "s0", 0), (901, line + "\n" + line, "en", "s1", 0)]
+    got = {r.doc_id: r for r in linefreq.document_rules(spark.createDataFrame(rows, DOCS), max_documents=4, least_words=20).collect()}
+
+    def normal(text):
+        return re.sub("[0-9]", "0", " ".join(re.split(r"[\x20\x09-\x0d]+", text.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)}))))
+
+    seen = defaultdict(set)
+    for i, text, _, source, _ in rows:
+        for x in (text or "").split("\n"):
+            seen[source, normal(x)].add(text)
+    for i, text, _, source, _ in rows:
+        text = text or ""
+        w = [x.decode() for x in words(text)]
+        windows = [tuple(w[k:k + 3]) for k in range(len(w) - 2)]
+        many = Counter(windows)
+        repeated = {k + j for k, x in enumerate(windows) if many[x] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if words(x)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(repeated))
+        failed = len(w) < 20 or 100 * len(repeated) > 50 * len(w)
+        kept = sum(len(words(x)) for x in lines if len(seen[source, normal(x)]) <= 4)
+        assert (r.base_failed, r.kept) == (failed, not failed and kept >= 0.3 * len(w))
+
+
+def test_mix_meets_targets(spark):
+    rng = random.Random(9)
+    sources = ["b"] * 50 + ["a"] * 30 + [None] * 20 + ["é"] * 2 + ["c"]
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 400))), "en", s, 0) for i, s in enumerate(sources)] + [(1000, None, "en", "a", 0), (1001, "", "en", "only empty", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mixed_documents(df, block_tokens=16).collect()
+    again = mixing.mixed_documents(df.repartition(5), block_tokens=16).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) == len(rows)
+    size = defaultdict(int)
+    source_of = {r[0]: r[3] for r in rows}
+    for i, text, _, s, _ in rows:
+        size[s] += len(words(text))
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, target = sum(size.values()), {}
+    while True:
+        free = [s for s in order if s not in target]
+        rest = total - sum(target.values())
+        over = [s for s in free if rest * weight[s] / sum(weight[f] for f in free) > 3 * size[s]]
+        if not over:
+            break
+        target |= {s: 3 * size[s] for s in over}
+    target |= {s: rest * weight[s] / sum(weight[f] for f in free) for s in free}
+    taken = defaultdict(int)
+    for r in got:
+        s = source_of[r.doc_id]
+        assert r.source_size == size[s] and math.isclose(r.target, target[s], abs_tol=1e-6) and 0 <= r.taken <= 3 * r.size
+        taken[s] += r.taken
+    for s in order:
+        assert abs(taken[s] - target[s]) <= 3 * 16
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_myers_equals_the_distance_table(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        item = [rng.randint(1, 4) for _ in range(rng.randint(1, 80))]
+        text = [rng.randint(1, 4) for _ in range(rng.randint(0, 120))]
+        row = list(range(len(item) + 1))
+        best = row[-1]
+        for w in text:
+            last, row[0] = row[0], 0
+            for i, x in enumerate(item, 1):
+                last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + (x != w))
+            best = min(best, row[-1])
+        assert decontaminate.myers_search(item, text, 0)[0] == best
+
+
+def test_decontamination_finds_every_match(spark):
+    rng = random.Random(10)
+    vocabulary = [f"w{k}" for k in range(30)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(3, 40)))) for k in range(12)] + [(50, None), (51, ""), (52, "!!!")]
+    docs = []
+    for i in range(40):
+        w = rng.choices(vocabulary, k=rng.randint(0, 150))
+        if i % 2:
+            x = items[rng.randrange(12)][1].split()
+            for _ in range(rng.randint(0, 8)):
+                k = rng.randrange(len(x))
+                x[k:k + rng.randint(0, 1)] = rng.choices(vocabulary, k=rng.randint(0, 2))
+                x = x or ["w0"]
+            w[len(w) // 2:len(w) // 2] = x
+        docs.append((i, "  ".join(w).upper() if i % 3 else ", ".join(w), "en", "s", 0))
+    docs.append((77, None, "en", "s", 0))
+    frame, table = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    expected = {}
+    for i, text, *_ in docs:
+        for k, item in items:
+            x, y = decontaminate.item_words(item), decontaminate.item_words(text)
+            budget = int(0.2 * len(x)) if len(x) >= 8 else 0
+            if x and (d := decontaminate.myers_search([hash(v) for v in x], [hash(v) for v in y], 0)[0]) <= budget:
+                expected[i, k] = d
+    for block in (16_000_000, 300):
+        got = decontaminate.item_matches(frame, table, block_characters=block).collect()
+        assert {(r.doc_id, r.item_id): r.distance for r in got} == expected
+    text = {d[0]: d[1] for d in docs}
+    for r in got:
+        run = decontaminate.item_words(text[r.doc_id])[r.first_word:r.last_word]
+        assert decontaminate.item_words(text[r.doc_id][r.start:r.stop]) == run
+    left = {r.doc_id for r in decontaminate.without_items(frame, table).collect()}
+    assert left == {d[0] for d in docs} - {i for i, _ in expected}
+
+
+def test_snapshots_collapse(spark):
+    full = [("user", "a"), ("bot", "b"), ("user", "c"), ("bot", None)]
+    logs = {1: full[:2], 2: full, 3: full[:3], 4: full, 5: [("user", "a"), ("bot", "x")], 6: full[:1], 7: [("user", "a")] * 2, None: [("user", "z")]}
+    rows = [(c, k, r, t) for c, turns in logs.items() for k, (r, t) in enumerate(turns)] + [(5, 1, "bot", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for span in (256, 2):
+        out = defaultdict(list)
+        for r in sorted(chats.rendered(df, span=span).collect(), key=lambda r: r.part):
+            out[r.conv_id].append(r)
+        assert set(out) == {2, 5, 7, None}
+        for c, parts in out.items():
+            assert "".join(p.rendered for p in parts) == "".join(f"<|{r}|>\n{t or ''}<|end|>\n" for r, t in logs[c])
+        assert out[2][0].copies == 2 and out[2][0].turns == 4
+
+
+def near_pairs(rows):
+    sets = {}
+    for i, text, *_ in rows:
+        w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or len(x & y) >= 0.8 * len(x | y) > 0:
+            yield a, b
+
+
+@pytest.mark.parametrize("tree_nodes", [2048, 3])
+def test_near_copies_leave_one_of_each(spark, tree_nodes):
+    rng = random.Random(11)
+    rows = [list(r) for r in odd_documents(12, 30)]
+    for k in range(20):
+        w = (rows[k][1] or "").split(" ")
+        if len(w) > 40:
+            w[rng.randrange(len(w))] = "changed"
+        rows.append([200 + k, " ".join(w), "en", "s", 0])
+    groups = {r[0]: r[0] for r in rows}
+    pairs = list(near_pairs(rows))
+    for _ in range(10):
+        for a, b in pairs:
+            groups[a] = groups[b] = min(groups[a], groups[b])
+    left = nearcopies.one_of_each(spark.createDataFrame([tuple(r) for r in rows], DOCS), tree_nodes=tree_nodes)
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(groups.values()))
+
+
+def test_quality_learns_and_holds_out(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r for r in fmquality.quality_scores(docs, labels).collect()}
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    import zlib
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    held = [(r.quality, got[r.doc_id].predicted) for r in labels.collect() if got[r.doc_id].held_out]
+    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
+def test_factorisation_identity():
+    rng = np.random.default_rng(13)
+    x, v = rng.normal(size=9), rng.normal(size=(9, 3))
+    pairs = sum(v[i] @ v[j] * x[i] * x[j] for i in range(9) for j in range(i))
+    assert math.isclose(pairs, 0.5 * (((v.T @ x) ** 2) - ((v ** 2).T @ x ** 2)).sum())
+
+
+def test_secret_forest_and_redaction(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(120):
+        text = " ".join(rng.choices(["alpha", "betas", "gamma", "delta"], k=30))
+        kind = i % 4
+        secret = "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
+        add = {0: f" {secret} ", 1: " 4495114827612972 ", 2: f' token = "{"%040x" % rng.getrandbits(160)}" ', 3: " 2024-01-05 "}[kind]
+        rows.append((i, f"{text}{add}é {text}", "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    found = secretscan.secret_findings(docs).collect()
+    verdict = {(r.doc_id): r.is_secret for r in found}
+    assert {i % 4 for i, s in verdict.items() if s} == {0, 2} and {i % 4 for i, s in verdict.items() if not s} == {1, 3}
+    for r in found:
+        assert rows[r.doc_id][1][r.start:r.stop] == r.candidate
+    out = {r.doc_id: r.text for r in secretscan.redacted(docs, secretscan.secret_findings(docs)).collect()}
+    assert "AKIA" not in out[0] and "[SECRET]" in out[0] and out[0].endswith(rows[0][1][-40:]) and out[1] == rows[1][1]
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    found = secretscan.findings(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), path_column="source").withColumnRenamed("known", "label")
+    train, test = found.where("doc_id % 4 <> 2"), found.where("doc_id % 4 = 2")
+    model = secretscan.fit(train)
+    rows = model.transform(test.select("label", secretscan.array_to_vector("features").alias("vector"))).collect()
+    assert sum(r.label == r.prediction for r in rows) >= 0.95 * len(rows)

@@ -30,7 +30,7 @@ def ordered_turns(turns: DataFrame, *, id_column: str = "conv_id", turn_column:
         F.col(id_column).alias("conv_id"), F.col(turn_column).cast("long").alias("turn"),
         F.col(role_column).cast("string").alias("role"), F.col(text_column).cast("string").alias("text"),
     ).distinct()
-    rows = rows.withColumn("conv_key", marked(F.col("conv_id"))).withColumn("span", F.expr(f"coalesce(floor(turn / {span}), -9223372036854775808)"))
+    rows = rows.withColumn("conv_key", marked(F.col("conv_id"))).withColumn("span", F.expr(f"coalesce(floor(turn / {span}), bigint(-9223372036854775807))"))
     sums = rows.groupBy("conv_key", "span").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("conv_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("conv_key", "span", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("turns_before"))
@@ -79,7 +79,8 @@ def rendered(turns: DataFrame, *, opening: str = "<|", closing: str = "|>", end:
 
     A turn becomes opening, role, closing, newline, text, end, newline; NULL role or text is empty. A
     conversation is rendered in parts of ``span`` turn numbers in order (part 0, 1, ...), so even one
-    with a large share of all rows is never built in one task; most have part 0 only.
+    with a large share of all rows is never built in one task; most have part 0 only. Turns without a
+    number come first, in a part of their own; an empty table gives no rows.
     """
     ordered = materialise(ordered_turns(turns, span=span, **columns))
     kept = maximal_conversations(ordered)

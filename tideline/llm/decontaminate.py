@@ -223,4 +223,4 @@ def item_matches(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id"
 def without_items(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The documents that match no item, all their columns unchanged; a NULL id is compared like a value."""
     bad = item_matches(docs, items, **settings).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs[settings.get("id_column", "doc_id")].eqNullSafe(F.col("_bad_id")), "left_anti")
+    return docs.join(bad, docs[settings.get("id_column", "doc_id")].eqNullSafe(bad["_bad_id"]), "left_anti")

@@ -54,7 +54,7 @@ def kept_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     rows = document_rules(docs, id_column=id_column, text_column=text_column, host_column=host_column, **limits)
     dropped = rows.where(~F.col("kept")).select(F.col("row_key").alias("_dropped")).distinct()
     key = digest(docs[id_column], docs[host_column].cast("string"), F.coalesce(docs[text_column].cast("string"), F.lit("")))
-    return docs.join(dropped, key == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, key == dropped["_dropped"], "left_anti")
 
 
 def _statistics(rows: DataFrame) -> DataFrame:

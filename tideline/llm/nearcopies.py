@@ -166,6 +166,9 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     leaving = marked.where(~F.col("stays")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     twice = materialise(marked.where("stays").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1").drop("count"))
     text_key = F.xxhash64(F.coalesce(docs[text_column].cast("string"), F.lit("")))
-    same = docs[id_column].eqNullSafe(F.col("_id")) & (text_key == F.col("_key"))
-    kept = docs.join(leaving, same, "left_anti")
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_column, text_column]))
+
+    def same(rows: DataFrame):
+        return docs[id_column].eqNullSafe(rows["_id"]) & (text_key == rows["_key"])
+
+    kept = docs.join(leaving, same(leaving), "left_anti")
+    return kept.join(twice, same(twice), "left_anti").unionByName(kept.join(twice, same(twice), "left_semi").dropDuplicates([id_column, text_column]))

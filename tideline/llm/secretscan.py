@@ -214,15 +214,12 @@ def redacted(docs: DataFrame, found: DataFrame, *, id_column: str = "doc_id", te
         .agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
         .select(F.col("doc_id").alias("_span_id"), F.col("text_key").alias("_span_key"), "_spans")
     )
-    rows = docs.join(spans, docs[id_column].eqNullSafe(F.col("_span_id")) & (F.xxhash64(docs[text_column]) == F.col("_span_key")), "left")
-    text = rows[text_column]
+    rows = docs.join(spans, docs[id_column].eqNullSafe(spans["_span_id"]) & (F.xxhash64(docs[text_column]) == spans["_span_key"]), "left")
+    text, found_spans = docs[text_column].cast("string"), spans["_spans"]
     state = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
     rebuilt = F.aggregate(
-        F.col("_spans"), state,
+        found_spans, state,
         lambda s, x: F.struct(F.concat(s["done"], F.substring(text, s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit(marker)).alias("done"), x["stop"].alias("at")),
         lambda s: F.concat(s["done"], F.substring(text, s["at"].cast("int") + 1, F.length(text))))
-    changed = {text_column: F.when(F.col("_spans").isNull(), text).otherwise(rebuilt)}
-    rows = rows.withColumns(changed)
-    if size_column and size_column in docs.columns:
-        rows = rows.withColumn(size_column, F.when(F.col("_spans").isNull(), F.col(size_column)).otherwise(F.length(text_column).cast("long")))
-    return rows.select(*docs.columns)
+    changed = {text_column: rebuilt} | ({size_column: F.length(rebuilt).cast("long")} if size_column in docs.columns else {})
+    return rows.select(*(F.when(found_spans.isNotNull(), changed[c]).otherwise(docs[c]).alias(c) if c in changed else docs[c] for c in docs.columns))
