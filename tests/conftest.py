@@ -13,11 +13,3 @@ def spark():
     session = build_session("tests", "4", shuffle_partitions=4)
     yield session
     session.stop()
-
-
-@pytest.fixture
-def small_groups(spark):
-    """Make every group count as too large for one window task."""
-    spark.conf.set("tideline.group.limit", "3")
-    yield
-    spark.conf.unset("tideline.group.limit")

@@ -52,6 +52,29 @@ def test_breakeven_equals_a_full_scan(spark):
         assert r["breakeven_cents"] == x
 
 
+def test_a_price_that_cannot_break_even_is_an_error(spark):
+    df = spark.createDataFrame([(2_000_000_000, 10)], "entry_cents long, shares long")
+    with pytest.raises(Exception, match="no break-even price: beyond_scan_limit"):
+        cost.with_breakeven(df).collect()
+    row = cost.with_breakeven(df, strict=False).first()
+    assert (row["breakeven_cents"], row["breakeven_state"]) == (None, "beyond_scan_limit")
+
+
+def test_sizes_never_exceed_the_budget(spark):
+    rows = [(5.0 + i * 0.37, 0.001 + (i % 29) / 900) for i in range(600)]
+    df = spark.createDataFrame(rows, "entry double, sigma double")
+    for cfg in (risk.RiskConfig(), risk.RiskConfig(equity=3_000_000.0, lot_size=7)):
+        sized = risk.size_candidates(df, cfg).select("shares", "loss_cents").toPandas().dropna()
+        assert len(sized) and (sized["loss_cents"][sized["shares"] > 0] <= round(cfg.risk_budget * 100)).all()
+
+
+def test_a_day_without_state_is_an_error(spark):
+    sized = spark.createDataFrame([(1, 5, 1, None, 10, 1.0, 1.0)], "d int, code int, rank long, own_reason string, shares long, position_pct double, position_value double")
+    state = spark.createDataFrame([], "d int, entries int, open_positions int, exposure_pct double, drawdown_pct double")
+    with pytest.raises(Exception, match="no risk state"):
+        risk.capped_greedy(sized, state, risk.RiskConfig()).collect()
+
+
 def test_barriers_on_the_wrong_side_are_an_error(spark):
     row = (1000, 1000, 1100, 100, datetime.date(2026, 8, 14))
     df = spark.createDataFrame([row], "entry_cents long, stop_cents long, target_cents long, shares long, d date")

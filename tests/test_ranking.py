@@ -13,23 +13,23 @@ def days(n):
 
 def test_midrank_averages_ties(spark):
     df = spark.createDataFrame([("d", "f", i, v) for i, v in enumerate((10.0, 20.0, 20.0, 30.0))], "d string, factor string, code long, value double")
-    out = ranking.score_cross_section(df, F.lit(False), lower_pct=0, upper_pct=100, bound=4).orderBy("code").collect()
+    out = ranking.score_cross_section(df, F.lit(False), lower_pct=0, upper_pct=100).orderBy("code").collect()
     assert [r["midrank"] for r in out] == [1, 2.5, 2.5, 4]
     assert [round(r["score"], 6) for r in out] == [0, 0.5, 0.5, 1]
 
 
 def test_single_value_is_neutral_and_direction_turns_scores(spark):
     one = spark.createDataFrame([("d", "f", 1, 5.0)], "d string, factor string, code long, value double")
-    assert ranking.score_cross_section(one, F.lit(True), bound=1).first()["score"] == 0.5
+    assert ranking.score_cross_section(one, F.lit(True)).first()["score"] == 0.5
     two = spark.createDataFrame([("d", "f", 1, 5.0), ("d", "f", 2, 9.0)], "d string, factor string, code long, value double")
-    out = ranking.score_cross_section(two, F.lit(True), lower_pct=0, upper_pct=100, bound=2).orderBy("code").collect()
+    out = ranking.score_cross_section(two, F.lit(True), lower_pct=0, upper_pct=100).orderBy("code").collect()
     assert [r["score"] for r in out] == [1.0, 0.0]
 
 
 def test_missing_factor_counts_as_neutral_and_no_data_is_dropped(spark):
     rows = [("d", "a", 1, 1.0), ("d", "a", 2, 0.0), ("d", "b", 1, 0.8)]
     scored = spark.createDataFrame(rows, "d string, factor string, code long, score double")
-    out = {r["code"]: r for r in ranking.composite(scored, ["a", "b"], 10).collect()}
+    out = {r["code"]: r for r in ranking.composite(scored, spark.createDataFrame([("d", "a", "active"), ("d", "b", "active")], "d string, factor string, state string")).collect()}
     assert abs(out[1]["composite"] - 0.9) < 1e-12 and abs(out[2]["composite"] - 0.25) < 1e-12
     assert out[2]["real_factors"] == 1 and set(out) == {1, 2}
 
@@ -60,6 +60,13 @@ def test_facts_published_later_change_nothing(spark):
     assert [r["v"] for r in align.asof_join(picks, later, "d", ["v"]).orderBy("d").collect()] == [1.0, 2.0]
 
 
+def test_first_of_equal_facts_counts(spark):
+    picks = spark.createDataFrame([(1, datetime.date(2026, 8, 10))], "code long, d date")
+    facts = spark.createDataFrame([(1, "2026-06", DAY, 5.0, 0), (1, "2026-06", DAY, 9.0, 1)], "code long, period string, report_date date, v double, pos long")
+    for unique in (True, False):
+        assert [r["v"] for r in align.asof_join(picks, facts, "d", ["v"], unique=unique, pos="pos").collect()] == [5.0]
+
+
 def test_unique_picks_ride_through_the_asof_window(spark):
     picks = spark.createDataFrame([(1, datetime.date(2026, 8, 10), "x"), (2, datetime.date(2026, 8, 20), "y")], "code long, d date, tag string")
     facts = spark.createDataFrame([(1, "2026-06", datetime.date(2026, 7, 10), 1.0)], "code long, period string, report_date date, v double")

@@ -191,15 +191,18 @@ def point_in_time_latest(facts: DataFrame, as_of: Column, key="code", known="rep
     return best.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def asof_join(picks: DataFrame, facts: DataFrame, as_of: str, value: Sequence[str], key="code", known="report_date", covers="period", unique: bool = False) -> DataFrame:
+def asof_join(picks: DataFrame, facts: DataFrame, as_of: str, value: Sequence[str], key="code", known="report_date", covers="period", unique: bool = False, pos: str | None = None) -> DataFrame:
     """:func:`point_in_time_latest` for every as-of day at once, with no look-ahead.
 
     Both sides are stacked and one running maximum per code carries the newest visible fact
     forward. Facts are first reduced to one per (code, publication day), so a window's size is
     bounded by calendar days and no pair of rows is ever built. ``unique`` states that ``picks``
     has one row per (key, as-of day): its rows then ride through the window and need no join back.
+    Among facts of equal period and report date the first by ``pos`` counts; without ``pos`` facts are
+    taken to be unique there.
     """
-    fact = F.struct(F.col(covers), F.col(known), *[F.col(v) for v in value])
+    first = [] if pos is None else [(-F.col(pos)).alias("_first")]
+    fact = F.struct(F.col(covers), F.col(known), *first, *[F.col(v) for v in value])
     published = facts.groupBy(key, F.col(known).alias("_t")).agg(F.max(fact).alias("_fact"))
     carried = [c for c in picks.columns if c not in (key, as_of)] if unique else []
     asked = picks.select(key, F.col(as_of).alias("_t"), *carried)
@@ -258,11 +261,11 @@ def incremental_new(rows: DataFrame, existing: DataFrame, keys: Sequence[str]) -
     return rows.join(existing.select(*keys), list(keys), "left_anti")
 
 
-def group_rows(df: DataFrame, keys: Sequence[str], members: Sequence[str], pos: str, bound: int | None = None) -> DataFrame:
+def group_rows(df: DataFrame, keys: Sequence[str], members: Sequence[str], pos: str) -> DataFrame:
     """Multi-valued index as rows: each key's members numbered in input order.
 
     A list column would gather a whole key into one row; numbered rows keep the same access path.
     """
     from tideline.operators.scale import number_rows
 
-    return number_rows(df.select(*keys, *members, pos), list(keys), [F.col(pos)], out="member_no", bound=bound)
+    return number_rows(df.select(*keys, *members, pos), list(keys), [F.col(pos)], out="member_no")

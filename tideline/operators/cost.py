@@ -14,7 +14,7 @@ TAX_PPM, DAY_TRADE_TAX_PPM = 3000, 1500
 HALVING_START, HALVING_END = "2017-04-28", "2027-12-31"
 PPM, BPS, CENTS = 1_000_000, 10_000, 100
 MAX_SCAN_CENTS = 1_000_000
-BREAKEVEN_STEPS = 8
+BREAKEVEN_STEPS, BREAKEVEN_FOLD = 8, 64
 
 
 @dataclass(frozen=True)
@@ -103,17 +103,18 @@ def mul_div_by(value: Column, mul: int, div: Column) -> Column:
     return div_round(value * F.lit(mul).cast("bigint"), div, HALF_UP)
 
 
-def with_breakeven(trades: DataFrame, broker: Broker = Broker(), entry="entry_cents", shares="shares", ppm: Column | int = TAX_PPM, strict: bool = False) -> DataFrame:
-    """Add the lowest exit price in cents, from the entry up, that loses nothing.
+def with_breakeven(trades: DataFrame, broker: Broker = Broker(), entry="entry_cents", shares="shares", ppm: Column | int = TAX_PPM, strict: bool = True) -> DataFrame:
+    """Add the lowest exit price in cents, from the entry up, that loses nothing, and ``breakeven_state``.
 
     Net profit is not monotone in the price, so bisection would be wrong. The least solution of
     exit = entry + ceil(100 × fees(exit) ÷ shares) is found from below instead: fees never fall as
     the price rises, so every price that breaks even lies at or above each step, and the first
     fixed point is the answer. Each step grows by the fee rate times the one before, plus at most
-    two single-unit fee steps, so the number of steps is small for any amount.
+    two single-unit fee steps, so few steps are needed: the first ones are projections that run as
+    compiled code, and a row that moves on still walks further in a fold.
 
-    A price beyond the scan limit, or a row whose steps have not settled, gives NULL, or an error
-    with ``strict``. Every step is its own projection, so all of them run as compiled code.
+    State is found, or why there is no price: beyond_scan_limit or not_settled. That is an error
+    unless ``strict`` is off, which leaves the price NULL.
     """
     e, s = F.col(entry), F.col(shares)
 
@@ -125,13 +126,17 @@ def with_breakeven(trades: DataFrame, broker: Broker = Broker(), entry="entry_ce
     for _ in range(BREAKEVEN_STEPS):
         out = out.withColumn("_exit", step(F.col("_exit")))
     price = F.col("_exit")
-    found = F.when((price - e <= MAX_SCAN_CENTS) & (step(price) == price), price)
+    further = F.aggregate(F.sequence(F.lit(1), F.lit(BREAKEVEN_FOLD)), price, lambda acc, _: F.when(acc - e > MAX_SCAN_CENTS, acc).otherwise(step(acc)))
+    out = out.withColumn("_exit", F.when(step(price) == price, price).otherwise(further))
+    state = F.when(price - e > MAX_SCAN_CENTS, "beyond_scan_limit").when(step(price) != price, "not_settled").otherwise("found")
+    out = out.withColumn("breakeven_state", state)
+    found = F.when(F.col("breakeven_state") == "found", price)
     if strict:
-        found = F.coalesce(found, F.raise_error(F.lit("no break-even price within the scan limit")).cast("bigint"))
+        found = F.coalesce(found, F.raise_error(F.concat(F.lit("no break-even price: "), F.col("breakeven_state"))).cast("bigint"))
     return out.withColumn("breakeven_cents", found).drop("_exit", "_buy_fee")
 
 
-def price_trades(trades: DataFrame, broker: Broker = Broker(), strict: bool = False, **columns) -> DataFrame:
+def price_trades(trades: DataFrame, broker: Broker = Broker(), strict: bool = True, **columns) -> DataFrame:
     """:func:`round_trip` for every trade plus its break-even price and move in basis points."""
     entry = columns.get("entry", "entry_cents")
     priced = round_trip(trades, broker, **columns)

@@ -177,13 +177,13 @@ def status_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("horizon", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def outcome_summary(outcomes: DataFrame, bound: int | None = None) -> DataFrame:
+def outcome_summary(outcomes: DataFrame) -> DataFrame:
     """n, mean, upper middle of the ascending list, mean raw, gap, and how many had actions."""
     from tideline.operators.scale import prefix_total
 
     done = outcomes.filter(F.col("status") == COMPUTED)
     hist = done.groupBy("horizon", "adjusted_return_pct").agg(F.count(F.lit(1)).alias("_eq"))
-    hist = prefix_total(hist, ["horizon"], [F.col("adjusted_return_pct")], F.col("_eq"), out="_lt", bound=bound)
+    hist = prefix_total(hist, ["horizon"], [F.col("adjusted_return_pct")], F.col("_eq"), out="_lt")
     totals = done.groupBy("horizon").agg(
         F.count(F.lit(1)).alias("n"), F.avg("adjusted_return_pct").alias("mean_adjusted"), F.avg("raw_return_pct").alias("mean_raw"),
         F.count_if(F.col("ex_right_count") > 0).alias("with_actions"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tideline.operators.align import is_tradable
-from tideline.operators.scale import _quantiles, is_bounded, number_rows, prefix_total
+from tideline.operators.scale import _quantiles, number_rows, prefix_total
 
 HIGHER, LOWER = "higher_is_better", "lower_is_better"
 
@@ -84,18 +84,21 @@ def factor_long(wide: DataFrame, keys: list[str], factors: list[str]) -> DataFra
     )
 
 
-def factor_activity(long: DataFrame, wanted: DataFrame, min_history: DataFrame) -> DataFrame:
-    """Per day and factor: active, or why not (no input that day, or too short a history)."""
-    counts = long.groupBy("d", "factor").agg(F.count(F.lit(1)).alias("n"))
+def factor_activity(inputs: DataFrame, wanted: dict[str, int], history: DataFrame) -> DataFrame:
+    """Per day and factor: active, or why not (no input rows that day, or too short a history).
+
+    ``inputs`` (d, factor, n) counts the rows a factor is computed from, not its values: a factor whose
+    values are all missing is still active. ``wanted`` is the history in days each factor needs.
+    """
     state = (
         F.when(F.col("history_days") < F.col("needs_days"), "history_too_short")
-        .when(F.col("n").isNull(), "input_empty")
+        .when(F.coalesce("n", F.lit(0)) == 0, "input_empty")
         .otherwise("active")
     )
-    days = min_history.select("d", "history_days", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(n).alias("needs_days")) for f, n in wanted.items()])).alias("_f"))
+    days = history.select("d", "history_days", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(n).alias("needs_days")) for f, n in wanted.items()])).alias("_f"))
     return (
         days.select("d", "history_days", "_f.factor", "_f.needs_days")
-        .join(counts, ["d", "factor"], "left")
+        .join(inputs.select("d", "factor", "n"), ["d", "factor"], "left")
         .select("d", "factor", F.coalesce("n", F.lit(0)).alias("n"), state.alias("state"))
     )
 
@@ -125,19 +128,13 @@ def score_cross_section(
     keys: tuple[str, ...] = ("d", "factor"),
     lower_pct: float | Column = WINSOR_LOWER_PCT,
     upper_pct: float | Column = WINSOR_UPPER_PCT,
-    bound: int | None = None,
 ) -> DataFrame:
     """Clamp each group to its percentiles, rank with ties at their average, map to 0..1.
 
-    Adds ``winsorized``, ``midrank``, ``n`` and ``score``. With a bounded group everything happens
-    in windows over one shuffle; otherwise counts of distinct values are ranked across tasks.
+    Adds ``winsorized``, ``midrank``, ``n`` and ``score``. Counts of distinct values are ranked across
+    tasks, so a group of any size is spread.
     """
-    keys = list(keys)
-    lo, hi = _share(lower_pct), _share(upper_pct)
-    if is_bounded(long, keys, bound):
-        scored = _score_in_windows(long, keys, lo, hi)
-    else:
-        scored = _score_from_counts(long, keys, lo, hi)
+    scored = _score_from_counts(long, list(keys), _share(lower_pct), _share(upper_pct))
     return scored.withColumn("score", rank_score(F.col("midrank"), F.col("n"), lower_is_better))
 
 
@@ -145,24 +142,6 @@ def _share(pct) -> Column:
     return (pct if isinstance(pct, Column) else F.lit(float(pct))) / 100.0
 
 
-def _score_in_windows(long: DataFrame, keys: list[str], lo: Column, hi: Column) -> DataFrame:
-    group = W.partitionBy(*keys)
-    by_value = group.orderBy("value")
-    ranked = long.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("_k", F.row_number().over(by_value) - 1)
-
-    def quantile(p: Column) -> Column:
-        h = (F.col("n") - 1) * p
-        a = F.max(F.when(F.col("_k") == F.floor(h), F.col("value"))).over(group)
-        b = F.max(F.when(F.col("_k") == F.ceil(h), F.col("value"))).over(group)
-        return a + (b - a) * (h - F.floor(h))
-
-    clamped = ranked.withColumn("winsorized", F.greatest(F.least(F.col("value"), quantile(hi)), quantile(lo)))
-    ties = F.count(F.lit(1)).over(W.partitionBy(*keys, "winsorized"))
-    return clamped.withColumn(
-        "midrank", F.rank().over(group.orderBy("winsorized")) + (ties - 1) / F.lit(2.0)
-    ).drop("_k")
-
-
 def _score_from_counts(long: DataFrame, keys: list[str], lo: Column, hi: Column) -> DataFrame:
     shares = long.withColumn("_lo", lo).withColumn("_hi", hi)
     hist = shares.groupBy(*keys, "_lo", "_hi", "value").agg(F.count(F.lit(1)).alias("_eq"))
@@ -191,32 +170,27 @@ def _score_from_counts(long: DataFrame, keys: list[str], lo: Column, hi: Column)
 # ── composite and lists ──────────────────────────────────────────────────────
 
 
-def composite(scored: DataFrame, factors: list[str] | None = None, bound: int | None = None) -> DataFrame:
+def active_only(scored: DataFrame, activity: DataFrame) -> DataFrame:
+    """Scores of factors that are active on their day."""
+    return scored.join(activity.filter("state = 'active'").select("d", "factor"), ["d", "factor"])
+
+
+def composite(scored: DataFrame, activity: DataFrame) -> DataFrame:
     """Mean score over the day's active factors, a missing factor counting as neutral.
 
-    Active factors are those with any score that day, kept as one bit per declared factor. Missing
-    ones need no rows of their own: (sum(score) + neutral × (active − present)) ÷ active.
+    ``activity`` (d, factor, state) says which factors are active. Missing scores need no rows of their
+    own: (sum(score) + neutral × (active − present)) ÷ active.
     """
-    names = list(factors or FACTOR_DIRECTIONS)
-    marks = reduce(lambda acc, n: acc.when(F.col("factor") == n[1], F.lit(1 << n[0]).cast("bigint")), enumerate(names), F.when(F.lit(False), F.lit(0).cast("bigint")))
-    own = scored.groupBy("d", "code").agg(
-        F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("real_factors"), F.bit_or(marks).alias("_bits")
-    )
-    if is_bounded(own, ["d"], bound):
-        joined = own.withColumn("active", F.bit_count(F.bit_or("_bits").over(W.partitionBy("d"))))
-    else:
-        joined = own.join(own.groupBy("d").agg(F.bit_count(F.bit_or("_bits")).alias("active")), "d")
+    active = activity.filter("state = 'active'").groupBy("d").agg(F.count_distinct("factor").alias("active"))
+    own = active_only(scored, activity).groupBy("d", "code").agg(F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("real_factors"))
     neutral = NEUTRAL_SCORE * (F.col("active") - F.col("real_factors"))
-    return joined.select(
-        "d", "code", ((F.col("_sum") + neutral) / F.col("active")).alias("composite"), "real_factors",
-        F.col("active").cast("bigint").alias("active"),
-    )
+    return own.join(active, "d").select(
+        "d", "code", ((F.col("_sum") + neutral) / F.col("active")).alias("composite"), "real_factors", "active")
 
 
-def composite_rank(composites: DataFrame, bound: int | None = None) -> DataFrame:
+def composite_rank(composites: DataFrame) -> DataFrame:
     """Rank by composite score, equal scores by code."""
-    order = [F.col("composite").desc(), F.col("code").asc()]
-    return number_rows(composites, ["d"], order, out="rank", bound=bound)
+    return number_rows(composites, ["d"], [F.col("composite").desc(), F.col("code").asc()], out="rank")
 
 
 def watchlist(ranked: DataFrame, k: int = WATCHLIST_SIZE) -> DataFrame:
@@ -229,21 +203,22 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def factor_detail(codes: DataFrame, scored: DataFrame, days_factors: DataFrame) -> DataFrame:
-    """One row per day, code and declared factor with raw, clamped, score and whether imputed."""
-    full = codes.join(days_factors, "d")
-    got = scored.select("d", "code", "factor", "value", "winsorized", F.col("score").alias("_score"))
+def factor_detail(codes: DataFrame, scored: DataFrame, activity: DataFrame, directions: dict[str, str] = FACTOR_DIRECTIONS) -> DataFrame:
+    """One row per day, code and declared factor with direction, raw, clamped, score and whether imputed.
+
+    A factor without a score, or not active that day, is imputed with the neutral score.
+    """
+    full = codes.join(activity.select("d", "factor", (F.col("state") == "active").alias("active")), "d")
+    got = active_only(scored, activity).select("d", "code", "factor", "value", "winsorized", F.col("score").alias("_score"))
     return full.join(got, ["d", "code", "factor"], "left").select(
-        "d", "code", "factor", F.col("value").alias("raw"), "winsorized",
-        F.when(F.col("active"), F.coalesce("_score", F.lit(NEUTRAL_SCORE))).alias("score"),
-        (F.col("active") & F.col("_score").isNull()).alias("imputed"),
-        F.col("active"),
+        "d", "code", "factor", direction_of(F.col("factor"), directions).alias("direction"), F.col("value").alias("raw"), "winsorized",
+        F.coalesce("_score", F.lit(NEUTRAL_SCORE)).alias("score"), F.col("_score").isNull().alias("imputed"), "active",
     )
 
 
 def nested_detail(detail: DataFrame) -> DataFrame:
     """The same detail as one array per day and code; its length is the number of factors."""
-    entry = F.struct("factor", "raw", "winsorized", "score", "imputed")
+    entry = F.struct("factor", "direction", "raw", "winsorized", "score", "imputed")
     return detail.groupBy("d", "code").agg(F.array_sort(F.collect_list(entry)).alias("factors"))
 
 
@@ -308,13 +283,11 @@ def explain_factors(detail: DataFrame) -> DataFrame:
     )
 
 
-def rank_on_definitions(long: DataFrame, definitions: DataFrame, factors: list[str], bound: int | None = None) -> DataFrame:
+def rank_on_definitions(long: DataFrame, definitions: DataFrame, activity: DataFrame) -> DataFrame:
     """Score and rank with percentiles and directions read from the definition table."""
     defined = long.join(definitions.select("factor", "lower_pct", "upper_pct", "direction"), "factor")
-    scored = score_cross_section(
-        defined, F.col("direction") == LOWER, lower_pct=F.col("lower_pct"), upper_pct=F.col("upper_pct"), bound=bound
-    )
-    return composite_rank(composite(scored, factors, bound), bound=bound)
+    scored = score_cross_section(defined, F.col("direction") == LOWER, lower_pct=F.col("lower_pct"), upper_pct=F.col("upper_pct"))
+    return composite_rank(composite(scored, activity))
 
 
 def definition_mismatch(definitions: DataFrame, implemented: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import asdict, dataclass, field
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tideline.functions.money import to_cents
 from tideline.operators.cost import TAX_PPM, Broker, net_cents
-from tideline.session import materialise
+from tideline.operators.scale import spread_rows
 
 SIZING_STEPS, COMPILED_STEPS, BISECTION_STEPS = 12, 2, 40
 
@@ -169,6 +171,13 @@ def _stop_loss(shares: Column, config: RiskConfig) -> Column:
     return -net_cents(F.col("entry_cents"), F.col("stop_cents"), shares, TAX_PPM, config.broker) / 100.0
 
 
+def _halved(acc: Column, lot: int, budget: Column, config: RiskConfig) -> Column:
+    """One step of the search for the most lots in [lo, hi] whose loss fits the budget."""
+    mid = F.call_function("div", acc["lo"] + acc["hi"] + 1, F.lit(2))
+    fits = _stop_loss(mid * lot, config) <= budget
+    return F.struct(F.when(fits, mid).otherwise(acc["lo"]).alias("lo"), F.when(fits, acc["hi"]).otherwise(F.greatest(mid - 1, acc["lo"])).alias("hi"))
+
+
 def with_shares(barriers: DataFrame, config: RiskConfig, mode: str = "rule") -> DataFrame:
     """Add ``shares``: a size whose loss at the stop, fees included, stays within the risk budget.
 
@@ -180,13 +189,7 @@ def with_shares(barriers: DataFrame, config: RiskConfig, mode: str = "rule") ->
     upper = _floor_lot(budget / risk, lot)
     if mode == "max":
         start = F.struct(F.lit(0).cast("bigint").alias("lo"), F.call_function("div", upper, F.lit(lot)).alias("hi"))
-
-        def halve(acc: Column, _: Column) -> Column:
-            mid = F.call_function("div", acc["lo"] + acc["hi"] + 1, F.lit(2))
-            fits = _stop_loss(mid * lot, config) <= budget
-            return F.struct(F.when(fits, mid).otherwise(acc["lo"]).alias("lo"), F.when(fits, acc["hi"]).otherwise(F.greatest(mid - 1, acc["lo"])).alias("hi"))
-
-        best = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTION_STEPS)), start, halve, lambda acc: acc["lo"] * lot)
+        best = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTION_STEPS)), start, lambda acc, _: _halved(acc, lot, budget, config), lambda acc: acc["lo"] * lot)
         return barriers.withColumn("shares", F.when(F.col("feasible"), best))
 
     def correct(shares: Column, loss: Column) -> Column:
@@ -202,8 +205,14 @@ def with_shares(barriers: DataFrame, config: RiskConfig, mode: str = "rule") ->
     for _ in range(COMPILED_STEPS):
         out = out.withColumn("_loss", F.when(n >= lot, _stop_loss(n, config)))
         out = out.withColumn("shares", F.when(over, correct(n, F.col("_loss"))).otherwise(n))
-    # almost no row is still over its budget here; only such rows walk the remaining steps
-    rest = F.aggregate(F.sequence(F.lit(COMPILED_STEPS + 1), F.lit(SIZING_STEPS)), n, again)
+    # almost no row is still over its budget here; only such rows walk the remaining corrections, and
+    # then, lot by lot, down to the first size that fits: the largest, as the loss never falls as shares rise
+    def closed(shares: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("lo"), F.call_function("div", shares, F.lit(lot)).alias("hi"))
+        down = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTION_STEPS)), start, lambda acc, _: _halved(acc, lot, budget, config), lambda acc: acc["lo"] * lot)
+        return F.greatest(F.when((shares >= lot) & (_stop_loss(shares, config) > budget), down).otherwise(shares), F.lit(0).cast("bigint"))
+
+    rest = F.aggregate(F.sequence(F.lit(COMPILED_STEPS + 1), F.lit(SIZING_STEPS)), n, again, closed)
     settled = F.when(over, rest).otherwise(n)
     return out.withColumn("shares", F.when(n.isNotNull(), F.greatest(settled, F.lit(0).cast("bigint")))).drop("_loss")
 
@@ -241,63 +250,60 @@ def size_candidates(candidates: DataFrame, config: RiskConfig, mode: str = "rule
 def capped_greedy(sized: DataFrame, state: DataFrame, config: RiskConfig) -> DataFrame:
     """Approve in rank order under the caps; a skipped candidate consumes nothing.
 
-    ``state`` has one row per day: entries so far this month, open positions, exposure and
-    drawdown. The caps allow at most a few approvals a day, so the allocation is a few rounds,
-    each taking every day's first remaining candidate that still fits. A round is one map-side
-    combined aggregation, so a day of any size is never gathered in one task. The sized
-    candidates are written once and read by every round.
+    ``state`` has one row per day: entries so far this month, open positions, exposure and drawdown; a
+    candidate of a day without state is an error. A day's candidates stream by in rank order past its
+    running totals, four numbers whatever the caps and however many candidates, so the plan does not
+    grow with the caps and memory not with the day.
     """
     kept = ["d", "code", "rank", "own_reason", "shares", "position_pct", "position_value"]
-    base = materialise(sized.select(*kept))
-    slots = F.least(config.monthly_entry_cap - F.col("entries"), config.max_concurrent - F.col("open_positions"))
-    halted = (F.col("drawdown_pct") >= config.circuit_breaker_pct) | (F.col("entries") >= config.monthly_entry_cap)
-    days = state.select(
-        "d", F.when(halted, 0).otherwise(F.greatest(slots, F.lit(0))).cast("int").alias("_slots"),
-        F.col("exposure_pct").alias("_exposure"), F.lit(config.daily_buy_budget).cast("double").alias("_budget"),
-        F.lit(0).cast("bigint").alias("_last"), F.array().cast("array<struct<rank:bigint,pct:double,value:double>>").alias("_taken"),
-    )
-    able = base.filter("own_reason is null").select("d", F.col("rank").cast("bigint").alias("rank"), "position_pct", "position_value")
-    rounds = min(config.monthly_entry_cap, config.max_concurrent)
-    for _ in range(rounds):
-        fits = (
-            (F.col("rank") > F.col("_last")) & (F.size("_taken") < F.col("_slots"))
-            & (F.col("_exposure") + F.col("position_pct") <= config.max_total_exposure_pct)
-            & (F.col("_budget").isNull() | (F.col("position_value") <= F.col("_budget")))
-        )
-        chosen = able.join(days, "d").filter(fits).groupBy("d").agg(
-            F.min_by(F.struct("rank", F.col("position_pct").alias("pct"), F.col("position_value").alias("value")), "rank").alias("_new")
-        )
-        got = F.col("_new").isNotNull()
-        days = days.join(chosen, "d", "left").select(
-            "d", "_slots",
-            F.when(got, F.col("_exposure") + F.col("_new.pct")).otherwise(F.col("_exposure")).alias("_exposure"),
-            F.when(got, F.col("_budget") - F.col("_new.value")).otherwise(F.col("_budget")).alias("_budget"),
-            # a day without a fitting candidate is finished: later rounds find nothing either
-            F.when(got, F.col("_new.rank")).otherwise(F.lit(2**62)).alias("_last"),
-            F.when(got, F.array_append("_taken", F.col("_new"))).otherwise(F.col("_taken")).alias("_taken"),
-        )
-    return _reasons(base, state, days.select("d", "_taken"), config)
-
-
-def _reasons(base: DataFrame, state: DataFrame, taken: DataFrame, config: RiskConfig) -> DataFrame:
-    joined = base.join(state, "d", "left").join(taken, "d", "left")
-    rank = F.col("rank")
-    before = F.filter(F.coalesce("_taken", F.array().cast("array<struct<rank:bigint,pct:double,value:double>>")), lambda a: a["rank"] < rank)
-    mine = F.exists("_taken", lambda a: a["rank"] == rank)
-    exposure = F.aggregate(before, F.col("exposure_pct"), lambda acc, a: acc + a["pct"])
-    spent = F.aggregate(before, F.lit(0.0), lambda acc, a: acc + a["value"])
-    used = F.size(before)
-    budget_left = F.lit(config.daily_buy_budget).cast("double") - spent
-    reason = (
-        F.when(F.col("drawdown_pct") >= config.circuit_breaker_pct, "circuit_breaker")
-        .when(F.col("entries") + used >= config.monthly_entry_cap, "monthly_turnover_cap")
-        .when(F.col("open_positions") + used >= config.max_concurrent, "concurrent_position_cap")
-        .when(F.col("own_reason").isNotNull(), F.col("own_reason"))
-        .when(exposure + F.col("position_pct") > config.max_total_exposure_pct, "total_exposure_cap")
-        .when(F.col("position_value") > budget_left, "daily_buy_budget")
-    )
-    out = joined.withColumn("reject_reason", reason).withColumn("approved", F.coalesce(mine, F.lit(False)))
-    return out.select(*base.columns, "reject_reason", "approved")
+    limits = ["entries", "open_positions", "exposure_pct", "drawdown_pct"]
+    base = sized.select(*kept)
+    joined = base.join(state.select("d", *limits, F.lit(True).alias("_known")), "d", "left")
+    schema = T.StructType([*base.schema.fields, T.StructField("reject_reason", T.StringType()), T.StructField("approved", T.BooleanType())])
+    ordered = spread_rows(joined, ["d"], ["rank"])
+
+    def fold(batches):
+        day, totals = None, None
+        for batch in batches:
+            read = {c: batch.column(c).to_pylist() for c in ("d", "own_reason", "position_pct", "position_value", "_known", *limits)}
+            reasons = []
+            for i in range(batch.num_rows):
+                if totals is None or read["d"][i] != day:
+                    if not read["_known"][i]:
+                        raise ValueError(f"no risk state for {read['d'][i]}")
+                    day, totals = read["d"][i], _Totals(config, *(read[c][i] for c in limits))
+                reasons.append(totals.decide(read["own_reason"][i], read["position_pct"][i], read["position_value"][i]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(reasons, pa.string()), pa.array([x is None for x in reasons])], [*kept, "reject_reason", "approved"])
+
+    return ordered.mapInArrow(fold, schema)
+
+
+class _Totals:
+    """Running totals of one day."""
+
+    def __init__(self, config: RiskConfig, entries, open_positions, exposure_pct, drawdown_pct):
+        self.config, self.entries, self.open, self.exposure, self.drawdown = config, entries, open_positions, exposure_pct, drawdown_pct
+        self.budget = config.daily_buy_budget
+
+    def decide(self, own_reason: str | None, pct: float | None, value: float | None) -> str | None:
+        """Why a candidate is rejected, or None, in which case it is counted."""
+        c = self.config
+        if self.drawdown >= c.circuit_breaker_pct:
+            return "circuit_breaker"
+        if self.entries >= c.monthly_entry_cap:
+            return "monthly_turnover_cap"
+        if self.open >= c.max_concurrent:
+            return "concurrent_position_cap"
+        if own_reason is not None:
+            return own_reason
+        if self.exposure + pct > c.max_total_exposure_pct:
+            return "total_exposure_cap"
+        if self.budget is not None:
+            if value > self.budget:
+                return "daily_buy_budget"
+            self.budget -= value
+        self.entries, self.open, self.exposure = self.entries + 1, self.open + 1, self.exposure + pct
+        return None
 
 
 def rejection_counts(decided: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Ordered positions inside groups of any size.
 
-A window function keeps one group in one task. That is right while a group has a known small
-bound (one row per code and trading day), and wrong when a single day, factor or source can hold
-a third of all rows. Every ordered operator here goes through :func:`prefix_total`, which keeps
-the window for bounded groups and otherwise spreads each group over range partitions.
+A window function keeps one group in one task, which is wrong when a single day, factor or source can
+hold a third of all rows. Every ordered operator here goes through :func:`prefix_total`, which spreads
+each group over range partitions and adds the totals of the partitions before. The placement of rows
+has to be the same for both uses, so it is written once when the operator is applied.
 """
 
 from __future__ import annotations
@@ -14,45 +14,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tideline.session import materialise
 
-GROUP_LIMIT = 4_000_000
-LIMIT_SETTING = "tideline.group.limit"
-
-
-def group_limit(df: DataFrame) -> int:
-    """Rows of one group that a single window task may sort."""
-    return int(df.sparkSession.conf.get(LIMIT_SETTING, str(GROUP_LIMIT)))
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return row[0] or 0
-
-
-def is_bounded(df: DataFrame, keys: Sequence[str], bound: int | None) -> bool:
-    """True when every group fits one task: by the proven ``bound``, else by measuring."""
-    size = bound if bound is not None else largest_group(df, keys)
-    return size <= group_limit(df)
-
-
-def prefix_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    weight: Column | None = None,
-    out: str = "before",
-    bound: int | None = None,
-) -> DataFrame:
+def prefix_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column | None = None, out: str = "before") -> DataFrame:
     """Add the total weight of the rows that sort before each row inside its group.
 
-    ``order`` must be a total order inside a group. ``bound`` is a proven limit on rows per group
-    (for example the number of codes when a group is one day); without it the size is measured.
+    ``order`` must be a total order inside a group.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
     earlier = (W.unboundedPreceding, -1)
-    if is_bounded(df, keys, bound):
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(*earlier)
-        return df.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0)).cast("bigint"))
-
     # Range partitions are sampled, so the placement is written once and read by both branches.
     placed = materialise(
         df.withColumn("_w", weight)
@@ -83,22 +51,23 @@ def _same(keys: Sequence[str], left: str, right: str) -> Column:
     return cond
 
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank", bound: int | None = None
-) -> DataFrame:
+def spread_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a key together in one partition and in order, for a pass that keeps running totals."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
     """Position 1..n inside each group under a total order."""
-    return prefix_total(df, keys, order, out=out, bound=bound).withColumn(out, F.col(out) + 1)
+    return prefix_total(df, keys, order, out=out).withColumn(out, F.col(out) + 1)
 
 
-def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float | Column], bound: int | None = None
-) -> DataFrame:
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float | Column]) -> DataFrame:
     """Exact linearly interpolated quantiles per group, position (n−1)·p.
 
     Values are counted first, so repeats cost one row, and no task ever buffers a group.
     """
     hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_eq"))
-    hist = prefix_total(hist, keys, [F.col(value)], F.col("_eq"), out="_lt", bound=bound)
+    hist = prefix_total(hist, keys, [F.col(value)], F.col("_eq"), out="_lt")
     totals = hist.groupBy(*keys).agg(F.sum("_eq").alias("_n"))
     return _quantiles(hist.join(totals, list(keys)), keys, value, fractions)
 

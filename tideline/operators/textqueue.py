@@ -123,7 +123,16 @@ def score_against_gold(gold: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def gold_set_hash(gold: DataFrame) -> DataFrame:
-    """Fingerprint of an exam, independent of row order and sensitive to every key and label.
+    """Fingerprint of an exam: SHA-256 over its sorted ``key=label`` lines, one to a line.
+
+    An exam is labelled by hand, so its lines fit one task; :func:`gold_tree_hash` is for sets of any size.
+    """
+    line = F.concat(F.col("item_key").cast("string"), F.lit("="), F.col("label"))
+    return gold.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("gold_set_hash"))
+
+
+def gold_tree_hash(gold: DataFrame) -> DataFrame:
+    """Fingerprint of any set of labels, independent of row order and sensitive to every key and label.
 
     SHA-256 over the sorted ``key=label`` lines, in two levels: lines are hashed within buckets
     named by the first digits of each line's own hash, then the sorted bucket digests are hashed.
@@ -133,7 +142,7 @@ def gold_set_hash(gold: DataFrame) -> DataFrame:
     lines = gold.select(line.alias("line"), F.substring(F.sha2(line, 256), 1, HASH_BUCKET_DIGITS).alias("bucket"))
     buckets = lines.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
     entry = F.concat("bucket", F.lit("="), F.col("digest"))
-    return buckets.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("gold_set_hash"))
+    return buckets.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("gold_tree_hash"))
 
 
 def exam_flags(gold: DataFrame) -> DataFrame:

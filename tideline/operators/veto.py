@@ -60,7 +60,7 @@ def veto_suspended(candidates: DataFrame, halts: DataFrame) -> DataFrame:
     """
     current = last_by_key(halts.select("code", "pos", "resume_d", "evidence"), ["code"], ["pos"])
     active = candidates.select(*KEYS).join(current, "code").filter("resume_d is null or resume_d > d")
-    return _hits(active, "suspended", F.lit("交易所公告暫停交易且尚未恢復"), F.col("evidence"))
+    return _hits(active, "suspended", F.lit("停牌中，復牌日未到或未公布"), F.col("evidence"))
 
 
 def veto_interval(candidates: DataFrame, notices: DataFrame, rule: str = "disposition") -> DataFrame:
@@ -91,7 +91,7 @@ def veto_point(candidates: DataFrame, points: DataFrame) -> DataFrame:
     undated = points.filter("d is null").groupBy("code").agg(F.max_by("info", "pos").alias("_any"), F.max("pos").alias("_q"))
     joined = candidates.select(*KEYS).join(dated, KEYS, "left").join(undated, "code", "left")
     newest = F.when(F.coalesce("_q", F.lit(-1)) > F.coalesce("_p", F.lit(-1)), F.col("_any")).otherwise(F.col("evidence"))
-    return _hits(joined.filter("_p is not null or _q is not null"), "attention", F.lit("當日被交易所公布為注意股"), newest)
+    return _hits(joined.filter("_p is not null or _q is not null"), "attention", F.lit("訊號日列於注意名單"), newest)
 
 
 def stale_points(points: DataFrame, days: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def veto_text(candidates: DataFrame, tasks: DataFrame, verdicts: DataFrame) -> D
     judged = tasks.join(verdicts.filter("verdict = 'veto'"), "task_key")
     first = judged.groupBy(*KEYS).agg(F.min_by(F.struct("task_key", "subject", "evidence"), "task_pos").alias("_t"))
     joined = candidates.select(*KEYS).join(first, KEYS)
-    return _hits(joined, "llm_material_news", F.lit("重大訊息判定為負面事件"), F.col("_t.evidence"))
+    return _hits(joined, "llm_material_news", F.lit("文字判讀結果為否決"), F.col("_t.evidence"))
 
 
 def text_verdict_counts(tasks: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -121,18 +121,26 @@ def union_markets(t: Tables) -> DataFrame:
     return align.union_markets(b.filter((F.col("code") % 2 == 0) & (F.dayofmonth("d") % 4 != 0)), b.filter("code % 2 = 1"))
 
 
+def repeated_revenue(t: Tables) -> DataFrame:
+    """Revenue facts as they arrive: some stated again, with another amount, for the same period and day."""
+    r = t.revenue()
+    again = r.filter("code % 3 = 0").select("code", "period", "report_date", (F.col("amount") * 2).alias("amount"), F.lit(1).alias("pos"))
+    return r.withColumn("pos", F.lit(2)).unionByName(again)
+
+
 @query("point_in_time_latest", """SELECT code, period, report_date, round(amount, 2) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY period DESC, report_date DESC) AS n
-   FROM revenue WHERE report_date <= DATE '1998-06-30') x WHERE n = 1""")
+   FROM (SELECT code, period, report_date, CASE WHEN code % 3 = 0 THEN amount * 2 ELSE amount END AS amount FROM revenue) r WHERE report_date <= DATE '1998-06-30') x WHERE n = 1""")
 def point_in_time_latest(t: Tables) -> DataFrame:
-    out = align.point_in_time_latest(t.revenue(), F.lit("1998-06-30").cast("date"))
-    return out.withColumn("amount", F.round("amount", 2))
+    out = align.point_in_time_latest(repeated_revenue(t), F.lit("1998-06-30").cast("date"), pos="pos")
+    return out.select("code", "period", "report_date", F.round("amount", 2).alias("amount"))
 
 
-@query("asof_revenue", """SELECT o.o_orderkey, r.period, r.report_date, round(r.amount, 2) AS amount FROM (SELECT o_orderkey, o_custkey AS code, CAST(o_orderdate AS DATE) AS d FROM orders) o
-   ASOF LEFT JOIN revenue r ON o.code = r.code AND o.d >= r.report_date""")
+@query("asof_revenue", """WITH stated AS (SELECT code, period, report_date, CASE WHEN code % 3 = 0 THEN amount * 2 ELSE amount END AS amount FROM revenue)
+   SELECT o.o_orderkey, r.period, r.report_date, round(r.amount, 2) AS amount FROM (SELECT o_orderkey, o_custkey AS code, CAST(o_orderdate AS DATE) AS d FROM orders) o
+   ASOF LEFT JOIN stated r ON o.code = r.code AND o.d >= r.report_date""")
 def asof_revenue(t: Tables) -> DataFrame:
     picks = t.orders.select("o_orderkey", F.col("o_custkey").alias("code"), F.col("o_orderdate").cast("date").alias("d"))
-    return align.asof_join(picks, t.revenue(), "d", ["amount"]).select("o_orderkey", "period", "report_date", F.round("amount", 2).alias("amount"))
+    return align.asof_join(picks, repeated_revenue(t), "d", ["amount"], pos="pos").select("o_orderkey", "period", "report_date", F.round("amount", 2).alias("amount"))
 
 
 @query("interval_cover", """SELECT q.code, q.d, min(n.pos) AS pos FROM quoted q JOIN notices n ON n.code = q.code

@@ -191,7 +191,13 @@ VIEWS: dict[str, str] = {
     "scored": """SELECT *, CASE WHEN n = 1 THEN 0.5
         WHEN factor IN ('margin_balance_change_v1', 'short_term_reversal_5d_v1') THEN 1 - (midrank - 1) / (n - 1)
         ELSE (midrank - 1) / (n - 1) END AS score FROM ranked_values""",
-    "active": "SELECT d, factor, count(*) AS n FROM scored GROUP BY d, factor",
+    "factor_inputs": """SELECT d, factor, n, CASE WHEN i < needs THEN 'history_too_short' WHEN n = 0 THEN 'input_empty' ELSE 'active' END AS state FROM (
+        SELECT c.d, c.i, f.factor, f.needs, CASE WHEN f.factor = 'rev_yoy_momentum_v1'
+          THEN (SELECT count(*) FROM (SELECT code, min(report_date) AS first_d FROM shifted GROUP BY code) p WHERE p.first_d <= c.d)
+          ELSE (SELECT count(*) FROM flows w WHERE w.d = c.d) END AS n
+        FROM cal c CROSS JOIN (VALUES ('rev_yoy_momentum_v1', 1), ('trust_net_buy_ratio_v1', 1), ('margin_balance_change_v1', 1),
+          ('short_term_reversal_5d_v1', 6), ('foreign_net_buy_ratio_v1', 1)) f(factor, needs)) z""",
+    "active": "SELECT d, factor, n FROM factor_inputs WHERE state = 'active'",
     "composites": """SELECT q.d, q.code, avg(coalesce(s.score, 0.5)) AS composite, count(s.score) AS real_factors,
         count(*) AS active FROM quoted q JOIN active a ON a.d = q.d
         LEFT JOIN scored s ON s.d = q.d AND s.code = q.code AND s.factor = a.factor

@@ -162,10 +162,11 @@ def split_comparison(t: Tables) -> DataFrame:
     return rounded(benchmark.compare_split(observations(t)), ("watch_excess", "signal_excess")).select("horizon", "watch_excess", "signal_excess", "reading")
 
 
-@query("total_return_index", "SELECT code, d, round(total_return_index, 4) AS total_return_index FROM tri WHERE code % 10 < 10 AND total_return_index < 1e9")
+@query("total_return_index", "SELECT code, d, round(log10(total_return_index), 8) AS log_index FROM tri WHERE total_return_index IS NOT NULL UNION ALL SELECT code, d, NULL FROM tri WHERE total_return_index IS NULL")
 def total_return_index(t: Tables) -> DataFrame:
     out = benchmark.total_return_index(t.closes(), t.cal(), t.actions())
-    return out.filter("total_return_index < 1e9").select("code", "d", F.round("total_return_index", 4).alias("total_return_index"))
+    # compared by its logarithm: an index may grow beyond what absolute rounding can compare
+    return out.select("code", "d", F.round(F.log10("total_return_index"), 8).alias("log_index"))
 
 
 @query("max_drawdown", """SELECT code, round(max(coalesce((peak - v) / nullif(peak, 0), 0)), 6) AS max_drawdown FROM (SELECT code, total_return_index AS v,

@@ -13,11 +13,6 @@ FACTORS = list(ranking.FACTOR_DIRECTIONS)
 DECIMALS = 9
 
 
-def group_bound(t: Tables) -> int:
-    """A day holds at most one row per roster code, so the roster's size bounds every day."""
-    return t.roster().count()
-
-
 def lower_is_better():
     return ranking.direction_of(F.col("factor"), ranking.FACTOR_DIRECTIONS) == ranking.LOWER
 
@@ -52,15 +47,28 @@ def factor_long(t: Tables) -> DataFrame:
     return ranking.factor_long(wide, ["d", "code"], FACTORS)
 
 
+NEEDS = {f: 1 for f in FACTORS} | {"short_term_reversal_5d_v1": ranking.REVERSAL_DAYS + 1}
+
+
+def activity(t: Tables) -> DataFrame:
+    """State of every factor on every day, by the rows it is computed from."""
+    rows = t.ticks().groupBy("d").agg(F.count_distinct("code").alias("n"))
+    daily = rows.select("d", "n", F.explode(F.array(*[F.lit(f) for f in FACTORS if f != "rev_yoy_momentum_v1"])).alias("factor"))
+    first = shifted_growth(t).groupBy("code").agg(F.min("report_date").alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("_new"))
+    # one row per calendar day: how many codes have published by then
+    known = t.cal().select("d").withColumn("_asked", F.lit(True)).unionByName(first, allowMissingColumns=True)
+    upto = F.sum(F.coalesce("_new", F.lit(0))).over(W.orderBy("d").rangeBetween(W.unboundedPreceding, W.currentRow))
+    revenue = known.withColumn("n", upto).filter("_asked").select("d", "n", F.lit("rev_yoy_momentum_v1").alias("factor"))
+    return ranking.factor_activity(daily.unionByName(revenue), NEEDS, t.cal().withColumnRenamed("i", "history_days"))
+
+
 def scored(t: Tables) -> DataFrame:
-    return ranking.score_cross_section(factor_long(t), lower_is_better(), bound=group_bound(t))
+    return ranking.score_cross_section(factor_long(t), lower_is_better())
 
 
 def ranked(t: Tables) -> DataFrame:
-    bound = group_bound(t)
-    scores = ranking.score_cross_section(factor_long(t), lower_is_better(), bound=bound)
-    comp = ranking.composite(scores, bound=bound).withColumn("composite", F.round("composite", DECIMALS))
-    return ranking.composite_rank(comp, bound=bound)
+    comp = ranking.composite(scored(t), activity(t)).withColumn("composite", F.round("composite", DECIMALS))
+    return ranking.composite_rank(comp)
 
 
 # ── minimum slice ────────────────────────────────────────────────────────────
@@ -71,7 +79,7 @@ def reversal_scored(t: Tables) -> DataFrame:
     long = rev.select(
         "d", "code", F.lit("short_term_reversal_5d_v1").alias("factor"), F.col("reversal").alias("value")
     )
-    return ranking.score_cross_section(long, F.lit(True), bound=group_bound(t))
+    return ranking.score_cross_section(long, F.lit(True))
 
 
 SLICE = """WITH v AS (SELECT r.* FROM rev5 r JOIN quoted q USING (code, d)),
@@ -111,21 +119,16 @@ def factor_coverage(t: Tables) -> DataFrame:
     return ranking.coverage(factor_long(t), t.cal(), FACTORS)
 
 
-@query("factor_activity", """SELECT c.d, f.factor, count(l.code) AS n,
-   CASE WHEN c.i < f.needs THEN 'history_too_short' WHEN count(l.code) = 0 THEN 'input_empty' ELSE 'active' END AS state
-   FROM cal c CROSS JOIN (VALUES ('rev_yoy_momentum_v1', 1), ('trust_net_buy_ratio_v1', 1), ('margin_balance_change_v1', 1),
-     ('short_term_reversal_5d_v1', 6), ('foreign_net_buy_ratio_v1', 1)) f(factor, needs)
-   LEFT JOIN factor_long l ON l.d = c.d AND l.factor = f.factor GROUP BY c.d, c.i, f.factor, f.needs""")
+@query("factor_activity", "SELECT d, factor, n, state FROM factor_inputs")
 def factor_activity(t: Tables) -> DataFrame:
-    needs = {f: 1 for f in FACTORS} | {"short_term_reversal_5d_v1": ranking.REVERSAL_DAYS + 1}
-    return ranking.factor_activity(factor_long(t), needs, t.cal().withColumnRenamed("i", "history_days"))
+    return activity(t)
 
 
 @query("factor_quantiles", """SELECT d, factor, n, round(lo, 6) AS lo, round(mid, 6) AS mid, round(hi, 6) AS hi FROM (
    SELECT d, factor, count(*) AS n, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.5) AS mid,
      quantile_cont(value, 0.99) AS hi FROM factor_long GROUP BY d, factor) x""")
 def factor_quantiles(t: Tables) -> DataFrame:
-    q = order_statistics(factor_long(t), ["d", "factor"], "value", {"lo": 0.01, "mid": 0.5, "hi": 0.99}, bound=group_bound(t))
+    q = order_statistics(factor_long(t), ["d", "factor"], "value", {"lo": 0.01, "mid": 0.5, "hi": 0.99})
     return q.select("d", "factor", "n", *[F.round(c, 6).alias(c) for c in ("lo", "mid", "hi")])
 
 
@@ -149,37 +152,34 @@ def daily_watchlist(t: Tables) -> DataFrame:
 
 
 def detail(t: Tables) -> DataFrame:
-    s = scored(t)
-    active = s.select("d", "factor").distinct().withColumn("active", F.lit(True))
-    declared = t.cal().select("d", F.explode(F.array(*[F.lit(f) for f in FACTORS])).alias("factor"))
-    day_factors = declared.join(active, ["d", "factor"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
-    return ranking.factor_detail(quoted(t).select("d", "code"), s, day_factors)
+    return ranking.factor_detail(quoted(t).select("d", "code"), scored(t), activity(t))
 
 
-DETAIL = """SELECT q.d, q.code, f.factor, s.value AS raw, s.winsorized,
-   CASE WHEN a.n IS NOT NULL THEN coalesce(s.score, 0.5) END AS score, a.n IS NOT NULL AND s.score IS NULL AS imputed,
-   a.n IS NOT NULL AS active
+DETAIL = """SELECT q.d, q.code, f.factor, CASE WHEN f.factor IN ('margin_balance_change_v1', 'short_term_reversal_5d_v1') THEN 'lower_is_better'
+     ELSE 'higher_is_better' END AS direction, s.value AS raw, s.winsorized,
+   coalesce(s.score, 0.5) AS score, s.score IS NULL AS imputed, a.n IS NOT NULL AS active
    FROM quoted q CROSS JOIN (VALUES ('rev_yoy_momentum_v1'), ('trust_net_buy_ratio_v1'), ('margin_balance_change_v1'),
      ('short_term_reversal_5d_v1'), ('foreign_net_buy_ratio_v1')) f(factor)
    LEFT JOIN active a ON a.d = q.d AND a.factor = f.factor
-   LEFT JOIN scored s ON s.d = q.d AND s.code = q.code AND s.factor = f.factor"""
+   LEFT JOIN scored s ON s.d = q.d AND s.code = q.code AND s.factor = a.factor"""
 
 
-@query("factor_detail", f"""SELECT d, code, factor, round(raw, 6) AS raw, round(winsorized, 6) AS winsorized,
+@query("factor_detail", f"""SELECT d, code, factor, direction, round(raw, 6) AS raw, round(winsorized, 6) AS winsorized,
    round(score, 9) AS score, imputed, active FROM ({DETAIL}) x""")
 def factor_detail(t: Tables) -> DataFrame:
     return detail(t).select(
-        "d", "code", "factor", F.round("raw", 6).alias("raw"), F.round("winsorized", 6).alias("winsorized"),
+        "d", "code", "factor", "direction", F.round("raw", 6).alias("raw"), F.round("winsorized", 6).alias("winsorized"),
         F.round("score", 9).alias("score"), "imputed", "active",
     )
 
 
-@query("factor_detail_nested", f"""SELECT d, code, count(*) AS entries, count(*) FILTER (imputed) AS imputed,
+@query("factor_detail_nested", f"""SELECT d, code, count(*) AS entries, count(*) FILTER (direction = 'lower_is_better') AS lower_better, count(*) FILTER (imputed) AS imputed,
    round(sum(coalesce(score, 0)), 6) AS score_sum FROM ({DETAIL}) x GROUP BY d, code""")
 def factor_detail_nested(t: Tables) -> DataFrame:
     n = ranking.nested_detail(detail(t))
     return n.select(
         "d", "code", F.size("factors").cast("bigint").alias("entries"),
+        F.size(F.filter("factors", lambda e: e["direction"] == ranking.LOWER)).cast("bigint").alias("lower_better"),
         F.size(F.filter("factors", lambda e: e["imputed"])).cast("bigint").alias("imputed"),
         F.round(F.aggregate("factors", F.lit(0.0), lambda a, e: a + F.coalesce(e["score"], F.lit(0.0))), 6).alias("score_sum"),
     )
@@ -226,12 +226,12 @@ def definitions(t: Tables) -> DataFrame:
    m5 AS (SELECT *, rank() OVER (PARTITION BY d, factor ORDER BY w) + (count(*) OVER (PARTITION BY d, factor, w) - 1) / 2.0 AS m FROM w5),
    s5 AS (SELECT *, CASE WHEN n = 1 THEN 0.5 WHEN factor IN ('margin_balance_change_v1', 'short_term_reversal_5d_v1')
      THEN 1 - (m - 1) / (n - 1) ELSE (m - 1) / (n - 1) END AS score FROM m5),
-   a5 AS (SELECT DISTINCT d, factor FROM s5)
+   a5 AS (SELECT DISTINCT d, factor FROM active)
    SELECT q.d, q.code, round(avg(coalesce(s.score, 0.5)), 6) AS composite, count(s.score) AS real_factors
    FROM quoted q JOIN a5 a ON a.d = q.d LEFT JOIN s5 s ON s.d = q.d AND s.code = q.code AND s.factor = a.factor
    GROUP BY q.d, q.code HAVING count(s.score) > 0""")
 def ranking_from_definitions(t: Tables) -> DataFrame:
-    r = ranking.rank_on_definitions(factor_long(t), definitions(t), FACTORS, bound=group_bound(t))
+    r = ranking.rank_on_definitions(factor_long(t), definitions(t), activity(t))
     return r.select("d", "code", F.round("composite", 6).alias("composite"), "real_factors")
 
 

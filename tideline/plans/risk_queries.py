@@ -104,12 +104,12 @@ def day_trade_cost(t: Tables) -> DataFrame:
 SCAN = f"list_filter(range(0, CAST(ceil((100 * {fees('entry_cents', 'entry_cents', 'shares')} + 300) / (shares * (1 - 0.004425))) AS BIGINT) + 2), lambda s: {net('entry_cents', '(entry_cents + s)', 'shares')} >= 0)[1]"
 
 
-@query("breakeven_prices", f"""SELECT l_orderkey, l_linenumber, entry_cents + s AS breakeven_cents, {half_up('s * 10000', 'entry_cents')} AS breakeven_bps FROM (
+@query("breakeven_prices", f"""SELECT l_orderkey, l_linenumber, entry_cents + s AS breakeven_cents, {half_up('s * 10000', 'entry_cents')} AS breakeven_bps, 'found' AS breakeven_state FROM (
    SELECT *, {SCAN} AS s FROM trades) x""")
 def breakeven_prices(t: Tables) -> DataFrame:
     priced = cost.with_breakeven(t.trades())
     move = cost.mul_div_by(F.col("breakeven_cents") - F.col("entry_cents"), 10_000, F.col("entry_cents"))
-    return priced.withColumn("breakeven_bps", move).select("l_orderkey", "l_linenumber", "breakeven_cents", "breakeven_bps")
+    return priced.withColumn("breakeven_bps", move).select("l_orderkey", "l_linenumber", "breakeven_cents", "breakeven_bps", "breakeven_state")
 
 
 @query("priced_trades", f"""SELECT l_orderkey, l_linenumber, 100 * {fees('entry_cents', 'entry_cents', 'shares')} AS cost_cents, entry_cents + s AS breakeven_cents FROM (
@@ -169,24 +169,42 @@ def position_sizes_max(t: Tables) -> DataFrame:
     return risk.size_candidates(t.candidates(), CONFIG, mode="max").filter("feasible").select("d", "code", "shares")
 
 
-GREEDY = f"""{SOLVED},
+def greedy(monthly: int = 6, open_: int = 3, exposure: float = 60, budget: str = "CAST(NULL AS DOUBLE)") -> str:
+    return f"""{SOLVED},
    decide AS (SELECT w.d, w.rank, w.code, w.own_reason, w.pct, w.value FROM own w),
-   greedy AS (SELECT d, 0::BIGINT AS rank, CAST(entries AS BIGINT) AS entries, CAST(open_positions AS BIGINT) AS open, CAST(exposure_pct AS DOUBLE) AS exposure, drawdown_pct AS dd,
-       entries >= 6 AS month_halt, CAST(NULL AS BIGINT) AS code, CAST(NULL AS STRING) AS reason FROM risk_state
+   greedy AS (SELECT d, 0::BIGINT AS rank, CAST(entries AS BIGINT) AS entries, CAST(open_positions AS BIGINT) AS open, CAST(exposure_pct AS DOUBLE) AS exposure, {budget} AS money, drawdown_pct AS dd, CAST(NULL AS BIGINT) AS code, CAST(NULL AS STRING) AS reason FROM risk_state
      UNION ALL SELECT g.d, w.rank, CASE WHEN ok THEN g.entries + 1 ELSE g.entries END, CASE WHEN ok THEN g.open + 1 ELSE g.open END,
-       CASE WHEN ok THEN g.exposure + w.pct ELSE g.exposure END, g.dd, g.month_halt, w.code, w.why FROM greedy g JOIN LATERAL (
-         SELECT rank, code, pct, why, why IS NULL AS ok FROM (SELECT c.rank, c.code, c.pct, CASE WHEN g.dd >= 15 THEN 'circuit_breaker' WHEN g.entries >= 6 THEN 'monthly_turnover_cap'
-           WHEN g.open >= 3 THEN 'concurrent_position_cap' WHEN c.own_reason IS NOT NULL THEN c.own_reason WHEN g.exposure + c.pct > 60 THEN 'total_exposure_cap' END AS why
+       CASE WHEN ok THEN g.exposure + w.pct ELSE g.exposure END, CASE WHEN ok THEN g.money - w.value ELSE g.money END, g.dd, w.code, w.why FROM greedy g JOIN LATERAL (
+         SELECT rank, code, pct, value, why, why IS NULL AS ok FROM (SELECT c.rank, c.code, c.pct, c.value, CASE WHEN g.dd >= 15 THEN 'circuit_breaker' WHEN g.entries >= {monthly} THEN 'monthly_turnover_cap'
+           WHEN g.open >= {open_} THEN 'concurrent_position_cap' WHEN c.own_reason IS NOT NULL THEN c.own_reason WHEN g.exposure + c.pct > {exposure} THEN 'total_exposure_cap'
+           WHEN c.value > g.money THEN 'daily_buy_budget' END AS why
            FROM decide c WHERE c.d = g.d AND c.rank = g.rank + 1) y) w ON true)"""
 
 
+GREEDY = greedy()
+
+
 @query("capped_approvals", f"WITH RECURSIVE {GREEDY} SELECT d, rank, code, reason AS reject_reason, reason IS NULL AS approved FROM greedy WHERE rank > 0")
 def capped_approvals(t: Tables) -> DataFrame:
     return decided(t).select("d", "rank", "code", "reject_reason", "approved")
 
 
-def decided(t: Tables) -> DataFrame:
-    return risk.capped_greedy(risk.size_candidates(t.candidates(), CONFIG), t.risk_state(), CONFIG)
+WIDE = risk.RiskConfig(max_concurrent=20, monthly_entry_cap=40, max_total_exposure_pct=300.0)
+BUDGETED = risk.RiskConfig(daily_buy_budget=2500.0)
+
+
+@query("capped_approvals_wide", f"WITH RECURSIVE {greedy(40, 20, 300)} SELECT d, rank, code, reason AS reject_reason, reason IS NULL AS approved FROM greedy WHERE rank > 0")
+def capped_approvals_wide(t: Tables) -> DataFrame:
+    return decided(t, WIDE).select("d", "rank", "code", "reject_reason", "approved")
+
+
+@query("capped_approvals_budget", f"WITH RECURSIVE {greedy(budget='2500.0::DOUBLE')} SELECT d, rank, code, reason AS reject_reason, reason IS NULL AS approved FROM greedy WHERE rank > 0")
+def capped_approvals_budget(t: Tables) -> DataFrame:
+    return decided(t, BUDGETED).select("d", "rank", "code", "reject_reason", "approved")
+
+
+def decided(t: Tables, config: risk.RiskConfig = CONFIG) -> DataFrame:
+    return risk.capped_greedy(risk.size_candidates(t.candidates(), config), t.risk_state(), config)
 
 
 @query("rejection_counts", f"WITH RECURSIVE {GREEDY} SELECT reason, count(*) AS n FROM greedy WHERE rank > 0 AND reason IS NOT NULL GROUP BY reason")

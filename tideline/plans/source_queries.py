@@ -45,17 +45,17 @@ def field_table_rows(t: Tables) -> DataFrame:
 KEYS = """WITH ks AS (SELECT id, source_id, pos, CASE WHEN json_type(elem) = 'OBJECT' THEN list_sort(json_keys(elem)) END AS ks FROM payload_rows)"""
 
 
-@query("observed_fields", KEYS + """ SELECT id, array_to_string(list_sort(list_distinct(flatten(list(ks)))), ',') AS fields
-   FROM ks WHERE ks IS NOT NULL GROUP BY id""")
+@query("observed_fields", KEYS + """ SELECT p.id, coalesce(fields, '') AS fields FROM payloads p LEFT JOIN (
+   SELECT id, array_to_string(list_sort(list_distinct(flatten(list(ks)))), ',') AS fields FROM ks WHERE ks IS NOT NULL GROUP BY id) x ON x.id = p.id""")
 def observed_fields(t: Tables) -> DataFrame:
-    return pay.observed_fields(pay.json_rows(t.payloads())).select("id", F.array_join("fields", ",").alias("fields"))
+    return pay.observed_fields(pay.json_rows(t.payloads()), every=t.payloads()).select("id", F.array_join("fields", ",").alias("fields"))
 
 
 @query("heterogeneous_rows", KEYS + """, lead_row AS (SELECT id, min_by(ks, pos) AS k0 FROM ks WHERE ks IS NOT NULL GROUP BY id)
-   SELECT ks.id, count(*) AS row_count, count(*) FILTER (ks.ks IS DISTINCT FROM k0) AS heterogeneous
-   FROM ks LEFT JOIN lead_row ON ks.id = lead_row.id GROUP BY ks.id""")
+   SELECT p.id, count(ks.id) AS row_count, count(ks.id) FILTER (ks.ks IS DISTINCT FROM k0) AS heterogeneous
+   FROM payloads p LEFT JOIN ks ON ks.id = p.id LEFT JOIN lead_row ON ks.id = lead_row.id GROUP BY p.id""")
 def heterogeneous_rows(t: Tables) -> DataFrame:
-    return pay.heterogeneous_rows(pay.json_rows(t.payloads()))
+    return pay.heterogeneous_rows(pay.json_rows(t.payloads()), every=t.payloads())
 
 
 RAWDATE = f"""WITH rd AS (SELECT id, selection, pos, json_extract_string(elem, '$.Date') AS raw FROM payload_rows),
@@ -67,13 +67,13 @@ def dated_rows(t: Tables) -> DataFrame:
     return rows.select("id", "pos", F.col("row")["Date"].alias("raw"), "selection")
 
 
-@query("payload_dates", RAWDATE + """ SELECT id, CASE WHEN NOT many THEN mx END AS data_as_of,
-   CASE WHEN strings = 0 THEN 'date_field_missing' WHEN mx IS NULL THEN 'date_unparsable' WHEN selection = 'max' THEN 'max_date_in_payload'
-     WHEN many THEN 'multiple_dates_in_payload' ELSE 'single_date_in_payload' END AS reason FROM (
+@query("payload_dates", RAWDATE + """ SELECT s.id, CASE WHEN NOT many THEN mx END AS data_as_of,
+   CASE WHEN s.state IS NOT NULL THEN s.state WHEN strings = 0 THEN 'date_field_missing' WHEN mx IS NULL THEN 'date_unparsable' WHEN x.selection = 'max' THEN 'max_date_in_payload'
+     WHEN many THEN 'multiple_dates_in_payload' ELSE 'single_date_in_payload' END AS reason FROM payload_states s LEFT JOIN (
    SELECT id, max(selection) AS selection, count(raw) AS strings, max(dd) AS mx,
-     max(selection) = 'unique' AND count(DISTINCT raw) > 1 AS many FROM pd GROUP BY id) x""")
+     max(selection) = 'unique' AND count(DISTINCT raw) > 1 AS many FROM pd GROUP BY id) x ON x.id = s.id""")
 def payload_dates(t: Tables) -> DataFrame:
-    return pay.resolve_as_of(dated_rows(t), "raw", F.lit(dates.ROC_COMPACT), F.col("selection"))
+    return pay.resolve_as_of(dated_rows(t), "raw", F.lit(dates.ROC_COMPACT), F.col("selection"), states=pay.states(t.payloads()))
 
 
 @query("observed_dates", RAWDATE + """ SELECT id, raw, first_pos, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first_pos, raw) AS rank
@@ -423,6 +423,13 @@ def no_backfill(t: Tables) -> DataFrame:
     return quality.no_backfill(t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")), "d", "1998-01-01")
 
 
-@query("exclude_probes", """SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 1000 AND o_orderkey < 900000000 AND NOT starts_with(o_orderpriority, 'zz_probe_')""")
+@query("exclude_probes", """SELECT o_orderkey, o_custkey, 'record' AS kind FROM orders WHERE o_orderkey % 1100 < 1000 AND o_orderkey < 900000000 AND o_orderkey % 7 <> 0
+   UNION ALL SELECT o_orderkey, o_custkey, 'registry' FROM orders WHERE o_orderkey % 5 <> 0""")
 def exclude_probes(t: Tables) -> DataFrame:
-    return quality.exclude_probes(t.orders, revision="o_custkey", key="o_orderpriority", ident="o_orderkey").select("o_orderkey", "o_custkey")
+    key = F.col("o_orderkey")
+    rows = t.orders.select(
+        key, "o_custkey", (key % 1100).alias("revision"), F.concat(F.when(key % 7 == 0, "__probe").otherwise("m"), key.cast("string")).alias("message"),
+        F.concat(F.when(key % 5 == 0, "probe_").when(key % 7 == 0, "__probe").otherwise("f"), key.cast("string")).alias("factor_key"))
+    records = quality.exclude_probes(rows, revision="revision", key="message", ident="o_orderkey").withColumn("kind", F.lit("record"))
+    registry = quality.exclude_probes(rows, key="factor_key", prefix=quality.REGISTRY_PROBE_PREFIX).withColumn("kind", F.lit("registry"))
+    return records.unionByName(registry).select("o_orderkey", "o_custkey", "kind")

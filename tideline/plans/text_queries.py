@@ -149,12 +149,17 @@ def score_against_gold(t: Tables) -> DataFrame:
     return tq.score_against_gold(exam(t), t.verdicts()).withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query("gold_set_hash", f"""WITH {LATEST}, l AS (SELECT concat(item_key, '=', label) AS line FROM latest), b AS (SELECT substring(sha256(line), 1, 3) AS bucket, sha256(array_to_string(list_sort(list(line)), chr(10))) AS digest FROM l GROUP BY 1)
-   SELECT sha256(array_to_string(list_sort(list(concat(bucket, '=', digest))), chr(10))) AS gold_set_hash FROM b""")
+@query("gold_set_hash", f"""WITH {LATEST} SELECT sha256(array_to_string(list_sort(list(concat(item_key, '=', label))), chr(10))) AS gold_set_hash FROM latest""")
 def gold_set_hash(t: Tables) -> DataFrame:
     return tq.gold_set_hash(exam(t))
 
 
+@query("gold_tree_hash", f"""WITH {LATEST}, l AS (SELECT concat(item_key, '=', label) AS line FROM latest), b AS (SELECT substring(sha256(line), 1, 3) AS bucket, sha256(array_to_string(list_sort(list(line)), chr(10))) AS digest FROM l GROUP BY 1)
+   SELECT sha256(array_to_string(list_sort(list(concat(bucket, '=', digest))), chr(10))) AS gold_tree_hash FROM b""")
+def gold_tree_hash(t: Tables) -> DataFrame:
+    return tq.gold_tree_hash(exam(t))
+
+
 @query("exam_flags", f"WITH {LATEST} SELECT count(DISTINCT label) < 2 AS degenerate, count(DISTINCT sha256(text)) < count(*) AS has_repeats FROM latest JOIN documents ON doc_id = item_key")
 def exam_flags(t: Tables) -> DataFrame:
     texts = t.documents.select(F.col("doc_id").alias("item_key"), F.sha2("text", 256).alias("content_key"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: set[str] = set()
+
+
 def build_session(app: str = "tideline", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the submitted session is used instead."""
     spark = (
@@ -31,18 +36,19 @@ def build_session(app: str = "tideline", cores: str = "*", shuffle_partitions: i
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session without that setting gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its machine, so a missing setting is an error.
+    Only a local-mode session without that setting, as in tests, gets a folder of its own, named by its
+    application and deleted when the program ends; on a cluster a missing setting is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="tideline-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = os.path.join(tempfile.gettempdir(), f"tideline-{spark.sparkContext.applicationId}")
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -66,17 +66,28 @@ def fields_data_rows(payloads: DataFrame, key: str = "id", body: str = "body") -
 # ── observation ──────────────────────────────────────────────────────────────
 
 
-def observed_fields(rows: DataFrame, key: str = "id") -> DataFrame:
-    """Sorted union of field names per payload. Names are made distinct before they are gathered."""
+def states(payloads: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
+    """(key, state) of every payload, decided where the body lies; bodies go no further."""
+    return payloads.select(key, payload_state(F.col(body)).alias("state"))
+
+
+def observed_fields(rows: DataFrame, key: str = "id", every: DataFrame | None = None) -> DataFrame:
+    """Sorted union of field names per payload. Names are made distinct before they are gathered.
+
+    With ``every`` (all keys) a payload without fields has an empty list.
+    """
     names = rows.select(key, F.explode(F.map_keys("row")).alias("name")).distinct()
-    return names.groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("fields"))
+    found = names.groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("fields"))
+    if every is None:
+        return found
+    return every.select(key).join(found, key, "left").withColumn("fields", F.coalesce("fields", F.array().cast("array<string>")))
 
 
 def signature(row: Column) -> Column:
     return F.array_join(F.array_sort(F.map_keys(row)), "\u001f", "\u0000")
 
 
-def heterogeneous_rows(rows: DataFrame, key: str = "id") -> DataFrame:
+def heterogeneous_rows(rows: DataFrame, key: str = "id", every: DataFrame | None = None) -> DataFrame:
     """Rows whose field names differ from those of the first object row; non-objects count too.
 
     Signatures are counted first, so a payload with millions of equal rows joins as one row.
@@ -85,14 +96,21 @@ def heterogeneous_rows(rows: DataFrame, key: str = "id") -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_first")
     )
     lead = counted.filter("_sig is not null").groupBy(key).agg(F.min_by("_sig", "_first").alias("_lead"))
-    return counted.join(lead, key, "left").groupBy(key).agg(
+    found = counted.join(lead, key, "left").groupBy(key).agg(
         F.sum("_n").alias("row_count"),
         F.coalesce(F.sum(F.when(~F.col("_sig").eqNullSafe(F.col("_lead")), F.col("_n"))), F.lit(0)).alias("heterogeneous"),
     )
+    if every is None:
+        return found
+    return every.select(key).join(found, key, "left").na.fill(0, ["row_count", "heterogeneous"])
+
 
+def resolve_as_of(rows: DataFrame, raw: str, fmt: Column, selection: Column, key: str = "id", states: DataFrame | None = None) -> DataFrame:
+    """Date of each payload with the reason it was, or was not, resolved.
 
-def resolve_as_of(rows: DataFrame, raw: str, fmt: Column, selection: Column, key: str = "id") -> DataFrame:
-    """Date of each payload with the reason it was, or was not, resolved."""
+    With ``states`` (:func:`states`) every payload answers: one that is no usable array has its state
+    for a reason.
+    """
     seen = rows.groupBy(key).agg(
         F.count(raw).alias("_strings"),
         F.count_distinct(raw).alias("_raw"),
@@ -107,7 +125,10 @@ def resolve_as_of(rows: DataFrame, raw: str, fmt: Column, selection: Column, key
         .when(unique_many, MULTIPLE)
         .otherwise(SINGLE)
     )
-    return seen.select(key, F.when(~unique_many, F.col("_max")).alias("data_as_of"), reason.alias("reason"))
+    dated = seen.select(key, F.when(~unique_many, F.col("_max")).alias("data_as_of"), reason.alias("reason"))
+    if states is None:
+        return dated
+    return states.join(dated, key, "left").select(key, "data_as_of", F.coalesce("state", "reason").alias("reason"))
 
 
 def resolve_period(rows: DataFrame, raw: str, key: str = "id") -> DataFrame:
