@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import json
+
+from pyspark.sql import Column, functions as F, types as T
 
 from tideline.functions.text import parse_text, strip_ws
 
@@ -22,6 +24,41 @@ def canonical_map_json(m: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
 
 
+def canonical_json(c: Column, kind: T.DataType) -> Column:
+    """JSON of any nesting with sorted keys: structs and string-keyed maps as objects, lists in order.
+
+    A missing struct field is left out, as an absent property is; a missing list element or map value
+    is null. Whole doubles are written without a fraction.
+    """
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.when(c[f.name].isNotNull(), F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), canonical_json(c[f.name], f.dataType))) for f in fields]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        entries = F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), canonical_json(e["value"], kind.valueType)))
+        text = F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical_json(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+        text = F.when(whole, c.cast("decimal(20,0)").cast("string")).otherwise(c.cast("string"))
+    elif isinstance(kind, T.StringType):
+        text = _quoted(c)
+    else:
+        text = c.cast("string")
+    return F.coalesce(text, F.lit("null"))
+
+
+def _quoted(c: Column) -> Column:
+    """A string as JSON text with every control character escaped."""
+    inside = F.to_json(F.array(c))
+    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+
+
+def definition_hash(c: Column, kind: T.DataType) -> Column:
+    return F.sha2(canonical_json(c, kind), 256)
+
+
 def _json_string(c: Column) -> Column:
     escaped = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
     for raw, shown in (("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t")):

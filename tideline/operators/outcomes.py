@@ -51,24 +51,43 @@ def _fold(events: Column) -> Column:
     )
 
 
+def running_actions(events: DataFrame) -> DataFrame:
+    """Per code and ex-day what all actions up to then make of one first share: factor, cash, counts.
+
+    A code has at most one merged action per day, so its window is bounded by the calendar.
+    """
+    upto = W.partitionBy("code").orderBy("ex_date").rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = W.partitionBy("code").orderBy("ex_date").rowsBetween(W.unboundedPreceding, -1)
+    grown = 1 + F.coalesce("ratio", F.lit(0.0))
+    # a dividend is paid on the shares held before its day
+    paid = F.coalesce("cash", F.lit(0.0)) * F.coalesce(F.product(grown).over(earlier), F.lit(1.0))
+    return (
+        merge_events(events).withColumn("_paid", paid)
+        .select("code", "ex_date", F.product(grown).over(upto).alias("factor"), F.sum("_paid").over(upto).alias("cash"),
+                F.count(F.lit(1)).over(upto).alias("events"), F.sum(F.coalesce(F.col("rights"), F.lit(False)).cast("int")).over(upto).alias("rights"))
+    )
+
+
 def adjustment_for(intervals: DataFrame, events: DataFrame, from_="from_d", to="to_d") -> DataFrame:
     """Share factor and cash per original share over (from, to], for any set of intervals.
 
-    Equal intervals of a code are folded once. A code has at most one merged event per day, so the
-    list folded for one interval is bounded by the days it spans.
+    Running totals per code are looked up at both ends: factor = F(to) ÷ F(from) and
+    cash = (C(to) − C(from)) ÷ F(from). Equal days of a code are asked once and no interval meets an
+    action, so a code that all intervals share costs its calendar, not their product.
     """
-    asked = intervals.select("code", from_, to).distinct()
-    hit = (F.col("a.code") == F.col("e.code")) & (F.col("e.ex_date") > F.col(f"a.{from_}")) & (F.col("e.ex_date") <= F.col(f"a.{to}"))
-    entry = F.struct(F.col("e.ex_date").alias("ex_date"), F.col("e.cash").alias("cash"), F.col("e.ratio").alias("ratio"))
-    folded = (
-        asked.alias("a").join(merge_events(events).alias("e"), hit)
-        .groupBy(F.col("a.code").alias("code"), F.col(f"a.{from_}").alias(from_), F.col(f"a.{to}").alias(to))
-        .agg(_fold(F.collect_list(entry)).alias("_f"), F.count(F.lit(1)).alias("_n"), F.max("e.rights").alias("_r"))
-    )
-    return intervals.join(folded, ["code", from_, to], "left").select(
-        *intervals.columns,
-        F.coalesce("_f.factor", F.lit(1.0)).alias("factor"), F.coalesce("_f.cash", F.lit(0.0)).alias("cash"),
-        F.coalesce("_n", F.lit(0)).alias("events"), F.coalesce("_r", F.lit(False)).alias("rights"),
+    totals = F.struct("factor", "cash", "events", "rights")
+    known = running_actions(events).select("code", F.col("ex_date").alias("_t"), totals.alias("_have"))
+    asked = intervals.select("code", F.col(from_).alias("_t")).unionByName(intervals.select("code", F.col(to).alias("_t"))).where("_t is not null").distinct()
+    stacked = asked.withColumn("_ask", F.lit(True)).unionByName(known, allowMissingColumns=True)
+    running = W.partitionBy("code").orderBy("_t").rangeBetween(W.unboundedPreceding, W.currentRow)
+    none = F.struct(F.lit(1.0).alias("factor"), F.lit(0.0).alias("cash"), F.lit(0).cast("bigint").alias("events"), F.lit(0).cast("bigint").alias("rights"))
+    at = stacked.withColumn("_at", F.coalesce(F.last("_have", ignorenulls=True).over(running), none)).where("_ask").select("code", "_t", "_at")
+    start = at.select("code", F.col("_t").alias(from_), F.col("_at").alias("_a"))
+    end = at.select("code", F.col("_t").alias(to), F.col("_at").alias("_b"))
+    a, b = F.coalesce("_a", none), F.coalesce("_b", "_a", none)
+    return intervals.join(start, ["code", from_], "left").join(end, ["code", to], "left").withColumns({"_a": a, "_b": b}).select(
+        *intervals.columns, (F.col("_b.factor") / F.col("_a.factor")).alias("factor"), ((F.col("_b.cash") - F.col("_a.cash")) / F.col("_a.factor")).alias("cash"),
+        (F.col("_b.events") - F.col("_a.events")).alias("events"), (F.col("_b.rights") > F.col("_a.rights")).alias("rights"),
     )
 
 

@@ -68,11 +68,11 @@ def missing_from_data(t: Tables) -> DataFrame:
     return align.missing_from_data(t.roster(), t.ticks())
 
 
-def last_day_quotes(t: Tables) -> DataFrame:
-    return t.closes().withColumn("vol", F.when(F.col("code") % 9 != 0, F.col("vol"))).filter(F.dayofmonth("d") == 20)
+def all_quotes(t: Tables) -> DataFrame:
+    return t.closes().withColumn("vol", F.when(F.col("code") % 9 != 0, F.col("vol")))
 
 
-UNIVERSE = """WITH q AS (SELECT code, max(CASE WHEN close > 0 AND code % 9 <> 0 THEN 1 ELSE 0 END) AS tradable, count(*) AS n FROM bars WHERE day(d) = 20 GROUP BY code),
+UNIVERSE = """WITH q AS (SELECT code, max(CASE WHEN close > 0 AND code % 9 <> 0 THEN 1 ELSE 0 END) AS tradable, count(*) AS n FROM bars GROUP BY code),
    j AS (SELECT coalesce(r.market, 'NONE') AS market, r.code AS inside, q.tradable, q.n FROM roster r FULL JOIN q ON q.code = r.code),
    s AS (SELECT coalesce(market, 'ALL') AS market, count(inside) AS roster_size, count(*) FILTER (inside IS NOT NULL AND n IS NOT NULL) AS with_quote,
      count(*) FILTER (inside IS NOT NULL AND tradable = 1) AS tradable, CAST(coalesce(sum(n) FILTER (inside IS NULL), 0) AS BIGINT) AS excluded_rows FROM j GROUP BY ROLLUP (market))"""
@@ -80,12 +80,12 @@ UNIVERSE = """WITH q AS (SELECT code, max(CASE WHEN close > 0 AND code % 9 <> 0
 
 @query("universe_summary", UNIVERSE + " SELECT * FROM s")
 def universe_summary(t: Tables) -> DataFrame:
-    return align.summarize_universe(t.roster(), last_day_quotes(t))
+    return align.summarize_universe(t.roster(), all_quotes(t))
 
 
-@query("coverage_gate", UNIVERSE + " SELECT market, round(with_quote / nullif(roster_size, 0), 9) AS coverage, coalesce(with_quote / nullif(roster_size, 0) > 0.05, false) AS passed FROM s")
+@query("coverage_gate", UNIVERSE + " SELECT market, round(with_quote / nullif(roster_size, 0), 9) AS coverage, coalesce(with_quote / nullif(roster_size, 0) > 0.99, false) AS passed FROM s")
 def coverage_gate(t: Tables) -> DataFrame:
-    gate = quality.coverage_gate(align.summarize_universe(t.roster(), last_day_quotes(t)), 0.05)
+    gate = quality.coverage_gate(align.summarize_universe(t.roster(), all_quotes(t)))
     return gate.withColumn("coverage", F.round("coverage", 9))
 
 

@@ -93,7 +93,7 @@ VIEWS: dict[str, str] = {
         CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_quantity > 0""",
     "announce": """SELECT doc_id, source AS code, lang AS market,
         CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) * INTERVAL 1 DAY AS DATE) AS speak_date,
-        substring(text, 1, 60) AS subject, text AS detail, concat('clause', CAST(doc_id % 9 AS STRING)) AS clause
+        text AS subject, text AS detail, concat('clause', CAST(doc_id % 9 AS STRING)) AS clause
         FROM documents""",
     "gold": """SELECT doc_id AS item_key, 1 AS revision, CASE WHEN toxic = 1 THEN 'veto' ELSE 'no_veto' END AS label
         FROM labels UNION ALL
@@ -147,7 +147,7 @@ VIEWS: dict[str, str] = {
     "returns": """SELECT a.code, a.d, ca.i, ln(a.close / b.close) AS r FROM bars a JOIN cal ca ON ca.d = a.d JOIN cal cb ON cb.i = ca.i - 1
         JOIN bars b ON b.code = a.code AND b.d = cb.d WHERE a.close > 0 AND b.close > 0""",
     "responses": """SELECT doc_id AS task_key, doc_id % 6 AS shape, regexp_replace(substring(text, 5, 24), '[^A-Za-z ]', '', 'g') AS q,
-        regexp_replace(concat(substring(text, 1, 60), chr(10), text), '[\\s\\x{00A0}\\x{3000}\\x{FEFF}]+', '', 'g') AS hay FROM documents""",
+        regexp_replace(concat(text, chr(10), text), '[\\s\\x{00A0}\\x{3000}\\x{FEFF}]+', '', 'g') AS hay FROM documents""",
     "judged": """SELECT task_key, shape, shape IN (2, 3, 4) AS parse_ok, CASE WHEN shape = 0 THEN 'no_json' WHEN shape = 5 THEN 'no_json' WHEN shape = 1 THEN 'bad_verdict' END AS failure,
         CASE WHEN shape = 3 AND length(regexp_replace(q, '\\s', '', 'g')) >= 8 AND contains(hay, regexp_replace(q, '\\s', '', 'g')) THEN 'veto' ELSE 'no_veto' END AS verdict,
         CASE shape WHEN 3 THEN q WHEN 4 THEN 'short' ELSE '' END AS quoted_evidence,

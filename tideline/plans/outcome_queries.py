@@ -55,11 +55,11 @@ ADJ = """WITH iv AS (SELECT code, d AS from_d, CAST(d + INTERVAL 9 DAY AS DATE)
    ia AS (SELECT code, from_d, last(f ORDER BY ex_date) AS f, sum(cash * f / (1 + ratio)) AS c, count(*) AS n, bool_or(rights) AS r FROM ie GROUP BY code, from_d)"""
 
 
-@query("holding_adjustments", ADJ + """ SELECT iv.code, iv.from_d, round(coalesce(f, 1.0), 9) AS factor, round(coalesce(c, 0.0), 6) AS cash, coalesce(n, 0) AS events, coalesce(r, false) AS rights
+@query("holding_adjustments", ADJ + """ SELECT iv.code, iv.from_d, round(coalesce(f, 1.0), 9) AS factor, round(coalesce(c, 0.0), 12) AS cash, coalesce(n, 0) AS events, coalesce(r, false) AS rights
    FROM iv LEFT JOIN ia ON ia.code = iv.code AND ia.from_d = iv.from_d""")
 def holding_adjustments(t: Tables) -> DataFrame:
     out = outcomes.adjustment_for(intervals(t), t.actions())
-    return out.select("code", "from_d", F.round("factor", 9).alias("factor"), F.round("cash", 6).alias("cash"), "events", "rights")
+    return out.select("code", "from_d", F.round("factor", 9).alias("factor"), F.round("cash", 12).alias("cash"), "events", "rights")
 
 
 @query("adjusted_barriers", ADJ + """ SELECT iv.code, iv.from_d, round((0.9::DOUBLE * close - coalesce(c, 0.0)) / coalesce(f, 1.0), 6) AS adjusted FROM iv LEFT JOIN ia ON ia.code = iv.code AND ia.from_d = iv.from_d""")

@@ -237,12 +237,12 @@ def ranking_from_definitions(t: Tables) -> DataFrame:
 
 @query("definition_mismatch", """SELECT factor, CASE WHEN a IS NULL THEN 'undefined' ELSE 'unimplemented' END AS problem FROM (
    SELECT coalesce(x.factor, y.factor) AS factor, x.factor AS a, y.factor AS b
-   FROM (SELECT DISTINCT factor FROM factor_long UNION SELECT DISTINCT p_brand FROM part WHERE p_size = 1) x
+   FROM (SELECT DISTINCT factor FROM factor_long UNION SELECT DISTINCT concat(p_brand, '/', p_size) FROM part) x
    FULL JOIN (SELECT DISTINCT factor FROM factor_long WHERE factor <> 'foreign_net_buy_ratio_v1'
-     UNION SELECT DISTINCT p_brand FROM part WHERE p_size = 2) y ON x.factor = y.factor) z WHERE a IS NULL OR b IS NULL""")
+     UNION SELECT DISTINCT concat(p_brand, '/', p_size + 1) FROM part) y ON x.factor = y.factor) z WHERE a IS NULL OR b IS NULL""")
 def definition_mismatch(t: Tables) -> DataFrame:
     seen = factor_long(t).select("factor").distinct()
-    brands = lambda n: t.part.filter(F.col("p_size") == n).select(F.col("p_brand").alias("factor")).distinct()
+    brands = lambda n: t.part.select(F.concat("p_brand", F.lit("/"), (F.col("p_size") + n).cast("string")).alias("factor")).distinct()
     return ranking.definition_mismatch(
-        seen.unionByName(brands(1)), seen.filter("factor <> 'foreign_net_buy_ratio_v1'").unionByName(brands(2))
+        seen.unionByName(brands(0)), seen.filter("factor <> 'foreign_net_buy_ratio_v1'").unionByName(brands(1))
     )

@@ -50,6 +50,17 @@ def canonical_hashes(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", hashing.canonical_hash(m).alias("definition_hash"))
 
 
+@query("definition_hashes", """SELECT p_partkey, sha256(concat('{"bounds":[', p_size, ',', p_size + 1, '],"direction":"', p_brand, '",', CASE WHEN p_size % 5 <> 0 THEN concat('"note":"a\\"', p_type, '\\n",') ELSE '' END,
+   '"winsorize":{"lower":', CASE WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE concat(p_size // 2, '.5') END, ',"upper":99}}')) AS definition_hash FROM part""")
+def definition_hashes(t: Tables) -> DataFrame:
+    size = F.col("p_size")
+    definition = F.struct(
+        F.struct(F.lit(99.0).alias("upper"), (size / 2.0).alias("lower")).alias("winsorize"), F.col("p_brand").alias("direction"),
+        F.when(size % 5 != 0, F.concat(F.lit('a"'), F.col("p_type"), F.lit("\n"))).alias("note"), F.array(size, size + 1).alias("bounds"))
+    rows = t.part.select("p_partkey", definition.alias("definition"))
+    return rows.select("p_partkey", hashing.definition_hash(F.col("definition"), rows.schema["definition"].dataType).alias("definition_hash"))
+
+
 # ── judging ──────────────────────────────────────────────────────────────────
 
 
@@ -289,13 +300,13 @@ def definition_lock(t: Tables) -> DataFrame:
 @query("registration_violations", """SELECT factor_key, rule FROM (SELECT factor_key, unnest(list_filter([CASE WHEN NOT regexp_matches(factor_key, '^[a-z][a-z0-9_]{2,63}$') THEN 'factor_key' END,
    CASE WHEN length(trim(rationale)) < 50 THEN 'rationale' END, CASE WHEN ps IS NULL THEN 'period_start' END, CASE WHEN ps >= DATE '2024-02-15' THEN 'period_order' END,
    CASE WHEN tt < 3 THEN 'threshold' END, CASE WHEN u NOT IN ('TWSE', 'TPEx', 'BOTH') THEN 'universe' END], lambda r: r IS NOT NULL)) AS rule FROM (
-   SELECT CASE WHEN doc_id % 9 = 0 THEN concat('F', doc_id) ELSE concat('f_', doc_id) END AS factor_key, substring(text, 1, CAST(20 + doc_id % 60 AS INT)) AS rationale,
+   SELECT CASE WHEN doc_id % 9 = 0 THEN concat('F', doc_id) ELSE concat('f_', doc_id) END AS factor_key, text AS rationale,
      CASE WHEN doc_id % 10 <> 0 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 60 AS INT) * INTERVAL 1 DAY AS DATE) END AS ps, 2.5 + doc_id % 3 AS tt, CASE WHEN lang = 'en' THEN 'BOTH' ELSE lang END AS u FROM documents) x) y""")
 def registration_violations(t: Tables) -> DataFrame:
     i = F.col("doc_id")
     regs = t.documents.select(
         F.when(i % 9 == 0, F.concat(F.lit("F"), i.cast("string"))).otherwise(F.concat(F.lit("f_"), i.cast("string"))).alias("factor_key"),
-        F.lit("name").alias("display_name"), F.substring("text", F.lit(1), (20 + i % 60).cast("int")).alias("rationale"), F.lit("higher_is_better").alias("direction"),
+        F.lit("name").alias("display_name"), F.col("text").alias("rationale"), F.lit("higher_is_better").alias("direction"),
         F.when(i % 10 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (i % 60).cast("int"))).alias("period_start"), F.lit("2024-02-15").cast("date").alias("period_end"),
         (2.5 + i % 3).alias("t_threshold"), F.when(F.col("lang") == "en", "BOTH").otherwise(F.col("lang")).alias("universe"), F.lit("me").alias("registered_by"),
         F.create_map(F.lit("a"), F.lit("b")).alias("definition"))

@@ -155,10 +155,10 @@ def text_tasks(t: Tables) -> DataFrame:
     a = t.announce()
     return a.select(
         F.col("doc_id").alias("task_key"), F.col("doc_id").alias("task_pos"), F.regexp_replace("code", "src", "").cast("bigint").alias("code"),
-        F.col("speak_date").alias("d"), "subject", F.substring("detail", 1, 20).alias("evidence"))
+        F.col("speak_date").alias("d"), "subject", F.col("detail").alias("evidence"))
 
 
-TASKS = """tasks AS (SELECT doc_id AS task_key, CAST(replace(code, 'src', '') AS BIGINT) AS code, speak_date AS d, subject, substring(detail, 1, 20) AS evidence FROM announce)"""
+TASKS = """tasks AS (SELECT doc_id AS task_key, CAST(replace(code, 'src', '') AS BIGINT) AS code, speak_date AS d, subject, detail AS evidence FROM announce)"""
 
 
 @query("veto_text", f"""WITH {TASKS} SELECT q.d, q.code, min_by(t.task_key, t.task_key) AS task_key FROM quoted q JOIN tasks t ON t.d = q.d AND t.code = q.code

@@ -166,7 +166,7 @@ class Tables:
         return self.documents.select(
             "doc_id", F.col("source").alias("code"), F.col("lang").alias("market"),
             F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("speak_date"),
-            F.substring("text", 1, 60).alias("subject"), F.col("text").alias("detail"),
+            F.col("text").alias("subject"), F.col("text").alias("detail"),
             F.concat(F.lit("clause"), (F.col("doc_id") % 9).cast("string")).alias("clause"),
         )
 
@@ -184,7 +184,7 @@ class Tables:
             .otherwise('{"verdict":"veto", "quote": "cut')
         )
         return self.documents.select(
-            i.alias("task_key"), raw.alias("raw_response"), F.substring("text", 1, 60).alias("subject"), F.col("text").alias("detail"))
+            i.alias("task_key"), raw.alias("raw_response"), F.col("text").alias("subject"), F.col("text").alias("detail"))
 
     def messages(self) -> DataFrame:
         return self.message_rows(self.ticks())
