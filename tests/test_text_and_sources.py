@@ -113,7 +113,7 @@ def test_changed_body_stops_the_load(spark):
 
 
 def test_source_catalogue(spark):
-    rows = catalog.source_rows()
+    rows = catalog.SOURCES
     assert len(rows) == 36 and len({r[0] for r in rows}) == 36
     groups = {r["source_group"]: r["declared"] for r in catalog.source_activity(spark.createDataFrame([("twse_attention",)], "source_id string"), catalog.sources(spark)).collect()}
     assert groups == {"quotes": 4, "filings": 6, "derivatives": 3, "flows": 4, "status": 8, "ex_right": 3, "extended": 8}
