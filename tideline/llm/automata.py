@@ -32,7 +32,7 @@ class _Hashes(dict):
     """Word to 64-bit letter; forgets when the vocabulary seen grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word, 3)
         return found

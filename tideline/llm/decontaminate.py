@@ -19,7 +19,7 @@ LEAST_WORDS = 8
 #: Text of benchmark items that one pass over the documents looks for at most, as long as items are not longer.
 BLOCK_CHARACTERS = 16_000_000
 #: Words of documents that are searched together.
-_BATCH_WORDS = 1 << 19
+_BATCH_WORDS = 1 << 17
 _WORD = re.compile(r"\w+")
 MATCHES = "doc_id long, item_id long, distance int, item_words int, first_word long, last_word long, start long, stop long"
 
@@ -150,7 +150,7 @@ class _Ids(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = self.vocabulary.get(word.lower(), 0)
         return found
