@@ -8,13 +8,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import SPACES, words_of
+from tideline.llm.common import UPPER, words_of
 
 #: Word buckets; labelled rows that a model is fitted on at most; rank of the pairwise interactions.
 BUCKETS = 1 << 12
 TRAIN_ROWS = 8_000
 RANK = 4
-_STATISTICS = ("size", "variety", "stutter", "word_length", "long_words", "upper", "digits", "marks", "pipes", "symbols", "lines", "line_variety", "breaks", "declared")
+_STATISTICS = ("size", "variety", "stutter", "word_length", "upper", "digits", "marks", "pipes", "symbols", "lines", "line_variety", "breaks", "declared")
+#: Characters that are counted together, each kind turned into one mark in a single pass over the text.
+_KINDS = {"upper": UPPER, "digits": "0123456789", "marks": "!?;:", "pipes": "|<>{}[]\\/_", "symbols": "#*$%&", "breaks": ".,"}
+_MARKS = dict(zip(_KINDS, "\x01\x02\x03\x04\x05\x06"))
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -26,8 +29,8 @@ def _share(part: Column, whole: Column) -> Column:
     return F.least(F.lit(1.0), part / F.greatest(whole, F.lit(1)))
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
+def _count(text: Column, mark: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
 
 
 def features(docs: DataFrame, text_column: str = "text", size_column: str | None = "n_chars") -> DataFrame:
@@ -38,26 +41,25 @@ def features(docs: DataFrame, text_column: str = "text", size_column: str | None
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     declared = F.coalesce(F.col(size_column).cast("double"), F.lit(0.0)) if size_column else F.lit(0.0)
-    rows = docs.withColumns({"_text": text, "_words": words_of(text), "_declared": declared}).withColumns({
-        "_n": F.size("_words"), "_chars": F.length("_text"), "_solid": _without(F.col("_text"), SPACES),
-        "_lines": F.split("_text", "\n"),
+    marked = F.translate(F.translate(text, "".join(_MARKS.values()), ""), "".join(_KINDS.values()), "".join(_MARKS[k] * len(v) for k, v in _KINDS.items()))
+    rows = docs.withColumns({"_text": text, "_words": words_of(text), "_marked": marked, "_declared": declared}).withColumns({
+        "_n": F.size("_words"), "_chars": F.length("_text"), "_lines": F.split("_text", "\n"),
     })
-    t, n, solid = F.col("_text"), F.col("_n"), F.col("_solid")
+    n, chars, kinds = F.col("_n"), F.col("_chars"), {k: _count(F.col("_marked"), m) for k, m in _MARKS.items()}
     rows = rows.withColumns({
         "_size": F.least(F.lit(1.0), F.log1p(n) / 12.0),
         "_variety": _share(F.size(F.array_distinct("_words")), n),
-        "_stutter": _share(F.expr("size(filter(transform(_words, (w, i) -> w = get(_words, i - 1)), x -> x))"), n),
-        "_word_length": F.least(F.lit(1.0), solid / F.greatest(n, F.lit(1)) / 20.0),
-        "_long_words": _share(F.expr("size(filter(_words, w -> length(w) > 20))"), n),
-        "_upper": _share(F.col("_chars") - _without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), solid),
-        "_digits": _share(F.col("_chars") - _without(t, "0123456789"), solid),
-        "_marks": _share(F.col("_chars") - _without(t, "!?;:"), n),
-        "_pipes": _share(F.col("_chars") - _without(t, "|<>{}[]\\/_"), n),
-        "_symbols": _share(F.col("_chars") - _without(t, "#*$%&"), n),
+        "_stutter": _share(F.expr("size(filter(_words, (w, i) -> w = get(_words, i - 1)))"), n),
+        "_word_length": F.least(F.lit(1.0), chars / F.greatest(n, F.lit(1)) / 20.0),
+        "_upper": _share(kinds["upper"], chars),
+        "_digits": _share(kinds["digits"], chars),
+        "_marks": _share(kinds["marks"], n),
+        "_pipes": _share(kinds["pipes"], n),
+        "_symbols": _share(kinds["symbols"], n),
         "_lines": F.least(F.lit(1.0), F.size("_lines") / F.greatest(n, F.lit(1))),
         "_line_variety": _share(F.size(F.array_distinct("_lines")), F.size("_lines")),
-        "_breaks": _share(F.col("_chars") - _without(t, ".,"), n),
-        "_declared": _share(F.col("_declared"), F.greatest(F.col("_chars") * 2, F.col("_declared"))),
+        "_breaks": _share(kinds["breaks"], n),
+        "_declared": _share(F.col("_declared"), F.greatest(chars * 2, F.col("_declared"))),
     })
     rows = HashingTF(numFeatures=BUCKETS, inputCol="_words", outputCol="_counts").transform(rows)
     rows = Normalizer(p=2.0, inputCol="_counts", outputCol="_hashed").transform(rows)
