@@ -18,6 +18,7 @@ _CELL = 1 << 20
 _CHUNK = 1 << 16
 BLOCK_TOKENS = 128
 _BUCKET_DOCUMENTS = 4096
+SALTS = 32
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), most_repeats: int = 3) -> DataFrame:
@@ -115,6 +116,13 @@ def shuffled_places(sized: DataFrame, documents: int) -> DataFrame:
     )
 
 
+def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows joined with one row per source; a large source's rows are dealt to several tasks by a salt."""
+    salt = F.pmod(F.xxhash64("start"), F.lit(SALTS)).cast("int")
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(salted, ["source_key", "salt"]).drop("salt")
+
+
 def mixed_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
                     weights: Sequence[int] = (5, 2, 1), most_repeats: int = 3, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Words that the mix takes of each document: (doc_id, size, source_size, target, taken).
@@ -134,13 +142,12 @@ def mixed_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     slots = slot_schedule(targets, block_tokens)
     documents = targets.agg(F.max("documents")).first()[0] or 0
     placed = materialise(
-        shuffled_places(sized, documents)
-        .join(targets.select("source_key", "source_size", "target"), "source_key")
+        _with_source(shuffled_places(sized, documents), targets.select("source_key", "source_size", "target"))
         .select("doc_id", "source_key", "size", "source_size", "target", "start")
     )
     taken = slots.groupBy("source_key").agg(F.count("*").alias("blocks"))
     pieces = (
-        placed.where("size > 0").join(taken, "source_key")
+        _with_source(placed.where("size > 0"), taken)
         .withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))))
         .withColumn("a", F.col("start") + F.col("pass") * F.col("source_size"))
         .withColumn("b", F.least(F.col("a") + F.col("size"), F.col("blocks") * block_tokens))
