@@ -384,3 +384,15 @@ def test_secret_forest_on_held_out_findings(spark):
     model = secretscan.fit(train)
     rows = model.transform(test.select("label", secretscan.array_to_vector("features").alias("vector"))).collect()
     assert sum(r.label == r.prediction for r in rows) >= 0.95 * len(rows)
+
+
+def test_near_copies_that_repeat_lines(spark):
+    rng = random.Random(15)
+    rows = []
+    for k in range(20):
+        w = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(200)]
+        for j, (size, times) in enumerate(((8, 20), (6, 100), (1, 200))):
+            rows.append((10 * k + j, " ".join(w + w[-size:] * times), "en", "s", 0))
+        rows.append((10 * k + 9, " ".join(w), "en", "s", 0))
+    left = nearcopies.one_of_each(spark.createDataFrame(rows, DOCS))
+    assert sorted(r.doc_id for r in left.collect()) == [10 * k for k in range(20)]

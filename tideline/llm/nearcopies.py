@@ -43,10 +43,11 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
             nodes, prints, bands = [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
-                hashes = hashes_of(shingles(text, width)).astype(np.uint64)
+                # distinct, as in the bands and the similarity: how often a line repeats moves no bit
+                hashes = np.unique(hashes_of(shingles(text, width)).astype(np.uint64))
                 nodes.append(xxhash.xxh3_128_digest(b" ".join(text.encode().lower().split())))
                 prints.append(fingerprint(hashes.astype(">u8")))
-                bands.append(band_keys(np.unique(hashes)) if len(hashes) else [])
+                bands.append(band_keys(hashes) if len(hashes) else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.binary()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                                              ["doc_id", "text_key", "node", "fingerprint", "bands"])
 
