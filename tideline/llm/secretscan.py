@@ -14,7 +14,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled findings that a forest is fitted on at most; its trees and their depth; decision threshold.
+from tideline.session import materialise
+
+#: Labelled findings that a forest is fitted on at most, half of them of each label; its trees and their depth; decision threshold.
 TRAIN_FINDINGS = 20_000
 TREES = 40
 DEPTH = 8
@@ -43,6 +45,13 @@ _KNOWN_SECRETS = (
 )
 _KNOWN_NAMES = re.compile(r"(?:password|passwd|secret|token|api_?key|access_?key|auth)[\"']?\s*[:=]\s*[\"']?$", re.IGNORECASE)
 _KNOWN_VALUE = re.compile(r"(?=.*[0-9])[0-9A-Za-z+/_-]{16,}={0,2}")
+_HARMLESS = (
+    # numbers, dates, telephone numbers, words and paths of them, rules of dashes; no letter beside a digit
+    re.compile(r"[/_+=-]*(?:(?:[A-Z]?[a-z]+|[0-9]+)(?:[/_+=-]+(?:[A-Z]?[a-z]+|[0-9]+))*[/_+=-]*)?"),
+    re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE),
+)
+_DIGEST_NAMES = re.compile(r"(?:md5|sha-?(?:1|256|512)|commit|checksum|digest|etag)[\"']?\s*[:= ]\s*[\"']?$", re.IGNORECASE)
+_DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{128})", re.IGNORECASE)
 # End of fixed values.
 
 FEATURES = (
@@ -76,12 +85,19 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             yield a + cut, b
 
 
-def known_label(text: str, start: int, stop: int) -> int:
-    """1 for a known secret format, 0 for a token that no format knows."""
-    value = text[start:stop]
+def known_label(text: str, start: int, stop: int) -> int | None:
+    """1 for a known secret format, 0 for a known harmless one, None for a token that no format knows.
+
+    A value behind a secret's name, or before the @ of an address, is never known to be harmless.
+    """
+    value, before = text[start:stop], text[max(0, start - 40) : start]
     if any(p.fullmatch(value) for p in _KNOWN_SECRETS):
         return 1
-    return int(bool(_KNOWN_NAMES.search(text[max(0, start - 40) : start]) and _KNOWN_VALUE.fullmatch(value)))
+    if _KNOWN_NAMES.search(before):
+        return 1 if _KNOWN_VALUE.fullmatch(value) else None
+    if any(p.fullmatch(value) for p in _HARMLESS) and text[stop : stop + 1] != "@":
+        return 0
+    return 0 if _DIGEST.fullmatch(value) and _DIGEST_NAMES.search(before) else None
 
 
 def _bucket(word: str, buckets: int) -> int:
@@ -160,13 +176,39 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def fit(labelled: DataFrame, *, trees: int = TREES, depth: int = DEPTH, at_most: int = TRAIN_FINDINGS, seed: int = 11) -> RandomForestClassificationModel:
-    """A forest over labelled findings (features array, label 0 or 1), of at most ``at_most`` rows.
+def training_sample(labelled: DataFrame, *, at_most: int = TRAIN_FINDINGS) -> DataFrame:
+    """(label double, features) of at most ``at_most`` labelled findings, at most half of them of each label.
 
-    The sample is the rows with the smallest hashes of their place and text, the same on every run.
+    All rows of a label that has no more are taken; of a larger one those with the smallest hashes of
+    place and text, the same on every run. Rows that repeat place and text (or, where there is no place,
+    label and features) are one. Hashes above what the bound can need are dropped where they are made,
+    so only about as many rows as are taken leave their tasks.
     """
-    order = [F.xxhash64("doc_id", "start", "candidate"), "doc_id", "start"] if "candidate" in labelled.columns else [F.xxhash64("features")]
-    rows = labelled.where(F.col("label").isin(0, 1)).orderBy(*order).limit(at_most).select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("vector"))
+    place = [c for c in ("doc_id", "text_key", "start", "candidate") if c in labelled.columns] if "candidate" in labelled.columns else ["features"]
+    rows = labelled.where(F.col("label").isin(0, 1)).select(F.col("label").cast("double").alias("label"), "features", F.xxhash64(*place).alias("draw"))
+    each = max(1, at_most // 2)
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.approx_count_distinct("draw").alias("n")).collect()}
+    if not sizes:
+        return rows.drop("draw")
+    # the counts are within a few hundredths of the truth, and draws of this many rows scatter little
+    shares = {label: (1.3 * each + 1000) / n for label, n in sizes.items()}
+    wanted = F.lit(False)
+    for label, share in shares.items():
+        drawn = F.lit(True) if share >= 1 else F.col("draw") < min(2**63 - 1, int(-(2**63) + 2**64 * share))
+        wanted = wanted | ((F.col("label") == label) & drawn)
+    drawn = materialise(rows.where(wanted).dropDuplicates(["label", "draw"]))
+    parts = [drawn.where(F.col("label") == label).orderBy("draw").limit(each) for label in sorted(sizes)]
+    sample = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+    return materialise(sample.drop("draw"))
+
+
+def fit(labelled: DataFrame, *, trees: int = TREES, depth: int = DEPTH, at_most: int = TRAIN_FINDINGS, seed: int = 11) -> RandomForestClassificationModel:
+    """A forest over a sample of labelled findings (features array, label 0 or 1), as training_sample draws it."""
+    return _fitted(training_sample(labelled, at_most=at_most), trees, depth, seed)
+
+
+def _fitted(sample: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> RandomForestClassificationModel:
+    rows = sample.select("label", array_to_vector("features").alias("vector"))
     return RandomForestClassifier(featuresCol="vector", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed).fit(rows)
 
 
@@ -181,7 +223,7 @@ def judged(found: DataFrame, model: RandomForestClassificationModel | None, *, t
 
 
 def labelled_by_format(found: DataFrame) -> DataFrame:
-    """Labelled findings where a table of reviewed ones is not at hand: known formats are secrets."""
+    """Labelled findings where a table of reviewed ones is not at hand, by known formats; others have no label."""
     return found.withColumn("label", F.col("known"))
 
 
@@ -190,16 +232,16 @@ def secret_findings(docs: DataFrame, labelled: DataFrame | None = None, *, id_co
     """(doc_id, start, stop, candidate, score, is_secret) of every candidate in every document.
 
     ``labelled`` has (features, label) of reviewed findings; without it findings are labelled by known
-    formats. Where only one class is labelled nothing can be learnt: every score is 1 if all known
+    formats, and what no format knows is judged without having been taught. Where only one class is labelled nothing can be learnt: every score is 1 if all known
     findings are secrets, else 0. Repeated rows give repeated findings; an empty table gives none.
     """
     found = findings(docs, id_column=id_column, text_column=text_column, path_column=path_column)
     training = labelled if labelled is not None else labelled_by_format(found)
-    classes = {r.label for r in training.select("label").where(F.col("label").isin(0, 1)).distinct().collect()}
+    sample = training_sample(training, at_most=at_most)
+    classes = {int(r.label) for r in sample.select("label").distinct().collect()}
     if classes == {1}:
         return judged(found, None, threshold=threshold).withColumns({"score": F.lit(1.0), "is_secret": F.lit(True)})
-    model = fit(training, at_most=at_most) if classes == {0, 1} else None
-    return judged(found, model, threshold=threshold)
+    return judged(found, _fitted(sample) if classes == {0, 1} else None, threshold=threshold)
 
 
 def redacted(docs: DataFrame, found: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size_column: str | None = "n_chars",
