@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
-Quality rules reject documents, near copies leave one of each group, documents that hold a benchmark
+Quality rules reject documents and remove frequent lines, near copies leave one of each group, documents that hold a benchmark
 item go, secrets are blacked out, and the rest is mixed by source. Each stage works on all that the one
 before kept; all but the last return the columns of documents.
 """
@@ -16,7 +16,7 @@ from tideline.session import shared_table_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of lines common in their source."""
+    """Documents that pass the base rules and are not depleted, less the lines common in their source."""
     return linefreq.kept_documents(docs)
 
 

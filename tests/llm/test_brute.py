@@ -426,3 +426,27 @@ def test_tokens_of_unknown_formats_have_no_label():
     assert [label("a ", v) for v in ("4495114827612972", "2024-01-05", "555-1655", "path/to/the/2021/longer-name", "0b9c1f4e-1c52-4c59-9f3e-0a5f1c2d3e4f")] == [0] * 5
     assert label("commit ", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff") == 0 and label('token = "', "24be64439e3e49cf46b2d7c90f3602a3d0b907ff") == 1
     assert label("id ", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff") is None
+
+
+def test_frequent_lines_are_removed(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(30):
+        body = ["  ".join(rng.choices("abcdefgh", k=9)) + f" {k}x" for k in range(3)]
+        text = "\n".join(["Menu  1", body[0], "", f"Page {i}", "menu 2", body[1], body[2], " MENU 3 "]) + "\n"
+        rows.append((i if i % 3 else None, text if i % 5 else text.replace("Menu", "Other").replace("menu", "other").replace("MENU", "other"), "en", "s" if i % 2 else None, 7))
+    rows.append((99, "menu 1\nonly once in its host", "en", "t", 7))
+    left = linefreq.kept_documents(spark.createDataFrame(rows, DOCS), max_documents=5, least_words=1, most_repeated_percent=100).collect()
+    expected = []
+    common = defaultdict(set)
+    def normal(line):
+        return re.sub("[0-9]", "0", " ".join(line.lower().split()))
+    for r in rows:
+        for line in r[1].split("\n"):
+            common[r[3], normal(line)].add(r[1])
+    for i, text, lang, host, size in rows:
+        lines = [line for line in text.split("\n") if not normal(line) or len(common[host, normal(line)]) <= 5]
+        rest = "\n".join(lines)
+        expected.append((i, rest, lang, host, len(rest) if rest != text else size))
+    assert sum(e[1] != r[1] for e, r in zip(expected, rows)) > 20
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, expected))

@@ -27,11 +27,20 @@ def document_rules(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     the work of the deduplication operators. A NULL or empty text has no words and fails the base
     rules; repeated rows get equal verdicts; other columns are not read.
     """
-    rows = docs.select(
+    rows = _keyed(docs, id_column, text_column, host_column)
+    lines = _lines(rows)
+    return _rules(rows, lines, _frequent(lines, max_documents), least_share, least_words, most_repeated_percent)
+
+
+def _keyed(docs: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
+    return docs.select(
         F.col(id_column).alias("doc_id"), F.col(host_column).cast("string").alias("host"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
     ).withColumn("row_key", digest(F.col("doc_id"), F.col("host"), F.col("text")))
-    counts = _line_counts(rows, max_documents)
+
+
+def _rules(rows: DataFrame, lines: DataFrame, frequent: DataFrame, least_share: float, least_words: int, most_repeated_percent: int) -> DataFrame:
+    counts = _line_counts(lines, frequent)
     return (
         _statistics(rows)
         .join(counts, "row_key", "left")
@@ -46,15 +55,30 @@ def document_rules(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     )
 
 
-def kept_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", **limits) -> DataFrame:
-    """The documents that the rules keep, all their columns unchanged.
+def kept_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", size_column: str | None = "n_chars",
+                   max_documents: int = MAX_DOCUMENTS, least_share: float = LEAST_SHARE, least_words: int = 50, most_repeated_percent: int = 50) -> DataFrame:
+    """The documents that the rules keep, less their frequent lines.
 
-    Verdicts are joined on a digest of id, host and text, so repeated ids keep their own verdict.
+    Where a line goes, the text is joined from the others and the size counted anew; documents without
+    frequent lines and all other columns are unchanged. Verdicts and places of lines are joined on a
+    digest of id, host and text, so repeated ids keep their own.
     """
-    rows = document_rules(docs, id_column=id_column, text_column=text_column, host_column=host_column, **limits)
-    dropped = rows.where(~F.col("kept")).select(F.col("row_key").alias("_dropped")).distinct()
+    rows = _keyed(docs, id_column, text_column, host_column)
+    lines = _lines(rows, places=True)
+    frequent = materialise(_frequent(lines, max_documents))
+    rules = _rules(rows, lines, frequent, least_share, least_words, most_repeated_percent)
+    dropped = rules.where(~F.col("kept")).select("row_key", F.lit(True).alias("_drop")).distinct()
+    places = _salted(lines).join(frequent, ["line_key", "salt"]).groupBy("row_key").agg(F.array_sort(F.collect_set("place")).alias("_places"))
+    changed = dropped.join(places, "row_key", "full").withColumnRenamed("row_key", "_changed")
     key = digest(docs[id_column], docs[host_column].cast("string"), F.coalesce(docs[text_column].cast("string"), F.lit("")))
-    return docs.join(dropped, key == dropped["_dropped"], "left_anti")
+    found = docs.join(changed, key == changed["_changed"], "left").where(changed["_drop"].isNull())
+    found = found.select(*(docs[c] for c in docs.columns), changed["_places"], F.when(changed["_places"].isNotNull(), F.split(docs[text_column].cast("string"), "\n")).alias("_lines"))
+    # the stretches between frequent lines, so the work is the text's length whatever their number
+    stretches = F.expr("flatten(transform(sequence(0, size(_places)), j -> slice(_lines, coalesce(get(_places, j - 1), -1) + 2,"
+                       " coalesce(get(_places, j), size(_lines)) - coalesce(get(_places, j - 1), -1) - 1)))")
+    found = found.withColumn("_rest", F.when(F.col("_places").isNotNull(), F.array_join(stretches, "\n")))
+    new = {text_column: F.col("_rest")} | ({size_column: F.length("_rest").cast("long")} if size_column in docs.columns else {})
+    return found.select(*(F.when(F.col("_rest").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def _statistics(rows: DataFrame) -> DataFrame:
@@ -82,25 +106,40 @@ def _statistics(rows: DataFrame) -> DataFrame:
     )
 
 
-def _line_counts(rows: DataFrame, max_documents: int) -> DataFrame:
-    """Words of each row's lines, and of those lines that are too frequent in their host."""
+def _lines(rows: DataFrame, places: bool = False) -> DataFrame:
+    """Every line with words of every row, with its place in the text if asked for."""
     normal = F.trim(F.regexp_replace(F.regexp_replace(ascii_lower(F.col("line")), SEPARATORS, " "), "[0-9]", "0"))
-    lines = materialise(
-        rows.select("row_key", "host", F.xxhash64("text").alias("content"), F.explode(F.split("text", "\n")).alias("line"))
-        .select("row_key", "content", "host", normal.alias("line"))
+    place = ["place"] if places else []
+    split = F.split("text", "\n")
+    line = F.posexplode(split).alias("place", "line") if places else F.explode(split).alias("line")
+    return materialise(
+        rows.select("row_key", "host", F.xxhash64("text").alias("content"), line)
+        .select("row_key", "content", "host", normal.alias("line"), *place)
         .where("line <> ''")
         .select("row_key", "content", digest(F.col("host"), F.col("line")).alias("line_key"),
-                F.size(F.split("line", " ")).alias("n"))
+                F.size(F.split("line", " ")).alias("n"), *place)
     )
-    frequent = (
+
+
+def _frequent(lines: DataFrame, max_documents: int) -> DataFrame:
+    """Lines that are too frequent in their host, once for each salt."""
+    return (
         lines.groupBy("line_key", "content").agg(F.lit(1).alias("one"))
         .groupBy("line_key").agg(F.count("*").alias("documents"))
         .where(F.col("documents") > max_documents)
         .select("line_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("found"))
     )
+
+
+def _salted(lines: DataFrame) -> DataFrame:
+    """A line of a third of all documents is dealt to several tasks by its salt."""
+    return lines.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
+
+
+def _line_counts(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Words of each row's lines, and of those lines that are too frequent in their host."""
     return (
-        # a line of a third of all documents is dealt to several tasks by its salt
-        lines.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
+        _salted(lines)
         .join(frequent, ["line_key", "salt"], "left")
         .groupBy("row_key")
         .agg(F.sum("n").alias("line_words"), F.sum(F.when(F.col("found"), F.col("n")).otherwise(0)).alias("frequent"))
