@@ -450,3 +450,10 @@ def test_frequent_lines_are_removed(spark):
         expected.append((i, rest, lang, host, len(rest) if rest != text else size))
     assert sum(e[1] != r[1] for e, r in zip(expected, rows)) > 20
     assert sorted(map(str, map(tuple, left))) == sorted(map(str, expected))
+
+
+def test_decontamination_tells_rows_of_one_id_apart(spark):
+    item = "one two three four five six seven"
+    rows = [(None, f"here {item} stands", "en", "s", 0), (None, "a clean text", "en", "s", 0), (5, item, "en", "s", 0), (5, "clean as well", "en", "s", 0), (None, None, "en", "s", 0)]
+    left = decontaminate.without_items(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, (rows[1], rows[3], rows[4])))

@@ -21,7 +21,7 @@ BLOCK_CHARACTERS = 16_000_000
 #: Words of documents that are searched together.
 _BATCH_WORDS = 1 << 17
 _WORD = re.compile(r"\w+")
-MATCHES = "doc_id long, item_id long, distance int, item_words int, first_word long, last_word long, start long, stop long"
+MATCHES = "doc_id long, text_key long, item_id long, distance int, item_words int, first_word long, last_word long, start long, stop long"
 
 
 def myers_search(item: list[int], words: np.ndarray | list[int], budget: int) -> tuple[int, int]:
@@ -157,13 +157,13 @@ class _Ids(dict):
 
 
 def _search(index: PieceIndex):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()),
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()),
                         ("first_word", pa.int64()), ("last_word", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(index.vocabulary)
         lookup = ids.__getitem__
-        held: list[tuple[int | None, str]] = []
+        held: list[tuple[int | None, int, str]] = []
         parts: list[np.ndarray] = []
         length = 0
 
@@ -171,20 +171,20 @@ def _search(index: PieceIndex):
             starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
             out = []
             for doc, item, distance, a, b in index.matches(np.concatenate(parts), starts):
-                doc_id, text = held[doc]
+                doc_id, text_key, text = held[doc]
                 spans = [m.span() for m in _WORD.finditer(text)]
                 item_id, words, _ = index.items[item]
-                out.append((doc_id, item_id, distance, len(words), a, b, spans[a][0], spans[b - 1][1]))
+                out.append((doc_id, text_key, item_id, distance, len(words), a, b, spans[a][0], spans[b - 1][1]))
             columns = list(zip(*out)) if out else [[]] * len(schema)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+            for doc_id, text_key, text in zip(batch.column("doc_id"), batch.column("text_key"), batch.column("text")):
                 text = text.as_py()
                 if not text:
                     continue
                 words = _WORD.findall(text)
-                held.append((doc_id.as_py(), text))
+                held.append((doc_id.as_py(), text_key.as_py(), text))
                 parts.append(np.array([*map(lookup, words), 0], dtype=np.int64))
                 length += len(words)
                 if length > _BATCH_WORDS:
@@ -207,7 +207,14 @@ def item_matches(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id"
     bounded text, each block in one pass over all documents. NULL and empty texts and items match
     nothing; repeated rows give repeated matches; other columns are not read.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    return _keyed_matches(docs, items, id_column, text_column, edit_rate, least_words, block_characters).drop("text_key")
+
+
+def _keyed_matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", edit_rate: float = EDIT_RATE,
+                   least_words: int = LEAST_WORDS, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
+    """The matches with ``text_key``, a hash of the document's text."""
+    text = F.col(text_column).cast("string")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_characters))
@@ -221,6 +228,10 @@ def item_matches(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id"
 
 
 def without_items(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """The documents that match no item, all their columns unchanged; a NULL id is compared like a value."""
-    bad = item_matches(docs, items, **settings).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs[settings.get("id_column", "doc_id")].eqNullSafe(bad["_bad_id"]), "left_anti")
+    """The documents that match no item, all their columns unchanged.
+
+    Rows are told apart by id and text, so a NULL or repeated id goes only with the texts that match.
+    """
+    bad = _keyed_matches(docs, items, **settings).select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
+    text_key = F.xxhash64(docs[settings.get("text_column", "text")].cast("string"))
+    return docs.join(bad, docs[settings.get("id_column", "doc_id")].eqNullSafe(bad["_bad_id"]) & (text_key == bad["_bad_key"]), "left_anti")
