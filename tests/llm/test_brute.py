@@ -457,3 +457,12 @@ def test_decontamination_tells_rows_of_one_id_apart(spark):
     rows = [(None, f"here {item} stands", "en", "s", 0), (None, "a clean text", "en", "s", 0), (5, item, "en", "s", 0), (5, "clean as well", "en", "s", 0), (None, None, "en", "s", 0)]
     left = decontaminate.without_items(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, (rows[1], rows[3], rows[4])))
+
+
+def test_snapshots_of_one_turn_number_are_cut_by_place(spark):
+    rows = [(1, None, "user", f"{k:04d}") for k in range(300)] + [(1, 3, "bot", f"{k:04d}") for k in range(600)] + [(None, 0, "tool", f"{k:04d}") for k in range(257)]
+    got = sorted(chats.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: (str(r.conv_id), r.part))
+    sizes = [(r.conv_id, r.part, r.turns, r.rendered.count("<|end|>")) for r in got]
+    assert sizes == [(1, 0, 900, 256), (1, 1, 900, 44), (1, 2, 900, 256), (1, 3, 900, 256), (1, 4, 900, 88), (None, 0, 257, 256), (None, 1, 257, 1)]
+    for c in (1, None):
+        assert "".join(r.rendered for r in got if r.conv_id == c) == "".join(f"<|{role}|>\n{text}<|end|>\n" for conv, _, role, text in rows if conv == c)
