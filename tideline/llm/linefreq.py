@@ -87,7 +87,7 @@ def _statistics(rows: DataFrame) -> DataFrame:
         rows.select("doc_id", "row_key", words_of(F.col("text")).alias("words"),
                     F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
                     (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-                    F.expr(r"filter(split(text, '\n'), x -> translate(x, ' \t\u000b\f\r', '') <> '')").alias("lines"))
+                    F.expr(r"filter(split(text, '\n'), x -> translate(x, ' \t\u000b\u000c\r', '') <> '')").alias("lines"))
         .withColumn("n_words", F.size("words").cast("long"))
         .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
         .withColumn("marks", F.expr("transform(words, w -> xxhash64(w))"))
