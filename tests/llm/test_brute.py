@@ -97,6 +97,19 @@ def test_equal_windows_have_equal_segments_cores():
             assert cores[0][window] == cores[1][window]
 
 
+def test_segments_of_sequences_laid_end_to_end():
+    rng = np.random.default_rng(5)
+    pieces = [bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in (0, 24, 300, 23, 24, 24, 25, 0, 0, 1, 80, 24, 0)]
+    starts = np.cumsum([0] + [len(p) for p in pieces])
+    for step in (None, 8, 1):
+        alone = []
+        for a, p in zip(starts, pieces):
+            first, count, core, body = segments(byte_letters(p), 24, 7, step)
+            alone += list(zip((first + a).tolist(), count.tolist(), core.tolist(), body.tolist()))
+        together = segments(byte_letters(b"".join(pieces)), 24, 7, step, np.array([len(p) for p in pieces]))
+        assert [tuple(x) for x in zip(*(c.tolist() for c in together))] == alone
+
+
 def test_simhash_components(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -190,6 +203,7 @@ def test_line_frequency(spark):
     rows = odd_documents(8, 40)
     line = "this line is in every single one of the documents of its host and says nothing at all to anyone who reads it now"
     rows = [(i, f"{t or ''}\n{line.upper() if i % 2 else line}\nown words {i} " + "w" * i, lang, s, n) for i, t, lang, s, n in rows] + [(900, None, "en", "s0", 0), (901, line + "\n" + line, "en", "s1", 0)]
+    rows += [(910, "f\nf", "en", "s0", 3), (911, "\x0c\n\x0c", "en", "s0", 3), (912, "t\n\t\nv\n\x0b\nr\n\r\nt\nu000c\n\\f\n\\f", "en", "s0", 9)]
     got = {r.doc_id: r for r in linefreq.document_rules(spark.createDataFrame(rows, DOCS), max_documents=4, least_words=20).collect()}
 
     def normal(text):

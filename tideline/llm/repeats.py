@@ -18,6 +18,8 @@ from tideline.session import materialise
 PLACE_BITS = 40
 #: Letters whose segments a task settles among themselves before anything is shuffled.
 BATCH_LETTERS = 1 << 23
+#: Letters that are hashed at once.
+GROUP_LETTERS = 1 << 16
 _NO_ID = -(2**63)
 SEGMENTS = "core long, body long, doc_id long, place long, n long"
 SETTLED = "core long, doc_id long, place long, n long"
@@ -83,6 +85,32 @@ def _emit(core, body, doc, place, n) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 17)]) for c in columns], ["core", "body", "doc_id", "place", "n"])
 
 
+class _Group:
+    """Pieces that are hashed and cut together, which spares most of the work of short ones."""
+
+    def __init__(self) -> None:
+        self.doc, self.place, self.letters, self.size = [], [], [], 0
+
+    def add(self, doc: int, place: int, letters: np.ndarray) -> None:
+        self.doc.append(doc)
+        self.place.append(place)
+        self.letters.append(letters)
+        self.size += len(letters)
+
+    def segments(self, length: int, gram: int, step: int | None) -> list:
+        """One tuple (core, body, doc_id, place, n) of arrays, or none."""
+        if not self.letters:
+            return []
+        sizes = np.array([len(x) for x in self.letters], np.int64)
+        first, count, core, body = segments(np.concatenate(self.letters), length, gram, step, sizes)
+        if not len(first):
+            return []
+        start = np.cumsum(sizes) - sizes
+        # a sequence without letters starts where the next one does, which is the one to find
+        mine = np.searchsorted(start, first, "right") - 1
+        return [(core, body, np.array(self.doc, np.int64)[mine], first - start[mine] + np.array(self.place, np.int64)[mine], count)]
+
+
 def segment_rows(pieces: DataFrame, letters: Letters, length: int, gram: int, step: int | None = None) -> DataFrame:
     """Segments of every piece (doc_id, place, piece binary), with repeats inside a batch settled.
 
@@ -91,17 +119,19 @@ def segment_rows(pieces: DataFrame, letters: Letters, length: int, gram: int, st
     all documents leaves one row for each batch, not for each document.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, group = [], 0, _Group()
         for batch in batches:
             for doc, place, piece in zip(batch.column("doc_id").to_numpy(), batch.column("place").to_numpy(), batch.column("piece")):
-                row = letters(piece.as_py())
-                first, count, core, body = segments(row, length, gram, step)
-                if len(first):
-                    held.append((core, body, np.full(len(first), doc), first + place, count))
-                size += len(row)
+                group.add(doc, place, letters(piece.as_py()))
+                if group.size < GROUP_LETTERS:
+                    continue
+                size += group.size
+                held += group.segments(length, gram, step)
+                group = _Group()
                 if size >= BATCH_LETTERS:
                     yield from _emit(*map(np.concatenate, zip(*held))) if held else ()
                     held, size = [], 0
+        held += group.segments(length, gram, step)
         if held:
             yield from _emit(*map(np.concatenate, zip(*held)))
 

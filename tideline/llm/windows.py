@@ -73,12 +73,14 @@ def _anchors(runs: RunHashes, length: int, gram: int) -> np.ndarray:
     return (_sliding_min(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def segments(letters: np.ndarray, length: int, gram: int, step: int | None = None):
+def segments(letters: np.ndarray, length: int, gram: int, step: int | None = None, sizes: np.ndarray | None = None):
     """(first window, windows, core hash, body hash) of every segment; empty below one window.
 
     The core is what all windows of a segment hold: the anchor, or, where segments are cut further into
     runs of ``step`` windows counted from the anchor, the letters that all windows of such a run share.
     The body is all letters of the segment. With step 1 a segment is a window, its core and its body.
+    With ``sizes`` the letters are sequences of so many letters, one after the other; no segment
+    reaches over the end of one.
     """
     n = len(letters) - length + 1
     if n < 1:
@@ -90,8 +92,22 @@ def segments(letters: np.ndarray, length: int, gram: int, step: int | None = Non
     if step:
         turn = (anchor - np.arange(n)) // step
         change |= turn[1:] != turn[:-1]
-    first = np.flatnonzero(np.concatenate(([True], change)))
+    opens = np.concatenate(([True], change))
+    inside = None
+    if sizes is not None:
+        stop = np.cumsum(sizes)
+        edge = np.zeros(n + 1, np.int64)
+        has = sizes >= length
+        np.add.at(edge, (stop - sizes)[has], 1)
+        np.add.at(edge, (stop - length + 1)[has], -1)
+        opens |= edge[:-1] != 0
+        inside = np.cumsum(edge[:-1]) > 0
+        # where one sequence of a single window ends and the next begins, the two edges cancel out
+        opens[(stop - sizes)[has]] = True
+    first = np.flatnonzero(opens)
     count = np.diff(np.append(first, n))
+    if inside is not None:
+        first, count = first[inside[first]], count[inside[first]]
     at = anchor[first]
     core = runs.at(at - step * turn[first], length - step + 1) if step else runs.at(at, gram)
     body = runs.at(first, length) * _A + runs.at(first + count - 1, length)
