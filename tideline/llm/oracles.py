@@ -1,8 +1,8 @@
 """Checking SQL of the corpus queries that SQL can express.
 
 The quality classifier and the secret scan are trained models, the fuzzy search needs an edit distance
-on words, the mix and the fingerprints a hash that the checking engine lacks; tests compare those with
-brute force.
+on words, the mix and the fingerprints a hash that the checking engine lacks, and periodic runs take
+every pair of words of a text there; tests compare those with brute force.
 """
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -68,4 +68,11 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS INT) AS part, turns, copies, rendered FROM (
           SELECT x.conv_id, turn // 256 AS span, max(turns) AS turns, max(copies) AS copies, string_agg(line, '' ORDER BY x.i) AS rendered
           FROM x JOIN kept USING (conv_id) GROUP BY x.conv_id, turn // 256) z""",
+    "op11_tree_bound_negatives": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_dot_product(a.q, e.q) AS BIGINT) AS score FROM e AS a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INT) AS rank, n.vec_id AS negative_id,
+          p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s AS n ON n.anchor_id = p.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score QUALIFY rank <= 10""",
 }

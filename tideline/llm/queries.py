@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import automata, chats, decontaminate, fmquality, linefreq, mixing, secretscan, simhash, suffixes, warc
+from tideline.llm import automata, chats, decontaminate, fmquality, languages, linefreq, mixing, negatives, periods, secretscan, simhash, suffixes, warc
 from tideline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,4 +69,19 @@ def op5_prefix_doubling(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query
+def op11_tree_bound_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.hard_negatives(read_table(spark, folder, "embeddings"))
+
+
+@query
+def op12_diagonal_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.periodic_runs(read_table(spark, folder, "documents"), planted=True).drop("n_words", "runs")
+
+
+@query
+def op13_piece_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.document_languages(read_table(spark, folder, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
