@@ -18,6 +18,8 @@ from tideline.session import materialise
 PLACE_BITS = 40
 #: Letters whose segments a task settles among themselves before anything is shuffled.
 BATCH_LETTERS = 1 << 23
+#: Segments that it holds at most; those of single windows are as many as the letters.
+BATCH_SEGMENTS = 1 << 19
 #: Letters that are hashed at once.
 GROUP_LETTERS = 1 << 16
 _NO_ID = -(2**63)
@@ -128,7 +130,7 @@ def segment_rows(pieces: DataFrame, letters: Letters, length: int, gram: int, st
                 size += group.size
                 held += group.segments(length, gram, step)
                 group = _Group()
-                if size >= BATCH_LETTERS:
+                if size >= BATCH_LETTERS or sum(len(x[0]) for x in held) >= BATCH_SEGMENTS:
                     yield from _emit(*map(np.concatenate, zip(*held))) if held else ()
                     held, size = [], 0
         held += group.segments(length, gram, step)
