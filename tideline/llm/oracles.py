@@ -1,13 +1,18 @@
 """Checking SQL of the corpus queries that SQL can express.
 
 The quality classifier and the secret scan are trained models, the fuzzy search needs an edit distance
-on words, the mix and the fingerprints a hash that the checking engine lacks, and periodic runs take
-every pair of words of a text there; tests compare those with brute force.
+on words, the mix and the fingerprints a hash that the checking engine lacks; tests compare those with
+brute force.
 """
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACES}'), lambda w: w <> '')"
 
+#: CRC-32 of the decimal digits of doc_id, four bits at a time.
+_CRC_STEP = "xor(({x}) >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(({x}) & 15) + 1])"
+_CRC32 = ("xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: "
+          + _CRC_STEP.format(x=_CRC_STEP.format(x="xor(c, b)")) + "), 4294967295)")
+
 _BASE32 = " || ".join(
     f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0x' || substr(h, {5 * group + 1}, 5))::INT >> {shift}) % 32 + 1]"
     for group in range(8) for shift in (15, 10, 5, 0)
@@ -68,6 +73,18 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS INT) AS part, turns, copies, rendered FROM (
           SELECT x.conv_id, turn // 256 AS span, max(turns) AS turns, max(copies) AS copies, string_agg(line, '' ORDER BY x.i) AS rendered
           FROM x JOIN kept USING (conv_id) GROUP BY x.conv_id, turn // 256) z""",
+    "op12_diagonal_runs": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws, {_CRC32} AS h FROM documents),
+        t AS (SELECT *, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) ELSE 0 END AS a, 3 + (h // 10) % 8 AS parts FROM d),
+        w AS (SELECT doc_id, n, i, ws[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM t) x),
+        same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+        isl AS (SELECT doc_id, q, min(i) AS s, max(i) + 1 + q - min(i) AS l FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same) x GROUP BY doc_id, q, g HAVING max(i) + 1 + q - min(i) >= greatest(24, 3 * q)),
+        r AS (SELECT * FROM isl ANTI JOIN isl AS z ON z.doc_id = isl.doc_id AND z.q < isl.q AND z.s <= isl.s AND z.s + z.l >= isl.s + isl.l),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+        k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+        b AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM r GROUP BY doc_id),
+        e AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l / q DESC, s, q) = 1)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM t LEFT JOIN b USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op11_tree_bound_negatives": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_dot_product(a.q, e.q) AS BIGINT) AS score FROM e AS a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0),
