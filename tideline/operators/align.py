@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tideline.operators.sweep import first_cover
+
 # Fixed value: two fetches belong to one run when they are at most this far apart.
 SAME_RUN_HOURS = 6
 
@@ -223,20 +225,12 @@ def asof_join(picks: DataFrame, facts: DataFrame, as_of: str, value: Sequence[st
 def cover_days(notices: DataFrame, days: DataFrame, start="start_d", end="end_d", key="code", pos="pos", day="d") -> DataFrame:
     """(key, day, pos): the first notice in input order that covers each asked day.
 
-    A missing bound means coverage cannot be ruled out, so the notice covers every day. Notices
-    are reduced to one per distinct interval, clipped to the asked span, and opened into days; the
-    result joins by equality and no notice × day pairs are formed.
+    A missing bound means coverage cannot be ruled out, so the notice covers every day. No day of a
+    notice is ever opened; see :func:`tideline.operators.sweep.first_cover`.
     """
-    lo, hi = days.agg(F.min(day)).scalar(), days.agg(F.max(day)).scalar()
-    distinct = notices.groupBy(key, F.col(start).alias("_s"), F.col(end).alias("_e")).agg(F.min(pos).alias(pos))
-    open_ended = F.col("_s").isNull() | F.col("_e").isNull()
-    clipped = distinct.select(
-        key, pos,
-        F.when(open_ended, lo).otherwise(F.greatest(F.col("_s"), lo)).alias("_from"),
-        F.when(open_ended, hi).otherwise(F.least(F.col("_e"), hi)).alias("_to"),
-    )
-    opened = clipped.filter("_from <= _to").select(key, pos, F.explode(F.sequence("_from", "_to")).alias(day))
-    return opened.groupBy(key, day).agg(F.min(pos).alias(pos))
+    unknown = F.col(start).isNull() | F.col(end).isNull()
+    bounded = notices.select(key, pos, *[F.when(~unknown, F.col(c)).alias(n) for n, c in (("_from", start), ("_to", end))])
+    return first_cover(bounded, days, key, "_from", "_to", pos, day)
 
 
 def interval_cover(candidates: DataFrame, notices: DataFrame, key="code", day="d", **cols) -> DataFrame:
@@ -246,11 +240,8 @@ def interval_cover(candidates: DataFrame, notices: DataFrame, key="code", day="d
 
 def open_interval_active(candidates: DataFrame, halts: DataFrame, resume="resume_d", key="code", day="d", pos="pos") -> DataFrame:
     """Candidates with a halt not yet resumed on their day; the halt date itself is not consulted."""
-    active = halts.select(
-        key, pos, F.lit("0001-01-01").cast("date").alias("start_d"),
-        F.coalesce(F.date_sub(resume, 1), F.lit("9999-12-31").cast("date")).alias("end_d"),
-    )
-    return interval_cover(candidates, active, key=key, day=day, pos=pos)
+    before = halts.select(key, pos, F.lit(None).cast("date").alias("_from"), F.date_sub(resume, 1).alias("_to"))
+    return candidates.join(first_cover(before, candidates, key, "_from", "_to", pos, day), [key, day])
 
 
 # ── increments ───────────────────────────────────────────────────────────────

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tideline.operators.align import first_by_key
 from tideline.operators.outcomes import adjustment_for, events_by_trading_day, total_return
+from tideline.operators.scale import Placed, place, previous, running_max, running_product, running_sum
 
 # Fewest observations for a verdict, and the gates of the evaluation.
 MIN_SAMPLE = 30
@@ -26,34 +27,39 @@ def benchmark_return(intervals: DataFrame, closes: DataFrame, events: DataFrame)
 def total_return_index(closes: DataFrame, cal: DataFrame, events: DataFrame, base: float = 100.0) -> DataFrame:
     """Chained daily total returns per code, starting at ``base``.
 
-    A code has one row per trading day, which bounds its window. A previous close that is not
-    positive leaves the index where it was.
+    A previous close that is not positive leaves the index where it was.
     """
+    return placed_index(closes, cal, events, base).done()
+
+
+def placed_index(closes: DataFrame, cal: DataFrame, events: DataFrame, base: float = 100.0) -> Placed:
+    """:func:`total_return_index` in its placement: a code's days may lie in any number of tasks."""
     numbered = closes.select("code", "d", "close").join(cal, "d")
     acts = events_by_trading_day(events, cal).select("code", "i", F.col("factor").alias("_f"), F.col("cash").alias("_c"))
-    w = W.partitionBy("code").orderBy("i")
     # an action on a day without a bar counts on the code's next bar
     stacked = numbered.join(acts, ["code", "i"], "full_outer")
-    bar_no = F.count("close").over(w.rowsBetween(W.unboundedPreceding, -1))
-    grouped = stacked.withColumn("_bar", bar_no)
+    is_bar = F.col("close").isNotNull().cast("long")
+    placed = place(stacked, ["code"], [F.col("i")]).scan(_bars=running_sum(is_bar))
+    # what lies between two bars, few rows, is folded into the later one
     run = W.partitionBy("code", "_bar").orderBy("i")
     prior = F.coalesce(F.product(F.coalesce("_f", F.lit(1.0))).over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0))
-    folded = grouped.withColumn("_prior", prior)
+    folded = placed.rows.withColumn("_bar", F.col("_bars") - is_bar).withColumn("_prior", prior)
     upto = run.rowsBetween(W.unboundedPreceding, 0)
     folded = folded.withColumn("factor", F.product(F.coalesce("_f", F.lit(1.0))).over(upto)).withColumn(
         "cash", F.sum(F.coalesce(F.col("_c") * F.col("_prior"), F.lit(0.0))).over(upto)
     )
-    bars = folded.filter("close is not null").withColumn("_prev", F.lag("close").over(w))
+    bars = Placed(folded.filter("close is not null").select("code", "d", "i", "close", "factor", "cash", "_part"), placed.keys, placed.order).scan(_prev=previous(F.col("close")))
     step = F.when(F.col("_prev") > 0, (F.col("close") * F.col("factor") + F.col("cash")) / F.col("_prev")).otherwise(1.0)
-    index = F.lit(base) * F.product(F.col("_step")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return bars.withColumn("_step", step).select("code", "d", "i", "close", index.alias("total_return_index"))
+    chained = bars.scan(_index=running_product(step))
+    index = (F.lit(base) * F.col("_index")).alias("total_return_index")
+    return Placed(chained.rows.select("code", "d", "i", "close", index, "_part"), chained.keys, chained.order)
 
 
-def max_drawdown(points: DataFrame, value: str = "total_return_index") -> DataFrame:
+def max_drawdown(points: DataFrame | Placed, value: str = "total_return_index") -> DataFrame:
     """Largest fall from a running peak, per code."""
-    peak = F.max(value).over(W.partitionBy("code").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    placed = points if isinstance(points, Placed) else place(points, ["code"], [F.col("i")])
     fall = F.when(F.col("_peak") > 0, (F.col("_peak") - F.col(value)) / F.col("_peak"))
-    return points.withColumn("_peak", peak).groupBy("code").agg(F.coalesce(F.max(fall), F.lit(0.0)).alias("max_drawdown"))
+    return placed.scan(_peak=running_max(F.col(value))).rows.groupBy("code").agg(F.coalesce(F.max(fall), F.lit(0.0)).alias("max_drawdown"))
 
 
 def official_index(snapshots: DataFrame, start: str, base: float = 100.0) -> DataFrame:

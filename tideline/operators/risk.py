@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from tideline.functions.money import to_cents
 from tideline.operators.cost import TAX_PPM, Broker, net_cents
-from tideline.operators.scale import spread_rows
+from tideline.operators.scale import Placed, place, previous, spread_rows
 
 SIZING_STEPS, COMPILED_STEPS, BISECTION_STEPS = 12, 2, 40
 
@@ -72,10 +72,15 @@ def validate_config(configs: DataFrame) -> DataFrame:
 
 def log_returns(bars: DataFrame) -> DataFrame:
     """(code, d, i, r): ln of close over the close of the trading day right before."""
-    w = W.partitionBy("code").orderBy("i")
-    prev, prev_i = F.lag("close").over(w), F.lag("i").over(w)
-    paired = bars.withColumn("_prev", prev).withColumn("_adjacent", prev_i == F.col("i") - 1)
-    return paired.filter("_adjacent and close > 0 and _prev > 0").select("code", "d", "i", F.ln(F.col("close") / F.col("_prev")).alias("r"))
+    return placed_returns(bars).done()
+
+
+def placed_returns(bars: DataFrame) -> Placed:
+    """:func:`log_returns` in their placement, for running values over them; a code may span many tasks."""
+    near = place(bars.select("code", "d", "i", "close"), ["code"], [F.col("i")]).scan(_prev=previous(F.struct("close", "i")))
+    close, old = F.col("close"), F.col("_prev.close")
+    paired = near.rows.filter((F.col("_prev.i") == F.col("i") - 1) & (close > 0) & (old > 0))
+    return Placed(paired.select("code", "d", "i", F.ln(close / old).alias("r"), "_part"), near.keys, near.order)
 
 
 def ewm_std(returns: DataFrame, span: int) -> DataFrame:
@@ -99,39 +104,41 @@ def ewm_std(returns: DataFrame, span: int) -> DataFrame:
     return sums.select("code", "observations", F.when(variance > 0, F.sqrt(variance)).alias("sigma"))
 
 
-def ewm_std_daily(returns: DataFrame, span: int, weight_range: float = 1e60) -> DataFrame:
-    """The same estimate as of every day, from running sums in one window pass.
+MOMENTS = "n long, w double, w2 double, mean double, s double, lo double, hi double"
+
 
-    Relative to the newest return a weight is (1−α)^age. Rows are cut into blocks inside which
-    (1−α)^−position stays below ``weight_range``; a day needs the running sums of its own block
-    and the totals of the block before, since anything older weighs less than 1/weight_range.
-    Returns are centred on the code's first return so that the squares stay small.
+def ewm_std_daily(returns: DataFrame | Placed, span: int) -> DataFrame:
+    """The same estimate as of every day: a running value over all returns up to it, none left out.
+
+    Its state is the number of returns, the sums of their weights and squared weights, the weighted mean
+    and the weighted squared deviations from it. A further return ages the state by 1−α and moves the
+    mean, so no square of a return is ever formed; two stretches are put together by ageing the older by
+    as many returns as the newer has. A code's returns may so lie in any number of tasks.
     """
     decay = 1 - 2.0 / (span + 1)
-    block = max(1, int(math.log(weight_range) / -math.log(decay)))
-    order = W.partitionBy("code").orderBy("i")
-    numbered = returns.withColumn("_k", F.row_number().over(order) - 1).withColumn("_x", F.col("r") - F.first("r").over(order))
-    placed = numbered.withColumn("_b", F.floor(F.col("_k") / block)).withColumn("_p", F.col("_k") % block)
-    w, x = F.pow(F.lit(decay), -F.col("_p")), F.col("_x")
-    own = W.partitionBy("code").orderBy("_b", "_p")
-    here = W.partitionBy("code", "_b").orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy("code").orderBy("_b").rangeBetween(-1, -1)
-    run = own.rowsBetween(W.unboundedPreceding, 0)
-
-    def total(term: Column, power: int) -> Column:
-        shrink = F.pow(F.lit(decay), power * F.col("_p"))
-        older = F.coalesce(F.sum(term).over(before), F.lit(0.0)) * F.pow(F.lit(decay), F.lit(power * block))
-        return shrink * (F.sum(term).over(here) + older)
-
-    sums = placed.select(
-        "code", "d", "i", (F.col("_k") + 1).alias("observations"),
-        total(w, 1).alias("_a"), total(w * w, 2).alias("_b2"), total(w * x, 1).alias("_c"), total(w * x * x, 1).alias("_e"),
-        (F.max("r").over(run) == F.min("r").over(run)).alias("_flat"),
-    )
-    room = F.col("_a") * F.col("_a") - F.col("_b2")
-    spread = F.col("_e") - F.col("_c") * F.col("_c") / F.col("_a")
-    variance = F.when((F.col("observations") >= 2) & (room > 0) & ~F.col("_flat"), spread * F.col("_a") / room)
-    return sums.select("code", "d", "i", "observations", F.when(variance > 0, F.sqrt(variance)).alias("sigma"))
+    placed = returns if isinstance(returns, Placed) else place(returns.select("code", "d", "i", "r"), ["code"], [F.col("i")])
+
+    def step(state, r):
+        n, w, w2, mean, s, lo, hi = state
+        old = decay * w
+        off = r - mean
+        w = old + 1.0
+        return n + 1, w, decay * decay * w2 + 1.0, mean + off / w, decay * s + old / w * off * off, r if n == 0 else min(lo, r), r if n == 0 else max(hi, r)
+
+    def merged(a: Column, b: Column) -> Column:
+        aged = F.pow(F.lit(decay), b["n"])
+        old = a["w"] * aged
+        w = old + b["w"]
+        off = a["mean"] - b["mean"]
+        return F.struct(
+            (a["n"] + b["n"]).alias("n"), w.alias("w"), (a["w2"] * aged * aged + b["w2"]).alias("w2"),
+            ((old * a["mean"] + b["w"] * b["mean"]) / w).alias("mean"), (a["s"] * aged + b["s"] + old * b["w"] / w * off * off).alias("s"),
+            F.least(a["lo"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi"))
+
+    m = placed.fold("m", ["r"], MOMENTS, (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), step, merged).done().select("code", "d", "i", "m.*")
+    room = F.col("w") * F.col("w") - F.col("w2")
+    variance = F.when((F.col("n") >= 2) & (room > 0) & (F.col("lo") < F.col("hi")), F.col("s") * F.col("w") / room)
+    return m.select("code", "d", "i", F.col("n").alias("observations"), F.when(variance > 0, F.sqrt(variance)).alias("sigma"))
 
 
 def estimate_vol(estimates: DataFrame, min_observations: int) -> DataFrame:

@@ -172,7 +172,7 @@ def total_return_index(t: Tables) -> DataFrame:
 @query("max_drawdown", """SELECT code, round(max(coalesce((peak - v) / nullif(peak, 0), 0)), 6) AS max_drawdown FROM (SELECT code, total_return_index AS v,
    max(total_return_index) OVER (PARTITION BY code ORDER BY i) AS peak FROM tri) x GROUP BY code""")
 def max_drawdown(t: Tables) -> DataFrame:
-    out = benchmark.max_drawdown(benchmark.total_return_index(t.closes(), t.cal(), t.actions()))
+    out = benchmark.max_drawdown(benchmark.placed_index(t.closes(), t.cal(), t.actions()))
     return out.withColumn("max_drawdown", F.round("max_drawdown", 6))
 
 

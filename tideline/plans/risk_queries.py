@@ -28,8 +28,12 @@ def half_up(a: str, b: str) -> str:
 # ── volatility ───────────────────────────────────────────────────────────────
 
 
+def closes(t: Tables) -> DataFrame:
+    return t.bars().select("code", "d", "close").join(t.cal(), "d")
+
+
 def returns(t: Tables) -> DataFrame:
-    return risk.log_returns(t.bars().select("code", "d", "close").join(t.cal(), "d"))
+    return risk.log_returns(closes(t))
 
 
 @query("log_returns", "SELECT code, d, round(r, 9) AS r FROM returns")
@@ -52,21 +56,21 @@ def ewm_volatility(t: Tables) -> DataFrame:
 
 @query("ewm_volatility_daily", EWM + """ SELECT code, d, observations, round(CASE WHEN ok = 1 THEN sg END, 9) AS sigma FROM v""")
 def ewm_volatility_daily(t: Tables) -> DataFrame:
-    out = risk.ewm_std_daily(returns(t), CONFIG.vol_span)
+    out = risk.ewm_std_daily(risk.placed_returns(closes(t)), CONFIG.vol_span)
     return out.select("code", "d", "observations", F.round("sigma", 9).alias("sigma"))
 
 
 @query("estimated_volatility", EWM + """ SELECT code, d, observations, CASE WHEN observations >= 20 THEN round(CASE WHEN ok = 1 THEN sg END, 9) END AS sigma,
    CASE WHEN observations < 20 THEN 'too_few_observations' WHEN ok IS NULL THEN 'no_valid_deviation' END AS vol_reason FROM v""")
 def estimated_volatility(t: Tables) -> DataFrame:
-    out = risk.estimate_vol(risk.ewm_std_daily(returns(t), CONFIG.vol_span), CONFIG.vol_min_observations)
+    out = risk.estimate_vol(risk.ewm_std_daily(risk.placed_returns(closes(t)), CONFIG.vol_span), CONFIG.vol_min_observations)
     return out.select("code", "d", "observations", F.round("sigma", 9).alias("sigma"), "vol_reason")
 
 
 @query("volatility_coverage", EWM + """ SELECT b.d, count(CASE WHEN v.observations >= 10 AND ok = 1 THEN 1 END) AS with_sigma, count(*) AS codes
    FROM bars b LEFT JOIN v ON v.code = b.code AND v.d = b.d GROUP BY b.d""")
 def volatility_coverage(t: Tables) -> DataFrame:
-    est = risk.estimate_vol(risk.ewm_std_daily(returns(t), CONFIG.vol_span), 10)
+    est = risk.estimate_vol(risk.ewm_std_daily(risk.placed_returns(closes(t)), CONFIG.vol_span), 10)
     return risk.vol_coverage(t.bars(), est)
 
 
