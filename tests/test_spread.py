@@ -157,3 +157,33 @@ def test_returns_index_and_drawdown_of_a_split_code(split):
         fall = max(fall, (peak - level) / peak if peak > 0 else 0)
     assert list(index["total_return_index"]) == pytest.approx(expected)
     assert benchmark.max_drawdown(placed).where("code = 1").first().max_drawdown == pytest.approx(fall)
+
+
+def test_greedy_limits_walk_a_split_day_piece_by_piece(split):
+    rng = random.Random(8)
+    own = [None, None, None, "below_one_lot", "odds_below_one"]
+    rows, states = [], []
+    for d in range(12):
+        size = 2500 if d == 3 else rng.randrange(1, 60)
+        rows += [(day(d), c, c + 1, rng.choice(own), 1, rng.choice([1.0, 4.0, 15.0, 70.0]), rng.choice([50.0, 400.0, 3000.0])) for c in range(size)]
+        states.append((day(d), rng.randrange(0, 5), rng.randrange(0, 3), 10.0 * rng.randrange(0, 4), float(rng.randrange(0, 18))))
+    states[3] = (day(3), 0, 0, 0.0, 0.0)
+    sized = split.createDataFrame(rows, "d date, code long, rank long, own_reason string, shares long, position_pct double, position_value double")
+    state = split.createDataFrame(states, "d date, entries int, open_positions int, exposure_pct double, drawdown_pct double")
+    for cfg in (risk.RiskConfig(), risk.RiskConfig(max_concurrent=40, monthly_entry_cap=30, max_total_exposure_pct=200.0, daily_buy_budget=9000.0),
+                risk.RiskConfig(max_concurrent=4000, monthly_entry_cap=4000, max_total_exposure_pct=3000.0)):
+        want = {}
+        for d, entries, open_, exposure, drawdown in states:
+            money = cfg.daily_buy_budget
+            for _, code, rank, why, _, pct, value in sorted((r for r in rows if r[0] == d), key=lambda r: r[2]):
+                reason = ("circuit_breaker" if drawdown >= cfg.circuit_breaker_pct else "monthly_turnover_cap" if entries >= cfg.monthly_entry_cap
+                          else "concurrent_position_cap" if open_ >= cfg.max_concurrent else why if why
+                          else "total_exposure_cap" if exposure + pct > cfg.max_total_exposure_pct else "daily_buy_budget" if money is not None and value > money else None)
+                if reason is None:
+                    entries, open_, exposure, money = entries + 1, open_ + 1, exposure + pct, None if money is None else money - value
+                want[d, rank] = reason
+        got = {(r.d, r.rank): r.reject_reason for r in risk.capped_greedy(sized, state, cfg).collect()}
+        assert got == want
+    assert risk.capped_greedy(sized.where("false"), state, risk.RiskConfig()).collect() == []
+    with pytest.raises(Exception, match="no risk state"):
+        risk.capped_greedy(sized, state.where("d > '2024-01-02'"), risk.RiskConfig()).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from tideline.functions.money import to_cents
 from tideline.operators.cost import TAX_PPM, Broker, net_cents
-from tideline.operators.scale import Placed, place, previous, spread_rows
+from tideline.operators.scale import Placed, place, previous
+from tideline.session import materialise
 
 SIZING_STEPS, COMPILED_STEPS, BISECTION_STEPS = 12, 2, 40
 
@@ -258,52 +259,102 @@ def capped_greedy(sized: DataFrame, state: DataFrame, config: RiskConfig) -> Dat
     """Approve in rank order under the caps; a skipped candidate consumes nothing.
 
     ``state`` has one row per day: entries so far this month, open positions, exposure and drawdown; a
-    candidate of a day without state is an error. A day's candidates stream by in rank order past its
-    running totals, four numbers whatever the caps and however many candidates, so the plan does not
-    grow with the caps and memory not with the day.
+    candidate of a day without state is an error. (d, rank) is unique.
+
+    Candidates that fail on their own move no total, so only the others are walked. They lie in
+    range partitions by (d, rank); what a day has in one of them is a piece. In each round every day
+    that can still approve walks its next piece, starting from the totals that its last one left, in a
+    task of its own; a day whose entry or position cap is reached is closed and takes no further part. A
+    day of any size so costs one task per piece and the totals, not the rows, go from piece to piece.
+    Last, rows after a day's close get its reason, and rows with an own reason get that one.
     """
     kept = ["d", "code", "rank", "own_reason", "shares", "position_pct", "position_value"]
-    limits = ["entries", "open_positions", "exposure_pct", "drawdown_pct"]
-    base = sized.select(*kept)
-    joined = base.join(state.select("d", *limits, F.lit(True).alias("_known")), "d", "left")
-    schema = T.StructType([*base.schema.fields, T.StructField("reject_reason", T.StringType()), T.StructField("approved", T.BooleanType())])
-    ordered = spread_rows(joined, ["d"], ["rank"])
+    base = materialise(sized.select(*kept))
+    placed = place(base.where("own_reason is null").drop("own_reason"), ["d"], [F.col("rank")]).rows
+    dealt = materialise(placed.select("d", "_part").distinct().withColumn("_turn", F.row_number().over(W.partitionBy("d").orderBy("_part"))))
+    rounds = dealt.agg(F.max("_turn")).first()[0] or 0
+    # what is left of the day's budget is a total as well; NULL is no budget
+    totals = state.select("d", *LIMITS, F.lit(config.daily_buy_budget).cast("double").alias("budget_left")).withColumn("closed_by", _closed(config))
+    totals = materialise(totals.withColumn("closed_at", F.when(F.col("closed_by").isNotNull(), F.lit(-(2**63)))))
+    reasons = None
+    for turn in range(1, rounds + 1):
+        due = dealt.where(F.col("_turn") == turn).join(totals.where("closed_by is null"), "d")
+        if turn > 1 and not due.limit(1).count():
+            break
+        walked = materialise(_walked(placed, due, config))
+        reasons = walked if reasons is None else reasons.unionByName(walked)
+        totals = materialise(_left(totals, walked))
+    days = totals.select("d", "closed_at", "closed_by", F.lit(True).alias("_known"))
+    failing = base.where("own_reason is not null").withColumn("_reason", F.col("own_reason"))
+    passing = placed.drop("_part").withColumn("own_reason", F.lit(None).cast("string"))
+    if reasons is None:
+        passing = passing.withColumn("_reason", F.lit(None).cast("string"))
+    else:
+        passing = passing.join(reasons.select("d", "rank", "_reason"), ["d", "rank"], "left")
+    every = failing.select(*kept, "_reason").unionByName(passing.select(*kept, "_reason")).join(days, "d", "left")
+    reason = F.coalesce(F.when(F.col("rank") > F.col("closed_at"), F.col("closed_by")), F.col("_reason"))
+    unknown = F.raise_error(F.concat(F.lit("no risk state for "), F.coalesce(F.col("d").cast("string"), F.lit("NULL")))).cast("string")
+    return every.select(*kept, F.when(F.col("_known"), reason).otherwise(unknown).alias("reject_reason")).withColumn("approved", F.col("reject_reason").isNull())
+
+
+LIMITS = ("entries", "open_positions", "exposure_pct", "drawdown_pct")
+TOTALS = ("entries", "open_positions", "exposure_pct", "budget_left")
+
+
+def _closed(config: RiskConfig) -> Column:
+    """Why a day takes nothing more whatever comes, or NULL."""
+    return (
+        F.when(F.col("drawdown_pct") >= config.circuit_breaker_pct, "circuit_breaker").when(F.col("entries") >= config.monthly_entry_cap, "monthly_turnover_cap")
+        .when(F.col("open_positions") >= config.max_concurrent, "concurrent_position_cap"))
+
+
+def _left(totals: DataFrame, walked: DataFrame) -> DataFrame:
+    """The totals after a round; days that walked nothing in it keep theirs."""
+    ends = [F.max_by(f"_{c}", "rank").alias(f"_{c}") for c in (*TOTALS, "closed_by")]
+    last = walked.groupBy("d").agg(F.lit(True).alias("_moved"), F.min(F.when(F.col("_closed_by").isNotNull(), F.col("rank").cast("bigint"))).alias("_closed_at"), *ends)
+    new = [F.when(F.col("_moved"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in (*TOTALS, "closed_by", "closed_at")]
+    return totals.join(last, "d", "left").select("d", *new)
+
+
+def _walked(placed: DataFrame, due: DataFrame, config: RiskConfig) -> DataFrame:
+    """(d, rank, _reason) and the day's totals after each row of the pieces that are due."""
+    rows = placed.select("d", "rank", "position_pct", "position_value", "_part").join(due.select("d", "_part", *TOTALS), ["d", "_part"])
+    kinds = dict(rows.dtypes)
+    schema = f"d {kinds['d']}, rank {kinds['rank']}, _reason string, _closed_by string, " + ", ".join(f"_{c} {kinds[c]}" for c in TOTALS)
 
-    def fold(batches):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         day, totals = None, None
         for batch in batches:
-            read = {c: batch.column(c).to_pylist() for c in ("d", "own_reason", "position_pct", "position_value", "_known", *limits)}
-            reasons = []
+            columns = {c: batch.column(c).to_pylist() for c in ("d", "position_pct", "position_value", *TOTALS)}
+            found = []
             for i in range(batch.num_rows):
-                if totals is None or read["d"][i] != day:
-                    if not read["_known"][i]:
-                        raise ValueError(f"no risk state for {read['d'][i]}")
-                    day, totals = read["d"][i], _Totals(config, *(read[c][i] for c in limits))
-                reasons.append(totals.decide(read["own_reason"][i], read["position_pct"][i], read["position_value"][i]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(reasons, pa.string()), pa.array([x is None for x in reasons])], [*kept, "reject_reason", "approved"])
+                if totals is None or columns["d"][i] != day:
+                    day, totals = columns["d"][i], _Totals(config, *(columns[c][i] for c in TOTALS))
+                found.append((totals.decide(columns["position_pct"][i], columns["position_value"][i]), totals.closed(), totals.entries, totals.open, totals.exposure, totals.budget))
+            kind = [pa.string(), pa.string(), *(batch.schema.field(c).type for c in TOTALS)]
+            made = [pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 6, kind)]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("rank"), *made], ["d", "rank", "_reason", "_closed_by", *(f"_{c}" for c in TOTALS)])
 
-    return ordered.mapInArrow(fold, schema)
+    return rows.repartition("d", "_part").sortWithinPartitions("d", "rank").mapInArrow(walk, schema)
 
 
 class _Totals:
     """Running totals of one day."""
 
-    def __init__(self, config: RiskConfig, entries, open_positions, exposure_pct, drawdown_pct):
-        self.config, self.entries, self.open, self.exposure, self.drawdown = config, entries, open_positions, exposure_pct, drawdown_pct
-        self.budget = config.daily_buy_budget
+    def __init__(self, config: RiskConfig, entries, open_positions, exposure_pct, budget_left):
+        self.config, self.entries, self.open, self.exposure, self.budget = config, entries, open_positions, exposure_pct, budget_left
 
-    def decide(self, own_reason: str | None, pct: float | None, value: float | None) -> str | None:
-        """Why a candidate is rejected, or None, in which case it is counted."""
-        c = self.config
-        if self.drawdown >= c.circuit_breaker_pct:
-            return "circuit_breaker"
-        if self.entries >= c.monthly_entry_cap:
+    def closed(self) -> str | None:
+        if self.entries >= self.config.monthly_entry_cap:
             return "monthly_turnover_cap"
-        if self.open >= c.max_concurrent:
-            return "concurrent_position_cap"
-        if own_reason is not None:
-            return own_reason
-        if self.exposure + pct > c.max_total_exposure_pct:
+        return "concurrent_position_cap" if self.open >= self.config.max_concurrent else None
+
+    def decide(self, pct: float, value: float) -> str | None:
+        """Why a candidate without a reason of its own is rejected, or None, in which case it is counted."""
+        reason = self.closed()
+        if reason:
+            return reason
+        if self.exposure + pct > self.config.max_total_exposure_pct:
             return "total_exposure_cap"
         if self.budget is not None:
             if value > self.budget:
