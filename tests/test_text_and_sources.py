@@ -1,9 +1,10 @@
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.functions import dates, judging, text
+from tideline.functions import dates, hashing, judging, text
 from tideline.operators import quality, textqueue
 from tideline.sources import catalog, ledger, mapping, payloads as pay
 
@@ -75,6 +76,49 @@ def test_payload_observation(spark):
     assert het == {1: (3, 2), 5: (1, 0)}
 
 
+def test_every_payload_answers_in_one_pass(spark):
+    bodies = [(1, '[{"a":1,"b ":2},{"a":1},7]'), (2, "\n\u00a0<html>"), (3, ' {"a":1}'), (4, "[]"), (5, "[null]"), (6, None), (7, "[7]"), (8, '"["'), (9, "[1")]
+    df = spark.createDataFrame(bodies, "id long, body string")
+    rows = pay.json_rows(df, every=True)
+    assert {r.id: r.state for r in rows.collect()} == {1: None, 2: "invalid_json", 3: "payload_not_an_array", 4: "payload_empty", 5: None, 6: "invalid_json", 7: None, 8: "payload_not_an_array", 9: "invalid_json"}
+    assert {r.id: r.fields for r in pay.observed_fields(rows).collect()} == {1: ["a", "b "]} | {i: [] for i in range(2, 10)}
+    het = {r.id: (r.row_count, r.heterogeneous) for r in pay.heterogeneous_rows(rows).collect()}
+    assert het == {1: (3, 2), 5: (1, 0), 7: (1, 0)} | {i: (0, 0) for i in (2, 3, 4, 6, 8, 9)}
+    html = {r.id for r in df.where(pay.looks_like_html(F.col("body"))).collect()}
+    assert html == {2}
+
+
+def test_files_are_keyed_by_their_bytes(spark, tmp_path):
+    files = {"plain.json": b'[{"a":1}]', "bom.json": b'\xef\xbb\xbf[{"a":1}]', "bad.json": b'[{"a":"\xff\xfe"}]', "cut.json": "[{\"a\":\"é".encode()[:-1], "mark.html": b"\xef\xbb\xbf <html>"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "empty.json").write_bytes(b"")  # no payload
+    found = pay.with_text(pay.read_payload_files(spark, str(tmp_path)))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in found.withColumns({
+        "hash": hashing.content_hash(F.col("content")), "state": pay.payload_state(F.col("body")), "html": pay.looks_like_html(F.col("body"))}).collect()}
+    assert {n: r.hash for n, r in rows.items()} == {n: hashlib.sha256(c).hexdigest() for n, c in files.items()}
+    assert {n: bytes(r.content) for n, r in rows.items()} == files and {n: r.length for n, r in rows.items()} == {n: len(c) for n, c in files.items()}
+    assert {n: r.decode_fault for n, r in rows.items()} == {"plain.json": None, "bom.json": "byte_order_mark", "bad.json": "invalid_utf8", "cut.json": "invalid_utf8", "mark.html": "byte_order_mark"}
+    assert {n: r.state for n, r in rows.items()} == {"plain.json": None, "bad.json": None} | dict.fromkeys(("bom.json", "cut.json", "mark.html"), "invalid_json")
+    assert rows["bad.json"].body == '[{"a":"\ufffd\ufffd"}]' and {n for n, r in rows.items() if r.html} == {"mark.html"}
+
+    # landed as bytes, each content once, the same bytes back
+    numbered = found.select(F.xxhash64("path").alias("id"), F.lit("s").alias("source_id"), F.lit(None).cast("date").alias("data_as_of"), "content")
+    store = str(tmp_path / "store")
+    twice = numbered.unionByName(numbered.withColumn("id", F.col("id") + 1))
+    plan = ledger.land(twice, store, body="content")
+    assert "content" not in plan.columns and plan.where("written").count() == len(files)
+    assert {r.content_hash: bytes(r.content) for r in spark.read.parquet(store).collect()} == {hashlib.sha256(c).hexdigest(): c for c in files.values()}
+
+
+def test_declared_baselines_come_first(spark, tmp_path):
+    seen = spark.createDataFrame([(1, "a", ["x"]), (2, "a", ["x", "y"]), (3, "b", []), (4, "b", ["z"])], "id long, source_id string, fields array<string>")
+    (tmp_path / "base.jsonl").write_text('{"source_id":"a","fields":["y","x"]}\n{"source_id":"c","fields":["q"]}\n')
+    declared = catalog.read_baselines(spark, str(tmp_path / "base.jsonl"))
+    assert {r.source_id: r.baseline for r in catalog.baseline_fields(seen, declared=declared).collect()} == {"a": ["x", "y"], "b": ["z"], "c": ["q"]}
+    assert {r.source_id: r.baseline for r in catalog.baseline_fields(seen).collect()} == {"a": ["x"], "b": ["z"]}
+
+
 def test_announcement_maps_read_each_markets_own_names(spark):
     twse = {"發言日期": "1150815", "公司代號": "7835", "主旨 ": "主旨帶空格欄位", "符合條款": "第51款", "說明": "說明內容"}
     tpex = {"發言日期": "1150815", "SecuritiesCompanyCode": "6488", "主旨": "主旨無空格欄位", "符合條款": "第26款", "說明": "說明內容"}

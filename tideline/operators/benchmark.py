@@ -141,27 +141,28 @@ def signal_performance(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def factor_decay(observations: DataFrame, last: int = 60) -> DataFrame:
-    """Per factor and day: mean excess and score/excess correlation over the last ``last`` days with
+def factor_decay(observations: DataFrame, last: int = 60, keys: tuple[str, ...] = ("factor",)) -> DataFrame:
+    """Per key and day: mean excess and score/excess correlation over the last ``last`` days with
     observations, against the whole history up to that day.
 
-    Observations are summed per factor and day first; the frames then run over calendar days.
+    Observations are summed per key and day first; the frames then run over calendar days. A correlation
+    needs both sides to vary by more than rounding makes of equal values.
     """
     s, e = F.col("score"), F.col("excess_pct")
-    daily = observations.groupBy("factor", "d").agg(
+    daily = observations.groupBy(*keys, "d").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(s).alias("_s"), F.sum(e).alias("_e"), F.sum(s * e).alias("_se"), F.sum(s * s).alias("_ss"), F.sum(e * e).alias("_ee")
     )
-    w = W.partitionBy("factor").orderBy("d")
+    w = W.partitionBy(*keys).orderBy("d")
 
     def over(frame) -> tuple[Column, Column]:
         n, ss, ee, se, a, b = (F.sum(c).over(frame) for c in ("_n", "_ss", "_ee", "_se", "_s", "_e"))
-        spread = (n * ss - a * a) * (n * ee - b * b)
-        return b / n, F.when(spread > 0, (n * se - a * b) / F.sqrt(spread))
+        x, y = n * ss - a * a, n * ee - b * b
+        return b / n, F.when((x > 1e-9 * n * ss) & (y > 1e-9 * n * ee), (n * se - a * b) / F.sqrt(x * y))
 
     recent_mean, recent_corr = over(w.rowsBetween(-(last - 1), 0))
     mean, corr = over(w.rowsBetween(W.unboundedPreceding, 0))
     return daily.select(
-        "factor", "d", recent_mean.alias("recent_excess"), recent_corr.alias("recent_corr"), mean.alias("mean_excess"), corr.alias("corr")
+        *keys, "d", recent_mean.alias("recent_excess"), recent_corr.alias("recent_corr"), mean.alias("mean_excess"), corr.alias("corr")
     ).withColumn("decay", F.col("corr") - F.col("recent_corr"))
 
 
@@ -175,21 +176,21 @@ def turnover(signals: DataFrame) -> DataFrame:
 
 
 def performance_gates(signals: DataFrame, performance: DataFrame, comparison: DataFrame, agreement: DataFrame, streaks: DataFrame) -> DataFrame:
-    """One row per gate with its measure and whether it holds.
+    """One row per gate, and per horizon where a gate has one, with its measure and whether it holds.
 
-    ``signals``: (d, code); ``performance``: :func:`signal_performance` of one horizon;
-    ``comparison``: one comparison row; ``agreement``: one row with ``share``; ``streaks``: one row
-    per source with ``latest_streak``.
+    ``signals``: (d, code); ``performance``: :func:`signal_performance`; ``comparison``: one comparison row
+    per horizon; ``agreement``: one row with ``share``; ``streaks``: one row per source with
+    ``latest_streak``, as :func:`tideline.sources.ledger.clean_streaks` counts them.
     """
-    distinct = signals.select("d", "code").distinct()
+    distinct, whole = signals.select("d", "code").distinct(), F.lit(None).cast("int")
     g1 = distinct.agg(F.count(F.lit(1)).alias("n"), F.months_between(F.max("d"), F.min("d")).alias("m")).select(
-        F.lit("G1").alias("gate"), F.col("n").cast("double").alias("measure"), (F.col("n") >= GATE_SIGNALS) & (F.col("m") >= GATE_MONTHS)
+        F.lit("G1").alias("gate"), whole, F.col("n").cast("double").alias("measure"), (F.col("n") >= GATE_SIGNALS) & (F.col("m") >= GATE_MONTHS)
     )
-    g2 = performance.select(F.lit("G2"), F.col("profit_factor"), (F.col("expectancy_r") > 0) & (F.col("profit_factor") > GATE_PROFIT_FACTOR))
-    g3 = comparison.select(F.lit("G3"), F.col("mean_excess"), F.col("status") == BEATS)
-    g4 = agreement.select(F.lit("G4"), F.col("share"), F.col("share") > GATE_AGREEMENT)
-    g5 = streaks.agg(F.min("latest_streak").alias("s")).select(F.lit("G5"), F.col("s").cast("double"), F.col("s") >= GATE_STREAK)
-    out = g1.union(g2).union(g3).union(g4).union(g5).toDF("gate", "measure", "passed")
+    g2 = performance.select(F.lit("G2"), F.col("horizon").cast("int"), F.col("profit_factor"), (F.col("expectancy_r") > 0) & (F.col("profit_factor") > GATE_PROFIT_FACTOR))
+    g3 = comparison.select(F.lit("G3"), F.col("horizon").cast("int"), F.col("mean_excess"), F.col("status") == BEATS)
+    g4 = agreement.select(F.lit("G4"), whole, F.col("share"), F.col("share") > GATE_AGREEMENT)
+    g5 = streaks.agg(F.min("latest_streak").alias("s")).select(F.lit("G5"), whole, F.col("s").cast("double"), F.col("s") >= GATE_STREAK)
+    out = g1.union(g2).union(g3).union(g4).union(g5).toDF("gate", "horizon", "measure", "passed")
     return out.withColumn("passed", F.coalesce("passed", F.lit(False)))
 
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tideline.operators.align import is_tradable
-from tideline.operators.scale import _quantiles, number_rows, prefix_total
+from tideline.operators.scale import number_rows, place, prefix_total, running_sum
+from tideline.session import materialise
 
 HIGHER, LOWER = "higher_is_better", "lower_is_better"
 
@@ -62,6 +63,22 @@ def reversal(bars: DataFrame, cal: DataFrame, days: int = REVERSAL_DAYS) -> Data
     return with_reversal(bars.join(cal, "d"), days).filter("reversal is not null").select("code", "d", "reversal")
 
 
+def reversal_by_definition(bars: DataFrame, cal: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(d, code, factor, value): :func:`reversal` for every definition, each with the look-back (``days``) that its row names.
+
+    A frame cannot vary by row, so the bar ``days`` trading days back is met by its calendar number. All
+    bars between count if their running number has grown by as many; no day is opened and no grid is built.
+    """
+    usable = F.coalesce((F.col("close") > 0) & F.col("note").isNull(), F.lit(False)).cast("long")
+    counted = place(bars.join(cal, "d").select("code", "d", "i", "close", "note"), ["code"], [F.col("i")]).scan(_upto=running_sum(usable)).done()
+    wanted = definitions.agg(F.collect_list(F.struct("factor", F.col("days").cast("long").alias("days")))).scalar()
+    now = counted.select("code", "d", "i", "close", "_upto", F.explode(wanted).alias("_w")).select(
+        "code", "d", "close", "_upto", "_w.factor", "_w.days", (F.col("i") - F.col("_w.days")).alias("_start"))
+    then = counted.select("code", F.col("i").alias("_start"), F.col("close").alias("_from"), (F.col("_upto") - usable).alias("_before"))
+    complete = F.col("_upto") - F.col("_before") == F.col("days") + 1
+    return now.join(then, ["code", "_start"]).filter(complete).select("d", "code", "factor", (F.col("close") / F.col("_from") - 1).alias("value"))
+
+
 def yearly_growth(revenue: DataFrame) -> DataFrame:
     """Percent change of each covered month against the same month a year before.
 
@@ -143,19 +160,21 @@ def _share(pct) -> Column:
 
 
 def _score_from_counts(long: DataFrame, keys: list[str], lo: Column, hi: Column) -> DataFrame:
-    shares = long.withColumn("_lo", lo).withColumn("_hi", hi)
-    hist = shares.groupBy(*keys, "_lo", "_hi", "value").agg(F.count(F.lit(1)).alias("_eq"))
-    hist = prefix_total(hist, keys, [F.col("value")], F.col("_eq"), out="_lt")
-    totals = hist.groupBy(*keys).agg(F.sum("_eq").alias("_n"))
-    hist = hist.join(totals, keys)
-    bounds = _quantiles(hist, keys, "value", {"lo": F.col("_lo"), "hi": F.col("_hi")})
+    # the factors behind the values are computed once: they are counted, sampled for the range partitions, and joined
+    long = materialise(long.withColumn("_lo", lo).withColumn("_hi", hi))
+    hist = long.groupBy(*keys, "_lo", "_hi", "value").agg(F.count(F.lit(1)).alias("_eq"))
+    hist = prefix_total(hist, keys, [F.col("value")], F.col("_eq"), out="_lt", total="n")
+    bounds = hist.groupBy(*keys).agg(*_around(F.col("_lo"), "lo"), *_around(F.col("_hi"), "hi"))
+    at = lambda side, edge, field: F.col(f"_{side}_{edge}.{field}")
+    value = lambda side: (at(side, "a", "value") + (at(side, "b", "value") - at(side, "a", "value")) * F.col(f"_{side}_f")).alias(side)
+    bounds = bounds.select(*keys, value("lo"), value("hi"), "_lo_a", "_lo_b", "_hi_a")
+    # how many values are at most lo, and how many below hi, follows from the values on either side
+    bounds = bounds.select(
+        *keys, "lo", "hi",
+        F.when(F.col("lo") < at("lo", "b", "value"), at("lo", "a", "upto")).otherwise(at("lo", "b", "upto")).alias("_at_lo"),
+        F.when(F.col("hi") > at("hi", "a", "value"), at("hi", "a", "upto")).otherwise(at("hi", "a", "lt")).alias("_below_hi"))
     hist = hist.join(bounds, keys)
-    v = F.col("value")
-    edges = hist.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(v <= F.col("lo"), F.col("_eq"))), F.lit(0)).alias("_at_lo"),
-        F.coalesce(F.sum(F.when(v < F.col("hi"), F.col("_eq"))), F.lit(0)).alias("_below_hi"),
-    )
-    n = F.col("n")
+    v, n = F.col("value"), F.col("n")
     midrank = (
         F.when(F.col("lo") == F.col("hi"), (n + 1) / 2.0)
         .when(v <= F.col("lo"), (F.col("_at_lo") + 1) / 2.0)
@@ -163,8 +182,19 @@ def _score_from_counts(long: DataFrame, keys: list[str], lo: Column, hi: Column)
         .otherwise(F.col("_lt") + (F.col("_eq") + 1) / 2.0)
     )
     clamp = F.greatest(F.least(v, F.col("hi")), F.col("lo"))
-    per_value = hist.join(edges, keys).select(*keys, "value", "n", clamp.alias("winsorized"), midrank.alias("midrank"))
-    return long.join(per_value, [*keys, "value"])
+    per_value = hist.select(*keys, "value", "n", clamp.alias("winsorized"), midrank.alias("midrank"))
+    return long.drop("_lo", "_hi").join(per_value, [*keys, "value"])
+
+
+def _around(share: Column, side: str) -> list[Column]:
+    """The values at the places below and above position (n−1)·share, and how far the position lies between them."""
+    h = (F.col("n") - 1) * share
+    held = F.struct("value", F.col("_lt").alias("lt"), (F.col("_lt") + F.col("_eq")).alias("upto"))
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("_lt") <= position) & (position < F.col("_lt") + F.col("_eq")), held))
+
+    return [at(F.floor(h)).alias(f"_{side}_a"), at(F.ceil(h)).alias(f"_{side}_b"), F.max(h - F.floor(h)).alias(f"_{side}_f")]
 
 
 # ── composite and lists ──────────────────────────────────────────────────────

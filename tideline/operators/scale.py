@@ -18,8 +18,8 @@ from pyspark.sql.window import WindowSpec
 
 from tideline.session import materialise
 
-def prefix_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column | None = None, out: str = "before") -> DataFrame:
-    """Add the total weight of the rows that sort before each row inside its group.
+def prefix_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column | None = None, out: str = "before", total: str | None = None) -> DataFrame:
+    """Add the total weight of the rows that sort before each row inside its group, and as ``total`` the group's.
 
     ``order`` must be a total order inside a group.
     """
@@ -34,7 +34,8 @@ def prefix_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], we
     pieces = placed.groupBy(*keys, "_part").agg(F.sum("_w").alias("_piece"))
     by_piece = W.partitionBy(*keys).orderBy("_part").rowsBetween(*earlier)
     offsets = pieces.select(
-        *keys, "_part", F.coalesce(F.sum("_piece").over(by_piece), F.lit(0)).alias("_offset")
+        *keys, "_part", F.coalesce(F.sum("_piece").over(by_piece), F.lit(0)).alias("_offset"),
+        *([F.sum("_piece").over(W.partitionBy(*keys)).cast("bigint").alias(total)] if total else []),
     )
     local = W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(*earlier)
     joined = placed.alias("p").join(
@@ -42,7 +43,7 @@ def prefix_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], we
         _same([*keys, "_part"], "p", "o"),
     )
     return joined.select(
-        *[F.col(f"p.{c}") for c in placed.columns], F.col("o._offset")
+        *[F.col(f"p.{c}") for c in placed.columns], F.col("o._offset"), *([F.col(f"o.{total}")] if total else [])
     ).withColumn(
         out, (F.col("_offset") + F.coalesce(F.sum("_w").over(local), F.lit(0))).cast("bigint")
     ).drop("_w", "_part", "_offset")

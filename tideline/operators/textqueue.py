@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.hashing import content_key_ignoring_date
@@ -125,10 +129,25 @@ def score_against_gold(gold: DataFrame, verdicts: DataFrame) -> DataFrame:
 def gold_set_hash(gold: DataFrame) -> DataFrame:
     """Fingerprint of an exam: SHA-256 over its sorted ``key=label`` lines, one to a line.
 
-    An exam is labelled by hand, so its lines fit one task; :func:`gold_tree_hash` is for sets of any size.
+    One digest over all lines has to see them one after the other. Spark sorts them, spilling as it
+    needs, and they stream past the digest's state in one task, which holds a batch of them at a time.
     """
     line = F.concat(F.col("item_key").cast("string"), F.lit("="), F.col("label"))
-    return gold.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("gold_set_hash"))
+    ordered = gold.select(line.alias("line")).where("line is not null").repartition(1).sortWithinPartitions("line")
+    return _streamed_digest(ordered, "gold_set_hash")
+
+
+def _streamed_digest(lines: DataFrame, out: str) -> DataFrame:
+    """One row with the SHA-256 of the lines of a single ordered partition, joined by line feeds."""
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, first = hashlib.sha256(), True
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                state.update(line.encode() if first else b"\n" + line.encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], [out])
+
+    return lines.mapInArrow(digest, f"{out} string")
 
 
 def gold_tree_hash(gold: DataFrame) -> DataFrame:
@@ -136,13 +155,28 @@ def gold_tree_hash(gold: DataFrame) -> DataFrame:
 
     SHA-256 over the sorted ``key=label`` lines, in two levels: lines are hashed within buckets
     named by the first digits of each line's own hash, then the sorted bucket digests are hashed.
-    A line is a few dozen bytes and a bucket holds 1/4096 of them, so no task sees the whole set.
+    The buckets stream by in sorted tasks, each past a digest of its own, so no list is ever gathered.
     """
     line = F.concat(F.col("item_key").cast("string"), F.lit("="), F.col("label"))
-    lines = gold.select(line.alias("line"), F.substring(F.sha2(line, 256), 1, HASH_BUCKET_DIGITS).alias("bucket"))
-    buckets = lines.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
-    entry = F.concat("bucket", F.lit("="), F.col("digest"))
-    return buckets.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("gold_tree_hash"))
+    lines = gold.select(line.alias("line")).where("line is not null").withColumn("bucket", F.substring(F.sha2("line", 256), 1, HASH_BUCKET_DIGITS))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, state = None, None
+        for batch in batches:
+            done = []
+            for name, text in zip(batch.column("bucket").to_pylist(), batch.column("line").to_pylist()):
+                if name != bucket:
+                    if bucket is not None:
+                        done.append(f"{bucket}={state.hexdigest()}")
+                    bucket, state = name, hashlib.sha256(text.encode())
+                else:
+                    state.update(b"\n" + text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["line"])
+        if bucket is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{bucket}={state.hexdigest()}"])], ["line"])
+
+    buckets = lines.repartition("bucket").sortWithinPartitions("bucket", "line").mapInArrow(digests, "line string")
+    return _streamed_digest(buckets.repartition(1).sortWithinPartitions("line"), "gold_tree_hash")
 
 
 def exam_flags(gold: DataFrame) -> DataFrame:

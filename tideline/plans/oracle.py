@@ -10,6 +10,15 @@ WS = r"[\s\x{00A0}\x{3000}\x{FEFF}]"
 DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def sql_fixed(c: str, digits: int) -> str:
+    """A number with so many decimals, halves of its shortest decimal form rounded away from zero."""
+    return f"CAST(CAST(round(CAST(CAST(abs({c}) AS VARCHAR) AS DECIMAL(38, 15)), {digits}) AS DECIMAL(38, {digits})) AS VARCHAR)"
+
+
+def sql_signed_pct(c: str, digits: int) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '—' ELSE concat(CASE WHEN {c} < 0 THEN '-' ELSE '+' END, {sql_fixed(c, digits)}, '%') END"
+
+
 def sql_trim(c: str) -> str:
     return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 
@@ -119,7 +128,7 @@ VIEWS: dict[str, str] = {
         ELSE concat('{"fields":["part","supp no."," line"],"data":[', c, ',', c, ']}') END AS body FROM (SELECT *,
         concat('["', l_partkey, '","', l_suppkey, '"', CASE WHEN l_linenumber % 5 = 0 THEN '' ELSE concat(',"', l_linenumber, '"') END, ']') AS c
         FROM lineitem) x""",
-    "cells": """SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'TWSE' ELSE 'TPEx' END AS market,
+    "cells": """SELECT l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 'TWSE' ELSE 'TPEx' END AS market,
         CASE WHEN l_suppkey % 37 = 0 THEN '  ' ELSE concat(' ', l_partkey) END AS code_cell,
         CASE WHEN l_suppkey % 11 = 0 THEN ' ---' WHEN l_suppkey % 13 = 0 THEN 'N/A'
              WHEN l_suppkey % 17 = 0 THEN '除息 ' WHEN l_suppkey % 19 = 0 THEN '1D'

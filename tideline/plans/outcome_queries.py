@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tideline.operators import benchmark, outcomes, ranking
 from tideline.plans.catalogue import query
 from tideline.plans.ranking_queries import DECIMALS, detail, reversal_scored
+from tideline.plans.source_queries import CLEAN_DAYS, HEALTH, clean_streaks
 from tideline.plans.views import Tables
 
 BENCHMARK_CODE = 3
@@ -207,16 +208,32 @@ def signal_performance(t: Tables) -> DataFrame:
     return rounded(benchmark.signal_performance(r_multiples(t)), ("expectancy_r", "profit_factor"))
 
 
-@query("factor_decay", """WITH ob AS (SELECT s.factor, s.d, s.score, o.asset_pct - o.benchmark_pct AS e FROM observed o JOIN scored s ON s.d = o.d AND s.code = o.code WHERE o.horizon = 5 AND o.benchmark_pct IS NOT NULL),
-   days AS (SELECT factor, d, row_number() OVER (PARTITION BY factor ORDER BY d) AS n FROM (SELECT DISTINCT factor, d FROM ob) x)
-   SELECT a.factor, a.d, round(avg(e) FILTER (b.n > a.n - 10), 3) AS recent_excess, round(avg(e), 3) AS mean_excess FROM days a JOIN days b ON b.factor = a.factor AND b.n <= a.n
-   JOIN ob ON ob.factor = b.factor AND ob.d = b.d GROUP BY a.factor, a.d""")
-def factor_decay(t: Tables) -> DataFrame:
-    seen = benchmark.excess(observations(t)).filter("horizon = 5").join(picks(t).select("pick_id", "d", "code"), "pick_id")
+DECAY = """WITH ob AS (SELECT o.horizon, s.factor, s.d, s.score AS s, o.asset_pct - o.benchmark_pct AS e FROM observed o JOIN scored s ON s.d = o.d AND s.code = o.code WHERE o.benchmark_pct IS NOT NULL),
+   days AS (SELECT horizon, factor, d, row_number() OVER (PARTITION BY horizon, factor ORDER BY d) AS n FROM (SELECT DISTINCT horizon, factor, d FROM ob) x),
+   w AS (SELECT a.horizon, a.factor, a.d, a.n - b.n < {last} AS recent, s, e FROM days a JOIN days b ON b.horizon = a.horizon AND b.factor = a.factor AND b.n <= a.n JOIN ob ON ob.horizon = b.horizon AND ob.factor = b.factor AND ob.d = b.d),
+   g AS (SELECT horizon, factor, d, avg(e) FILTER (recent) AS recent_excess, avg(e) AS mean_excess,
+     CASE WHEN count(*) * sum(s * s) - sum(s) * sum(s) > 1e-9 * count(*) * sum(s * s) AND count(*) * sum(e * e) - sum(e) * sum(e) > 1e-9 * count(*) * sum(e * e) THEN corr(s, e) END AS corr,
+     CASE WHEN count(*) FILTER (recent) * sum(s * s) FILTER (recent) - pow(sum(s) FILTER (recent), 2) > 1e-9 * count(*) FILTER (recent) * sum(s * s) FILTER (recent)
+       AND count(*) FILTER (recent) * sum(e * e) FILTER (recent) - pow(sum(e) FILTER (recent), 2) > 1e-9 * count(*) FILTER (recent) * sum(e * e) FILTER (recent) THEN corr(s, e) FILTER (recent) END AS recent_corr FROM w GROUP BY horizon, factor, d)
+   SELECT horizon, factor, d, round(recent_excess, 3) AS recent_excess, round(mean_excess, 3) AS mean_excess, round(corr, 4) AS corr, round(recent_corr, 4) AS recent_corr, round(corr - recent_corr, 4) AS decay FROM g"""
+
+
+def decay_rows(t: Tables, last: int) -> DataFrame:
+    seen = benchmark.excess(observations(t)).join(picks(t).select("pick_id", "d", "code"), "pick_id")
     scores = detail(t).filter("raw is not null").select("d", "code", "factor", "score")
-    out = benchmark.factor_decay(seen.join(scores, ["d", "code"]), last=10)
-    return out.select(
-        "factor", "d", F.round("recent_excess", 3).alias("recent_excess"), F.round("mean_excess", 3).alias("mean_excess"))
+    out = benchmark.factor_decay(seen.join(scores, ["d", "code"]), last, ("horizon", "factor"))
+    places = {"recent_excess": 3, "mean_excess": 3, "corr": 4, "recent_corr": 4, "decay": 4}
+    return out.select("horizon", "factor", "d", *[F.round(c, n).alias(c) for c, n in places.items()])
+
+
+@query("factor_decay", DECAY.format(last=60))
+def factor_decay(t: Tables) -> DataFrame:
+    return decay_rows(t, 60)
+
+
+@query("factor_decay_ten_days", DECAY.format(last=10))
+def factor_decay_ten_days(t: Tables) -> DataFrame:
+    return decay_rows(t, 10)
 
 
 @query("watchlist_turnover", """SELECT p.d, count(*) AS names, count(*) FILTER (q.code IS NULL) AS entered, round(count(*) FILTER (q.code IS NULL) / count(*), 6) AS turnover
@@ -226,21 +243,20 @@ def watchlist_turnover(t: Tables) -> DataFrame:
     return out.withColumn("turnover", F.round("turnover", 6))
 
 
-@query("performance_gates", f"""WITH {R_MULTIPLES}, perf AS (SELECT avg(rmul) AS e, coalesce(sum(rmul) FILTER (rmul > 0), 0) / nullif(coalesce(-sum(rmul) FILTER (rmul < 0), 0), 0) AS pf FROM rm WHERE horizon = 5),
-   g1 AS (SELECT count(DISTINCT (d, code)) AS n FROM picks WHERE list_kind = 'trade_signal'),
-   g3 AS (SELECT count(benchmark_pct) AS n, avg(asset_pct - benchmark_pct) AS m FROM observed WHERE horizon = 5),
+@query("performance_gates", f"""{HEALTH}, {CLEAN_DAYS}, {R_MULTIPLES}, perf AS (SELECT horizon, avg(rmul) AS e, coalesce(sum(rmul) FILTER (rmul > 0), 0) / nullif(coalesce(-sum(rmul) FILTER (rmul < 0), 0), 0) AS pf FROM rm GROUP BY horizon),
+   g1 AS (SELECT count(DISTINCT (d, code)) AS n, (year(max(d)) - year(min(d))) * 12 + month(max(d)) - month(min(d)) + (day(max(d)) - day(min(d))) / 31.0 AS m FROM picks WHERE list_kind = 'trade_signal'),
+   g3 AS (SELECT horizon, count(benchmark_pct) AS n, avg(asset_pct - benchmark_pct) AS m FROM observed GROUP BY horizon),
    g4 AS (SELECT count(*) FILTER ((event_type = 'purchase') = ((t.d, t.code) IN (SELECT d, code FROM picks))) / count(*) AS share FROM ticks t WHERE event_type IN ('purchase', 'view'))
-   SELECT 'G1' AS gate, round(n::DOUBLE, 6) AS measure, false AS passed FROM g1
-   UNION ALL SELECT 'G2', round(pf, 6), coalesce(e > 0 AND pf > 1.3, false) FROM perf
-   UNION ALL SELECT 'G3', round(coalesce(m, 0), 6), coalesce(n >= 30 AND m > 0, false) FROM g3
-   UNION ALL SELECT 'G4', round(share, 6), share > 0.9 FROM g4
-   UNION ALL SELECT 'G5', 30.0, false""")
+   SELECT 'G1' AS gate, CAST(NULL AS INT) AS horizon, round(n::DOUBLE, 6) AS measure, n >= 100 AND m >= 6 AS passed FROM g1
+   UNION ALL SELECT 'G2', horizon, round(pf, 6), coalesce(e > 0 AND pf > 1.3, false) FROM perf
+   UNION ALL SELECT 'G3', horizon, round(coalesce(m, 0), 6), coalesce(n >= 30 AND m > 0, false) FROM g3
+   UNION ALL SELECT 'G4', NULL, round(share, 6), share > 0.9 FROM g4
+   UNION ALL SELECT 'G5', NULL, min(latest_streak)::DOUBLE, min(latest_streak) >= 60 FROM streaks""")
 def performance_gates(t: Tables) -> DataFrame:
-    perf = benchmark.signal_performance(r_multiples(t).filter("horizon = 5"))
-    comp = benchmark.compare_to_benchmark(observations(t).filter("horizon = 5"), ["horizon"])
+    perf = benchmark.signal_performance(r_multiples(t))
+    comp = benchmark.compare_to_benchmark(observations(t), ["horizon"])
     records = t.ticks().filter("event_type in ('purchase', 'view')").select(
         "d", "code", F.when(F.col("event_type") == "purchase", "buy").otherwise("watch").alias("action"))
     p = picks(t)
-    streaks = t.ticks().groupBy(F.col("event_type").alias("source_id")).agg(F.count_distinct("d").alias("latest_streak"))
-    out = benchmark.performance_gates(p.filter("list_kind = 'trade_signal'"), perf, comp, benchmark.record_agreement(p, records), streaks)
+    out = benchmark.performance_gates(p.filter("list_kind = 'trade_signal'"), perf, comp, benchmark.record_agreement(p, records), clean_streaks(t))
     return out.withColumn("measure", F.round("measure", 6))

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tideline.operators import align, ranking
 from tideline.operators.scale import order_statistics
 from tideline.plans.catalogue import query
+from tideline.plans.oracle import sql_signed_pct
 from tideline.plans.views import Tables
+from tideline.session import materialise
 
 FACTORS = list(ranking.FACTOR_DIRECTIONS)
 DECIMALS = 9
@@ -185,14 +187,25 @@ def factor_detail_nested(t: Tables) -> DataFrame:
     )
 
 
+# Shown values are of the raw value to nine places, so that the last digit of a sum cannot turn a text.
+SHOWN = "round(raw, 9)"
+FACTOR_TEXT = f"""CASE factor WHEN 'rev_yoy_momentum_v1' THEN {sql_signed_pct(SHOWN, 1)} WHEN 'margin_balance_change_v1' THEN {sql_signed_pct(f'{SHOWN} * 100', 1)}
+     WHEN 'short_term_reversal_5d_v1' THEN {sql_signed_pct(f'{SHOWN} * 100', 1)} ELSE concat('佔成交量 ', {sql_signed_pct(f'{SHOWN} * 100', 1)}) END"""
+
+
+def coarse(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("raw", F.round("raw", 9))
+
+
 @query("factor_explanations", f"""SELECT d, code, factor,
    CASE factor WHEN 'rev_yoy_momentum_v1' THEN '月營收年增' WHEN 'trust_net_buy_ratio_v1' THEN '投信買超'
      WHEN 'margin_balance_change_v1' THEN '融資餘額' WHEN 'short_term_reversal_5d_v1' THEN '五日漲跌'
      ELSE '外資買超' END AS label,
+   {FACTOR_TEXT} AS value_text,
    CASE WHEN factor IN ('margin_balance_change_v1', 'short_term_reversal_5d_v1') THEN 'lower' ELSE 'higher' END AS better_when
    FROM ({DETAIL}) x WHERE NOT imputed AND raw IS NOT NULL""")
 def factor_explanations(t: Tables) -> DataFrame:
-    return ranking.explain_factors(detail(t)).drop("value_text")
+    return ranking.explain_factors(coarse(detail(t)))
 
 
 @query("ranking_summary", """SELECT q.d, q.with_quote, q.tradable, coalesce(r.n, 0) AS ranked, q.tradable - coalesce(r.n, 0) AS no_data
@@ -235,6 +248,34 @@ def ranking_from_definitions(t: Tables) -> DataFrame:
     return r.select("d", "code", F.round("composite", 6).alias("composite"), "real_factors")
 
 
+LOOKBACKS = """v5 AS (SELECT a.d, a.code, k.factor, a.close / b.close - 1 AS value FROM bars a JOIN cal ca ON ca.d = a.d CROSS JOIN (VALUES ('reversal_5', 5), ('reversal_10', 10)) k(factor, days)
+     JOIN cal cb ON cb.i = ca.i - k.days JOIN bars b ON b.code = a.code AND b.d = cb.d
+     WHERE (SELECT count(*) FROM bars x JOIN cal cx ON cx.d = x.d WHERE x.code = a.code AND cx.i BETWEEN ca.i - k.days AND ca.i AND x.close > 0 AND x.note IS NULL) = k.days + 1)"""
+
+
+def lookbacks(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([("reversal_5", 5, 5.0, 95.0, ranking.LOWER), ("reversal_10", 10, 1.0, 99.0, ranking.HIGHER)], "factor string, days int, lower_pct double, upper_pct double, direction string")
+
+
+@query("reversal_from_definitions", f"WITH {LOOKBACKS} SELECT d, code, factor, round(value, 9) AS value FROM v5")
+def reversal_from_definitions(t: Tables) -> DataFrame:
+    return ranking.reversal_by_definition(t.closes(), t.cal(), lookbacks(t)).withColumn("value", F.round("value", 9))
+
+
+@query("ranking_from_lookbacks", f"""WITH {LOOKBACKS}, b AS (SELECT d, factor, count(*) AS n, quantile_cont(value, CASE factor WHEN 'reversal_5' THEN 0.05 ELSE 0.01 END) AS lo, quantile_cont(value, CASE factor WHEN 'reversal_5' THEN 0.95 ELSE 0.99 END) AS hi FROM v5 GROUP BY d, factor),
+   w AS (SELECT v5.d, v5.code, v5.factor, n, greatest(least(value, hi), lo) AS w FROM v5 JOIN b USING (d, factor)),
+   m AS (SELECT *, rank() OVER (PARTITION BY d, factor ORDER BY w) + (count(*) OVER (PARTITION BY d, factor, w) - 1) / 2.0 AS m FROM w),
+   s AS (SELECT *, CASE WHEN n = 1 THEN 0.5 WHEN factor = 'reversal_5' THEN 1 - (m - 1) / (n - 1) ELSE (m - 1) / (n - 1) END AS score FROM m),
+   a AS (SELECT DISTINCT d, factor FROM v5), q AS (SELECT DISTINCT d, code FROM v5)
+   SELECT q.d, q.code, round(avg(coalesce(s.score, 0.5)), 6) AS composite, count(s.score) AS real_factors FROM q JOIN a ON a.d = q.d LEFT JOIN s ON s.d = q.d AND s.code = q.code AND s.factor = a.factor GROUP BY q.d, q.code""".replace("quantile_cont(value, CASE factor WHEN 'reversal_5' THEN 0.05 ELSE 0.01 END) AS lo, quantile_cont(value, CASE factor WHEN 'reversal_5' THEN 0.95 ELSE 0.99 END) AS hi",
+   "CASE factor WHEN 'reversal_5' THEN quantile_cont(value, 0.05) ELSE quantile_cont(value, 0.01) END AS lo, CASE factor WHEN 'reversal_5' THEN quantile_cont(value, 0.95) ELSE quantile_cont(value, 0.99) END AS hi"))
+def ranking_from_lookbacks(t: Tables) -> DataFrame:
+    long = materialise(ranking.reversal_by_definition(t.closes(), t.cal(), lookbacks(t)))
+    active = long.groupBy("d", "factor").agg(F.count(F.lit(1)).alias("n")).withColumn("state", F.lit("active"))
+    r = ranking.rank_on_definitions(long, lookbacks(t), active)
+    return r.select("d", "code", F.round("composite", 6).alias("composite"), "real_factors")
+
+
 @query("definition_mismatch", """SELECT factor, CASE WHEN a IS NULL THEN 'undefined' ELSE 'unimplemented' END AS problem FROM (
    SELECT coalesce(x.factor, y.factor) AS factor, x.factor AS a, y.factor AS b
    FROM (SELECT DISTINCT factor FROM factor_long UNION SELECT DISTINCT concat(p_brand, '/', p_size) FROM part) x

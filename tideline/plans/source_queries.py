@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tideline.functions import dates, text
 from tideline.operators import quality
 from tideline.plans.catalogue import query
-from tideline.plans.oracle import sql_ad, sql_bound, sql_number, sql_roc, sql_status, sql_trim
+from tideline.plans.oracle import sql_ad, sql_bound, sql_fixed, sql_number, sql_roc, sql_signed_pct, sql_status, sql_trim
 from tideline.plans.views import Tables
 from tideline.sources import catalog, ledger as store, mapping, payloads as pay
 
@@ -48,14 +48,14 @@ KEYS = """WITH ks AS (SELECT id, source_id, pos, CASE WHEN json_type(elem) = 'OB
 @query("observed_fields", KEYS + """ SELECT p.id, coalesce(fields, '') AS fields FROM payloads p LEFT JOIN (
    SELECT id, array_to_string(list_sort(list_distinct(flatten(list(ks)))), ',') AS fields FROM ks WHERE ks IS NOT NULL GROUP BY id) x ON x.id = p.id""")
 def observed_fields(t: Tables) -> DataFrame:
-    return pay.observed_fields(pay.json_rows(t.payloads()), every=t.payloads()).select("id", F.array_join("fields", ",").alias("fields"))
+    return pay.observed_fields(pay.json_rows(t.payloads(), every=True)).select("id", F.array_join("fields", ",").alias("fields"))
 
 
 @query("heterogeneous_rows", KEYS + """, lead_row AS (SELECT id, min_by(ks, pos) AS k0 FROM ks WHERE ks IS NOT NULL GROUP BY id)
    SELECT p.id, count(ks.id) AS row_count, count(ks.id) FILTER (ks.ks IS DISTINCT FROM k0) AS heterogeneous
    FROM payloads p LEFT JOIN ks ON ks.id = p.id LEFT JOIN lead_row ON ks.id = lead_row.id GROUP BY p.id""")
 def heterogeneous_rows(t: Tables) -> DataFrame:
-    return pay.heterogeneous_rows(pay.json_rows(t.payloads()), every=t.payloads())
+    return pay.heterogeneous_rows(pay.json_rows(t.payloads(), every=True))
 
 
 RAWDATE = f"""WITH rd AS (SELECT id, selection, pos, json_extract_string(elem, '$.Date') AS raw FROM payload_rows),
@@ -63,8 +63,8 @@ RAWDATE = f"""WITH rd AS (SELECT id, selection, pos, json_extract_string(elem, '
 
 
 def dated_rows(t: Tables) -> DataFrame:
-    rows = pay.json_rows(t.payloads(), carry=("selection",))
-    return rows.select("id", "pos", F.col("row")["Date"].alias("raw"), "selection")
+    rows = pay.json_rows(t.payloads(), carry=("selection",), every=True)
+    return rows.select("id", "pos", F.col("row")["Date"].alias("raw"), "selection", "state")
 
 
 @query("payload_dates", RAWDATE + """ SELECT s.id, CASE WHEN NOT many THEN mx END AS data_as_of,
@@ -73,7 +73,7 @@ def dated_rows(t: Tables) -> DataFrame:
    SELECT id, max(selection) AS selection, count(raw) AS strings, max(dd) AS mx,
      max(selection) = 'unique' AND count(DISTINCT raw) > 1 AS many FROM pd GROUP BY id) x ON x.id = s.id""")
 def payload_dates(t: Tables) -> DataFrame:
-    return pay.resolve_as_of(dated_rows(t), "raw", F.lit(dates.ROC_COMPACT), F.col("selection"), states=pay.states(t.payloads()))
+    return pay.resolve_as_of(dated_rows(t), "raw", F.lit(dates.ROC_COMPACT), F.col("selection"))
 
 
 @query("observed_dates", RAWDATE + """ SELECT id, raw, first_pos, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first_pos, raw) AS rank
@@ -90,40 +90,54 @@ def payload_periods(t: Tables) -> DataFrame:
     return pay.resolve_period(rows, "raw")
 
 
+# Two sources have a declared baseline, one of them with a field that never comes; the rest take their first snapshot's.
+DECLARED = {"click": ["Close", "Code", "Date"], "view": ["Close", "Code", "Date", "Volume", "Turnover"]}
 SOURCE_FIELDS = """WITH seen AS (SELECT p.id, p.source_id, p.state, o.fields FROM payload_states p LEFT JOIN (
      SELECT id, list_sort(list_distinct(flatten(list(json_keys(elem))))) AS fields FROM payload_rows WHERE json_type(elem) = 'OBJECT' GROUP BY id) o USING (id)),
-   base AS (SELECT source_id, min_by(fields, id) AS baseline FROM seen WHERE len(fields) > 0 GROUP BY source_id),
+   base AS (SELECT source_id, CASE source_id WHEN 'click' THEN ['Close', 'Code', 'Date'] WHEN 'view' THEN ['Close', 'Code', 'Date', 'Turnover', 'Volume'] ELSE min_by(fields, id) END AS baseline FROM seen WHERE len(fields) > 0 GROUP BY source_id),
    drift AS (SELECT s.id, s.source_id, s.state, list_sort(list_filter(coalesce(fields, []), lambda f: NOT list_contains(baseline, f))) AS added,
      list_sort(list_filter(baseline, lambda f: NOT list_contains(coalesce(fields, []), f))) AS removed FROM seen s JOIN base b USING (source_id))"""
 
 
-def drifted(t: Tables) -> DataFrame:
-    p = t.payloads()
-    fields = pay.observed_fields(pay.json_rows(p))
-    seen = p.select("id", "source_id", "d", "body").join(fields, "id", "left")
-    base = catalog.baseline_fields(seen.select("id", "source_id", "fields"))
+def drifted(rows: DataFrame, declared: DataFrame) -> DataFrame:
+    """(id, source_id, d, state, added, removed) from the rows of every payload; bodies stay where they lie."""
+    seen = pay.observed_fields(rows, carry=("source_id", "d", "state"))
+    base = catalog.baseline_fields(seen, declared=declared)
     added, removed = pay.field_drift(F.col("baseline"), F.col("fields"))
-    return seen.join(base, "source_id").select("id", "source_id", "d", "body", added.alias("added"), removed.alias("removed"))
+    return seen.join(base, "source_id").select("id", "source_id", "d", "state", added.alias("added"), removed.alias("removed"))
+
+
+def declared_fields(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(list(DECLARED.items()), "source_id string, fields array<string>")
+
+
+def observed_rows(t: Tables) -> DataFrame:
+    """Rows of every payload, parsed once and written, as several steps read them."""
+    return t.once("observed_rows", lambda t: pay.json_rows(t.payloads(), carry=("source_id", "d"), every=True))
 
 
 @query("field_drift", SOURCE_FIELDS + """ SELECT id, source_id, array_to_string(added, ',') AS added, array_to_string(removed, ',') AS removed FROM drift
    WHERE len(added) + len(removed) > 0""")
 def field_drift(t: Tables) -> DataFrame:
-    d = drifted(t).filter((F.size("added") + F.size("removed")) > 0)
+    d = drifted(observed_rows(t), declared_fields(t)).filter((F.size("added") + F.size("removed")) > 0)
     return d.select("id", "source_id", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
 
 
 def health_log(t: Tables) -> DataFrame:
-    d = drifted(t)
-    state = pay.payload_state(F.col("body"))
+    """What each payload shows of itself; purchases are a source without a fixed set of fields, so they never drift."""
+    rows = observed_rows(t)
+    d = drifted(rows, declared_fields(t)).join(pay.heterogeneous_rows(rows), "id")
+    state, drift = F.col("state"), (F.size("added") + F.size("removed")) > 0
     status = pay.health_status(
-        state.isin(pay.INVALID_JSON), (F.size("added") + F.size("removed")) > 0, F.lit(False), F.coalesce(state == pay.EMPTY, F.lit(False))
+        F.coalesce(state.isin(pay.INVALID_JSON), F.lit(False)), drift & (F.col("source_id") != "purchase"), F.col("heterogeneous") > 0, F.coalesce(state == pay.EMPTY, F.lit(False))
     )
     return d.select("id", "source_id", "d", status.alias("status"))
 
 
-HEALTH = SOURCE_FIELDS + """, log AS (SELECT r.source_id, p.d, CASE WHEN r.state = 'invalid_json' THEN 'fetch_failed' WHEN len(added) + len(removed) > 0 THEN 'schema_drift'
-     WHEN r.state = 'payload_empty' THEN 'date_unresolved' ELSE 'ok' END AS status FROM drift r JOIN payloads p USING (id))"""
+HEALTH = SOURCE_FIELDS + """, ks AS (SELECT id, pos, CASE WHEN json_type(elem) = 'OBJECT' THEN list_sort(json_keys(elem)) END AS ks FROM payload_rows),
+   mixed AS (SELECT DISTINCT ks.id FROM ks LEFT JOIN (SELECT id, min_by(ks, pos) AS k0 FROM ks WHERE ks IS NOT NULL GROUP BY id) l USING (id) WHERE ks.ks IS DISTINCT FROM k0),
+   log AS (SELECT r.source_id, p.d, CASE WHEN r.state = 'invalid_json' THEN 'fetch_failed' WHEN len(added) + len(removed) > 0 AND r.source_id <> 'purchase' THEN 'schema_drift'
+     WHEN r.id IN (SELECT id FROM mixed) THEN 'heterogeneous_rows' WHEN r.state = 'payload_empty' THEN 'date_unresolved' ELSE 'ok' END AS status FROM drift r JOIN payloads p USING (id))"""
 
 
 @query("health_rollup", HEALTH + " SELECT source_id, status, count(*) AS n FROM log GROUP BY source_id, status")
@@ -131,10 +145,13 @@ def health_rollup(t: Tables) -> DataFrame:
     return store.health_rollup(health_log(t))
 
 
-@query("clean_streaks", HEALTH + """, days AS (SELECT source_id, d, max(CASE WHEN status = 'schema_drift' AND day(d) % 3 = 0 THEN 1 ELSE 0 END) AS bad FROM log GROUP BY source_id, d),
+CLEAN_DAYS = """days AS (SELECT source_id, d, max(CASE WHEN status = 'schema_drift' AND day(d) % 3 = 0 THEN 1 ELSE 0 END) AS bad FROM log GROUP BY source_id, d),
    runs AS (SELECT *, sum(bad) OVER (PARTITION BY source_id ORDER BY d) AS island FROM days),
-   lens AS (SELECT source_id, island, count(*) AS len, max(d) AS e FROM runs WHERE bad = 0 GROUP BY source_id, island)
-   SELECT source_id, max(len) AS longest_streak, max_by(len, e) AS latest_streak FROM lens GROUP BY source_id""")
+   lens AS (SELECT source_id, island, count(*) AS len, max(d) AS e FROM runs WHERE bad = 0 GROUP BY source_id, island),
+   streaks AS (SELECT source_id, max(len) AS longest_streak, max_by(len, e) AS latest_streak FROM lens GROUP BY source_id)"""
+
+
+@query("clean_streaks", f"{HEALTH}, {CLEAN_DAYS} SELECT source_id, longest_streak, latest_streak FROM streaks")
 def clean_streaks(t: Tables) -> DataFrame:
     return store.clean_streaks(health_log(t), failed=(F.col("status") == "schema_drift") & (F.dayofmonth("d") % 3 == 0))
 
@@ -156,9 +173,7 @@ STORED = "SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE doc_
 
 
 def landing_plan(t: Tables) -> DataFrame:
-    batch = t.ledger().select("id", "source_id", "data_as_of", "reason", "content_length").join(
-        t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("body")), "id"
-    )
+    batch = t.ledger().select("id", "source_id", "data_as_of", "reason", "content_length", "content_hash")
     stored = t.documents.filter("doc_id % 10 = 3").select(F.sha2("text", 256).alias("content_hash"))
     return store.plan_landing(batch, stored)
 
@@ -296,18 +311,20 @@ def date_conversions(t: Tables) -> DataFrame:
     )
 
 
-@query("display_moves", """SELECT code, d, CASE WHEN note IS NULL THEN round(close - change, 4) END AS prev_close,
-   CASE WHEN note IS NULL THEN round(100 * change / nullif(close - change, 0), 4) END AS pct,
-   CASE WHEN note IS NOT NULL OR change IS NULL THEN '' WHEN change > 0 THEN '▲' WHEN change < 0 THEN '▼' ELSE '—' END AS arrow,
-   round(vol / 1000.0, 4) AS lots, CASE WHEN close * 10000 >= 1e8 THEN '億' WHEN close * 10000 >= 1e4 THEN '萬' ELSE '元' END AS unit FROM (
-   SELECT *, close - open AS change FROM bars) x""")
+@query("display_moves", f"""SELECT code, d, CASE WHEN note IS NULL THEN round(close - change, 4) END AS prev_close, round(pct, 4) AS pct, {sql_signed_pct('pct', 2)} AS pct_text,
+   CASE WHEN note IS NOT NULL OR change IS NULL THEN '' WHEN change > 0 THEN '▲' WHEN change < 0 THEN '▼' ELSE '—' END AS arrow, round(vol / 1000.0, 4) AS lots,
+   CASE WHEN money >= 1e8 THEN concat({sql_fixed('money / 1e8', 2)}, ' 億') WHEN money >= 1e4 THEN concat({sql_fixed('money / 1e4', 1)}, ' 萬') ELSE concat(format('{{:,}}', CAST(floor(money + 0.5) AS BIGINT)), ' 元') END AS money,
+   concat(CASE WHEN close < 0 THEN '-' ELSE '' END, {sql_fixed('close', 2)}) AS price_text FROM (
+   SELECT *, CASE WHEN note IS NULL THEN 100 * change / nullif(close - change, 0) END AS pct, close * CASE code % 3 WHEN 0 THEN 3.7 WHEN 1 THEN 1234.5 ELSE 9876543.0 END::DOUBLE AS money
+   FROM (SELECT *, close - open AS change FROM bars) y) x""")
 def display_moves(t: Tables) -> DataFrame:
     b = t.bars().withColumn("change", F.col("close") - F.col("open"))
-    close, change, note = F.col("close"), F.col("change"), F.col("note")
+    close, change, note, k = F.col("close"), F.col("change"), F.col("note"), F.col("code") % 3
+    pct = text.move_pct(close, change, note)
+    money = close * F.when(k == 0, 3.7).when(k == 1, 1234.5).otherwise(9876543.0)
     return b.select(
-        "code", "d", F.round(text.previous_close(close, change, note), 4).alias("prev_close"),
-        F.round(text.move_pct(close, change, note), 4).alias("pct"), text.move_arrow(change, note.isNull()).alias("arrow"),
-        F.round(text.lots(F.col("vol")), 4).alias("lots"), F.substring_index(text.money_scale(close * 10000), " ", -1).alias("unit"),
+        "code", "d", F.round(text.previous_close(close, change, note), 4).alias("prev_close"), F.round(pct, 4).alias("pct"), text.signed_pct(pct).alias("pct_text"),
+        text.move_arrow(change, note.isNull()).alias("arrow"), F.round(text.lots(F.col("vol")), 4).alias("lots"), text.money_scale(money).alias("money"), text.format_price(close).alias("price_text"),
     )
 
 
@@ -375,7 +392,6 @@ register_markets("map_quotes", mapping.QUOTES)
 register_markets("map_valuations", mapping.VALUATIONS)
 register_markets("map_flows", mapping.FLOWS)
 register_markets("map_margins", mapping.MARGINS)
-register_map("map_revenue", mapping.REVENUE)
 register_markets("map_attention", mapping.ATTENTION)
 register_markets("map_disposition", mapping.DISPOSITION)
 register_markets("map_suspension", mapping.SUSPENSION)
@@ -383,10 +399,32 @@ register_markets("map_altered", mapping.ALTERED)
 register_map("map_margin_suspension", mapping.MARGIN_SUSPENSION)
 register_markets("map_ex_right", mapping.EX_RIGHT)
 register_map("map_ex_right_check", mapping.EX_RIGHT_CHECK)
-register_map("map_official_index", mapping.OFFICIAL_INDEX)
 register_markets("map_announcements", mapping.ANNOUNCEMENT)
 
 
+REVENUE_CELLS = ", ".join(f"{SQL_OF[kind](cell_for(n, f, kind, mapping.REVENUE))} AS {n}" for n, (f, kind) in mapping.REVENUE.items())
+
+
+@query("map_revenue", f"""SELECT market, {REVENUE_CELLS}, d AS report_date, period FROM (
+     SELECT *, CASE WHEN id % 17 <> 0 THEN CAST(DATE '2024-01-01' + CAST(id % 30 AS INT) AS DATE) END AS d, CASE WHEN id % 9 <> 0 THEN strftime(DATE '2023-11-01' + CAST(id % 40 AS INT), '%Y-%m') END AS period FROM (
+       SELECT c.*, l_suppkey % 100 AS id FROM cells c) y) x WHERE {SQL_OF['text']('code_cell')} <> '' AND d IS NOT NULL AND period IS NOT NULL""")
+def map_revenue(t: Tables) -> DataFrame:
+    """Revenue rows of a hundred snapshots, dated by them."""
+    columns = mapping.REVENUE
+    pairs = {field: cell_for(name, field, kind, columns) for name, (field, kind) in columns.items()}
+    rows = t.cells(extra=(F.col("l_suppkey") % 100).alias("id")).select("market", "id", F.create_map(*[x for field, cell in pairs.items() for x in (F.lit(field), F.col(cell))]).alias("row"))
+    i = F.col("id")
+    ledger = t.spark.range(100).select(
+        i, F.when(i % 17 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (i % 30).cast("int"))).alias("data_as_of"),
+        F.when(i % 9 != 0, F.date_format(F.date_add(F.lit("2023-11-01").cast("date"), (i % 40).cast("int")), "yyyy-MM")).alias("data_period"))
+    return mapping.kept(mapping.revenue_facts(rows, ledger, carry=("market",))).drop("id")
+
+
+@query("map_official_index", f"SELECT market, d, value FROM ({map_sql(mapping.OFFICIAL_INDEX)}) x WHERE value > 0")
+def map_official_index(t: Tables) -> DataFrame:
+    return mapping.official_index(source_rows(t, mapping.OFFICIAL_INDEX), ("market",))
+
+
 @query("skip_statistics", """SELECT market, CASE WHEN trim(code_cell) = '' THEN 'missing_code' ELSE 'kept' END AS outcome, count(*) AS n FROM cells GROUP BY 1, 2""")
 def skip_statistics(t: Tables) -> DataFrame:
     columns = mapping.REVENUE

@@ -8,9 +8,11 @@ from tideline.functions import hashing, judging
 from tideline.operators import quality, ranking, registry, reports, textqueue as tq, veto
 from tideline.plans.catalogue import query
 from tideline.plans.outcome_queries import picks, scored_picks
-from tideline.plans.ranking_queries import detail, factor_activity, ranked
+from tideline.plans.oracle import sql_fixed, sql_signed_pct
+from tideline.plans.ranking_queries import FACTOR_TEXT, coarse, detail, factor_activity, ranked
 from tideline.plans.veto_queries import HITS, LABELS, hits
 from tideline.plans.views import Tables
+from tideline.session import shared_table_path
 
 # ── keys ─────────────────────────────────────────────────────────────────────
 
@@ -449,18 +451,20 @@ def daily_funnel(t: Tables) -> DataFrame:
 
 
 @query("daily_report", f"""WITH {HITS}, lab AS (SELECT DISTINCT h.d, h.code, display_name FROM hits h JOIN {LABELS} ON dim.rule_id = h.rule_id),
-   blocked AS (SELECT d, code, string_agg(display_name, '、' ORDER BY display_name) AS blocked_by FROM lab GROUP BY d, code)
-   SELECT p.d, p.code, p.rank, CASE WHEN list_kind = 'trade_signal' THEN 0 ELSE 1 END AS section, printf('%.2f', b.close) AS price_text, bl.blocked_by,
-   (SELECT count(*) FROM scored s WHERE s.d = p.d AND s.code = p.code) AS factor_count
-   FROM picks p JOIN bars b ON b.code = p.code AND b.d = p.d LEFT JOIN blocked bl ON bl.d = p.d AND bl.code = p.code""")
+   blocked AS (SELECT d, code, string_agg(display_name, '、' ORDER BY display_name) AS blocked_by FROM lab GROUP BY d, code),
+   texts AS (SELECT d, code, string_agg(concat(CASE factor WHEN 'rev_yoy_momentum_v1' THEN '月營收年增' WHEN 'trust_net_buy_ratio_v1' THEN '投信買超' WHEN 'margin_balance_change_v1' THEN '融資餘額' WHEN 'short_term_reversal_5d_v1' THEN '五日漲跌' ELSE '外資買超' END, ' ', {FACTOR_TEXT}), '；'
+     ORDER BY concat(CASE factor WHEN 'rev_yoy_momentum_v1' THEN '月營收年增' WHEN 'trust_net_buy_ratio_v1' THEN '投信買超' WHEN 'margin_balance_change_v1' THEN '融資餘額' WHEN 'short_term_reversal_5d_v1' THEN '五日漲跌' ELSE '外資買超' END, ' ', {FACTOR_TEXT})) AS factors
+     FROM (SELECT d, code, factor, value AS raw FROM scored) x GROUP BY d, code)
+   SELECT p.d, p.code, p.rank, CASE WHEN list_kind = 'trade_signal' THEN 0 ELSE 1 END AS section, {sql_fixed('b.close', 2)} AS price_text, {sql_signed_pct('(CASE WHEN b.note IS NULL THEN 100 * (b.close - b.open) / nullif(b.close - (b.close - b.open), 0) END)', 2)} AS move_text,
+   bl.blocked_by, texts.factors
+   FROM picks p JOIN bars b ON b.code = p.code AND b.d = p.d LEFT JOIN blocked bl ON bl.d = p.d AND bl.code = p.code LEFT JOIN texts ON texts.d = p.d AND texts.code = p.code""")
 def daily_report(t: Tables) -> DataFrame:
     p = picks(t)
     quotes = t.bars().withColumn("change", F.col("close") - F.col("open"))
     blocked = veto.top_k_vetoed(p.select("d", "code"), hits(t), veto.rule_dimension(t.spark))
     rows = reports.daily_report_rows(
-        p.filter("list_kind = 'trade_signal'"), p.filter("list_kind = 'watchlist'"), quotes, ranking.explain_factors(detail(t)), blocked)
-    n = F.when(F.col("factors").isNull(), 0).otherwise(F.size(F.split("factors", "；")))
-    return rows.select("d", "code", "rank", F.col("section").cast("bigint").alias("section"), "price_text", "blocked_by", n.cast("bigint").alias("factor_count"))
+        p.filter("list_kind = 'trade_signal'"), p.filter("list_kind = 'watchlist'"), quotes, ranking.explain_factors(coarse(detail(t))), blocked)
+    return rows.select("d", "code", "rank", F.col("section").cast("bigint").alias("section"), "price_text", "move_text", "blocked_by", "factors")
 
 
 @query("export_summary", """SELECT 'bars' AS sheet, count(*) AS rows FROM bars UNION ALL SELECT 'ledger', count(*) FROM ledger UNION ALL SELECT 'notices', count(*) FROM notices
@@ -469,6 +473,49 @@ def export_summary(t: Tables) -> DataFrame:
     return reports.export_summary({"bars": t.bars(), "ledger": t.ledger(), "notices": t.notices(), "gold": t.gold(), "verdicts": t.verdicts(), "trades": t.trades()})
 
 
+def exported(t: Tables) -> dict[str, DataFrame]:
+    """The six sheets and their summary, written as one export and read back."""
+    done = scored_picks(t)
+    sheets = {
+        "picks": (picks(t).select("pick_id", "d", "list_kind", "rank", "code"), [F.col("d").desc(), F.col("list_kind"), F.col("rank")]),
+        "vetoes": (hits(t).select("d", "code", "rule_id", "evidence"), [F.col("d").desc(), F.col("code"), F.col("rule_id"), F.col("evidence")]),
+        "records": (t.ticks().filter("event_type = 'purchase'").select("event_id", "d", "code", "value"), [F.col("d").desc(), F.col("event_id")]),
+        "outcomes": (done.select("pick_id", "horizon", "status", F.round("adjusted_return_pct", 6).alias("adjusted_return_pct")), [F.col("pick_id").desc(), F.col("horizon")]),
+        "labels": (t.gold(), [F.col("item_key"), F.col("revision")]),
+        "texts": (t.documents.select("doc_id", "text"), [F.col("doc_id")]),
+    }
+    folder = shared_table_path(t.spark, "export")
+    reports.export_sheets(sheets, folder, averages=reports.horizon_averages(done))
+    return reports.read_export(t.spark, folder)
+
+
+# how each sheet is ordered, and what is shown of its rows
+SHEETS = {
+    "picks": ("d DESC, list_kind, rank", "concat_ws('|', pick_id, d, list_kind, rank, code)", "picks"),
+    "vetoes": ("d DESC, code, rule_id, evidence", "concat_ws('|', d, code, rule_id, evidence)", "hits"),
+    "records": ("d DESC, event_id", "concat_ws('|', event_id, d, code)", "(SELECT * FROM ticks WHERE event_type = 'purchase') z"),
+    "outcomes": ("pick_id DESC, horizon", "concat_ws('|', pick_id, horizon, status)", "outcomes"),
+    "labels": ("item_key, revision", "concat_ws('|', item_key, revision, label)", "gold"),
+    "texts": ("doc_id", "concat_ws('|', doc_id, sha256(text))", "documents"),
+}
+
+
+@query("export_sheets", f"WITH {HITS} " + " UNION ALL ".join(f"SELECT '{n}' AS sheet, row_number() OVER (ORDER BY {order}) AS row_no, {shown} AS shown FROM {table}" for n, (order, shown, table) in SHEETS.items()))
+def export_sheets(t: Tables) -> DataFrame:
+    sheets = exported(t)
+    rows = None
+    for n, (_, shown, _) in SHEETS.items():
+        part = sheets[n].select(F.lit(n).alias("sheet"), "row_no", F.expr(shown.replace("sha256(text)", "sha2(text, 256)")).alias("shown"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query("export_averages", f"WITH {HITS} SELECT concat('mean T+', horizon) AS label, round(avg(adj_pct), 6) AS value FROM outcomes WHERE adj_pct IS NOT NULL GROUP BY horizon "
+       + " ".join(f"UNION ALL SELECT 'rows {n}', count(*) FROM {table}" for n, (_, _, table) in SHEETS.items()))
+def export_averages(t: Tables) -> DataFrame:
+    return exported(t)["summary"].select("label", F.round("value", 6).alias("value"))
+
+
 @query("pick_rows", """SELECT r.d, r.code, r.rank, 'watchlist' AS list_kind, CAST(NULL AS DOUBLE) AS stop_price, b.close AS price_at_push FROM ranked r JOIN bars b ON b.code = r.code AND b.d = r.d WHERE r.rank <= 5
    UNION ALL SELECT r.d, r.code, r.rank, 'trade_signal', round(0.9 * b.close, 6), b.close FROM ranked r JOIN bars b ON b.code = r.code AND b.d = r.d WHERE r.rank <= 2""")
 def pick_rows(t: Tables) -> DataFrame:

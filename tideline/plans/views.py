@@ -256,7 +256,7 @@ class Tables:
         )
         return self.lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("id"), body.alias("body"))
 
-    def cells(self) -> DataFrame:
+    def cells(self, extra: Column | None = None) -> DataFrame:
         """Source cells of every kind, rendered from line items the messy way sources do."""
         year = F.year("l_shipdate") - 1911
         roc = F.concat(year.cast("string"), F.date_format("l_shipdate", "MMdd"))
@@ -274,6 +274,7 @@ class Tables:
             F.when(n % 4 == 0, slashed).when(n % 4 == 1, F.concat(slashed, F.lit("～"), slashed))
             .otherwise(F.concat(roc, F.lit("~"), F.lit("1150827"))).alias("period_cell"),
             F.when(n % 3 == 0, "roc_compact").when(n % 3 == 1, "ad_compact").otherwise("iso").alias("declared"),
+            *([] if extra is None else [extra]),
         )
 
 

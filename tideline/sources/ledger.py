@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tideline.functions.hashing import content_hash
 from tideline.operators.align import first_by_key, last_by_key
+from tideline.session import materialise
 from tideline.sources.payloads import UNUSABLE_REASONS
 
 UNKNOWN_DATE = "unknown-date"
 
 
 def plan_landing(snapshots: DataFrame, stored: DataFrame, body: str = "body", pos: str = "id") -> DataFrame:
-    """Every snapshot with its hash, its store path, and whether its bytes are new.
+    """Every snapshot with its hash, its store path, and whether its bytes are new. Bodies are left out.
 
-    The first snapshot of a hash writes it. Firsts are found by aggregation and matched back on the
-    unique snapshot id, so a body that makes up a third of the batch never meets in one task.
+    The first snapshot of a hash writes it. The hash is taken of the body, text or bytes, in the scan,
+    unless the snapshots have a ``content_hash``; from there on only narrow rows are shuffled. Firsts are
+    found by aggregation and matched back on the unique snapshot id, so a body that makes up a third of
+    the batch never meets in one task.
     """
-    hashed = snapshots.withColumn("content_hash", content_hash(F.col(body)))
+    hashed = snapshots if "content_hash" in snapshots.columns else snapshots.withColumn("content_hash", content_hash(F.col(body)))
+    hashed = hashed.drop(body)
     firsts = (
         hashed.groupBy("content_hash").agg(F.min(pos).alias(pos))
         .join(stored.select("content_hash").distinct(), "content_hash", "left_anti")
@@ -31,18 +35,23 @@ def plan_landing(snapshots: DataFrame, stored: DataFrame, body: str = "body", po
     )
 
 
+def new_bodies(snapshots: DataFrame, plan: DataFrame, body: str = "body", pos: str = "id") -> DataFrame:
+    """The bodies that a plan says are to be written, each once."""
+    rows = plan.filter("written").select(pos, "source_id", "data_as_of", "content_hash", "path")
+    return rows.join(snapshots.select(pos, body), pos)
+
+
 def land(snapshots: DataFrame, store: str, body: str = "body") -> DataFrame:
-    """Append new bodies to the store (partitioned by source and date) and return the plan rows."""
+    """Append new bodies to the store (partitioned by source and date) and return the plan rows.
+
+    The plan is written first: once the bodies lie in the store, planning again would call none of them new.
+    """
     spark = snapshots.sparkSession
-    try:
-        stored = spark.read.parquet(store).select("content_hash")
-    except Exception as e:  # an empty store has no files yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        stored = spark.createDataFrame([], "content_hash string")
-    plan = plan_landing(snapshots, stored, body)
-    new = plan.filter("written").withColumn("data_as_of", F.coalesce(F.col("data_as_of").cast("string"), F.lit(UNKNOWN_DATE)))
-    new.write.mode("append").partitionBy("source_id", "data_as_of").parquet(store)
+    snapshots.select("source_id", F.lit("").alias("data_as_of"), F.lit("").alias("content_hash"), F.lit("").alias("path"), body).limit(0).write.mode("ignore").partitionBy("source_id", "data_as_of").parquet(store)
+    stored = spark.read.schema("content_hash string").parquet(store)
+    plan = materialise(plan_landing(snapshots, stored, body))
+    new = new_bodies(snapshots, plan, body).withColumn("data_as_of", F.coalesce(F.col("data_as_of").cast("string"), F.lit(UNKNOWN_DATE)))
+    new.drop("id").write.mode("append").partitionBy("source_id", "data_as_of").parquet(store)
     return plan
 
 

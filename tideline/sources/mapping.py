@@ -198,5 +198,18 @@ def altered_facts(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("altered", F.coalesce("altered", F.lit(True))).na.fill(False, ["managed", "halted"])
 
 
+def revenue_facts(rows: DataFrame, ledger: DataFrame, snapshot: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Revenue rows with the day their report came out and the month it covers, both of their snapshot.
+
+    ``rows`` carry the snapshot's id; ``ledger`` has (id, data_as_of, data_period). What is known on a day
+    goes by ``report_date``: taking ``period`` for it would look weeks ahead. A snapshot without its day or
+    month gives rows that are skipped for it.
+    """
+    dated = ledger.select(F.col("id").alias(snapshot), F.col("data_as_of").alias("report_date"), F.col("data_period").alias("period"))
+    out = normalize(rows, REVENUE, (snapshot, *carry)).join(dated, snapshot, "left")
+    reason = F.coalesce("skip_reason", F.when(F.col("report_date").isNull(), "missing_report_date").when(F.col("period").isNull(), "missing_period"))
+    return out.withColumn("skip_reason", reason)
+
+
 def official_index(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return kept(normalize(rows, OFFICIAL_INDEX, carry)).filter("value > 0")

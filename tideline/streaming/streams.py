@@ -14,7 +14,7 @@ from tideline.functions.hashing import content_hash
 from tideline.functions.judging import parse_commands
 from tideline.operators.align import last_by_key
 from tideline.session import shared_table_path
-from tideline.sources.ledger import plan_landing
+from tideline.sources.ledger import new_bodies, plan_landing
 from tideline.streaming.store import PrefixStore
 
 FILES_PER_TRIGGER = 64
@@ -50,10 +50,9 @@ def stream_land(snapshots: DataFrame, store: PrefixStore, ledger: str, checkpoin
 
     def land_batch(batch: DataFrame, batch_id: int) -> None:
         store.begin(batch_id)
-        hashed = batch.withColumn("content_hash", content_hash(F.col("body")))
-        keys = hashed.select("content_hash")
+        keys = batch.select(content_hash(F.col("body")).alias("content_hash"))
         plan = plan_landing(batch, store.lookup(keys, batch_id).select("content_hash"))
-        store.append(plan.filter("written"), batch_id, keys)
+        store.append(new_bodies(batch, plan), batch_id, keys)
         rows = plan.select("id", "source_id", "data_as_of", "content_hash", "path", "written")
         rows.write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
 
