@@ -133,21 +133,23 @@ def gold_set_hash(gold: DataFrame) -> DataFrame:
     needs, and they stream past the digest's state in one task, which holds a batch of them at a time.
     """
     line = F.concat(F.col("item_key").cast("string"), F.lit("="), F.col("label"))
-    ordered = gold.select(line.alias("line")).where("line is not null").repartition(1).sortWithinPartitions("line")
-    return _streamed_digest(ordered, "gold_set_hash")
+    return _streamed_digest(gold.select(line.alias("line")), "gold_set_hash")
 
 
 def _streamed_digest(lines: DataFrame, out: str) -> DataFrame:
-    """One row with the SHA-256 of the lines of a single ordered partition, joined by line feeds."""
+    """One row with the SHA-256 of the sorted lines, joined by line feeds; NULL is no line."""
+    # one row without a line, so that no lines have a digest as well
+    ordered = lines.unionAll(lines.sparkSession.range(1).select(F.lit(None).cast("string"))).repartition(1).sortWithinPartitions("line")
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, first = hashlib.sha256(), True
         for batch in batches:
-            for line in batch.column(0).to_pylist():
+            for line in filter(None.__ne__, batch.column(0).to_pylist()):
                 state.update(line.encode() if first else b"\n" + line.encode())
                 first = False
         yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], [out])
 
-    return lines.mapInArrow(digest, f"{out} string")
+    return ordered.mapInArrow(digest, f"{out} string")
 
 
 def gold_tree_hash(gold: DataFrame) -> DataFrame:
@@ -176,7 +178,7 @@ def gold_tree_hash(gold: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f"{bucket}={state.hexdigest()}"])], ["line"])
 
     buckets = lines.repartition("bucket").sortWithinPartitions("bucket", "line").mapInArrow(digests, "line string")
-    return _streamed_digest(buckets.repartition(1).sortWithinPartitions("line"), "gold_tree_hash")
+    return _streamed_digest(buckets, "gold_tree_hash")
 
 
 def exam_flags(gold: DataFrame) -> DataFrame:
