@@ -400,6 +400,41 @@ def test_secret_forest_on_held_out_findings(spark):
     assert sum(r.label == r.prediction for r in rows) >= 0.95 * len(rows)
 
 
+def test_radius_reaches_every_pair_at_the_similarity():
+    """The chance that two fingerprints are further apart than the radius, computed exactly."""
+    def chances(n):
+        return np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+
+    def differs(shared, a, b):
+        total = 0.0
+        for i, w in enumerate(chances(shared)):
+            one = [chances(n)[max(0, (shared + n) // 2 - i + 1) :].sum() for n in (a, b)]
+            total += w * (one[0] * (1 - one[1]) + one[1] * (1 - one[0]))
+        return total
+
+    worst = 0.0
+    for union in list(range(1, 60)) + [100, 200, 400]:
+        apart = int(union * (1 - nearcopies.SIMILARITY) + 1e-9)
+        worst = max(worst, *(differs(union - n, a, n - a) for n in (apart, max(apart - 1, 0)) for a in range(n + 1)))
+    tail = sum(math.comb(64, k) * worst**k * (1 - worst) ** (64 - k) for k in range(nearcopies.RADIUS + 1, 65))
+    assert worst < 0.19 and tail < 4e-9
+
+
+def test_near_copies_between_trees_of_a_shard(spark):
+    """Two large groups that share every band, dealt to many trees: both are found whole and kept apart."""
+    rng = random.Random(31)
+    rows = []
+    for group in range(2):
+        base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(150)]
+        for k in range(60):
+            w = list(base)
+            w[rng.randrange(150)] = f"own{group}x{k}"
+            rows.append((100 * group + k, " ".join(w), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    for nodes, shingles in ((7, 1 << 21), (2048, 600), (2048, 1 << 21)):
+        assert sorted(r.doc_id for r in nearcopies.one_of_each(docs, tree_nodes=nodes, tree_shingles=shingles).collect()) == [0, 100]
+
+
 def test_near_copies_that_repeat_lines(spark):
     rng = random.Random(15)
     rows = []
