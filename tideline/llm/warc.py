@@ -19,8 +19,6 @@ from tideline.session import materialise, shared_table_path
 
 #: Largest piece of a payload that is held at once.
 CHUNK_BYTES = 1 << 18
-#: Header lines of a record may not be longer than this together.
-_HEAD_LIMIT = 1 << 20
 _DATE = "1970-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -125,9 +123,10 @@ class _Inflated:
                 return True
 
     def until(self, mark: bytes) -> bytes | None:
-        while (at := self.ready.find(mark)) < 0:
-            if len(self.ready) > _HEAD_LIMIT:
-                raise ValueError("a WARC header does not end")
+        """What comes before the mark; a header is as long as the url that it holds."""
+        seen = 0
+        while (at := self.ready.find(mark, seen)) < 0:
+            seen = max(0, len(self.ready) - len(mark) + 1)
             if not self.more():
                 return None
         head, self.ready = self.ready[:at], self.ready[at + len(mark) :]
@@ -223,7 +222,9 @@ def archived_pages(pages: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataF
     (page_id, payload_bytes, payload_digest, record_type, refers_to). Of equal payloads, empty ones
     included, the record with the largest page_id is the response and others revisit it; rows that
     repeat the largest id are all responses, NULL ids are smaller than any other, and equal payloads
-    without any id are all responses. No rows give no archives and no rows.
+    without any id are all responses. A url of any length is kept in its record's header, which is the one
+    part of a record that is held whole; a NULL one is named after the page. No rows give no archives and no
+    rows; other columns are not read.
     """
     folder = shared_table_path(pages.sparkSession, "warc")
     folder = folder if ":" in folder else f"file://{folder}"
