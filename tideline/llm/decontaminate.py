@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.windows import RunHashes
+from tideline.session import materialise
 
 #: Edits (words replaced, added or lost) allowed for each word of an item.
 EDIT_RATE = 0.2
-#: Items with fewer words than this are found exactly only.
-LEAST_WORDS = 8
 #: Text of benchmark items that one pass over the documents looks for at most, as long as items are not longer.
 BLOCK_CHARACTERS = 16_000_000
 #: Words of documents that are searched together.
@@ -77,7 +76,7 @@ def item_words(text: str | None) -> list[str]:
 class PieceIndex:
     """Pieces of a block of items: each item cut into one piece more than its edit budget."""
 
-    def __init__(self, items: list[tuple[int, str | None]], edit_rate: float, least_words: int):
+    def __init__(self, items: list[tuple[int, str | None]], edit_rate: float):
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, list[int], int]] = []
         pieces: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
@@ -85,7 +84,7 @@ class PieceIndex:
             words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in item_words(text)]
             if not words:
                 continue
-            budget = int(edit_rate * len(words)) if len(words) >= least_words else 0
+            budget = int(edit_rate * len(words) + 1e-9)
             bounds = [len(words) * i // (budget + 1) for i in range(budget + 2)]
             for a, b in zip(bounds, bounds[1:]):
                 pieces.setdefault(b - a, {}).setdefault(tuple(words[a:b]), []).append((len(self.items), a))
@@ -197,21 +196,22 @@ def _search(index: PieceIndex):
 
 
 def item_matches(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edit_rate: float = EDIT_RATE,
-                 least_words: int = LEAST_WORDS, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
+                 block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
     """Best match of every (document row, item) pair within the item's edit budget.
 
     Words are runs of letters, digits and underscore, lowered; the budget is ``edit_rate`` edits for
     each word of the item. A run within the budget holds one of budget + 1 pieces unchanged, so exact
     piece hits miss nothing; Myers' distance then decides. Columns: doc_id, item_id, distance,
     item_words, the words and the characters of the matching run. Items are searched in blocks of
-    bounded text, each block in one pass over all documents. NULL and empty texts and items match
+    bounded text, each block in one pass over all documents; an item of under five words is found
+    unchanged only, as a fifth of it is no whole word. NULL and empty texts and items match
     nothing; repeated rows give repeated matches; other columns are not read.
     """
-    return _keyed_matches(docs, items, id_column, text_column, edit_rate, least_words, block_characters).drop("text_key")
+    return _keyed_matches(docs, items, id_column, text_column, edit_rate, block_characters).drop("text_key")
 
 
 def _keyed_matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", edit_rate: float = EDIT_RATE,
-                   least_words: int = LEAST_WORDS, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
+                   block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
     """The matches with ``text_key``, a hash of the document's text."""
     text = F.col(text_column).cast("string")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -221,8 +221,10 @@ def _keyed_matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     found = None
     for block in range(blocks):
         dealt = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        index = PieceIndex([(r.item_id, r.text) for r in dealt.collect()], edit_rate, least_words)
+        index = PieceIndex([(r.item_id, r.text) for r in dealt.collect()], edit_rate)
         part = rows.mapInArrow(_search(index), MATCHES)
+        # matches are written block by block, so only one block's index is alive
+        part = materialise(part) if blocks > 1 else part
         found = part if found is None else found.unionAll(part)
     return found
 
