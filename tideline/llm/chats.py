@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import digest, marked
-from tideline.operators.scale import number_rows
 from tideline.session import materialise
 
-#: Turns of a conversation that are rendered together at most, and the turn numbers they share.
+#: Turns of a conversation that are rendered together at most.
 SPAN = 256
 _WIDE = "decimal(38,0)"
 
@@ -19,39 +18,33 @@ def _hash_of(value: Column, half: int) -> Column:
     return F.conv(F.substring(F.hex(value), 1 + 16 * half, 16), 16, 10).cast("decimal(20,0)")
 
 
-def ordered_turns(turns: DataFrame, *, id_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role",
-                  text_column: str = "text", span: int = SPAN) -> DataFrame:
-    """Each turn with its place and the rolling hash of the prefix that ends with it.
+def ordered_turns(turns: DataFrame, *, id_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
+    """Each turn with its place (from 1) and the rolling hash of the prefix that ends with it.
 
     Turns are ordered by (turn, role, text), NULL first; rows equal in all four columns are one turn.
     The rolling hash is the sum of digests of (place, role, text), so prefixes of pieces add up. Pieces are
     cut by range partitions of the order itself: a conversation of any length is ordered by many tasks,
-    whatever its turn numbers. ``span`` counts spans of turn numbers, ``chunk`` so many turns inside one.
+    whatever its turn numbers.
     """
     rows = turns.select(
         F.col(id_column).alias("conv_id"), F.col(turn_column).cast("long").alias("turn"),
         F.col(role_column).cast("string").alias("role"), F.col(text_column).cast("string").alias("text"),
     ).distinct()
-    rows = rows.withColumn("conv_key", marked(F.col("conv_id"))).withColumn("span", F.expr(f"coalesce(floor(turn / {span}), bigint(-9223372036854775807))"))
+    rows = rows.withColumn("conv_key", marked(F.col("conv_id")))
     order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
     # range partitions are sampled, so the placement is written once
     dealt = materialise(rows.repartitionByRange("conv_key", *order).withColumn("piece", F.spark_partition_id()))
-    counts = dealt.groupBy("conv_key", "piece", "span").agg(F.count("*").alias("n"))
-    # both windows have a row for each piece at most
+    counts = dealt.groupBy("conv_key", "piece").agg(F.count("*").alias("n"))
+    # a row for each piece at most
     earlier = Window.partitionBy("conv_key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    in_span = Window.partitionBy("conv_key", "span").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.groupBy("conv_key", "piece").agg(F.sum("n").alias("n")).select("conv_key", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("turns_before"))
-    spans_before = counts.select("conv_key", "piece", "span", F.coalesce(F.sum("n").over(in_span), F.lit(0)).alias("span_before"))
+    before = counts.select("conv_key", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("turns_before"))
     placed = (
         dealt.withColumn("i", F.row_number().over(Window.partitionBy("conv_key", "piece").orderBy(*order)))
-        .withColumn("k", F.row_number().over(Window.partitionBy("conv_key", "piece", "span").orderBy("i")))
         .join(before, ["conv_key", "piece"])
-        .join(spans_before, ["conv_key", "piece", "span"])
         .withColumn("place", F.col("turns_before") + F.col("i"))
-        .withColumn("chunk", F.expr(f"(span_before + k - 1) div {span}"))
         .withColumn("turn_hash", digest(F.col("place"), F.col("role"), F.col("text")))
         .withColumn("h0", _hash_of(F.col("turn_hash"), 0)).withColumn("h1", _hash_of(F.col("turn_hash"), 1))
-        .drop("i", "k", "turns_before", "span_before", "turn_hash", "turn")
+        .drop("i", "turns_before", "turn_hash", "turn")
     )
     placed = materialise(placed)
     sums = placed.groupBy("conv_key", "piece").agg(F.sum("h0").cast(_WIDE).alias("s0"), F.sum("h1").cast(_WIDE).alias("s1"))
@@ -62,7 +55,7 @@ def ordered_turns(turns: DataFrame, *, id_column: str = "conv_id", turn_column:
         placed.withColumn("r0", F.sum("h0").over(running).cast(_WIDE)).withColumn("r1", F.sum("h1").over(running).cast(_WIDE))
         .join(sums, ["conv_key", "piece"])
         .withColumn("prefix", F.concat_ws("/", F.col("place").cast("string"), (F.col("r0") + F.col("b0")).cast("string"), (F.col("r1") + F.col("b1")).cast("string")))
-        .select("conv_id", "conv_key", "span", "chunk", "place", "role", "text", "prefix")
+        .select("conv_id", "conv_key", "place", "role", "text", "prefix")
     )
 
 
@@ -88,22 +81,19 @@ def rendered(turns: DataFrame, *, opening: str = "<|", closing: str = "|>", end:
     """Maximal conversations as chat text: (conv_id, part, turns, copies, rendered).
 
     A turn becomes opening, role, closing, newline, text, end, newline; NULL role or text is empty. A
-    conversation is rendered in parts of ``span`` turn numbers in order (part 0, 1, ...), and a span with
-    more turns than that, as where numbers repeat or are NULL, in parts of so many turns. So even one with
-    a large share of all rows is never built in one task; most have part 0 only. Turns without a number
-    come first, in parts of their own; an empty table gives no rows.
+    conversation is rendered in parts of ``span`` turns in their order (part 0, 1, ...), whatever their
+    numbers, so even one with a large share of all rows is never built in one task; most have part 0
+    only. Turns without a number come first, rows equal in all four columns are one turn, other
+    columns are not read, and an empty table gives no rows.
     """
-    ordered = materialise(ordered_turns(turns, span=span, **columns))
+    ordered = materialise(ordered_turns(turns, **columns))
     kept = maximal_conversations(ordered)
     blank = F.lit("")
     line = F.concat(F.lit(opening), F.coalesce("role", blank), F.lit(closing + "\n"), F.coalesce("text", blank), F.lit(end + "\n"))
-    parts = (
+    return (
         ordered.join(kept, "conv_key")
-        .groupBy("conv_key", "span", "chunk")
+        .groupBy("conv_key", F.expr(f"cast((place - 1) div {span} as int)").alias("part"))
         .agg(F.first("conv_id").alias("conv_id"), F.first("turns").alias("turns"), F.first("copies").alias("copies"),
              F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
+        .select("conv_id", "part", "turns", "copies", F.array_join(F.col("lines.line"), "").alias("rendered"))
     )
-    keys = ordered.join(kept, "conv_key").select("conv_key", "span", "chunk").distinct()
-    numbers = number_rows(keys, ["conv_key"], [F.col("span"), F.col("chunk")], out="part")
-    return parts.join(numbers, ["conv_key", "span", "chunk"]).select(
-        "conv_id", (F.col("part") - 1).cast("int").alias("part"), "turns", "copies", F.array_join(F.col("lines.line"), "").alias("rendered"))

@@ -65,14 +65,13 @@ ORACLES: dict[str, str] = {
           sha256(unhex(coalesce(head, '') || CASE WHEN coalesce(b, 0) < d.n THEN hex(array_slice(x, coalesce(b, 0) + 1, d.n)) ELSE '' END)) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
     "op8_snapshot_collapse": """WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
         o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM t),
-        x AS (SELECT conv_id, turn, i, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS line,
+        x AS (SELECT conv_id, i, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS line,
           md5(concat(role IS NULL, '/', role, '/', text IS NULL, '/', length(text), '/', text)) AS h FROM o),
         p AS (SELECT conv_id, i, string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY i) AS prefix, count(*) OVER (PARTITION BY conv_id) AS turns FROM x),
         whole AS (SELECT prefix, max(turns) AS turns, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE i = turns GROUP BY prefix),
         kept AS (SELECT * FROM whole ANTI JOIN (SELECT DISTINCT prefix FROM p WHERE i < turns) inside USING (prefix))
-        SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS INT) AS part, turns, copies, rendered FROM (
-          SELECT x.conv_id, turn // 256 AS span, max(turns) AS turns, max(copies) AS copies, string_agg(line, '' ORDER BY x.i) AS rendered
-          FROM x JOIN kept USING (conv_id) GROUP BY x.conv_id, turn // 256) z""",
+        SELECT x.conv_id, CAST((x.i - 1) // 256 AS INT) AS part, max(turns) AS turns, max(copies) AS copies, string_agg(line, '' ORDER BY x.i) AS rendered
+          FROM x JOIN kept USING (conv_id) GROUP BY x.conv_id, (x.i - 1) // 256""",
     "op12_diagonal_runs": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws, {_CRC32} AS h FROM documents),
         t AS (SELECT *, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) ELSE 0 END AS a, 3 + (h // 10) % 8 AS parts FROM d),
         w AS (SELECT doc_id, n, i, ws[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM t) x),
