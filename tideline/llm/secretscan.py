@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -33,6 +35,7 @@ _TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PLAIN = re.compile(r"[a-z]{3,}")
 _WORD = re.compile(r"\S+")
+_BREAK = re.compile("\n")
 _LEAST = 8
 
 # Formats by which known issuers' secrets and known harmless numbers are labelled.
@@ -88,7 +91,8 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 def known_label(text: str, start: int, stop: int) -> int | None:
     """1 for a known secret format, 0 for a known harmless one, None for a token that no format knows.
 
-    A value behind a secret's name, or before the @ of an address, is never known to be harmless.
+    A value behind a secret's name, or before the @ of an address, is never known to be harmless. Names are
+    looked for in the 40 characters before it.
     """
     value, before = text[start:stop], text[max(0, start - 40) : start]
     if any(p.fullmatch(value) for p in _KNOWN_SECRETS):
@@ -104,7 +108,12 @@ def _bucket(word: str, buckets: int) -> int:
     return zlib.crc32(word.strip("\"'.,;:()[]{}").lower().encode()) % buckets
 
 
-def finding_features(text: str, start: int, stop: int, dictionary: set[str], pairs: set[str], path: str | None) -> list[float]:
+def finding_features(text: str, start: int, stop: int, dictionary: set[str], pairs: set[str], path: str | None, breaks: list[int]) -> list[float]:
+    """FEATURES, then which buckets neighbouring words and the path fall into; ``breaks`` are the text's line feeds.
+
+    Neighbouring words are read from the 80 characters on either side; of a word that reaches further
+    only the part inside counts, so a text without blanks costs its length.
+    """
     value = text[start:stop]
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
@@ -114,8 +123,8 @@ def finding_features(text: str, start: int, stop: int, dictionary: set[str], pai
     runs = [m.group().lower() for m in _LETTERS.finditer(value)]
     known = [r for r in runs if r in dictionary]
     before, after = text[max(0, start - 80) : start], text[stop : stop + 80]
-    line = (text.rfind("\n", 0, start) + 1, text.find("\n", stop))
-    line_length = (line[1] if line[1] >= 0 else len(text)) - line[0]
+    at = bisect.bisect_left(breaks, start)
+    line_length = (breaks[at] if at < len(breaks) else len(text)) - (breaks[at - 1] + 1 if at else 0)
     row = [
         n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("o") / n,
         sum(c in "0123456789abcdef" for c in lower) / n,
@@ -142,7 +151,7 @@ def findings(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
 
     The dictionary that a candidate's letters are compared with is the words of its own document, and
     its character pairs are judged by those words. A NULL or empty text has no candidates; a NULL path
-    is no path. Positions count code points.
+    is no path. A text of any length, in one line or many, costs about its length. Positions count code points.
     """
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("candidate", pa.string()),
@@ -158,8 +167,9 @@ def findings(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
                 for a, b in spans:  # a candidate is no word of its own dictionary
                     dictionary -= set(_PLAIN.findall(text[a:b].lower()))
                 pairs = {w[i : i + 2] for w in dictionary for i in range(len(w) - 1)}
+                breaks = [m.start() for m in _BREAK.finditer(text)]
                 for a, b in spans:
-                    rows.append((doc_id.as_py(), key.as_py(), a, b, text[a:b], known_label(text, a, b), finding_features(text, a, b, dictionary, pairs, path.as_py())))
+                    rows.append((doc_id.as_py(), key.as_py(), a, b, text[a:b], known_label(text, a, b), finding_features(text, a, b, dictionary, pairs, path.as_py(), breaks)))
                     if len(rows) >= 5000:
                         yield _batch(rows, schema)
                         rows = []
@@ -235,7 +245,8 @@ def secret_findings(docs: DataFrame, labelled: DataFrame | None = None, *, id_co
     formats, and what no format knows is judged without having been taught. Where only one class is labelled nothing can be learnt: every score is 1 if all known
     findings are secrets, else 0. Repeated rows give repeated findings; an empty table gives none.
     """
-    found = findings(docs, id_column=id_column, text_column=text_column, path_column=path_column)
+    # written once: they are counted, drawn from and judged
+    found = materialise(findings(docs, id_column=id_column, text_column=text_column, path_column=path_column))
     training = labelled if labelled is not None else labelled_by_format(found)
     sample = training_sample(training, at_most=at_most)
     classes = {int(r.label) for r in sample.select("label").distinct().collect()}
@@ -244,6 +255,14 @@ def secret_findings(docs: DataFrame, labelled: DataFrame | None = None, *, id_co
     return judged(found, _fitted(sample) if classes == {0, 1} else None, threshold=threshold)
 
 
+def _without(text: str, spans, marker: str) -> str:
+    pieces, done = [], 0
+    for start, stop in spans:
+        pieces += [text[done:start], marker]
+        done = stop
+    return "".join([*pieces, text[done:]])
+
+
 def redacted(docs: DataFrame, found: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size_column: str | None = "n_chars",
              marker: str = "[SECRET]") -> DataFrame:
     """The documents with their secrets replaced by ``marker``, other columns but the size unchanged.
@@ -257,11 +276,13 @@ def redacted(docs: DataFrame, found: DataFrame, *, id_column: str = "doc_id", te
         .select(F.col("doc_id").alias("_span_id"), F.col("text_key").alias("_span_key"), "_spans")
     )
     rows = docs.join(spans, docs[id_column].eqNullSafe(spans["_span_id"]) & (F.xxhash64(docs[text_column]) == spans["_span_key"]), "left")
-    text, found_spans = docs[text_column].cast("string"), spans["_spans"]
-    state = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
-    rebuilt = F.aggregate(
-        found_spans, state,
-        lambda s, x: F.struct(F.concat(s["done"], F.substring(text, s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit(marker)).alias("done"), x["stop"].alias("at")),
-        lambda s: F.concat(s["done"], F.substring(text, s["at"].cast("int") + 1, F.length(text))))
+    found_spans = spans["_spans"]
+
+    @F.pandas_udf("string")
+    def blacked(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([None if text is None else _without(text, places, marker) for text, places in zip(texts, lists)], dtype=object)
+
+    # only texts with a secret go to Python
+    rebuilt = blacked(F.when(found_spans.isNotNull(), docs[text_column].cast("string")), F.transform(found_spans, lambda x: F.array(x["start"], x["stop"])))
     changed = {text_column: rebuilt} | ({size_column: F.length(rebuilt).cast("long")} if size_column in docs.columns else {})
     return rows.select(*(F.when(found_spans.isNotNull(), changed[c]).otherwise(docs[c]).alias(c) if c in changed else docs[c] for c in docs.columns))
