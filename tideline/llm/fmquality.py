@@ -70,8 +70,9 @@ def features(docs: DataFrame, text_column: str = "text", size_column: str | None
 def training_rows(docs: DataFrame, labels: DataFrame, at_most: int = TRAIN_ROWS) -> DataFrame:
     """(label, features) of at most ``at_most`` labelled rows outside the held-out part.
 
-    The sample is the rows with the smallest hashes of their ids; being bounded, its ids and labels are
-    small enough to be sent to every task. Rows without a label or an id are not learnt from.
+    The sample is the ids with the smallest hashes; being bounded, its ids and labels are small enough to
+    be sent to every task. Rows without a label or an id are not learnt from; of an id with both labels
+    the greater counts, and of an id with several texts the smallest, so no id counts twice.
     """
     known = (
         labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("label"))
@@ -81,6 +82,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, at_most: int = TRAIN_ROWS)
     )
     columns = [F.col(c) for c in ("doc_id", "text", "n_chars") if c in docs.columns]
     rows = docs.select(*columns).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    least = F.min(F.struct(*[c for c in ("text", "n_chars") if c in docs.columns])).alias("_row")
+    rows = rows.groupBy("doc_id", "label").agg(least).select("doc_id", "label", "_row.*")
     return features(rows, size_column="n_chars" if "n_chars" in docs.columns else None).select("label", "features")
 
 
@@ -112,8 +115,10 @@ def scored(docs: DataFrame, model: FMClassificationModel, *, threshold: float =
 def quality_scores(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, threshold: float = 0.7) -> DataFrame:
     """Fit on the labelled rows that are not held out and score every document.
 
-    Neither labels nor lang, source or doc_id are inputs of a score. With no labelled row of either
-    class there is nothing to learn, and every score is 0.5 (predicted 0).
+    Neither labels nor lang, source or doc_id are inputs of a score, so equal texts of equal size have equal
+    scores and every repeated row gets its own. NULL and empty texts are scored by their structure. With
+    no labelled row of either class there is nothing to learn, and every score is 0.5 (predicted 0);
+    an empty table gives no rows, a NULL id is never learnt from, other columns are not read.
     """
     training = training_rows(docs, labels, train_rows)
     if training.select("label").distinct().count() < 2:
