@@ -16,7 +16,7 @@ ROWS = [
 ]
 CLASHES = [
     "row_key", "host", "core", "body", "place", "n", "variant", "marks", "packed", "node", "fingerprint", "bands", "shard", "size", "start", "block", "target", "taken", "kept",
-    "label", "features", "score", "_words", "_id", "_key", "_text", "_bad_id", "_dropped", "words", "sha1", "refers_to", "payload", "prefix", "span", "part", "first", "known", "tree", "_spans", "_span_id", "_span_key", "text_key", "_rebuilt", "_row", "band", "bands", "trees", "own", "asks", "packed_text", "class", "outside",
+    "label", "features", "score", "_words", "_id", "_key", "_text", "_bad_id", "_dropped", "words", "sha1", "refers_to", "payload", "prefix", "span", "part", "first", "known", "tree", "_spans", "_span_id", "_span_key", "text_key", "_rebuilt", "_row", "band", "trees", "own", "asks", "packed_text", "class", "outside",
 ]
 
 
