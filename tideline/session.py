@@ -55,7 +55,15 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later uses see the same rows."""
     path = shared_table_path(df.sparkSession, "table")
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empty tables that :func:`materialise` wrote and no later step reads, so that rounds leave nothing behind."""
+    for table in tables:
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(table._written_to)
 
 
 def shared_table_path(spark: SparkSession, label: str) -> str:
