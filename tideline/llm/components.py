@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.session import materialise
+from tideline.session import discard, materialise
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def connected(links: DataFrame) -> DataFrame:
         large = materialise(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         handed = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(handed.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        done, edges = edges, materialise(handed.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(done, large)
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
 
