@@ -17,7 +17,7 @@ _RING = 1 << 32
 _CELL = 1 << 20
 _CHUNK = 1 << 16
 BLOCK_TOKENS = 128
-_BUCKET_DOCUMENTS = 4096
+_BUCKET_DOCUMENTS = 512
 SALTS = 32
 
 
