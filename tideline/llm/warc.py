@@ -19,6 +19,8 @@ from tideline.session import materialise, shared_table_path
 
 #: Largest piece of a payload that is held at once.
 CHUNK_BYTES = 1 << 18
+#: Tasks that the pages of one payload are dealt to.
+SALTS = 16
 _DATE = "1970-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -55,15 +57,18 @@ def _record(page_id, url, payload: bytes | None, declared: str, size: int, refer
 def with_originals(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): refers_to is set where a larger id has the payload.
 
-    Digest and length go through the shuffle, the payload does not have to: the join partner is one
-    small row for each payload that several pages share.
+    The join partner is a few small rows for each payload that several pages share, and none for others. A
+    payload crosses one shuffle with its page, salted, so that one of a third of all pages is dealt to
+    several tasks.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
     shared = rows.groupBy("sha1").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     # an id found twice is the original both times; pages without an id refer to one that has an id
-    return rows.join(shared, "sha1", "left").withColumn(
+    return rows.join(shared, ["sha1", "salt"], "left").drop("salt").withColumn(
         "refers_to", F.when(F.col("original") > F.coalesce("page_id", F.lit(-(2**63))), F.col("original")))
 
 
@@ -97,7 +102,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"archive": [name], "records": [records], "bytes": [size]})
 
-    return materialise(with_originals(pages).mapInArrow(write, MANIFEST))
+    # a row for each task, gathered in one file: a repeated attempt then replaces its row or is not read at all
+    return materialise(with_originals(pages).mapInArrow(write, MANIFEST).repartition(1))
 
 
 class _Inflated:
