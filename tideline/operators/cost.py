@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.money import FLOOR, HALF_UP, div_round, mul_div, ratio6
+from tideline.operators.align import asof_join
 
 # Statutory rates and the halving period of the day-trade tax.
 COMMISSION_PPM = 1425
@@ -103,6 +104,42 @@ def mul_div_by(value: Column, mul: int, div: Column) -> Column:
     return div_round(value * F.lit(mul).cast("bigint"), div, HALF_UP)
 
 
+# ── terms by date ────────────────────────────────────────────────────────────
+
+TERMS = "terms string, effective_from date, commission_ppm int, discount_bps int, min_commission long, tax_ppm int, day_trade_tax_ppm int"
+
+
+def with_terms(trades: DataFrame, schedule: DataFrame, key: str = "terms", day: str = "d") -> DataFrame:
+    """Each trade with the terms that were in force on its day.
+
+    ``schedule`` (TERMS) has a row for each change; terms hold from their day on until the next. A
+    trade before the first, or of unknown terms, is an error, as are terms outside the legal range.
+    """
+    ppm, bps, least = F.col("commission_ppm"), F.col("discount_bps"), F.col("min_commission")
+    legal = ppm.between(0, COMMISSION_PPM) & bps.between(0, BPS) & (least >= 0) & (F.col("tax_ppm") >= 0) & (F.col("day_trade_tax_ppm") >= 0)
+    values = ["commission_ppm", "discount_bps", "min_commission", "tax_ppm", "day_trade_tax_ppm"]
+    checked = schedule.withColumn("commission_ppm", F.when(F.coalesce(legal, F.lit(False)), ppm).otherwise(F.raise_error(F.lit("broker terms are outside the legal range")).cast("int")))
+    found = asof_join(trades, checked.withColumn("_one", F.lit(0)), day, values, key=key, known="effective_from", covers="_one").drop("_one")
+    unknown = F.raise_error(F.concat(F.lit("no terms for "), F.coalesce(F.col(key), F.lit("NULL")), F.lit(" on "), F.coalesce(F.col(day).cast("string"), F.lit("NULL")))).cast("int")
+    return found.withColumn("commission_ppm", F.coalesce("commission_ppm", unknown))
+
+
+def scheduled_round_trip(trades: DataFrame, schedule: DataFrame, entry="entry_cents", exit_="exit_cents", shares="shares", day="d", key="terms", day_trade: Column | None = None) -> DataFrame:
+    """:func:`round_trip` with fees and taxes of a table of terms with effective dates.
+
+    Fees are rounded down once, as the default broker's are.
+    """
+    wide = lambda c: c.cast("decimal(38,0)")
+    share = lambda amount, part, whole: F.call_function("div", wide(amount) * wide(part), wide(F.lit(whole))).cast("bigint")
+    e, x, n = F.col(entry), F.col(exit_), F.col(shares)
+    fee = lambda amount: F.greatest(share(amount, F.col("commission_ppm").cast("long") * F.col("discount_bps"), PPM * BPS * CENTS), F.col("min_commission"))
+    ppm = F.col("tax_ppm") if day_trade is None else F.when(day_trade, F.col("day_trade_tax_ppm")).otherwise(F.col("tax_ppm"))
+    out = with_terms(trades, schedule, key, day).withColumn("applied_tax_ppm", ppm)
+    out = out.withColumns({"buy_fee": fee(e * n), "sell_fee": fee(x * n), "tax": share(x * n, F.col("applied_tax_ppm"), PPM * CENTS)})
+    out = out.withColumn("cost_cents", CENTS * (F.col("buy_fee") + F.col("sell_fee") + F.col("tax")))
+    return out.withColumn("net_cents", (x - e) * n - F.col("cost_cents"))
+
+
 def with_breakeven(trades: DataFrame, broker: Broker = Broker(), entry="entry_cents", shares="shares", ppm: Column | int = TAX_PPM, strict: bool = True) -> DataFrame:
     """Add the lowest exit price in cents, from the entry up, that loses nothing, and ``breakeven_state``.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -297,6 +298,35 @@ def capped_greedy(sized: DataFrame, state: DataFrame, config: RiskConfig) -> Dat
     return every.select(*kept, F.when(F.col("_known"), reason).otherwise(unknown).alias("reject_reason")).withColumn("approved", F.col("reject_reason").isNull())
 
 
+def load_configs(rows: DataFrame) -> list[tuple]:
+    """(effective_from, RiskConfig) in order, from a table with a column for each field that differs from the default.
+
+    A table of versions is written by hand; its rows are few.
+    """
+    names = set(RiskConfig.__dataclass_fields__) - {"broker"}
+    kept = [c for c in rows.columns if c in names]
+    found = rows.select("effective_from", *kept).orderBy("effective_from").collect()
+    return [(r["effective_from"], RiskConfig(**{c: r[c] for c in kept if r[c] is not None})) for r in found]
+
+
+def approvals_by_version(candidates: DataFrame, state: DataFrame, versions: list[tuple], mode: str = "rule") -> DataFrame:
+    """:func:`capped_greedy` of sized candidates under the limits that are in force on each day, with their ``version``.
+
+    Days before the first version are an error. The plan grows with the versions, not with the days.
+    """
+    if not versions:
+        raise ValueError("no version of the limits")
+    starts = [start for start, _ in versions]
+    early = F.raise_error(F.concat(F.lit("no limits in force on "), F.col("d").cast("string"))).cast("boolean")
+    checked = candidates.where(F.when(F.col("d") >= F.lit(starts[0]), F.lit(True)).otherwise(early))
+    parts = []
+    for (start, config), end in zip(versions, [*starts[1:], None]):
+        inside = (F.col("d") >= F.lit(start)) & (F.lit(True) if end is None else F.col("d") < F.lit(end))
+        decided = capped_greedy(size_candidates(checked.where(inside), config, mode), state.where(inside), config)
+        parts.append(decided.withColumn("version", F.lit(config.version)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 LIMITS = ("entries", "open_positions", "exposure_pct", "drawdown_pct")
 TOTALS = ("entries", "open_positions", "exposure_pct", "budget_left")
 

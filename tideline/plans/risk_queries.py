@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.operators import cost, risk
@@ -105,6 +107,27 @@ def day_trade_cost(t: Tables) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "d", "tax_ppm", "tax", cost.tax_warning(F.col("d"), dt).alias("warning"))
 
 
+# Terms that change once for everybody and once more for the odd brokers.
+SCHEDULE = [
+    ("even", "1900-01-01", 1425, 10_000, 20, 3000, 1500), ("even", "1995-01-01", 1425, 6000, 1, 3000, 1500),
+    ("odd", "1900-01-01", 1000, 10_000, 20, 3000, 3000), ("odd", "1995-01-01", 1000, 10_000, 20, 2500, 1500), ("odd", "1997-06-01", 1200, 9500, 15, 2500, 1000),
+]
+SCHEDULE_SQL = "(VALUES " + ", ".join(f"('{k}', DATE '{d}', {', '.join(map(str, rest))})" for k, d, *rest in SCHEDULE) + ") ft(terms, effective_from, ppm, bps, least, tax_ppm, dt_ppm)"
+
+
+@query("scheduled_costs", f"""WITH {EXITS}, x AS (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS terms, l_linenumber % 3 = 0 AS dt FROM exits),
+   t AS (SELECT x.*, ft.*, CASE WHEN dt THEN dt_ppm ELSE ft.tax_ppm END AS rate FROM x ASOF JOIN {SCHEDULE_SQL} ON ft.terms = x.terms AND x.d >= ft.effective_from),
+   c AS (SELECT *, greatest(CAST(entry_cents * shares AS HUGEINT) * ppm * bps // 1000000000000, least) AS buy_fee, greatest(CAST(exit_cents * shares AS HUGEINT) * ppm * bps // 1000000000000, least) AS sell_fee,
+     CAST(exit_cents * shares AS HUGEINT) * rate // 100000000 AS tax FROM t)
+   SELECT l_orderkey, l_linenumber, CAST(buy_fee AS BIGINT) AS buy_fee, CAST(sell_fee AS BIGINT) AS sell_fee, CAST(tax AS BIGINT) AS tax, rate AS applied_tax_ppm,
+     CAST((exit_cents - entry_cents) * shares - 100 * (buy_fee + sell_fee + tax) AS BIGINT) AS net_cents FROM c""")
+def scheduled_costs(t: Tables) -> DataFrame:
+    kinds = t.spark.createDataFrame([(k, datetime.date.fromisoformat(d), *rest) for k, d, *rest in SCHEDULE], cost.TERMS)
+    trades = exits(t).withColumn("terms", F.when(F.col("l_suppkey") % 2 == 0, "even").otherwise("odd"))
+    out = cost.scheduled_round_trip(trades, kinds, day_trade=F.col("l_linenumber") % 3 == 0)
+    return out.select("l_orderkey", "l_linenumber", "buy_fee", "sell_fee", "tax", "applied_tax_ppm", "net_cents")
+
+
 SCAN = f"list_filter(range(0, CAST(ceil((100 * {fees('entry_cents', 'entry_cents', 'shares')} + 300) / (shares * (1 - 0.004425))) AS BIGINT) + 2), lambda s: {net('entry_cents', '(entry_cents + s)', 'shares')} >= 0)[1]"
 
 
@@ -211,6 +234,19 @@ def decided(t: Tables, config: risk.RiskConfig = CONFIG) -> DataFrame:
     return risk.capped_greedy(risk.size_candidates(t.candidates(), config), t.risk_state(), config)
 
 
+def by_version(start: str, end: str, version: str, *limits) -> str:
+    return f"SELECT *, '{version}' AS version FROM (WITH RECURSIVE {greedy(*limits)} SELECT d, rank, code, reason AS reject_reason, reason IS NULL AS approved FROM greedy WHERE rank > 0) g WHERE d >= DATE '{start}' AND d < DATE '{end}'"
+
+
+@query("approvals_by_version", f"{by_version('1900-01-01', '1995-01-01', 'risk-v1', 6, 3, 60)} UNION ALL {by_version('1995-01-01', '9999-01-01', 'risk-v2', 40, 20, 300)}")
+def approvals_by_version(t: Tables) -> DataFrame:
+    table = t.spark.createDataFrame(
+        [(datetime.date(1900, 1, 1), "risk-v1", 3, 6, 60.0), (datetime.date(1995, 1, 1), "risk-v2", 20, 40, 300.0)],
+        "effective_from date, version string, max_concurrent int, monthly_entry_cap int, max_total_exposure_pct double")
+    out = risk.approvals_by_version(t.candidates(), t.risk_state(), risk.load_configs(table))
+    return out.select("d", "rank", "code", "reject_reason", "approved", "version")
+
+
 @query("rejection_counts", f"WITH RECURSIVE {GREEDY} SELECT reason, count(*) AS n FROM greedy WHERE rank > 0 AND reason IS NOT NULL GROUP BY reason")
 def rejection_counts(t: Tables) -> DataFrame:
     return risk.rejection_counts(decided(t))

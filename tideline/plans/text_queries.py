@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions import hashing, judging
-from tideline.operators import quality, ranking, registry, reports, textqueue as tq, veto
+from tideline.operators import chain, quality, ranking, registry, reports, risk, textqueue as tq, veto
 from tideline.plans.catalogue import query
 from tideline.plans.outcome_queries import picks, scored_picks
 from tideline.plans.oracle import sql_fixed, sql_signed_pct
 from tideline.plans.ranking_queries import FACTOR_TEXT, coarse, detail, factor_activity, ranked
-from tideline.plans.veto_queries import HITS, LABELS, hits
+from tideline.plans.veto_queries import HITS, LABELS, TASKS, hits, layers as rule_layers, text_tasks
 from tideline.plans.views import Tables
 from tideline.session import shared_table_path
 
@@ -467,6 +467,34 @@ def daily_report(t: Tables) -> DataFrame:
     return rows.select("d", "code", "rank", F.col("section").cast("bigint").alias("section"), "price_text", "move_text", "blocked_by", "factors")
 
 
+@query("veto_chain", f"""WITH {HITS}, {TASKS}, ruled AS (SELECT d, code FROM ranked WHERE (d, code) NOT IN (SELECT d, code FROM hits)),
+   texted AS (SELECT DISTINCT r.d, r.code FROM ruled r JOIN tasks t ON t.d = r.d AND t.code = r.code JOIN verdicts v ON v.task_key = t.task_key AND v.verdict = 'veto')
+   SELECT r.d, r.code, r.rank, CASE WHEN h.code IS NOT NULL THEN 'rules' WHEN x.code IS NOT NULL THEN 'text' END AS stopped_by, coalesce(h.n, 0) AS rule_hits
+   FROM ranked r LEFT JOIN (SELECT d, code, count(*) AS n FROM hits GROUP BY d, code) h ON h.d = r.d AND h.code = r.code LEFT JOIN texted x ON x.d = r.d AND x.code = r.code""")
+def veto_chain(t: Tables) -> DataFrame:
+    r = t.once("ranked", ranked)
+    passed, found = chain.veto_chain(r.select("d", "code", "rank", "composite"), rule_layers(t, r.select("d", "code")), text_tasks(t), t.verdicts())
+    by_code = found.groupBy("d", "code").agg(F.min("layer").alias("stopped_by"), F.count_if(F.col("layer") == chain.RULES).alias("rule_hits"))
+    stopped = r.join(by_code, ["d", "code"], "left").select("d", "code", "rank", "stopped_by", F.coalesce("rule_hits", F.lit(0)).alias("rule_hits"))
+    kept = passed.select("d", "code", F.lit(True).alias("_kept"))
+    # a code is either stopped or among the passed, never both or neither
+    wrong = F.raise_error(F.lit("a code is both or neither")).cast("string")
+    both = stopped.join(kept, ["d", "code"], "left")
+    return both.withColumn("stopped_by", F.when(F.col("stopped_by").isNull() == F.coalesce("_kept", F.lit(False)), F.col("stopped_by")).otherwise(wrong)).drop("_kept")
+
+
+@query("daily_chain")
+def daily_chain(t: Tables) -> DataFrame:
+    """Watchlist and signals of every day, as the whole chain leaves them."""
+    r = t.once("ranked", ranked)
+    estimates = risk.estimate_vol(risk.ewm_std_daily(risk.placed_returns(t.bars().select("code", "d", "close").join(t.cal(), "d")), 100), 10)
+    day = F.dayofmonth("d")
+    state = t.cal().select("d", (day % 4).cast("int").alias("entries"), F.lit(0).alias("open_positions"), F.lit(0.0).alias("exposure_pct"), F.lit(0.0).alias("drawdown_pct"))
+    made = chain.daily_chain(r, t.closes(), rule_layers(t, r.select("d", "code")), text_tasks(t), t.verdicts(), estimates, state, t.roster(),
+                             risk.RiskConfig(equity=1_000_000.0, stop_sigma_multiple=0.1, max_concurrent=10, monthly_entry_cap=20))
+    return made.picks.select("d", "code", "rank", "list_kind", F.round("composite", 9).alias("composite"), F.round("stop_price", 6).alias("stop_price"), "shares", "price_at_push")
+
+
 @query("export_summary", """SELECT 'bars' AS sheet, count(*) AS rows FROM bars UNION ALL SELECT 'ledger', count(*) FROM ledger UNION ALL SELECT 'notices', count(*) FROM notices
    UNION ALL SELECT 'gold', count(*) FROM gold UNION ALL SELECT 'verdicts', count(*) FROM verdicts UNION ALL SELECT 'trades', count(*) FROM trades""")
 def export_summary(t: Tables) -> DataFrame:
