@@ -182,20 +182,34 @@ def exam_flags(t: Tables) -> DataFrame:
 CHALLENGER = "CASE WHEN v.task_key % 4 = 0 THEN l.label ELSE v.verdict END"
 
 
-@query("promotion_gates", f"""WITH {LATEST}, a AS (SELECT l.label, v.verdict, {CHALLENGER} AS better FROM latest l JOIN verdicts v ON v.task_key = l.item_key),
-   s AS (SELECT count(*) AS n, count(*) FILTER (better = label) / count(*) AS ca, count(*) FILTER (better <> label AND label = 'veto') AS cf,
-     count(*) FILTER (verdict = label) / count(*) AS oa, count(*) FILTER (verdict <> label AND label = 'veto') AS of FROM a),
+EXAM_HASH = "(SELECT sha256(array_to_string(list_sort(list(concat(item_key, '=', label))), chr(10))) FROM {0})"
+GATES = f"""WITH {LATEST}, first_exam AS (SELECT item_key, label FROM gold WHERE revision = 1),
+   a AS (SELECT l.label, {CHALLENGER} AS better FROM latest l JOIN verdicts v ON v.task_key = l.item_key), o AS (SELECT l.label, v.verdict FROM {{champion}} l JOIN verdicts v ON v.task_key = l.item_key),
+   s AS (SELECT count(*) AS n, count(*) FILTER (better = label) / count(*) AS ca, count(*) FILTER (better <> label AND label = 'veto') AS cf FROM a),
+   c AS (SELECT count(*) FILTER (verdict = label) / count(*) AS oa, count(*) FILTER (verdict <> label AND label = 'veto') AS of FROM o),
    b AS (SELECT count(*) FILTER (label <> 'veto') / count(*) AS ba FROM latest)
-   SELECT gate, passed FROM (SELECT n >= 30 AS sample_size, true AS same_exam, ca > ba AS beats_baseline, ca > oa AS beats_champion, cf <= of AS no_more_misses FROM s, b) x
-   UNPIVOT (passed FOR gate IN (sample_size, same_exam, beats_baseline, beats_champion, no_more_misses))""")
-def promotion_gates(t: Tables) -> DataFrame:
+   SELECT gate, passed FROM (SELECT n >= 30 AS sample_size, {EXAM_HASH.format('latest')} = {EXAM_HASH.format('{champion}')} AS same_exam, ca > ba AS beats_baseline, ca > oa AS beats_champion, cf <= of AS no_more_misses FROM s, b, c) x
+   UNPIVOT (passed FOR gate IN (sample_size, same_exam, beats_baseline, beats_champion, no_more_misses))"""
+
+
+def gates_against(t: Tables, champions_exam: DataFrame) -> DataFrame:
+    """The challenger on the exam as it is now, the champion on the exam that it once took."""
     e = exam(t)
     better = t.verdicts().join(e.select(F.col("item_key").alias("task_key"), "label"), "task_key").withColumn(
         "verdict", F.when(F.col("task_key") % 4 == 0, F.col("label")).otherwise(F.col("verdict"))).drop("label")
-    digest = tq.gold_set_hash(e).scalar()
-    hashed = lambda df: df.withColumn("gold_set_hash", digest)
+    hashed = lambda df, taken: df.withColumn("gold_set_hash", tq.gold_set_hash(taken).scalar())
     return tq.promotion_gates(
-        hashed(tq.score_against_gold(e, better)), hashed(tq.score_against_gold(e, t.verdicts())), hashed(tq.baseline_score(e)))
+        hashed(tq.score_against_gold(e, better), e), hashed(tq.score_against_gold(champions_exam, t.verdicts()), champions_exam), hashed(tq.baseline_score(e), e))
+
+
+@query("promotion_gates", GATES.format(champion="latest"))
+def promotion_gates(t: Tables) -> DataFrame:
+    return gates_against(t, exam(t))
+
+
+@query("promotion_gates_other_exam", GATES.format(champion="first_exam"))
+def promotion_gates_other_exam(t: Tables) -> DataFrame:
+    return gates_against(t, t.gold().filter("revision = 1"))
 
 
 @query("errors_by_clause", f"""WITH {LATEST}, a AS (SELECT label, verdict, concat('clause', item_key % 9) AS clause FROM latest JOIN verdicts ON task_key = item_key)
@@ -565,3 +579,50 @@ def constraint_audit_picks(t: Tables) -> DataFrame:
         F.col("stop").alias("stop_price"), F.col("target").alias("take_profit_price"))
     rules = {n: quality.ROW_RULES["picks"][n] for n in ("rank", "score_range", "price_positive", "barrier_order")}
     return quality.constraint_audit(rows, rules, ["d", "half"])
+
+
+def audited_tables(t: Tables) -> dict[str, DataFrame]:
+    """Stored tables with some rows spoiled, so that rules have something to find."""
+    i, key = F.col("message_id"), F.col("item_key")
+    records = judging.record_rows(t.messages()).withColumns({
+        "shares": F.when(i % 13 != 0, F.col("shares")), "raw_text": F.when(i % 17 == 0, "  ").otherwise(F.col("raw_text"))})
+    p = picks(t).select("pick_id", "list_kind", F.col("entry").alias("entry_price"))
+    done = scored_picks(t).filter("status = 'computed'").join(p, "pick_id").withColumnRenamed("d", "data_as_of")
+    done = done.withColumn("horizon", F.when(F.col("pick_id") % 11 == 0, 7).otherwise(F.col("horizon")))
+    events = veto.with_rank(hits(t), t.once("ranked", ranked), t.roster(), "M0").select(
+        F.col("d").alias("run_id"), "code", "rule_id", F.col("rank").alias("rank_at_signal"), F.col("composite").alias("composite_score"),
+        F.when(F.col("code") % 9 == 0, " ").otherwise(F.col("evidence")).alias("evidence"))
+    bench = t.closes().select("code", "d", (F.col("close") - 20).alias("close"), (F.col("close") - 5).alias("total_return_index"), (F.col("vol") - 1).alias("cash_dividend"), F.lit(0.0).alias("stock_dividend_ratio"))
+    gold = t.gold().withColumns({"label_reason": F.when(key % 4 == 0, "ok").otherwise("because"), "labeled_by": F.when(key % 6 == 0, "").otherwise("someone")})
+    queue = t.announce().select(F.col("doc_id").alias("task_key"), "speak_date", F.lit("2024-01-15 10:00:00").cast("timestamp").alias("enqueued_at"))
+    return {"records": records, "outcomes": done, "vetoes": events, "benchmark": bench, "gold_set": gold, "queue": queue}
+
+
+AUDITS = {
+    "records": ("(SELECT * FROM records UNION ALL SELECT * FROM records WHERE message_id % 50 = 0) z", {
+        "source": "0", "action": "0", "trade_fields": "count(*) FILTER (action IN ('buy', 'sell') AND message_id % 13 = 0)", "target": "count(*) FILTER (action IN ('watch', 'skip') AND code IS NULL)",
+        "raw_text_not_blank": "count(*) FILTER (message_id % 17 = 0)"}, "message_id"),
+    "outcomes": ("(SELECT *, CASE WHEN pick_id % 11 = 0 THEN 7 ELSE horizon END AS h FROM outcomes WHERE status = 'computed') z", {
+        "horizon": "count(*) FILTER (h = 7)", "prices_positive": "count(*) FILTER (NOT (entry > 0 AND xclose > 0))", "exit_after_signal": "count(*) FILTER (exit_date <= d)",
+        "trading_days": "count(*) FILTER (h <> horizon)", "share_factor": "count(*) FILTER (f < 1)", "barrier": "0", "barrier_by_kind": "count(*) FILTER ((list_kind = 'trade_signal') <> (stop IS NOT NULL))"}, "pick_id, h"),
+    "vetoes": ("(SELECT h.*, r.rank, r.composite FROM hits h LEFT JOIN ranked r ON r.d = h.d AND r.code = h.code) z", {
+        "rule_id": "0", "rank": "count(*) FILTER (rank < 1)", "score_range": "count(*) FILTER (NOT composite BETWEEN 0 AND 1)", "evidence_not_blank": "count(*) FILTER (code % 9 = 0)"}, "d, code, rule_id"),
+    "benchmark": ("bars", {"close_positive": "count(*) FILTER (close <= 20)", "index_positive": "count(*) FILTER (close <= 5)", "dividend": "count(*) FILTER (vol < 1)"}, "code, d"),
+    "gold_set": ("gold", {"label": "0", "reason": "count(*) FILTER (item_key % 4 = 0)", "revision": "count(*) FILTER (revision < 1)", "labeler": "count(*) FILTER (item_key % 6 = 0)"}, "item_key, revision"),
+    "queue": ("announce", {"not_future": "count(*) FILTER (speak_date > DATE '2024-01-15')"}, "doc_id"),
+}
+
+
+def audit_sql(name: str) -> str:
+    table, rules, unique = AUDITS[name]
+    each = [f"SELECT '{name}' AS stored_table, '{rule}' AS rule, count(*) AS rows, CAST({found} AS BIGINT) AS violations FROM {table}" for rule, found in rules.items()]
+    return " UNION ALL ".join([*each, f"SELECT '{name}', 'unique_key', CAST(sum(n) AS BIGINT), CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM {table} GROUP BY {unique}) v"])
+
+
+@query("constraint_audit_tables", f"WITH {HITS} " + " UNION ALL ".join(map(audit_sql, AUDITS)))
+def constraint_audit_tables(t: Tables) -> DataFrame:
+    parts = [quality.audit_table(df, name).withColumn("stored_table", F.lit(name)) for name, df in audited_tables(t).items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("stored_table", "rule", "rows", "violations")
