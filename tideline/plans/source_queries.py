@@ -156,15 +156,17 @@ def clean_streaks(t: Tables) -> DataFrame:
     return store.clean_streaks(health_log(t), failed=(F.col("status") == "schema_drift") & (F.dayofmonth("d") % 3 == 0))
 
 
-@query("source_groups", """SELECT g AS source_group, n AS declared, coalesce(s.seen, 0) AS seen, coalesce(s.snapshots, 0) AS snapshots FROM
-   (VALUES ('quotes', 4), ('filings', 6), ('derivatives', 3), ('flows', 4), ('status', 8), ('ex_right', 3), ('extended', 8)) x(g, n)
-   LEFT JOIN (SELECT grp, count(*) AS seen, sum(c) AS snapshots FROM (
-     SELECT CASE doc_id % 3 WHEN 0 THEN 'quotes' WHEN 1 THEN 'filings' ELSE 'status' END AS grp, doc_id % 3 AS s, count(*) AS c FROM documents GROUP BY 1, 2) y GROUP BY grp) s ON s.grp = x.g""")
+SOURCE_IDS = [(n, row[0], row[1]) for n, row in enumerate(catalog.SOURCES)]
+
+
+@query("source_groups", f"""WITH declared AS (SELECT * FROM (VALUES {', '.join(f"({n}, '{i}', '{g}')" for n, i, g in SOURCE_IDS)}) x(n, source_id, source_group))
+   SELECT source_group, count(*) AS declared, count(c) AS seen, CAST(coalesce(sum(c), 0) AS BIGINT) AS snapshots FROM declared
+   LEFT JOIN (SELECT doc_id % 37 AS n, count(*) AS c FROM documents GROUP BY 1) s USING (n) GROUP BY source_group""")
 def source_groups(t: Tables) -> DataFrame:
-    i = F.col("doc_id") % 3
-    seen = t.documents.select(F.when(i == 0, "twse_stock_day_all").when(i == 1, "mops_twse_monthly_revenue").otherwise("twse_attention").alias("source_id"))
-    out = catalog.source_activity(seen, catalog.sources(t.spark))
-    return out
+    """Snapshots of all declared sources and of one that nobody declared."""
+    ids = F.array(*[F.lit(i) for _, i, _ in SOURCE_IDS], F.lit("undeclared"))
+    seen = t.documents.select(F.element_at(ids, (F.col("doc_id") % 37 + 1).cast("int")).alias("source_id"))
+    return catalog.source_activity(seen, catalog.sources(t.spark))
 
 
 # ── ledger ───────────────────────────────────────────────────────────────────

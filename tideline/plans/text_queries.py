@@ -10,6 +10,7 @@ from tideline.plans.catalogue import query
 from tideline.plans.outcome_queries import picks, scored_picks
 from tideline.plans.oracle import sql_fixed, sql_signed_pct
 from tideline.plans.ranking_queries import FACTOR_TEXT, coarse, detail, factor_activity, ranked
+from tideline.plans.risk_queries import EWM, greedy
 from tideline.plans.veto_queries import HITS, LABELS, TASKS, hits, layers as rule_layers, text_tasks
 from tideline.plans.views import Tables
 from tideline.session import shared_table_path
@@ -497,7 +498,23 @@ def veto_chain(t: Tables) -> DataFrame:
     return both.withColumn("stopped_by", F.when(F.col("stopped_by").isNull() == F.coalesce("_kept", F.lit(False)), F.col("stopped_by")).otherwise(wrong)).drop("_kept")
 
 
-@query("daily_chain")
+# The sizing and greedy SQL of the risk queries, over what the vetoes let pass and for an equity of a million.
+_SIZED = greedy(20, 10, 60).replace("FROM priced", "FROM ch_priced").replace("FROM risk_state", "FROM ch_state").replace("200.0", "20000.0").replace("10000.0", "1000000.0").replace("1000000.00", "1000000.0")
+CHAIN = f"""WITH RECURSIVE {HITS}, {TASKS}, {EWM.strip().removeprefix('WITH')},
+   passed AS (SELECT r.d, r.code, r.rank, r.composite FROM ranked r WHERE (r.d, r.code) NOT IN (SELECT d, code FROM hits)
+     AND NOT EXISTS (SELECT 1 FROM tasks t JOIN verdicts v ON v.task_key = t.task_key AND v.verdict = 'veto' WHERE t.d = r.d AND t.code = r.code)),
+   ch_state AS (SELECT d, day(d) % 4 AS entries, 0 AS open_positions, 0.0::DOUBLE AS exposure_pct, 0.0::DOUBLE AS drawdown_pct FROM cal),
+   ch_candidates AS (SELECT p.d, p.code, p.rank AS full_rank, p.composite, row_number() OVER (PARTITION BY p.d ORDER BY p.rank) AS rank, b.close AS entry, CASE WHEN v.observations >= 10 AND v.ok = 1 THEN v.sg END AS sigma
+     FROM passed p LEFT JOIN bars b ON b.d = p.d AND b.code = p.code LEFT JOIN v ON v.d = p.d AND v.code = p.code),
+   ch_barriers AS (SELECT *, coalesce(entry > 0 AND sigma > 0 AND dist < 1, false) AS feasible, CASE WHEN entry > 0 AND sigma > 0 AND dist < 1 THEN entry * dist END AS risk FROM (
+     SELECT *, 0.1::DOUBLE * sigma * sqrt(10) AS dist FROM ch_candidates) x),
+   ch_priced AS (SELECT *, CAST(round(entry * 100) AS BIGINT) AS e, CAST(round((entry - risk) * 100) AS BIGINT) AS s, CAST(round((entry + 2.0::DOUBLE * risk) * 100) AS BIGINT) AS g, CAST(floor(20000.0::DOUBLE / risk) AS BIGINT) AS upper_n FROM ch_barriers),
+   {_SIZED}
+   SELECT r.d, r.code, r.rank, 'watchlist' AS list_kind, r.composite, CAST(NULL AS DOUBLE) AS stop_price, CAST(NULL AS BIGINT) AS shares, b.close AS price_at_push FROM ranked r LEFT JOIN bars b ON b.d = r.d AND b.code = r.code WHERE r.rank <= 5
+   UNION ALL SELECT o.d, o.code, o.full_rank, 'trade_signal', o.composite, round(o.entry - o.risk, 6), o.shares, o.entry FROM greedy x JOIN own o ON o.d = x.d AND o.rank = x.rank WHERE x.rank > 0 AND x.reason IS NULL"""
+
+
+@query("daily_chain", CHAIN)
 def daily_chain(t: Tables) -> DataFrame:
     """Watchlist and signals of every day, as the whole chain leaves them."""
     r = t.once("ranked", ranked)
