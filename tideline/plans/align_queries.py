@@ -16,11 +16,12 @@ def trading_calendar(t: Tables) -> DataFrame:
 
 
 @query("day_lookup", """WITH c2 AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM (
-     SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE day(o_orderdate) % 3 = 0) y)
+     SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5) y)
    SELECT CAST(g AS DATE) AS d, (SELECT max(i) FROM c2 WHERE d <= g) AS prev_i, (SELECT min(i) FROM c2 WHERE d >= g) AS next_i
    FROM (SELECT unnest(generate_series((SELECT min(d) FROM c2), (SELECT max(d) FROM c2), INTERVAL 1 DAY)) AS g) x""")
 def day_lookup(t: Tables) -> DataFrame:
-    cal = align.calendar(t.orders.filter(F.dayofmonth("o_orderdate") % 3 == 0).select(F.col("o_orderdate").cast("date").alias("d")))
+    """Nobody trades on weekends."""
+    cal = align.calendar(t.orders.filter(F.dayofweek("o_orderdate").between(2, 6)).select(F.col("o_orderdate").cast("date").alias("d")))
     return align.day_lookup(cal)
 
 

@@ -13,6 +13,11 @@ from tideline.plans.views import Tables
 BENCHMARK_CODE = 3
 
 
+def stored_bars(t: Tables) -> DataFrame:
+    """The daily bars as a stored table: evaluation reads them several times, their ticks are aggregated once."""
+    return t.once("bars", lambda t: t.bars())
+
+
 def picks(t: Tables) -> DataFrame:
     """The pick log: a stored table, written once per run and read by every evaluation step."""
     return t.once("picks", pick_rows)
@@ -20,10 +25,11 @@ def picks(t: Tables) -> DataFrame:
 
 def pick_rows(t: Tables) -> DataFrame:
     """Top-5 reversal names per day; even ranks are signals with barriers."""
-    s = reversal_scored(t).withColumn("score", F.round("score", DECIMALS))
+    closes = stored_bars(t).select("code", "d", "close", "vol", "note")
+    s = reversal_scored(t, closes).withColumn("score", F.round("score", DECIMALS))
     top = ranking.top_k(s, ["d"], [F.col("score").desc(), F.col("code")], ranking.WATCHLIST_SIZE).select("d", "code", "rank", "score")
     signal = F.col("rank") % 2 == 0
-    placed = top.join(t.cal(), "d").join(t.closes().select("code", "d", F.col("close").alias("entry")), ["code", "d"])
+    placed = top.join(t.cal(), "d").join(closes.select("code", "d", F.col("close").alias("entry")), ["code", "d"])
     return placed.select(
         (F.col("i") * 10 + F.col("rank")).alias("pick_id"), "code", "d", F.col("rank").cast("bigint").alias("rank"), "score", "entry",
         F.when(signal, 0.9 * F.col("entry")).alias("stop"), F.when(signal, 1.2 * F.col("entry")).alias("target"),
@@ -37,7 +43,7 @@ def scored_picks(t: Tables) -> DataFrame:
 
 def outcome_rows(t: Tables) -> DataFrame:
     p = picks(t)
-    done = outcomes.compute_outcomes(p.select("pick_id", "code", "d", "entry", "stop", "target"), t.bars(), t.cal(), t.actions())
+    done = outcomes.compute_outcomes(p.select("pick_id", "code", "d", "entry", "stop", "target"), stored_bars(t), t.cal(), t.actions())
     return done
 
 

@@ -76,8 +76,8 @@ def ranked(t: Tables) -> DataFrame:
 # ── minimum slice ────────────────────────────────────────────────────────────
 
 
-def reversal_scored(t: Tables) -> DataFrame:
-    rev = ranking.reversal(align.in_universe(t.closes(), t.roster()), t.cal())
+def reversal_scored(t: Tables, closes: DataFrame | None = None) -> DataFrame:
+    rev = ranking.reversal(align.in_universe(t.closes() if closes is None else closes, t.roster()), t.cal())
     long = rev.select(
         "d", "code", F.lit("short_term_reversal_5d_v1").alias("factor"), F.col("reversal").alias("value")
     )
