@@ -56,11 +56,6 @@ def _same(keys: Sequence[str], left: str, right: str) -> Column:
     return cond
 
 
-def spread_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows of a key together in one partition and in order, for a pass that keeps running totals."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
-
-
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
     """Position 1..n inside each group under a total order."""
     return prefix_total(df, keys, order, out=out).withColumn(out, F.col(out) + 1)

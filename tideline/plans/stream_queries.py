@@ -125,7 +125,7 @@ def watched_days(t: Tables, horizon: int) -> DataFrame:
 @query("stream_barriers", """WITH s AS (SELECT p.pick_id, (SELECT min(k) FROM touches t WHERE t.pick_id = p.pick_id AND t.k <= 10) AS tk, (SELECT max(k) FROM pick_days x WHERE x.pick_id = p.pick_id AND x.k <= 10) AS reach FROM picks p WHERE stop IS NOT NULL)
    SELECT s.pick_id, CASE WHEN tk IS NULL THEN 'time' ELSE (SELECT kind FROM touches t WHERE t.pick_id = s.pick_id AND t.k = tk) END AS exit_kind, coalesce(tk, 10) AS days_used FROM s WHERE tk IS NOT NULL OR reach = 10""")
 def stream_barriers(t: Tables) -> DataFrame:
-    """The days come in slices; of each pick's last five days before a slice's end a few come in the next one."""
+    """The days come in three slices; those of every fourth pick that lie three days or less before a border come one slice late."""
     horizon = 10
     days = materialise(watched_days(t, horizon))
     lo, hi = days.agg(F.min(F.unix_date("day")), F.max(F.unix_date("day"))).first()
