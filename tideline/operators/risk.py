@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tideline.functions.money import to_cents
-from tideline.operators.cost import TAX_PPM, Broker, net_cents
+from tideline.operators.cost import BPS, PPM, TAX_PPM, Broker, net_cents
 from tideline.operators.scale import Placed, place, previous
 from tideline.session import materialise
 
@@ -183,23 +183,49 @@ def _stop_loss(shares: Column, config: RiskConfig) -> Column:
 def _halved(acc: Column, lot: int, budget: Column, config: RiskConfig) -> Column:
     """One step of the search for the most lots in [lo, hi] whose loss fits the budget."""
     mid = F.call_function("div", acc["lo"] + acc["hi"] + 1, F.lit(2))
-    fits = _stop_loss(mid * lot, config) <= budget
-    return F.struct(F.when(fits, mid).otherwise(acc["lo"]).alias("lo"), F.when(fits, acc["hi"]).otherwise(F.greatest(mid - 1, acc["lo"])).alias("hi"))
+
+
+    def halves(m: Column) -> Column:
+        above = F.struct(m.alias("lo"), acc["hi"].alias("hi"))
+        return F.when(_stop_loss(m * lot, config) <= budget, above).otherwise(F.struct(acc["lo"].alias("lo"), F.greatest(m - 1, acc["lo"]).alias("hi")))
+
+    return F.get(F.transform(F.array(mid), halves), F.lit(0))
+
+
+def _most_lots(upper: Column, config: RiskConfig, cents: float) -> Column:
+    """The most lots up to ``upper`` whose loss, unrounded, is at most ``cents``.
+
+    Without rounding the loss is the greatest of four straight lines, as either fee is the least one or a share
+    of its amount; so it is within ``cents`` where every line is.
+    """
+    e, s, broker = F.col("entry_cents").cast("double"), F.col("stop_cents").cast("double"), config.broker
+    rate, least = broker.commission_ppm / PPM * broker.discount_bps / BPS, 100.0 * broker.min_commission
+    bare = e - s + s * (TAX_PPM / PPM)
+    lines = [(2 * least, bare), (least, bare + e * rate), (least, bare + s * rate), (0.0, bare + (e + s) * rate)]
+    shares = F.least(*[F.when(slope > 0, F.lit(cents - fixed) / slope) for fixed, slope in lines])
+    return F.greatest(F.least(F.floor(shares / config.lot_size), upper), F.lit(0).cast("bigint"))
 
 
 def with_shares(barriers: DataFrame, config: RiskConfig, mode: str = "rule") -> DataFrame:
     """Add ``shares``: a size whose loss at the stop, fees included, stays within the risk budget.
 
     ``rule`` corrects the fee-free size by the fees of the size at hand, at most twelve times: the
-    first corrections are compiled projections, the rest a fold for rows that need them; ``max`` finds the largest such size (the loss never
-    falls as shares rise, so bisection holds).
+    first corrections are compiled projections, the rest a fold for rows that need them; ``max`` finds the largest such size, inside
+    bounds taken from the unrounded loss (the loss never falls as shares rise, so bisection holds).
     """
     budget, lot, risk = F.lit(config.risk_budget), config.lot_size, F.col("risk_per_share")
     upper = _floor_lot(budget / risk, lot)
     if mode == "max":
-        start = F.struct(F.lit(0).cast("bigint").alias("lo"), F.call_function("div", upper, F.lit(lot)).alias("hi"))
-        best = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTION_STEPS)), start, lambda acc, _: _halved(acc, lot, budget, config), lambda acc: acc["lo"] * lot)
-        return barriers.withColumn("shares", F.when(F.col("feasible"), best))
+        # the three rounded amounts are off by less than a whole unit each, which leaves a narrow bracket to halve
+        most, cents, spread = F.call_function("div", upper, F.lit(lot)), 100 * config.risk_budget, 301
+        lo, hi = F.col("_lo"), F.col("_hi")
+        out = barriers.withColumn("_upper", most)
+        out = out.withColumn("_lo", F.greatest(_most_lots(F.col("_upper"), config, cents - spread) - 1, F.lit(0).cast("bigint")))
+        out = out.withColumn("_hi", F.least(_most_lots(F.col("_upper"), config, cents + spread) + 1, F.greatest("_upper", lo)))
+        steps = F.sequence(F.lit(1), F.ceil(F.log2((hi - lo + 1).cast("double"))).cast("int"))
+        start = F.struct(lo.alias("lo"), hi.alias("hi"))
+        best = F.aggregate(steps, start, lambda acc, _: _halved(acc, lot, budget, config), lambda acc: acc["lo"])
+        return out.withColumn("shares", F.when(F.col("feasible"), F.when(lo < hi, best).otherwise(lo) * lot)).drop("_upper", "_lo", "_hi")
 
     def correct(shares: Column, loss: Column) -> Column:
         smaller = _floor_lot((budget - (loss - risk * shares)) / risk, lot)
