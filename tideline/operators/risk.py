@@ -184,7 +184,6 @@ def _halved(acc: Column, lot: int, budget: Column, config: RiskConfig) -> Column
     """One step of the search for the most lots in [lo, hi] whose loss fits the budget."""
     mid = F.call_function("div", acc["lo"] + acc["hi"] + 1, F.lit(2))
 
-
     def halves(m: Column) -> Column:
         above = F.struct(m.alias("lo"), acc["hi"].alias("hi"))
         return F.when(_stop_loss(m * lot, config) <= budget, above).otherwise(F.struct(acc["lo"].alias("lo"), F.greatest(m - 1, acc["lo"]).alias("hi")))
