@@ -71,7 +71,9 @@ def in_steps(spark, folder, scans, name):
     return Counter(map(tuple, result.collect()))
 
 
-
+def test_todays_vetoes_are_all_events_of_the_last_day(spark, folder, events, scans):
+    last = max(e.d for e in events)
+    assert in_steps(spark, folder, scans, "todays_vetoes") == Counter((e.d, e.code, e.rule_id, e.rank) for e in events if e.d == last)
 
 
 def test_audit_reports_every_rule_of_every_table(spark, folder, events, scans):
