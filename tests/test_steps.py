@@ -76,6 +76,11 @@ def test_todays_vetoes_are_all_events_of_the_last_day(spark, folder, events, sca
     assert in_steps(spark, folder, scans, "todays_vetoes") == Counter((e.d, e.code, e.rule_id, e.rank) for e in events if e.d == last)
 
 
+def test_rank_distribution_counts_every_event(spark, folder, events, scans):
+    counts = Counter((e.rule_id, e.rank and (e.rank - 1) // 10) for e in events)
+    assert in_steps(spark, folder, scans, "veto_rank_distribution") == Counter((*k, n) for k, n in counts.items())
+
+
 def test_audit_reports_every_rule_of_every_table(spark, folder, events, scans):
     found = {(r[0], r[1]): r[2:] for r in in_steps(spark, folder, scans, "constraint_audit_tables")}
     assert len(found) == 30 and len({table for table, _ in found}) == 6
