@@ -71,6 +71,10 @@ def in_steps(spark, folder, scans, name):
     return Counter(map(tuple, result.collect()))
 
 
+def test_veto_events_equal_those_of_one_plan(spark, folder, events, scans):
+    assert in_steps(spark, folder, scans, "veto_events") == Counter((e.d, e.code, e.rule_id, e.rank, e.composite, e.market) for e in events)
+
+
 def test_todays_vetoes_are_all_events_of_the_last_day(spark, folder, events, scans):
     last = max(e.d for e in events)
     assert in_steps(spark, folder, scans, "todays_vetoes") == Counter((e.d, e.code, e.rule_id, e.rank) for e in events if e.d == last)
